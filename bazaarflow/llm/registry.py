@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import near_dedup
+from . import near_dedup, sharding
 
 
 def queries() -> dict:
     return {
+        "op1_bfd_sharding": sharding.query,
         "op8_minhash_near_dedup": near_dedup.query,
     }
 
