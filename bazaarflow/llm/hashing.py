@@ -40,6 +40,17 @@ class Powers:
 _powers = Powers()
 
 
+def slices(batches, text: int, limit: int = 8 << 20):
+    """Record batches cut so that each holds about ``limit`` bytes of column ``text`` or one row."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < batch.num_rows:
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + limit, "right")))
+            yield batch.slice(at, to - at)
+            at = to
+
+
 def word_class(separators: bytes) -> np.ndarray:
     table = np.ones(256, bool)
     table[np.frombuffer(separators, np.uint8)] = False

@@ -20,7 +20,7 @@ def _sets(shingle: int, k: int):
     def run(batches):
         minhash = H.MinHash(k)
         low = np.uint64((1 << COORDINATE_BITS) - 1)
-        for batch in batches:
+        for batch in H.slices(batches, 1):
             words, at = H.words(*H.buffers(batch.column(1)))
             n, hi, lo, tokens, sizes = [], [], [], [], [0]
             for i in range(batch.num_rows):
@@ -78,7 +78,7 @@ def _matching(k: int, at_least: int):
 
 def _full_sets(shingle: int):
     def run(batches):
-        for batch in batches:
+        for batch in H.slices(batches, 1):
             words, at = H.words(*H.buffers(batch.column(1)))
             sets = [H.distinct(H.shingles(words[at[i] : at[i + 1]], shingle)).tobytes() for i in range(batch.num_rows)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(batch.column(i) for i in range(2, batch.num_columns)), pa.array(sets, pa.binary())], [batch.schema.names[0], *batch.schema.names[2:], "members"])

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from . import near_dedup, sharding
+from . import decontamination, near_dedup, sharding
 
 
 def queries() -> dict:
     return {
         "op1_bfd_sharding": sharding.query,
+        "op5_benchmark_decontamination": decontamination.query,
         "op8_minhash_near_dedup": near_dedup.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_benchmark_decontamination": decontamination.ORACLE_SQL}
