@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontamination, near_dedup, sharding
+from . import brown_lm, decontamination, near_dedup, sharding
 
 
 def queries() -> dict:
     return {
         "op1_bfd_sharding": sharding.query,
+        "op3_brown_lm_scoring": brown_lm.query,
         "op5_benchmark_decontamination": decontamination.query,
         "op8_minhash_near_dedup": near_dedup.query,
     }
