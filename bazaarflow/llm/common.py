@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import functools
 import tempfile
 import uuid
 
@@ -35,6 +37,29 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int = 500):
+    """Arrow batches of few rows within: texts are long, and a batch is held by the JVM and by Python."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def in_small_batches(f):
+    """Run an operator that takes a DataFrame first under ``small_batches``."""
+
+    @functools.wraps(f)
+    def run(df: DataFrame, *args, **options):
+        with small_batches(df.sparkSession):
+            return f(df, *args, **options)
+
+    return run
+
+
 def small_enough(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     """Whether ``df`` has at most ``rows`` rows; reads no more of it than needed to tell."""
     return df.limit(rows + 1).count() <= rows

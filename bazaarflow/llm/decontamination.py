@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import hashing as H
-from .common import materialise, sized
+from .common import in_small_batches, materialise, sized
 
 #: Benchmark shingles are sent to all tasks in blocks of at most so many.
 BLOCK_SHINGLES = 500_000
@@ -116,6 +116,7 @@ def _send(spark: SparkSession, grams: DataFrame):
     return spark.sparkContext.broadcast(np.array([r[0] for r in grams.collect()], np.int64).view(np.uint64))
 
 
+@in_small_batches
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """Words of each document that lie inside an occurrence of a benchmark window.
 

@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 _P = np.uint64(0x9E3779B97F4A7C15 | 1)
 
 
@@ -40,7 +40,7 @@ class Powers:
 _powers = Powers()
 
 
-def slices(batches, text: int, limit: int = 8 << 20):
+def slices(batches, text: int, limit: int = 2 << 20):
     """Record batches cut so that each holds about ``limit`` bytes of column ``text`` or one row."""
     for batch in batches:
         ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False))
@@ -51,6 +51,19 @@ def slices(batches, text: int, limit: int = 8 << 20):
             at = to
 
 
+def counted(values, limit: int = 2_000_000):
+    """Arrays -> (distinct values, counts) for about every ``limit`` values: a bounded combine before the shuffle."""
+    held, n = [], 0
+    for v in values:
+        held.append(v)
+        n += len(v)
+        if n >= limit:
+            yield np.unique(np.concatenate(held), return_counts=True)
+            held, n = [], 0
+    if n:
+        yield np.unique(np.concatenate(held), return_counts=True)
+
+
 def word_class(separators: bytes) -> np.ndarray:
     table = np.ones(256, bool)
     table[np.frombuffer(separators, np.uint8)] = False
@@ -79,7 +92,7 @@ def buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]
 def words(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray = BLANK_SEPARATED) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all lower-cased (A-Z) words in order, and the words' offsets by row.
 
-    Works in chunks of about 1 MB cut at rows or separators, so memory follows the chunk and the longest word.
+    Works in chunks of about 256 KB cut at rows or separators, so memory follows the chunk and the longest word.
     """
     byte_code = random_words(256, 7)[LOWER]
     inside = inside[LOWER]

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import hashing as H
-from .common import components, materialise, sized
+from .common import components, in_small_batches, materialise, sized
 
 #: A token holds its coordinate in its lowest bits.
 COORDINATE_BITS = 6
@@ -128,6 +128,7 @@ def block_pairs(rows: DataFrame, key: str, unit: str, blocks: str) -> DataFrame:
     return dealt.withColumn("group", F.xxhash64(key, F.least("_own", "_other"), F.greatest("_own", "_other"))).drop("_own", "_other")
 
 
+@in_small_batches
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 85, k: int = 32, at_least: int = 16, block: int = 256, block_mb: int = 16) -> DataFrame:
     """Near-duplicate components of ``docs``: one row per input row with doc_id, n_shingles, component_id, kept.
 
