@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import brown_lm, decontamination, near_dedup, sharding
+from . import brown_lm, decontamination, mixing, near_dedup, sharding, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_bfd_sharding": sharding.query,
+        "op2_toxicity_lexicon": toxicity.query,
         "op3_brown_lm_scoring": brown_lm.query,
         "op5_benchmark_decontamination": decontamination.query,
+        "op6_temperature_mixing": mixing.query,
         "op8_minhash_near_dedup": near_dedup.query,
     }
 
