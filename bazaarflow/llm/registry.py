@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import brown_lm, decontamination, mixing, near_dedup, sharding, toxicity
+from . import brown_lm, decontamination, mixing, near_dedup, pii, sharding, toxicity
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_brown_lm_scoring": brown_lm.query,
         "op5_benchmark_decontamination": decontamination.query,
         "op6_temperature_mixing": mixing.query,
+        "op7_pii_semi_crf": pii.query,
         "op8_minhash_near_dedup": near_dedup.query,
     }
 
