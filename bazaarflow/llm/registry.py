@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import brown_lm, decontamination, mixing, near_dedup, pii, sharding, toxicity
+from . import brown_lm, chroma, decontamination, licenses, line_dedup, mixing, near_dedup, pii, sharding, toxicity
 
 
 def queries() -> dict:
@@ -10,10 +10,13 @@ def queries() -> dict:
         "op1_bfd_sharding": sharding.query,
         "op2_toxicity_lexicon": toxicity.query,
         "op3_brown_lm_scoring": brown_lm.query,
+        "op4_fuzzy_line_dedup": line_dedup.query,
         "op5_benchmark_decontamination": decontamination.query,
         "op6_temperature_mixing": mixing.query,
         "op7_pii_semi_crf": pii.query,
         "op8_minhash_near_dedup": near_dedup.query,
+        "op9_license_scan": licenses.query,
+        "op10_chroma_fingerprints": chroma.query,
     }
 
 
