@@ -4,7 +4,10 @@ from __future__ import annotations
 
 
 def modules() -> list:
-    return []
+    from ..functions import queries as functions
+    from ..operators import analytics, message_queries
+
+    return [functions, message_queries, analytics]
 
 
 def queries() -> dict:
