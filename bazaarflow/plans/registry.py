@@ -5,9 +5,9 @@ from __future__ import annotations
 
 def modules() -> list:
     from ..functions import queries as functions
-    from ..operators import analytics, message_queries
+    from ..operators import analytics, catalog, faq, match, message_queries
 
-    return [functions, message_queries, analytics]
+    return [functions, message_queries, analytics, catalog, faq, match]
 
 
 def queries() -> dict:
