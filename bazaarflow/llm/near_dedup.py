@@ -53,6 +53,7 @@ def _matching(k: int, at_least: int):
             m = group.num_rows
             if m < 2:
                 continue
+            group = group.sort_by(group.column_names[1])  # so that groups with common members find the same trees
             ids = group.column(1).to_numpy()
             lists = group.column(2).combine_chunks()
             flat = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
@@ -129,7 +130,7 @@ def block_pairs(rows: DataFrame, key: str, unit: str, blocks: str) -> DataFrame:
 
 
 @in_small_batches
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 85, k: int = 32, at_least: int = 16, block: int = 256, block_mb: int = 16) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 85, k: int = 32, at_least: int = 16, block: int = 256, block_mb: int = 16, posting_block: int = 1024) -> DataFrame:
     """Near-duplicate components of ``docs``: one row per input row with doc_id, n_shingles, component_id, kept.
 
     Documents with equal shingle sets form a class and go on as its smallest id. A class posts itself under each of its
@@ -153,7 +154,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     posted = reps.select("doc_id", F.explode("tokens").alias("token"))
     often = posted.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     shared = posted.join(often, "token").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("s")).where(F.size("s") >= at_least)
-    prefix = shared.select("doc_id", F.col("s.token").alias("tokens"), F.explode(F.expr(f"slice(s, 1, size(s) - {at_least} + 1)")).alias("p")).select("doc_id", "tokens", "p.token", F.ceil(F.col("p.df") / F.lit(block)).alias("blocks"))
+    prefix = shared.select("doc_id", F.col("s.token").alias("tokens"), F.explode(F.expr(f"slice(s, 1, size(s) - {at_least} + 1)")).alias("p")).select("doc_id", "tokens", "p.token", F.ceil(F.col("p.df") / F.lit(posting_block)).alias("blocks"))
     groups = block_pairs(prefix, "token", "doc_id", "blocks").select("group", "doc_id", "tokens")
     matches = groups.repartition("group").sortWithinPartitions("group").mapInArrow(_matching(k, at_least), "a long, b long")
     clusters = components(matches, "near-matches")
