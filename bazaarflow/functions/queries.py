@@ -24,7 +24,8 @@ def _list(values) -> str:
 
 
 def _message(select):
-    return lambda s, d: t.messages(s, d).select("msg_id", *select)
+    """Columns are made when the query is asked for: they need a session."""
+    return lambda s, d: t.messages(s, d).select("msg_id", *select())
 
 
 def fn_slug(s, d):
@@ -106,12 +107,12 @@ def fn_indel_ratio(s, d):
 QUERIES = {
     "fn_slug": fn_slug,
     "fn_faq_bridge": fn_faq_bridge,
-    "fn_normalize": _message([x.replace_words(F.col("message"), {"the": "da", "of": "out of", "und": "and"}, [(r"whats\s?app", "whatsapp"), ("ing ", "in ")]).alias("text")]),
-    "fn_tokens": _message([F.array_join(x.words(F.col("message")), " ").alias("all_words"), F.array_join(x.content_words(F.col("message"), STOP), " ").alias("content"), F.array_join(F.array_sort(F.array_distinct(F.concat(x.words(F.col("message")), F.transform(x.words(F.col("message")), x.stem)))), " ").alias("with_stems"), F.size(x.split_words(F.col("message"))).alias("n_split")]),
-    "fn_stem": _message([F.array_join(F.transform(x.words(F.col("message")), x.stem), " ").alias("stems")]),
-    "fn_synonyms": _message([F.array_join(x.expand_synonyms(x.words(F.col("message")), SYNONYMS, ["und"]), " ").alias("tokens")]),
-    "fn_umbrella": _message([x.append_umbrella(F.col("message"), UMBRELLA).alias("text")]),
-    "fn_spelling": _message([x.fix_spelling(F.col("message"), [("the", "teh"), ("and", "und"), ("of", "from")]).alias("text")]),
+    "fn_normalize": _message(lambda: [x.replace_words(F.col("message"), {"the": "da", "of": "out of", "und": "and"}, [(r"whats\s?app", "whatsapp"), ("ing ", "in ")]).alias("text")]),
+    "fn_tokens": _message(lambda: [F.array_join(x.words(F.col("message")), " ").alias("all_words"), F.array_join(x.content_words(F.col("message"), STOP), " ").alias("content"), F.array_join(F.array_sort(F.array_distinct(F.concat(x.words(F.col("message")), F.transform(x.words(F.col("message")), x.stem)))), " ").alias("with_stems"), F.size(x.split_words(F.col("message"))).alias("n_split")]),
+    "fn_stem": _message(lambda: [F.array_join(F.transform(x.words(F.col("message")), x.stem), " ").alias("stems")]),
+    "fn_synonyms": _message(lambda: [F.array_join(x.expand_synonyms(x.words(F.col("message")), SYNONYMS, ["und"]), " ").alias("tokens")]),
+    "fn_umbrella": _message(lambda: [x.append_umbrella(F.col("message"), UMBRELLA).alias("text")]),
+    "fn_spelling": _message(lambda: [x.fix_spelling(F.col("message"), [("the", "teh"), ("and", "und"), ("of", "from")]).alias("text")]),
     "fn_number": fn_number,
     "fn_prices": fn_prices,
     "fn_price_label": fn_price_label,

@@ -105,12 +105,12 @@ def gen_shop_info(s, d):
     return t.shops(s, d).select("slug", "shop_name", "city").join(top, "slug", "left").select("slug", "shop_name", "city", F.coalesce("items", F.lit(0)).alias("items"), "first_items")
 
 
-ALLOWED = x.lit_array(["PROMO BRUSHED STEEL", "STANDARD POLISHED TIN", "ECONOMY ANODIZED BRASS"])
+ALLOWED = ["PROMO BRUSHED STEEL", "STANDARD POLISHED TIN", "ECONOMY ANODIZED BRASS"]
 QUERIES = {
     "flt_item_valid": lambda s, d: _lines(s, d).select("doc_id", F.col("line").cast("int").alias("line"), valid_item(F.col("text")).alias("valid")),
     "flt_section": lambda s, d: _lines(s, d).where(section_heading(F.col("text"), ["der", "die"])).groupBy("doc_id").agg(F.count(F.lit(1)).alias("headings")),
     "flt_catalog": lambda s, d: t.items(s, d).where(F.lower("category").contains("e") & F.lower("name").contains("o")).orderBy("item_pos").limit(25).select("item_pos", "name"),
-    "prj_enrich_items": lambda s, d: enrich(t.items(s, d), ALLOWED, {"men": "green|bolt", "women": "rose|ring"}).select("item_pos", "gender", "kind"),
+    "prj_enrich_items": lambda s, d: enrich(t.items(s, d), x.lit_array(ALLOWED), {"men": "green|bolt", "women": "rose|ring"}).select("item_pos", "gender", "kind"),
     "gen_items_text": gen_items_text,
     "gen_items_table": gen_items_table,
     "gen_metadata": lambda s, d: metadata(t.read(s, d, "documents")),

@@ -81,9 +81,9 @@ def core_faqs(shops: DataFrame, core: list[tuple[str, str, str | None]]) -> Data
     return out.select("slug", "f.pos", x.fill_placeholders(F.col("f.q"), values, {}).alias("q"), x.fill_placeholders(F.col("f.a"), values, {}).alias("a"))
 
 
-def type_packs(types: DataFrame, universal: DataFrame, specific: DataFrame, most: int = 6) -> DataFrame:
+def type_packs(types: list[str], universal: DataFrame, specific: DataFrame, most: int = 6) -> DataFrame:
     """Every shop type's FAQs: its own and the universal ones, with at most ``most`` distinct variants."""
-    rows = types.crossJoin(F.broadcast(universal)).unionByName(types.join(specific, "shop_type"))
+    rows = universal.withColumn("shop_type", F.explode(x.lit_array(types))).unionByName(specific.where(F.col("shop_type").isin(types)))
     return rows.withColumn("variants", F.slice(F.array_distinct("variants"), 1, most))
 
 
@@ -132,14 +132,14 @@ def _upsert(s, d):
 
 def _variants(s, d):
     spark = s
-    templates = spark.range(3).select(F.col("id").cast("int").alias("template_pos"), F.element_at(x.lit_array(VARIANTS), (F.col("id") + 1).cast("int")).alias("template"))
-    items = t.items(s, d).where("item_pos % 2 = 0").select("slug", F.col("item_pos").alias("faq_pos"), "name", F.lit("c").alias("category"))
+    templates = spark.range(6).select((F.col("id") % 3).cast("int").alias("template_pos"), F.element_at(x.lit_array(VARIANTS), (F.col("id") % 3 + 1).cast("int")).alias("template"), F.when(F.col("id") < 3, "c").otherwise("d").alias("category"))
+    items = t.items(s, d).where("item_pos % 2 = 0").select("slug", F.col("item_pos").alias("faq_pos"), "name", F.when(F.col("size") % 2 == 0, "c").otherwise("d").alias("category"))
     existing = t.items(s, d).where("item_pos % 7 = 0").select("slug", F.concat(F.lit("got "), "name", F.lit("?")).alias("question"))
-    return expand_variants(items, templates.withColumn("category", F.lit("c")), existing)
+    return expand_variants(items, templates, existing)
 
 
 def _packs(s, d):
-    types = s.range(4).select(F.concat(F.lit("type"), F.col("id").cast("string")).alias("shop_type"))
+    types = [f"type{n}" for n in range(4)]
     b = _templates(s, d, 0).select("shop_type", "pos", F.array("question", F.lower("question"), "question").alias("variants"))
     return type_packs(types, b.where("pos < 5").drop("shop_type"), b.where("pos >= 5")).select("shop_type", "pos", F.size("variants").alias("n"), F.array_join("variants", "|").alias("variants"))
 

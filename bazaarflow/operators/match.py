@@ -89,7 +89,7 @@ def vector_top(queries: DataFrame, rows: DataFrame, key: str, n: int = 1, least:
     the parts' tops are merged: no key is gathered in one task.
     """
     spread = rows.withColumn("part", F.pmod(F.xxhash64("r"), F.lit(parts)))
-    asked = queries.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).cast("long"))
+    asked = queries.withColumn("part", F.explode(F.expr(f"sequence(0L, {parts - 1}L)")))
 
     def block(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(r):

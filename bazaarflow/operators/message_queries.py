@@ -36,11 +36,9 @@ def _first(table, default: str) -> str:
     return "case " + " ".join(f"when {_any(v)} then '{k}'" for k, v in table.items()) + f" else {default} end"
 
 
-def _simple(**columns):
-    return lambda s, d: t.messages(s, d).select("msg_id", *[c.alias(n) for n, c in columns.items()])
-
-
-MSG = F.col("message")
+def _simple(columns):
+    """Columns are made when the query is asked for: they need a session."""
+    return lambda s, d: t.messages(s, d).select("msg_id", *[c.alias(n) for n, c in columns().items()])
 
 
 def config(s, d):
@@ -76,44 +74,44 @@ def cls_model_sentiment(s, d):
 
 
 def cls_item_ask(s, d):
-    return t.messages(s, d).select("msg_id", m.item_ask(MSG, ["the", "und"], ["of"], "(thing|heit)").alias("a")).select("msg_id", "a.*")
+    return t.messages(s, d).select("msg_id", m.item_ask(F.col("message"), ["the", "und"], ["of"], "(thing|heit)").alias("a")).select("msg_id", "a.*")
 
 
 def _listed(column, c):
-    return lambda s, d: t.messages(s, d).join(F.broadcast(config(s, d)), "slug", "left").select("msg_id", c.alias(column))
+    return lambda s, d: t.messages(s, d).join(F.broadcast(config(s, d)), "slug", "left").select("msg_id", c().alias(column))
 
 
 def win_sticky_lang(s, d):
-    pref = F.when(F.lower(MSG).rlike("anou"), "english").when(F.lower(MSG).rlike("enver|thoring"), "manglish")
-    found = F.when(m.has_signal(MSG, ["und", "of"]), "manglish").otherwise("english")
+    pref = F.when(F.lower(F.col("message")).rlike("anou"), "english").when(F.lower(F.col("message")).rlike("enver|thoring"), "manglish")
+    found = F.when(m.has_signal(F.col("message"), ["und", "of"]), "manglish").otherwise("english")
     return m.sticky_language(t.messages(s, d), pref, found).select("msg_id", "held", "lang")
 
 
 def grd_unknown_item(s, d):
     asks = t.messages(s, d)
-    vocabulary = asks.where("turn > 2").select("slug", F.explode(x.content_words(MSG, [], 4)).alias("term")).distinct()
+    vocabulary = asks.where("turn > 2").select("slug", F.explode(x.content_words(F.col("message"), [], 4)).alias("term")).distinct()
     return m.unknown_items(asks.where("turn <= 2"), vocabulary, ["the", "and"], ratio.spelling_variant)
 
 
 QUERIES = {
-    "cls_manglish": _simple(manglish=m.is_manglish(MSG, SIGNALS, PARTICLES, SWITCH)),
-    "cls_manglish_lite": _simple(lite=m.has_signal(MSG, SIGNALS)),
-    "cls_lexicon_sentiment": lambda s, d: t.messages(s, d).select("msg_id", m.lexicon_sentiment(MSG, LEXICON).alias("x")).select("msg_id", "x.*"),
+    "cls_manglish": _simple(lambda: dict(manglish=m.is_manglish(F.col("message"), SIGNALS, PARTICLES, SWITCH))),
+    "cls_manglish_lite": _simple(lambda: dict(lite=m.has_signal(F.col("message"), SIGNALS))),
+    "cls_lexicon_sentiment": lambda s, d: t.messages(s, d).select("msg_id", m.lexicon_sentiment(F.col("message"), LEXICON).alias("x")).select("msg_id", "x.*"),
     "cls_model_sentiment": cls_model_sentiment,
-    "cls_intent": _simple(intent=m.intent(MSG, INTENTS)),
-    "cls_broad": _simple(broad=m.is_broad(MSG, "(onthe|heit) (of|und)", BROAD)),
+    "cls_intent": _simple(lambda: dict(intent=m.intent(F.col("message"), INTENTS))),
+    "cls_broad": _simple(lambda: dict(broad=m.is_broad(F.col("message"), "(onthe|heit) (of|und)", BROAD))),
     "cls_item_ask": cls_item_ask,
-    "cls_full_question": _simple(full=m.full_question(MSG, STARTERS, ["of", "und"], STEMS)),
+    "cls_full_question": _simple(lambda: dict(full=m.full_question(F.col("message"), STARTERS, ["of", "und"], STEMS))),
     "grd_garbage": lambda s, d: t.read(s, d, "documents").select("doc_id", m.is_garbage(F.substring("text", 1, 6)).alias("garbage")),
-    "grd_social": _simple(**{g: F.lower(MSG).rlike(PATTERNS[g]) for g in ("greeting", "compliment", "confirmation", "small_talk", "lang_switch")}),
-    "grd_branch": _simple(branch=F.lower(MSG).rlike(PATTERNS["branch"]), city=m.asked_city(MSG, r"(?:in|of) (\w{4,})", ["that", "this"])),
-    "grd_location": _simple(location=F.lower(MSG).rlike(PATTERNS["location"])),
-    "grd_booking": _simple(booking=F.lower(MSG).rlike(PATTERNS["booking"])),
-    "grd_offer": _simple(offer=F.lower(MSG).rlike(PATTERNS["offer"])),
-    "grd_order_status": _simple(order_status=F.lower(MSG).rlike(PATTERNS["order_status"])),
-    "grd_off_domain": _listed("off_domain", m.contains_listed(MSG, F.col("off_domain"))),
-    "grd_blocked": _listed("blocked", m.contains_listed(MSG, F.col("blocked"))),
-    "grd_escalate": _listed("escalate", F.coalesce(F.arrays_overlap(m.hit_topics(MSG, TOPICS), F.col("active")), F.lit(False))),
+    "grd_social": _simple(lambda: {g: F.lower(F.col("message")).rlike(PATTERNS[g]) for g in ("greeting", "compliment", "confirmation", "small_talk", "lang_switch")}),
+    "grd_branch": _simple(lambda: dict(branch=F.lower(F.col("message")).rlike(PATTERNS["branch"]), city=m.asked_city(F.col("message"), r"(?:in|of) (\w{4,})", ["that", "this"]))),
+    "grd_location": _simple(lambda: dict(location=F.lower(F.col("message")).rlike(PATTERNS["location"]))),
+    "grd_booking": _simple(lambda: dict(booking=F.lower(F.col("message")).rlike(PATTERNS["booking"]))),
+    "grd_offer": _simple(lambda: dict(offer=F.lower(F.col("message")).rlike(PATTERNS["offer"]))),
+    "grd_order_status": _simple(lambda: dict(order_status=F.lower(F.col("message")).rlike(PATTERNS["order_status"]))),
+    "grd_off_domain": _listed("off_domain", lambda: m.contains_listed(F.col("message"), F.col("off_domain"))),
+    "grd_blocked": _listed("blocked", lambda: m.contains_listed(F.col("message"), F.col("blocked"))),
+    "grd_escalate": _listed("escalate", lambda: F.coalesce(F.arrays_overlap(m.hit_topics(F.col("message"), TOPICS), F.col("active")), F.lit(False))),
     "grd_unknown_item": grd_unknown_item,
     "rte_pipeline": rte_pipeline,
     "rte_reply": rte_reply,

@@ -6,8 +6,10 @@ from __future__ import annotations
 def modules() -> list:
     from ..functions import queries as functions
     from ..operators import analytics, catalog, faq, match, message_queries
+    from ..sources import queries as sources
+    from ..streaming import queries as streaming
 
-    return [functions, message_queries, analytics, catalog, faq, match]
+    return [functions, message_queries, analytics, catalog, faq, match, sources, streaming]
 
 
 def queries() -> dict:
