@@ -168,7 +168,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
     """``docs`` without the rows that hold a benchmark window; columns stay as they are."""
     bad = contamination(docs, benchmark, id_col=id_col, text_col=text_col, **options).where("contaminated")
     bad = materialise(bad.select(F.col("doc_id").alias("_bad_id"), F.col("text_md5").alias("_bad_md5")).distinct(), "leak-bad")
-    same = docs[id_col].cast("long").eqNullSafe(F.col("_bad_id")) & (F.md5(F.coalesce(docs[text_col], F.lit(""))) == F.col("_bad_md5"))
+    same = docs[id_col].cast("long").eqNullSafe(bad["_bad_id"]) & (F.md5(F.coalesce(docs[text_col], F.lit(""))) == bad["_bad_md5"])
     return docs.join(sized(bad), same, "left_anti")
 
 

@@ -63,25 +63,10 @@ def least_exponent(holds) -> float:
     return high
 
 
-def draws(docs: DataFrame, max_repetition: float | None = 1.5, target_entropy: float | None = None, budget: int | None = None, block_docs: int = BLOCK_DOCS, seed: int = 1, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """``docs`` with each row repeated as often as the mixture reads it, and the columns mix_*.
-
-    A source's weight is its share of tokens to an exponent from 0 to 1, normalised. Bisection finds the least exponent
-    (the flattest mixture) whose most repeated source stays within ``max_repetition``, or, with ``target_entropy``
-    (a part of that of equal weights), the exponent that meets it; of two limits the stricter holds. ``budget`` is in
-    tokens; by default it is the least that reads every document at least once. A source's part of it is whole passes
-    over its documents and a last, partial one: documents are dealt into blocks of about ``block_docs`` by the hash of their
-    id, blocks follow in an order drawn anew for each pass, and the last pass ends where the next document (or the
-    next few with one hash) would exceed the budget. Only block sums and one block a source are looked at for that, so
-    no source is gathered and texts are not shuffled.
-
-    mix_source, mix_tokens, mix_weight, mix_passes (budget over tokens of the source), mix_pass (0, 1, ..), mix_block and
-    mix_order (sort by pass, order and id to read a source). A null source is a source. Sources without tokens have weight 0 and
-    are read once if there is no budget. Null ids share a place in the order; repeated rows are drawn together. Columns of
-    ``docs`` stay; an empty table gives none.
-    """
+def _draw(docs: DataFrame, max_repetition: float | None = 1.5, target_entropy: float | None = None, budget: int | None = None, block_docs: int = BLOCK_DOCS, seed: int = 1, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The rows of ``docs`` as a struct ``d``, as often as they are drawn, with the columns mix_*."""
     source = F.coalesce(F.concat(F.lit("s:"), F.col(source_col).cast("string")), F.lit("null"))
-    marked = docs.withColumn("mix_source", source).withColumn("mix_tokens", _token_count(F.col(text_col))).withColumn("_hash", F.xxhash64(F.col(id_col), F.lit(seed)))
+    marked = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("d"), source.alias("mix_source"), _token_count(F.col(text_col)).alias("mix_tokens"), F.xxhash64(F.col(id_col), F.lit(seed)).alias("_hash"))
     rows = materialise(marked.select("mix_source", "mix_tokens", "_hash"), "mix-rows")
     totals = materialise(rows.groupBy("mix_source").agg(F.sum("mix_tokens").alias("tokens"), F.count(F.lit(1)).alias("docs")), "mix-totals")
     spoken = totals.where("tokens > 0")
@@ -126,7 +111,34 @@ def draws(docs: DataFrame, max_repetition: float | None = 1.5, target_entropy: f
     passes = F.col("full") + more.cast("long")
     out = out.withColumn("_passes", passes).where("_passes > 0").withColumn("mix_pass", F.explode(F.expr("sequence(0L, _passes - 1)")))
     out = out.withColumn("mix_order", order(F.col("mix_pass")))
-    return out.select(*[docs[c] for c in docs.columns], "mix_source", "mix_tokens", F.col("weight").alias("mix_weight"), "mix_passes", "mix_pass", "mix_block", "mix_order")
+    return out.select("d", "mix_source", "mix_tokens", F.col("weight").alias("mix_weight"), "mix_passes", "mix_pass", "mix_block", "mix_order")
+
+
+def draws(docs: DataFrame, **options) -> DataFrame:
+    """``docs`` with each row repeated as often as the mixture reads it, and the columns mix_*.
+
+    A source's weight is its share of tokens to an exponent from 0 to 1, normalised. Bisection finds the least exponent
+    (the flattest mixture) whose most repeated source stays within ``max_repetition``, or, with ``target_entropy``
+    (a part of that of equal weights), the exponent that meets it; of two limits the stricter holds. ``budget`` is in
+    tokens; by default it is the least that reads every document at least once. A source's part of it is whole passes
+    over its documents and a last, partial one: documents are dealt into blocks of about ``block_docs`` by the hash of their
+    id, blocks follow in an order drawn anew for each pass, and the last pass ends where the next document (or the
+    next few with one hash) would exceed the budget. Only block sums and one block a source are looked at for that, so
+    no source is gathered and texts are not shuffled.
+
+    mix_source, mix_tokens, mix_weight, mix_passes (budget over tokens of the source), mix_pass (0, 1, ..), mix_block and
+    mix_order (sort by pass, order and id to read a source). A null source is a source. Sources without tokens have weight 0 and
+    are read once if there is no budget. Null ids share a place in the order; repeated rows are drawn together. Columns of
+    ``docs`` stay, and none may be named like those added; an empty table gives none.
+    """
+    if any(c.lower().startswith("mix_") for c in docs.columns):
+        raise ValueError("columns named mix_* would clash; use mixed()")
+    return _draw(docs, **options).select("d.*", "mix_source", "mix_tokens", "mix_weight", "mix_passes", "mix_pass", "mix_block", "mix_order")
+
+
+def mixed(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` as ``draws`` repeats them, with their own columns only, whatever these are named."""
+    return _draw(docs, **options).select("d.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

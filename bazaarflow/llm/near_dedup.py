@@ -177,7 +177,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` without the rows whose component keeps another id; columns and row order within files stay."""
     gone = materialise(near_duplicates(docs, id_col, text_col, **options).where("not kept").select(F.col("doc_id").alias("_gone")).distinct(), "near-gone")
-    return docs.join(sized(gone), docs[id_col].cast("long") == F.col("_gone"), "left_anti")
+    return docs.join(sized(gone), docs[id_col].cast("long") == gone["_gone"], "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

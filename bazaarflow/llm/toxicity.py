@@ -27,6 +27,8 @@ _SUSPECT = re.compile("[" + "".join(HOMOGLYPHS) + "0134578@$!|！-～" + INVISIB
 _FOLD = str.maketrans({**HOMOGLYPHS, **DIGITS, **{chr(0xFEE0 + i): chr(i).lower() for i in range(0x21, 0x7F)}, **dict.fromkeys(INVISIBLE, "")})
 _FOLD_L = str.maketrans({**HOMOGLYPHS, **DIGITS, **ONE_AS_L, **{chr(0xFEE0 + i): chr(i).lower() for i in range(0x21, 0x7F)}, **dict.fromkeys(INVISIBLE, "")})
 _EDGE = ".,;:!?\"'()[]{}<>*#%&-_/\\|@$~`^+="
+#: At a word's beginning these stand for letters.
+_EDGE_LEFT = "".join(c for c in _EDGE if c not in "@$|")
 _WORD = re.compile(r"[^\W\d_]+")
 
 #: Lexicon entries begin a word: with so many first letters, or a whole word.
@@ -44,7 +46,7 @@ def folded_words(text: str) -> list[str]:
     out = []
     for w in text.split():
         if _SUSPECT.search(w) and any(c.isalpha() for c in w):
-            w = w.strip(_EDGE)
+            w = w.lstrip(_EDGE_LEFT).rstrip(_EDGE)
             a, b = w.translate(_FOLD), w.translate(_FOLD_L)
             out.append(a)
             if a != b:
@@ -182,7 +184,7 @@ def _score(sent, cap: float):
             f = np.array([features(matcher, t, cap) for t in batch.column(1).to_pylist()], float).reshape(-1, 2)
             z = weights[0] + f @ weights[1:]
             score = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score), pa.array((score >= 0.5).astype(np.int32)), *batch.columns[2:]], ["doc_id", "score", "predicted", *batch.schema.names[2:]])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], ["doc_id", "score", "predicted"])
 
     return run
 
@@ -225,8 +227,8 @@ def learn(docs: DataFrame, labels: DataFrame, cap: float = 8.0, false_alarms: fl
 
 
 @in_small_batches
-def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", cap: float = 8.0, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Toxicity of each row's whole text: doc_id, score (0 to 1), predicted (1 from 0.5 on), and the columns of ``keep``.
+def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", cap: float = 8.0) -> DataFrame:
+    """Toxicity of each row's whole text: doc_id, score (0 to 1), predicted (1 from 0.5 on).
 
     ``labels`` (doc_id, toxic) are those to learn from. Text is lower-cased and words with look-alike letters, digits or signs
     are folded before an Aho-Corasick pass finds lexicon words and stems at word starts outside exception phrases. The
@@ -235,10 +237,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     """
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     model = learn(source, labels, cap)
-    extra = [docs[c].alias(f"_{c}") for c in keep]
-    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"), *extra)
-    more = "".join(f", `_{c}` {dict(docs.dtypes)[c]}" for c in keep)
-    return rows.mapInArrow(_score(docs.sparkSession.sparkContext.broadcast(model), cap), f"doc_id long, score double, predicted int{more}")
+    return source.mapInArrow(_score(docs.sparkSession.sparkContext.broadcast(model), cap), "doc_id long, score double, predicted int")
 
 
 def held_out(id_col: str = "doc_id"):
@@ -246,12 +245,10 @@ def held_out(id_col: str = "doc_id"):
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows predicted toxic; columns stay as they are. Rejected rows are found by id and text."""
-    scored = score_toxicity(docs, labels, id_col, text_col).where("predicted = 1").select(F.col("doc_id").alias("_bad")).distinct()
+    """``docs`` without the rows of an id predicted toxic; columns stay as they are, and rows without an id stay."""
+    scored = score_toxicity(docs, labels, id_col, text_col).where("predicted = 1 and doc_id is not null").select(F.col("doc_id").alias("_bad")).distinct()
     bad = materialise(scored, "toxic-bad")
-    null_bad = bad.where("_bad is null").limit(1).count() > 0
-    same = docs[id_col].cast("long").eqNullSafe(F.col("_bad")) if null_bad else docs[id_col].cast("long") == F.col("_bad")
-    return docs.join(sized(bad), same, "left_anti")
+    return docs.join(sized(bad), docs[id_col].cast("long") == bad["_bad"], "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
