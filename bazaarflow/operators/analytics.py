@@ -65,9 +65,10 @@ def specialisation(items: DataFrame, share: float = 0.8, most: int = 2) -> DataF
 
 def catalog_faqs(items: DataFrame, shown: int = 10) -> DataFrame:
     """Per category: an answer with the first items by position and how many more there are."""
-    w = Window.partitionBy("slug", "category").orderBy("item_pos")
-    rows = items.withColumn("r", F.row_number().over(w))
-    out = rows.groupBy("slug", "category").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("r") <= shown, F.struct("r", "name")))), lambda s: s["name"]), ", ").alias("names"), F.count(F.lit(1)).alias("n"))
+    keys = ["slug", "category"]
+    first = items.withColumn("r", F.row_number().over(Window.partitionBy(*keys).orderBy("item_pos"))).where(F.col("r") <= shown)  # a limit per group, kept before the shuffle
+    names = first.groupBy(*keys).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("r", "name"))), lambda s: s["name"]), ", ").alias("names"))
+    out = names.join(items.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")), keys)
     return out.select("slug", "category", F.concat(F.lit("Our "), "category", F.lit(" items: "), "names", F.when(F.col("n") > shown, F.concat(F.lit(" and "), (F.col("n") - shown).cast("string"), F.lit(" more"))).otherwise("")).alias("answer"))
 
 
@@ -77,11 +78,16 @@ def fill_down(rows: DataFrame, key: str, order: list[str], heading, default: str
     return rows.withColumn("category", F.coalesce(F.last(heading, True).over(w), F.lit(default)))
 
 
-def within_budget(pairs: DataFrame, key: str, order: str, budget: int, chars: int = 4) -> DataFrame:
-    """Rows until the running length over ``chars`` exceeds the budget; the first beyond is marked."""
-    w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    tokens = F.sum(F.floor((F.length("q") + F.length("a")) / chars)).over(w)
-    return pairs.withColumn("running", tokens).withColumn("fits", F.col("running") <= budget)
+def within_budget(pairs: DataFrame, key: str, order: str, budget: int, chars: int = 4, bucket: int = 100_000) -> DataFrame:
+    """Running length over ``chars`` in ``order`` (a number), and whether it keeps to the budget.
+
+    Sums of ranges of the order come first and give each range its start, so a large key is not one task.
+    """
+    rows = pairs.withColumn("_n", F.floor((F.length("q") + F.length("a")) / chars)).withColumn("_b", F.floor(F.col(order) / bucket))
+    sums = rows.groupBy(key, "_b").agg(F.sum("_n").alias("_s"))
+    start = sums.withColumn("_start", F.coalesce(F.sum("_s").over(Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_s")
+    local = F.sum("_n").over(Window.partitionBy(key, "_b").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn("_l", local).join(start, [key, "_b"]).withColumn("running", F.col("_start") + F.col("_l")).withColumn("fits", F.col("running") <= budget).drop("_n", "_b", "_l", "_start")
 
 
 def queue(log: DataFrame, condition, n: int | None = None) -> DataFrame:

@@ -101,7 +101,8 @@ def gen_items_table(s, d):
 def gen_shop_info(s, d):
     """One row per shop: name, city, number of items, first items."""
     w = Window.partitionBy("slug").orderBy("item_pos")
-    top = t.items(s, d).withColumn("r", F.row_number().over(w)).groupBy("slug").agg(F.count(F.lit(1)).alias("items"), F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("r") <= 5, F.struct("r", "name")))), lambda v: v["name"]), "|").alias("first_items"))
+    few = t.items(s, d).withColumn("r", F.row_number().over(w)).where("r <= 5").groupBy("slug").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("r", "name"))), lambda v: v["name"]), "|").alias("first_items"))
+    top = t.items(s, d).groupBy("slug").agg(F.count(F.lit(1)).alias("items")).join(few, "slug")
     return t.shops(s, d).select("slug", "shop_name", "city").join(top, "slug", "left").select("slug", "shop_name", "city", F.coalesce("items", F.lit(0)).alias("items"), "first_items")
 
 

@@ -61,8 +61,8 @@ def expand_variants(faqs: DataFrame, templates: DataFrame, existing: DataFrame)
     """
     made = faqs.join(F.broadcast(templates), "category").withColumn("variant", F.replace("template", F.lit("{name}"), F.col("name"))).withColumn("v", F.lower("variant"))
     fresh = made.join(existing.select("slug", F.lower("question").alias("v")).distinct(), ["slug", "v"], "left_anti")
-    owner = Window.partitionBy("slug", "v")
-    return fresh.withColumn("owner", F.min("faq_pos").over(owner)).where("faq_pos = owner").select("slug", "faq_pos", "template_pos", "variant")
+    owner = fresh.groupBy("slug", "v").agg(F.min("faq_pos").alias("owner"))
+    return fresh.join(owner, ["slug", "v"]).where("faq_pos = owner").select("slug", "faq_pos", "template_pos", "variant")
 
 
 def item_faqs(items: DataFrame) -> DataFrame:
@@ -104,6 +104,12 @@ def amenities(c: Column, topics: list[tuple[str, str]]) -> Column:
     return out.otherwise(c)
 
 
+def or_whole_pool(pool: DataFrame, wanted: Column) -> DataFrame:
+    """Rows of a shop's pool that are wanted, or all of them where none is."""
+    found = pool.groupBy("slug").agg(F.bool_or(wanted).alias("_any"))
+    return pool.withColumn("_f", wanted).join(found, "slug").where("_f or not _any").drop("_f", "_any")
+
+
 def _templates(s, d, shift: int):
     """Question templates by shop type and category from the item names of brands."""
     return t.read(s, d, "benchmark").selectExpr(f"concat('type', (item_id + {shift}) % 4) as shop_type", "concat('cat', item_id % 7) as category", "item_id as pos", f"substring(text, 1, {20 + shift}) as question")
@@ -172,7 +178,7 @@ QUERIES = {
     "prj_category": lambda s, d: _rows(s, d).select("slug", "pos", x.first_of(F.col("q"), {"delivery": ["thea", "enver"], "price": ["thon"]}, "general").alias("category")),
     "flt_clean_ml": lambda s, d: _rows(s, d).select("slug", "pos", F.coalesce(F.when(~F.lower("a").rlike("thon|heit"), F.col("a")), F.when(~F.lower("q").rlike("thea"), F.col("q"))).alias("a_ml")),
     "flt_shop_type": lambda s, d: _rows(s, d).withColumn("types", F.when(F.col("pos") % 3 == 0, x.lit_array(["all"])).when(F.col("pos") % 3 == 1, x.lit_array(["bakery", "salon"]))).where("types is null or size(types) = 0 or array_contains(types, 'all') or array_contains(types, 'salon')").select("slug", "pos"),
-    "flt_intent": lambda s, d: _rows(s, d).withColumn("f", F.lower("q").contains("thea")).withColumn("any", F.max("f").over(Window.partitionBy("slug"))).where("f or not any").select("slug", "pos"),
+    "flt_intent": lambda s, d: or_whole_pool(_rows(s, d), F.lower("q").contains("thea")).select("slug", "pos"),
     "val_upload": lambda s, d: t.items(s, d).select("item_pos", F.when(F.length("name") < 8, "name too short").when(F.col("price") > 1500, "price").otherwise("ok").alias("reason")),
     "snk_log": lambda s, d: t.faqs(s, d).select("faq_id", F.substring("a", 1, 300).alias("reply")),
 }
