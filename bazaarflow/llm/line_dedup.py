@@ -96,6 +96,8 @@ def _sets(shingle: int):
                 lines = text.encode().lower().split(b"\n")
                 for w in wanted:
                     s = lines[w["line"]]
+                    if np.uint64(xxhash.xxh3_64_intdigest(s.strip())).astype(np.int64) != w["node"]:
+                        continue  # another row of the same id
                     root.append(w["root"])
                     node.append(w["node"])
                     blocks.append(w["blocks"])
@@ -113,7 +115,8 @@ def fuzzy_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ``width`` MinHash values over shingles of ``shingle`` bytes are candidates; a band's lines hang on its smallest node, and
     the components of that are compared pair by pair, in blocks, on full shingle sets: Jaccard of ``percent`` links. A
     pair of 80 % is missed with a chance of 0.002. Of each component the first line by (doc_id, row, line) is kept.
-    Lines shorter than a shingle, empty ones too, are only compared as equal, and empty lines are all kept.
+    Lines shorter than a shingle, empty ones too, are only compared as equal, and empty lines are all kept. Lines
+    that occur only in rows without an id are only compared as equal, too.
     """
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     lines = materialise(source.mapInArrow(_lines(shingle, bands, width), _LINES), "line-rows")

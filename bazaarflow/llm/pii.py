@@ -16,7 +16,8 @@ from .common import in_small_batches
 KINDS = ("email", "ip", "card", "phone")
 #: Words that one entity may span.
 MAX_WORDS = 6
-#: Documents from which the field learns at most (those of the lowest hash); every document is searched.
+#: The field learns from a sample by hash of about five times as many documents, and from at most four times as many runs
+#: of words in it; every document is searched.
 TRAINING_DOCS = 3000
 
 # A digit before would have begun the same match earlier, so these starts lose nothing and long digit runs stay linear.
@@ -255,13 +256,15 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Base spans are the fixed patterns' tested matches, and n_email, n_ip, n_card, n_phone and base_sha256 are of these. The
     semi-Markov field adds spans that the patterns miss, such as a card number right after a phone number: over each run
     of telling words it chooses the best segmentation into entities of at most ``MAX_WORDS`` words and others. It
-    learns from the base spans in at most ``training_docs`` documents with digits or at signs (a fit on a bounded sample).
+    learns from the base spans in a sample bounded by ``training_docs``.
 
     Returns doc_id, the counts, base_sha256 and spans (kind:start:end in code points, end exclusive). Null text is empty: no
     spans. Repeated rows give the same; other columns are ignored; an empty table gives none.
     """
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    sample = source.where(F.col("text").rlike(r"@|[0-9]{3}|\+[0-9]")).select("text", F.xxhash64("doc_id", "text").alias("h")).where("length(text) < 100000").orderBy("h").limit(training_docs).select("text")
+    share = min(1.0, 5 * training_docs / max(1, source.count()))
+    sample = source.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) < int(share * 1_000_000) + (share == 1.0))
+    sample = sample.where(F.col("text").rlike(r"@|[0-9]{3}|\+[0-9]") & (F.length("text") < 100_000)).select("text")
     import pickle
 
     runs = [pickle.loads(r[0]) for r in sample.mapInArrow(_examples, "example binary").collect()]
