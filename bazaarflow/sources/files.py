@@ -13,7 +13,8 @@ LISTS = ("faqs", "questions", "items", "data")
 
 
 def _slug(path: F.Column) -> F.Column:
-    return F.regexp_extract(path, r"([^/]+)/[^/]+$", 1)
+    """The folder that holds the file, without a partition's name."""
+    return F.regexp_extract(path, r"(?:[^/=]*=)?([^/=]+)/[^/]+$", 1)
 
 
 def read_faq_packs(spark: SparkSession, path: str, types: dict[str, str] | None = None) -> DataFrame:

@@ -24,6 +24,24 @@ def src_faq(s, d):
     return files.read_faq_packs(s, f"{path}/*/*/").select("question", "answer", "category")
 
 
+def src_items(s, d):
+    """Item lists of the shops in packs, a JSON array a file; the shop is the folder."""
+    path = _path(s, "items")
+    entry = F.to_json(F.struct("name", "category", "price"))
+    packs = t.items(s, d).groupBy(F.col("slug").alias("shop"), F.floor(F.col("item_pos") / 100_000).alias("n")).agg(F.array_join(F.collect_list(entry), ", ").alias("entries"))
+    packs.select(F.concat(F.lit("["), "entries", F.lit("]")).alias("value"), "n", "shop").write.partitionBy("n", "shop").text(path)
+    rows = files.read_items(s, f"{path}/*/*/")
+    return rows.groupBy("slug", "category").agg(F.count(F.lit(1)).alias("items"), F.sum("price").alias("total"))
+
+
+def src_config(s, d):
+    """Nested settings of each shop; missing ones come from the defaults."""
+    path = _path(s, "config")
+    c = F.struct("shop_name", F.when(F.col("shop_pos") % 2 == 0, F.col("city")).alias("city"), F.struct(F.lit("1").alias("phone")).alias("contact"))
+    t.shops(s, d).select(F.to_json(c).alias("value"), F.col("slug").alias("shop")).write.partitionBy("shop").text(path)
+    return files.read_configs(s, f"{path}/*/", {"city": "somewhere", "shop_type": "general"}).select("slug", "shop_name", "city", "shop_type", "contact.phone")
+
+
 def src_log(s, d):
     path = _path(s, "log")
     names = [c.split()[0] for c in files.LOG.split(", ")]
@@ -40,9 +58,11 @@ def snk_faq(s, d):
     return files.read_latest(s, path)
 
 
-QUERIES = {"src_faq": src_faq, "src_log": src_log, "snk_faq": snk_faq}
+QUERIES = {"src_faq": src_faq, "src_items": src_items, "src_config": src_config, "src_log": src_log, "snk_faq": snk_faq}
 SQL = {
     "src_faq": f"select q as question, a as answer, 'c' as category from {t.FAQS}",
+    "src_items": f"select slug, category, count(*) as items, cast(sum(price) as bigint) as total from {t.ITEMS} group by slug, category",
+    "src_config": f"select slug, shop_name, case when shop_pos % 2 = 0 then city else 'somewhere' end as city, 'general' as shop_type, '1' as phone from {t.SHOPS}",
     "src_log": f"select source, lang, count(*) as n, count(*) as quoted from {t.LOG} group by source, lang",
     "snk_faq": f"select slug, faq_id, a || ' (2)' as a from {t.FAQS}",
 }
