@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import hashing as H
@@ -121,7 +121,8 @@ def fuzzy_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     lines = materialise(source.mapInArrow(_lines(shingle, bands, width), _LINES), "line-rows")
     posted = lines.where("size(bands) > 0").select("node", F.explode("bands").alias("band"))
-    stars = posted.withColumn("first", F.min("node").over(Window.partitionBy("band"))).where("node <> first")
+    shared = materialise(posted.groupBy("band").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first < last").select("band", "first"), "line-bands")
+    stars = posted.join(sized(shared), "band").where("node <> first")
     clusters = components(stars.select(F.col("first").alias("a"), F.col("node").alias("b")), "line-candidates")
     placed = lines.where("size(bands) > 0").join(sized(clusters), "node").groupBy("node", "root").agg(F.min(F.struct("row", "doc_id", "line", "n_shingles")).alias("at"))
     placed = materialise(placed.select("node", "root", "at.*"), "line-members")
