@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import hashing as H
-from .common import components, in_small_batches, materialise, sized
+from .common import components, in_small_batches, materialise, sized, small_enough
 from .near_dedup import block_pairs, exact_forest
 
 _LINES = "row long, doc_id long, line int, node long, n_shingles int, bands array<bigint>"
@@ -128,7 +128,8 @@ def fuzzy_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     placed = materialise(placed.select("node", "root", "at.*"), "line-members")
     room = placed.groupBy("root").agg(F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(block)), F.ceil(F.sum("n_shingles") * 8 / F.lit(16 << 20))).cast("long").alias("blocks"))
     wanted = placed.join(room, "root").groupBy("doc_id").agg(F.collect_list(F.struct("line", "node", "root", "blocks", "row")).alias("wanted"))
-    full = source.join(sized(wanted, 100_000), "doc_id").select("text", F.expr("filter(wanted, w -> w.line < size(split(text, '\n')))").alias("wanted")).mapInArrow(_sets(shingle), "root long, node long, blocks long, members binary")
+    wanted = F.broadcast(wanted) if small_enough(placed) else wanted  # bounded by its lines: a document may have many
+    full = source.join(wanted, "doc_id").select("text", F.expr("filter(wanted, w -> w.line < size(split(text, '\n')))").alias("wanted")).mapInArrow(_sets(shingle), "root long, node long, blocks long, members binary")
     dealt = block_pairs(full, "root", "node", "blocks").select("group", "node", "members")
     links = dealt.repartition("group").sortWithinPartitions("group").mapInArrow(exact_forest(percent), "a long, b long")
     linked = components(links, "line-links").select("node", F.col("root").alias("component"))
