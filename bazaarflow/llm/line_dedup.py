@@ -138,7 +138,7 @@ def fuzzy_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     empty = xxhash.xxh3_64_intdigest(b"")
     empty = F.lit(empty - (1 << 64) if empty >> 63 else empty)
     first = marked.where(F.col("component") != empty).groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "row", "line")).alias("first")).where("n > 1").drop("n")
-    out = marked.join(first, "component", "left")
+    out = marked.join(sized(materialise(first, "line-first")), "component", "left")
     kept = F.col("first").isNull() | ((F.col("first.row") == F.col("row")) & (F.col("first.line") == F.col("line")))
     return out.select("row", "doc_id", "line", "component", kept.alias("kept"))
 
