@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -37,6 +40,59 @@ def token_set(a: str, b: str) -> float:
     return max(indel(sx, sy), *((indel(s, sx), indel(s, sy)) if both else (0.0,)))
 
 
+def best_token_set(asked: list[str], texts: list[str], least: float) -> list[tuple[int, float]]:
+    """For each of ``asked`` the text of the highest ``token_set`` (to four decimals, the earlier one on ties) of at least ``least``: (its position, the ratio), or (-1, 0).
+
+    Every text counts: the ratios of the common words follow from lengths, and the one subsequence is left out only where the
+    characters that both sides have bound it below the best so far.
+    """
+    words = [set(t.split()) for t in texts]
+    posts: dict[str, list[int]] = defaultdict(list)
+    for i, w in enumerate(words):
+        for v in w:
+            posts[v].append(i)
+    index = {v: np.array(p) for v, p in posts.items()}
+    n_words = np.array([len(w) for w in words], np.int64)
+    length = np.array([sum(map(len, w)) + len(w) - 1 for w in words], np.int64)
+    column: dict[str, int] = {}
+    bags = np.zeros((len(texts), 1 + len({c for w in words for v in w for c in v})), np.int64)
+    for i, w in enumerate(words):
+        for c in " ".join(w):
+            bags[i, column.setdefault(c, len(column))] += 1
+    out = []
+    for text in asked:
+        own = set(text.split())
+        if not own or not len(texts):
+            out.append((-1, 0.0))
+            continue
+        size, bag = sum(map(len, own)) + len(own) - 1, np.zeros(bags.shape[1], np.int64)
+        for c in " ".join(own):
+            if c in column:
+                bag[column[c]] += 1
+        common, letters = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
+        for v in own:
+            if v in index:
+                common[index[v]] += 1
+                letters[index[v]] += len(v) + 1
+        some = np.maximum(letters - 1, 0)
+        score = np.where(common > 0, 200.0 * some / np.maximum(some + np.minimum(size, length), 1), 0.0)
+        score[(common > 0) & ((common == len(own)) | (common == n_words))] = 100.0
+        bound = np.where(n_words > 0, 200.0 * np.minimum(bags, bag).sum(1) / np.maximum(size + length, 1), 0.0)
+        best = max(least, score.max())
+        for i in np.argsort(-bound, kind="stable"):
+            if bound[i] < best - 1e-4:
+                break
+            if score[i] < 100.0:
+                both = " ".join(sorted(own & words[i]))
+                a, b = (f"{both} {' '.join(sorted(w))}".strip() for w in (own - words[i], words[i] - own))
+                score[i] = max(score[i], indel(a, b))
+                best = max(best, score[i])
+        score = np.floor(score * 1e4 + 0.5) / 1e4
+        i = int(score.argmax())
+        out.append((i, float(score[i])) if score[i] >= least else (-1, 0.0))
+    return out
+
+
 def token_set_ratio(a: Column, b: Column) -> Column:
     @F.pandas_udf("double")
     def run(a: pd.Series, b: pd.Series) -> pd.Series:

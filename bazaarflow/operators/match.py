@@ -69,17 +69,25 @@ def faq_f1(messages: DataFrame, faqs: DataFrame, least: float = 0.45) -> DataFra
     return top(f, "msg_id", [F.desc("score"), "faq_pos"])
 
 
-def faq_fuzzy(messages: DataFrame, faqs: DataFrame, least: float = 70.0, exact: bool = False) -> DataFrame:
-    """Best FAQ by token set ratio. Candidates share a word or its first three letters; ``exact`` compares all of a shop in the helper's batches."""
-    keys = lambda c: F.array_distinct(F.flatten(F.transform(x.words(c), lambda w: F.array(w, F.substring(w, 1, 3)))))
-    m, f = messages.select("slug", "msg_id", "message"), faqs.select("slug", "faq_pos", "q")
-    if exact:
-        pairs = m.join(f, "slug").select("msg_id", "faq_pos")
-    else:
-        pairs = m.select("slug", "msg_id", F.explode(keys(F.col("message"))).alias("k")).join(f.select("slug", "faq_pos", F.explode(keys(F.col("q"))).alias("k")), ["slug", "k"]).select("msg_id", "faq_pos").distinct()
-    texts = pairs.join(m, "msg_id").join(f.drop("slug"), "faq_pos")
-    scored = texts.select("msg_id", "faq_pos", F.round(ratio.token_set_ratio(F.lower("message"), F.lower("q")), 4).alias("score")).where(F.col("score") >= least)
-    return top(scored, "msg_id", [F.desc("score"), "faq_pos"])
+def faq_fuzzy(messages: DataFrame, faqs: DataFrame, least: float = 70.0, parts: int = 8) -> DataFrame:
+    """Best FAQ of the shop by token set ratio, by position on ties.
+
+    Near spellings need not share a word or its beginning, so each message meets all FAQs of its shop: both sides are dealt
+    to ``parts`` parts, each pair of parts is one group, and only a message's best of a group leaves it.
+    """
+    every = lambda name: F.explode(F.expr(f"sequence(0L, {parts - 1}L)")).alias(name)
+    m = messages.select("slug", "msg_id", F.lower("message").alias("text"), F.pmod(F.xxhash64("msg_id"), F.lit(parts)).alias("m_part"), every("f_part"))
+    f = faqs.select("slug", "faq_pos", F.lower("q").alias("text"), F.pmod(F.xxhash64("faq_pos"), F.lit(parts)).alias("f_part"), every("m_part"))
+
+    def block(m: pd.DataFrame, f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values("faq_pos")
+        found = ratio.best_token_set(m.text.fillna("").tolist(), f.text.fillna("").tolist(), least)
+        rows = [(i, f.faq_pos.iat[k], score) for i, (k, score) in zip(m.msg_id, found) if k >= 0]
+        return pd.DataFrame(rows, columns=["msg_id", "faq_pos", "score"]).astype({"msg_id": "int64", "faq_pos": "int64", "score": "float64"})
+
+    keys = ["slug", "m_part", "f_part"]
+    found = m.groupBy(*keys).cogroup(f.groupBy(*keys)).applyInPandas(block, "msg_id long, faq_pos long, score double")
+    return top(found, "msg_id", [F.desc("score"), "faq_pos"])
 
 
 def vector_top(queries: DataFrame, rows: DataFrame, key: str, n: int = 1, least: float = 0.0, parts: int = 8) -> DataFrame:

@@ -149,20 +149,23 @@ def sticky_language(messages: DataFrame, preference: Column, detected: Column, o
     return messages.withColumn("held", held).withColumn("lang", F.coalesce(preference, F.when(~F.coalesce(yields, F.lit(False)), held), detected))
 
 
-def unknown_items(asks: DataFrame, vocabulary: DataFrame, neutral: list[str], variant) -> DataFrame:
+def unknown_items(asks: DataFrame, vocabulary: DataFrame, neutral: list[str], variant, least: float = 65.0) -> DataFrame:
     """Asks (msg_id, slug, message) none of whose subject words the shop knows: (msg_id, unknown).
 
-    Distinct (slug, word) pairs meet the vocabulary (slug, term) on the first four letters (a shared stem) or on the first
-    letter (then ``variant`` decides on a spelling variant); a word that a term contains is looked up by its first
-    letters only through those keys. No pair without a common key is made.
+    A word is known if it lies anywhere inside a term, if it holds a term of four letters or more and begins with that
+    term's first four, or if ``variant`` calls it a spelling variant of one. Distinct (slug, word) pairs meet the vocabulary
+    (slug, term) on any three successive letters of the term, on the first four letters, and on the first letter with
+    lengths that allow a ratio of ``least``. No pair without a common key is made.
     """
     tokens = asks.select("msg_id", "slug", F.explode(F.array_distinct(x.content_words(F.col("message"), neutral))).alias("word"))
     words = tokens.select("slug", "word").distinct()
-    v = vocabulary.select("slug", "term", F.substring("term", 1, 4).alias("stem")).distinct()
-    stemmed = words.where(F.length("word") >= 4).join(v, (words.slug == v.slug) & (F.substring("word", 1, 4) == v.stem), "left_semi")
-    exact = words.join(v, (words.slug == v.slug) & (words.word == v.term), "left_semi")
-    rest = words.join(stemmed.unionByName(exact).distinct(), ["slug", "word"], "left_anti").withColumn("k", F.substring("word", 1, 1))
-    near = rest.join(v.withColumn("k", F.substring("term", 1, 1)).where("length(term) >= 5"), ["slug", "k"]).where("abs(length(word) - length(term)) <= 4")
-    varied = near.withColumn("same", variant(F.col("word"), F.col("term"))).where("same").select("slug", "word")
-    known = stemmed.unionByName(exact).unionByName(varied).distinct().withColumn("known", F.lit(True))
+    v = vocabulary.select("slug", "term").distinct()
+    grams = v.withColumn("k", F.explode(F.expr("array_distinct(transform(sequence(1, greatest(length(term) - 2, 1)), i -> substring(term, i, 3)))")))
+    inside = words.join(grams, (words.slug == grams.slug) & (F.substring("word", 1, 3) == grams.k) & F.col("term").contains(F.col("word")), "left_semi")
+    stems = v.where(F.length("term") >= 4).withColumn("k", F.substring("term", 1, 4))
+    stemmed = words.join(stems, (words.slug == stems.slug) & (F.substring("word", 1, 4) == stems.k) & F.col("word").contains(F.col("term")), "left_semi")
+    rest = words.join(inside.unionByName(stemmed).distinct(), ["slug", "word"], "left_anti").withColumn("k", F.substring("word", 1, 1))
+    near = rest.join(v.withColumn("k", F.substring("term", 1, 1)).where("length(term) >= 5"), ["slug", "k"]).where(200.0 * F.least(F.length("word"), F.length("term")) >= least * (F.length("word") + F.length("term")))
+    varied = near.withColumn("same", variant(F.col("word"), F.col("term"), least)).where("same").select("slug", "word")
+    known = inside.unionByName(stemmed).unionByName(varied).distinct().withColumn("known", F.lit(True))
     return tokens.join(known, ["slug", "word"], "left").groupBy("msg_id").agg((~F.bool_or(F.coalesce("known", F.lit(False)))).alias("unknown"))
