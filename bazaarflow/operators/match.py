@@ -230,7 +230,7 @@ QUERIES = {
     "jn_phrase_theta": lambda s, d: phrase_items(_asks(s, d), t.items(s, d)).select("msg_id", "item_pos"),
     "jn_item_score": lambda s, d: top(item_scores(_asks(s, d), t.items(s, d), ["do", "you", "have", "or"]), "msg_id", [F.desc("score"), "item_pos"], 20),
     "jn_faq_f1": lambda s, d: faq_f1(_late(s, d), _faqs(s, d), 0.2),
-    "jn_faq_fuzzy": lambda s, d: faq_fuzzy(_late(s, d), _faqs(s, d), 40.0),
+    "jn_faq_fuzzy": lambda s, d: faq_fuzzy(_m(s, d), t.faqs(s, d), 40.0),
     "jn_faq_vector": lambda s, d: vector_top(*_vectors(s, d), "label"),
     "jn_chunk": lambda s, d: chunks_for(_late(s, d), _chunk_rows(s, d)),
     "flt_grounding": _grounding,

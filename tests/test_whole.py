@@ -5,6 +5,10 @@ import random
 from bazaarflow.functions import ratio
 from bazaarflow.operators import match
 from bazaarflow.operators import messages as m
+from bazaarflow.plans import registry
+from bazaarflow.plans import tables as t
+
+SF = "/root/testdata/sf0.001"
 
 
 def best(asked, texts, least):
@@ -33,6 +37,17 @@ def test_faq_fuzzy_without_a_common_word(spark):
     assert [tuple(x) for x in match.faq_fuzzy(asks, faqs).select("msg_id", "faq_pos", "score").collect()] == [(1, 7, 93.3333)]
 
 
+def test_registered_fuzzy_match_covers_all_messages_and_faqs(spark):
+    messages, faqs = t.messages(spark, SF).collect(), sorted(t.faqs(spark, SF).collect(), key=lambda f: f.faq_pos)
+    want = {}
+    for slug in {x.slug for x in messages}:
+        asks, own = [x for x in messages if x.slug == slug], [f for f in faqs if f.slug == slug]
+        found = best([a.message.lower() for a in asks], [f.q.lower() for f in own], 40.0)
+        want |= {a.msg_id: (own[k].faq_pos, score) for a, (k, score) in zip(asks, found) if k >= 0}
+    got = registry.queries()["jn_faq_fuzzy"](spark, SF).collect()
+    assert {x.msg_id: (x.faq_pos, x.score) for x in got} == want and len(want) > 20
+
+
 def known(word, terms):
     stem = lambda v: len(v) >= 4 and word[:4] == v[:4] and v in word
     near = lambda v: len(word) >= 5 and len(v) >= 5 and word[0] == v[0] and ratio.indel(word, v) >= 65
