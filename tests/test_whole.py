@@ -1,7 +1,9 @@
 """The whole job against brute force: cases that candidate keys, prefixes or bounds once left out."""
 
+import itertools
 import random
 
+import corpus_pipeline
 from bazaarflow.functions import ratio
 from bazaarflow.operators import match
 from bazaarflow.operators import messages as m
@@ -64,3 +66,31 @@ def test_unknown_items_against_brute_force(spark):
         spark.createDataFrame([(i, "s", w) for i, w in enumerate(asks)], "msg_id int, slug string, message string"), spark.createDataFrame([("s", v) for v in terms] + [("u", "laptop")], "slug string, term string"), [], ratio.spelling_variant
     )
     assert {x.msg_id: x.unknown for x in got.collect()} == {i: not known(w, terms) for i, w in enumerate(asks)}
+
+
+def test_pipeline_drops_near_copies_from_80_percent(spark):
+    r = random.Random(9)
+    texts = []
+    for _ in range(25):
+        base = [f"w{r.randrange(10_000)}" for _ in range(r.choice([60, 100, 150]))]
+        for _ in range(3):
+            t = list(base)
+            for k in r.sample(range(len(t)), len(t) // r.choice([40, 45, 50, 60])):
+                t[k] = f"x{r.randrange(10_000)}"
+            texts.append(" ".join(t))
+    sets = [set(zip(*[t.split()[i:] for i in range(5)])) for t in texts]
+    up, between = list(range(len(texts))), 0
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in itertools.combinations(range(len(texts)), 2):
+        both, either = len(sets[a] & sets[b]), len(sets[a] | sets[b])
+        between += 80 * either <= 100 * both < 85 * either
+        if 100 * both >= 80 * either:
+            x, y = sorted((find(a), find(b)))
+            up[y] = x
+    got = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), SF)
+    assert {x.doc_id for x in got.collect()} == {i for i in range(len(texts)) if find(i) == i} and between >= 5
