@@ -1,10 +1,12 @@
-"""License scan by patience alignment of texts with notice templates."""
+"""License scan by patience alignment of texts with notice templates, and the longest common subsequence where it falls short."""
 
 from __future__ import annotations
 
 import re
 from bisect import bisect_left
+from collections import Counter, deque
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
@@ -85,25 +87,59 @@ def align(text: list[str], template: list[str]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def shared(counts: Counter, template: Counter) -> int:
+    """Words that two texts of these counts have in common, repeats included: no alignment has more."""
+    return sum(min(n, counts[w]) for w, n in template.items())
+
+
+def nearest(words: list[str], places: list[int], template: list[str], gap: int) -> tuple[int, int, int]:
+    """Most aligned words with gaps of at most ``gap`` words of the text: (their number, first word, word after).
+
+    A row holds, for one place and each position of the template, the best alignment that ends at this place and before
+    this position: its length in the high bits, its first word in the low ones.
+    """
+    one, end = 1 << 40, (0, 0, 0)
+    at: dict[str, list[int]] = {}
+    for c, w in enumerate(template):
+        at.setdefault(w, []).append(c)
+    rows: deque[tuple[int, np.ndarray]] = deque()
+    for p in places:
+        while rows and p - rows[0][0] > gap:
+            rows.popleft()
+        before = np.max([r for _, r in rows], axis=0) if rows else np.zeros(len(template) + 1, np.int64)
+        row = np.zeros(len(template) + 1, np.int64)
+        for c in at[words[p]]:
+            v = int(before[c])
+            row[c + 1] = v = v + one if v else one | p
+            if v >> 40 > end[0]:
+                end = (v >> 40, v & (one - 1), p + 1)
+        rows.append((p, np.maximum.accumulate(row)))
+    return end
+
+
 def cover(words: list[str], template: list[str], known: frozenset, least: float) -> tuple[float, int, int] | None:
     """Best coverage of ``template`` by a passage of ``words``: (share, first word, word after), if at least ``least``.
 
     Only words of the template can align, so the others are left out first. A passage has no gap of more than half the
-    template's length between its aligned words; passages are aligned one by one.
+    template's length between its aligned words; passages that hold enough words of the template, repeats included, are
+    aligned one by one. Where unique words do not anchor all of the template, as in a passage that holds it twice, the
+    longest common subsequence with such gaps is taken if it is longer.
     """
-    need, gap = least * len(template), max(2, len(template) // 2)
+    need, gap, wanted = least * len(template) - 1e-9, max(2, len(template) // 2), Counter(template)
     places = [i for i, w in enumerate(words) if w in known]
-    best, start = None, 0
+    best, start = (0, 0, 0), 0
     for k in range(1, len(places) + 1):
         if k < len(places) and places[k] - places[k - 1] <= gap:
             continue
         part, start = places[start:k], k
-        if len(part) < need or len({words[i] for i in part}) < least * len(known):
+        if len(part) < need or shared(Counter([words[i] for i in part]), wanted) < need:
             continue
         found = align([words[i] for i in part], template)
-        if len(found) >= need and (best is None or len(found) > best[0] * len(template)):
-            best = (len(found) / len(template), part[found[0][0]], part[found[-1][0]] + 1)
-    return best
+        if len(found) > best[0]:
+            best = (len(found), part[found[0][0]], part[found[-1][0]] + 1)
+        if len(found) < len(template) and (n := nearest(words, part, template, gap))[0] > best[0]:
+            best = n
+    return (best[0] / len(template), *best[1:]) if best[0] >= need else None
 
 
 _FOUND = pa.list_(pa.struct([("license", pa.string()), ("template", pa.int32()), ("coverage", pa.float64()), ("first_word", pa.int64()), ("end_word", pa.int64())]))
@@ -111,8 +147,8 @@ _FOUND = pa.list_(pa.struct([("license", pa.string()), ("template", pa.int32()),
 
 def _scan(templates: dict[str, list[str]], least: float):
     def run(batches):
-        known = [(name, n, t, frozenset(t)) for name, texts in templates.items() for n, t in enumerate(tokens(x) for x in texts) if t]
-        words_of = {(name, n): len(t) for name, n, t, _ in known}
+        known = [(name, n, t, frozenset(t), Counter(t)) for name, texts in templates.items() for n, t in enumerate(tokens(x) for x in texts) if t]
+        words_of = {(name, n): len(t) for name, n, t, *_ in known}
 
         def size(f):
             return f["end_word"] - f["first_word"], f["coverage"] * words_of[f["license"], f["template"]]
@@ -121,10 +157,10 @@ def _scan(templates: dict[str, list[str]], least: float):
             rows, sizes = [], []
             for text in batch.column(1).to_pylist():
                 words = tokens(text or "")
-                here = set(words)
+                here = Counter(words)
                 found = []
-                for name, n, t, own in known:
-                    if len(own & here) >= least * len(own) and (c := cover(words, t, own, least)):
+                for name, n, t, own, counts in known:
+                    if shared(here, counts) >= least * len(t) - 1e-9 and (c := cover(words, t, own, least)):
                         found.append({"license": name, "template": n, "coverage": round(c[0], 6), "first_word": c[1], "end_word": c[2]})
                 rows.append([f for f in found if not any(g is not f and g["first_word"] <= f["first_word"] and f["end_word"] <= g["end_word"] and size(g) > size(f) for g in found)])
                 sizes.append(len(words))

@@ -5,6 +5,7 @@ import random
 
 import corpus_pipeline
 from bazaarflow.functions import ratio
+from bazaarflow.llm import licenses
 from bazaarflow.operators import match
 from bazaarflow.operators import messages as m
 from bazaarflow.plans import registry
@@ -94,3 +95,30 @@ def test_pipeline_drops_near_copies_from_80_percent(spark):
             up[y] = x
     got = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), SF)
     assert {x.doc_id for x in got.collect()} == {i for i in range(len(texts)) if find(i) == i} and between >= 5
+
+
+def test_nearest_alignment_by_enumeration():
+    r = random.Random(10)
+    for _ in range(300):
+        text, template, gap = r.choices("abcx", k=r.randrange(12)), r.choices("abc", k=r.randrange(1, 6)), r.randrange(1, 5)
+        best = 0
+        for n in range(1, len(template) + 1):
+            for p in itertools.combinations(range(len(text)), n):
+                if all(b - a <= gap for a, b in itertools.pairwise(p)):
+                    left = iter(template)
+                    best = max(best, n * all(text[i] in left for i in p))
+        n, first, end = licenses.nearest(text, [i for i, w in enumerate(text) if w in template], template, gap)
+        assert n == best and (not n or text[first] in template and text[end - 1] in template)
+
+
+def test_notices_twice_and_with_changed_words(spark):
+    gpl, apache = licenses.TEMPLATES["GPL-3.0"][1], licenses.TEMPLATES["Apache-2.0"][1]
+    prose = "the part of it that you may go on to read as the end of this is to be the one by the side of any"
+    changed = apache.replace("file", "work").replace("compliance", "accord")
+    four = gpl.replace("program", "thing").replace("redistribute", "share").replace("modify", "alter").replace("Foundation", "Group")
+    texts = [f"{prose} {gpl} {prose} {gpl} {prose}", f"{prose} {changed} {prose}", f"{prose} {four} {prose}", f"{prose} {apache} {apache} {prose}", prose * 9]
+    texts.append(f"{prose} {changed.replace('use', 'read')} {prose}")
+    rows = licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [list(x.licenses) for x in rows] == [["GPL-3.0"], ["Apache-2.0"], ["GPL-3.0"], ["Apache-2.0"], [], ["Apache-2.0"]]
+    assert [f.template for f in rows[5].found] == [0]  # 19 of 22 words of the long notice, but the short one is whole
+    assert [round(max(f.coverage for f in x.found), 3) for x in rows[:4]] == [1.0, 0.909, 0.905, 1.0]
