@@ -1,11 +1,12 @@
-"""Chroma audio fingerprints of media columns, and their alignment by offset histograms and bit errors."""
+"""Chroma audio fingerprints of media columns, and their alignment by bit errors at every offset."""
 
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import hashing as H
@@ -81,31 +82,66 @@ def _prints(decode):
     return run
 
 
-def _errors(most: float, overlap: int):
-    """(query, record, offset, votes, two prints) -> the part of differing bits over the overlap at that offset."""
+def _spectra(prints: list[np.ndarray], size: int) -> np.ndarray:
+    """Spectra of the 32 bits as signs over time: (frequency, recording, bit)."""
+    signs = np.zeros((len(prints), 32, size), np.float32)
+    for i, p in enumerate(prints):
+        signs[i, :, : len(p)] = 1 - 2 * ((p[None, :] >> np.arange(32)[:, None]) & 1)
+    return np.ascontiguousarray(np.fft.rfft(signs, axis=2).astype(np.complex64).transpose(2, 0, 1))
 
-    def run(batches):
-        for batch in batches:
-            out, length = [], []
-            for offset, a, b in zip(batch.column(2).to_pylist(), batch.column(3), batch.column(4)):
-                a, b = a.values.to_numpy().astype(np.uint32), b.values.to_numpy().astype(np.uint32)
-                a, b = (a[offset:], b) if offset >= 0 else (a, b[-offset:])
-                n = min(len(a), len(b))
-                length.append(n)
-                out.append(float(np.bitwise_count(a[:n] ^ b[:n]).mean() / 32) if n else 1.0)
-            found = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(length, pa.int64()), pa.array(out, pa.float64())], ["query", "record", "shift", "overlap", "errors"])
-            yield found.filter(pa.array([o <= most and n >= overlap for o, n in zip(out, length)], pa.bool_()))
 
-    return run
+def _by_length(ids, prints, cells: int):
+    """(length, ids, prints) of recordings of one length, at most ``cells`` prints at a time."""
+    prints = [np.asarray(p, np.int64) for p in prints]
+    order = np.argsort([len(p) for p in prints], kind="stable")
+    at = 0
+    while at < len(order):
+        n = len(prints[order[at]])
+        to = at
+        while to < len(order) and len(prints[order[to]]) == n and (to == at or (to - at + 1) * n <= cells):
+            to += 1
+        yield n, np.asarray(ids)[order[at:to]], [prints[i] for i in order[at:to]]
+        at = to
+
+
+def alignments(q_ids, q_prints, r_ids, r_prints, most: float, overlap: int) -> pd.DataFrame:
+    """Best offset of each (query, record) that has one: fewest bit errors, then the longest overlap, then the nearest offset.
+
+    Agreeing less differing bits at all offsets are a correlation of signs, summed over the 32 bits by one product for each frequency;
+    the sums are whole numbers, so rounding makes them exact.
+    """
+    found = []
+    for la, qs, qp in _by_length(q_ids, q_prints, 1 << 15):
+        own: dict[int, np.ndarray] = {}
+        for lb, rs, rp in _by_length(r_ids, r_prints, 1 << 14):
+            size = 1 << max(1, int(la + lb - 1).bit_length())
+            if size not in own:
+                own[size] = _spectra(qp, size)
+            sums = np.fft.irfft(np.matmul(own[size], _spectra(rp, size).transpose(0, 2, 1).conj()), size, axis=0)
+            shift = np.arange(-lb + 1, la)
+            n = np.minimum(la, lb + shift) - np.maximum(0, shift)
+            shift, n = shift[n >= overlap], n[n >= overlap]
+            if not len(n):
+                continue
+            sums = sums[shift % size]
+            s, i, j = np.nonzero(sums >= (32 * n * (1 - 2 * most) - 1)[:, None, None])
+            bits = (32 * n[s] - np.rint(sums[s, i, j]).astype(np.int64)) // 2
+            rows = pd.DataFrame({"query": qs[i], "record": rs[j], "shift": shift[s].astype(np.int32), "overlap": n[s], "errors": bits / (32 * n[s])})
+            found.append(rows[rows.errors <= most])
+    if not found:
+        return pd.DataFrame({"query": [], "record": [], "shift": [], "overlap": [], "errors": []}).astype({"query": "int64", "record": "int64", "shift": "int32", "overlap": "int64", "errors": "float64"})
+    rows = pd.concat(found)
+    rows = rows.assign(_far=rows["shift"].abs(), _less=-rows["overlap"]).sort_values(["query", "record", "errors", "_less", "_far", "shift"])
+    return rows.drop_duplicates(["query", "record"])[["query", "record", "shift", "overlap", "errors"]]
 
 
 @in_small_batches
-def align_recordings(media: DataFrame, is_query, id_col: str, media_col: str, decode, most_errors: float = MOST_ERRORS, overlap: int = LEAST_OVERLAP, votes: int = 2) -> DataFrame:
+def align_recordings(media: DataFrame, is_query, id_col: str, media_col: str, decode, most_errors: float = MOST_ERRORS, overlap: int = LEAST_OVERLAP, block: int = 2048) -> DataFrame:
     """Fingerprint every recording and align the queries with all of them.
 
     ``decode`` turns a value of ``media_col`` into mono samples at ``RATE``. Recordings of one fingerprint are a class named by its
-    smallest id, and classes are compared. Query and record classes meet where two successive packed integers agree;
-    each meeting votes for an offset, the offset with most votes of a pair is verified by its bit errors over the overlap.
+    smallest id, and classes are compared: every query class with all classes at every offset, so no pair within the bit errors
+    is lost. Queries and records are dealt to parts of about ``block`` classes, and each pair of parts is one group.
 
     Returns id, class_id, n_prints, is_query, and for queries matches: (record class, offset, overlap, errors) by class, itself
     included. Null or short media have no prints and match nothing; null ids and other columns are ignored; rows of one
@@ -115,15 +151,17 @@ def align_recordings(media: DataFrame, is_query, id_col: str, media_col: str, de
     prints = materialise(rows.mapInArrow(_prints(decode), "id long, digest string, print array<bigint>"), "chroma-prints")
     classes = prints.where("size(print) > 0").groupBy("digest").agg(F.min("id").alias("class_id"), F.max(is_query(F.col("id"))).alias("asked"), F.first("print").alias("print"))
     classes = materialise(classes, "chroma-classes")
-    posts = classes.select("class_id", "asked", F.posexplode("print").alias("at", "a"), "print").withColumn("b", F.expr("try_element_at(print, at + 2)")).where("b is not null")
-    # A held tone repeats one pair: only its first place posts, so the number of posts of a recording and a key is one.
-    posts = posts.groupBy("class_id", "asked", "a", "b").agg(F.min("at").alias("at"))
-    asked = posts.where("asked").select(F.col("class_id").alias("query"), "a", "b", F.col("at").alias("query_at"))
-    met = asked.join(posts.select(F.col("class_id").alias("record"), "a", "b", "at"), ["a", "b"])
-    counted = met.groupBy("query", "record", (F.col("query_at") - F.col("at")).alias("shift")).agg(F.count(F.lit(1)).alias("votes")).where(F.col("votes") >= votes)
-    best = counted.groupBy("query", "record").agg(F.max_by("shift", F.struct("votes", -F.abs("shift"), "shift")).alias("shift"))
-    pairs = best.join(classes.select(F.col("class_id").alias("query"), F.col("print").alias("p")), "query").join(classes.select(F.col("class_id").alias("record"), F.col("print").alias("q")), "record")
-    found = pairs.select("query", "record", "shift", "p", "q").mapInArrow(_errors(most_errors, overlap), "query long, record long, shift int, overlap long, errors double")
+    n = classes.agg(F.count(F.lit(1)).alias("all"), F.count_if("asked").alias("asked")).first()
+    r_parts, q_parts = (max(1, -(-n[k] // block)) for k in ("all", "asked"))
+    dealt = lambda parts: F.pmod(F.xxhash64("class_id"), F.lit(parts))
+    every = lambda parts: F.explode(F.expr(f"sequence(0L, {parts - 1}L)"))
+    asked = classes.where("asked").select(F.col("class_id").alias("query"), "print", dealt(q_parts).alias("q_part"), every(r_parts).alias("r_part"))
+    records = classes.select(F.col("class_id").alias("record"), "print", dealt(r_parts).alias("r_part"), every(q_parts).alias("q_part"))
+
+    def aligned(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
+        return alignments(q["query"].to_numpy(np.int64), q["print"], r["record"].to_numpy(np.int64), r["print"], most_errors, overlap)
+
+    found = asked.groupBy("q_part", "r_part").cogroup(records.groupBy("q_part", "r_part")).applyInPandas(aligned, "query long, record long, shift int, overlap long, errors double")
     matches = found.groupBy("query").agg(F.sort_array(F.collect_list(F.struct(F.col("record").alias("class_id"), "shift", "overlap", F.round("errors", 6).alias("errors")))).alias("matches"))
     out = prints.join(classes.select("digest", "class_id"), "digest", "left").join(matches, F.col("class_id") == F.col("query"), "left")
     asks = is_query(F.col("id"))
