@@ -15,6 +15,7 @@ def test_entry_without_llm(tmp_path, pipeline):
     """The other queries are listed whether or not ``corpus_pipeline.py`` still lies there."""
     copy = tmp_path / "repo"
     shutil.copytree(REPO, copy, ignore=shutil.ignore_patterns(".git", "llm", "__pycache__", "*.parquet", *([] if pipeline else ["corpus_pipeline.py"])))
+    (copy / "bazaarflow/llm/__pycache__").mkdir(parents=True)
     code = "import __spark_entry__ as e; q = e.queries(); print(sum(n.startswith('op') or n == 'pipeline' for n in q), len(q), set(e.oracle_sql()) <= set(q))"
     done = subprocess.run([sys.executable, "-B", "-c", code], cwd=copy, capture_output=True, text=True, timeout=120)
     assert done.returncode == 0, done.stderr
