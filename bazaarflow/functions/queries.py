@@ -45,14 +45,14 @@ def fn_number(s, d):
     return t.read(s, d, "orders").select("o_orderkey", x.indian_number(text).alias("n"))
 
 
-def _cell():
-    k = F.col("item_pos") % 5
-    p, q = F.col("price").cast("string"), (F.col("price") + F.col("size")).cast("string")
-    return F.when(k == 0, F.concat(F.lit("Rs. "), p)).when(k == 1, F.concat(q, F.lit(" - "), p)).when(k == 2, F.concat(F.lit("KL-"), p)).when(k == 3, F.concat(p, F.lit(" "), q)).otherwise(F.concat(F.lit("₹"), p, F.lit(" - ₹"), q))
+#: Price cells in many forms, as SQL of either engine.
+CELL = """case item_pos % 11 when 0 then concat('Rs. ', price) when 1 then concat(price + size, ' - ', price) when 2 then concat('KL-', price) when 3 then concat(price, ' ', price + size)
+  when 4 then concat('₹', price, ' – ₹', price + size) when 5 then concat('Rs. ', price, ' (pre-order) ', size) when 6 then concat('Rs. ', size, ' ', price, ' 300') when 7 then concat('Rs. ', price, ' - ', price)
+  when 8 then concat(price, ' Rupees') when 9 then concat('0 - ', price) else concat('1,', price, ' per piece') end"""
 
 
 def fn_prices(s, d):
-    return t.items(s, d).select("item_pos", x.prices(_cell()).alias("p")).select("item_pos", "p.*")
+    return t.items(s, d).select("item_pos", x.prices(F.expr(CELL)).alias("p")).select("item_pos", "p.*")
 
 
 def fn_price_label(s, d):
@@ -142,6 +142,16 @@ def _expanded(tokens: str, particles: list[str]) -> str:
     return _distinct(f"list_concat({tokens}, flatten(list_transform({kept}, lambda t: {_SYN})))")
 
 
+def prices_sql(rows: str) -> str:
+    """``rows`` (with a column cell) with price, price_min and price_max instead of the cell."""
+    clean = r"trim(regexp_replace(cell, '(?i)₹|Rs\.?', '', 'g'))"
+    number = "try_cast(replace({0}, ',', '') as bigint)"
+    dash = lambda k: number.format(rf"regexp_extract({clean}, '(\d[\d,]*)\s*[-–]\s*(\d[\d,]*)', {k})")
+    parts = rf"select *, list_filter(list_transform(regexp_extract_all({clean}, '\d[\d,]*'), lambda v: {number.format('v')}), lambda v: v > 0) as n, {dash(1)} as a, {dash(2)} as b, regexp_matches(cell, '(?i)₹|Rs\.?|Rupee') or not regexp_matches(cell, '[A-Za-z]') as good from ({rows})"
+    return f"""select * exclude (cell, n, a, b, good, around, rising), case when good and not around and not rising then n[1] end as price, case when good then case when around then least(a, b) when rising then n[1] end end as price_min,
+        case when good then case when around then greatest(a, b) when rising then n[2] end end as price_max from (select *, coalesce(a > 0 and b > 0 and a <> b, false) as around, coalesce(n[1] < n[2], false) as rising from ({parts}))"""
+
+
 _F1 = "case when len(list_intersect({a}, {b})) > 0 then 2.0 * len(list_intersect({a}, {b})) / (len(list_distinct({a})) + len(list_distinct({b}))) else 0.0 end"
 _PAIR = f"(select faq_id, {_words('q')} as a, {_words('a')} as b from {t.FAQS})"
 SQL = {
@@ -157,8 +167,7 @@ SQL = {
     "fn_umbrella": "select msg_id, concat_ws(' ', message, array_to_string(list_sort(list_distinct(list_concat(" + ", ".join(f"case when contains(lower(message), '{k}') then {_list(v)} else []::varchar[] end" for k, v in UMBRELLA.items()) + f"))), ' ')) as text from {_M}",
     "fn_spelling": rf"select msg_id, regexp_replace(regexp_replace(regexp_replace(message, '(?i)\bthe\b', 'teh', 'g'), '(?i)\band\b', 'und', 'g'), '(?i)\bof\b', 'from', 'g') as text from {_M}",
     "fn_number": "select o_orderkey, case when o_orderkey % 7 = 0 then null else o_orderkey end as n from orders",
-    "fn_prices": f"""select item_pos, case when k = 0 then price when k = 3 and size <= 0 then price end as price,
-        case when k in (1, 4) or k = 3 and size > 0 then least(price, price + size) end as price_min, case when k in (1, 4) or k = 3 and size > 0 then greatest(price, price + size) end as price_max from (select *, item_pos % 5 as k from {t.ITEMS})""",
+    "fn_prices": prices_sql(f"select item_pos, {CELL} as cell from {t.ITEMS}"),
     "fn_price_label": f"select item_pos, case when item_pos % 3 = 0 then '₹' || format('{{:,}}', price) when item_pos % 2 = 0 then '₹' || format('{{:,}}', price) || '–₹' || format('{{:,}}', price + 500) else 'on request' end as label from {t.ITEMS}",
     "fn_flatmap": f"select slug, unnest(['cfg_payment', 'cfg_town', 'city', 'shop_name']) as key, unnest(['cash, ' || city, city, city, coalesce(shop_name, 'N/A')]) as value from {t.SHOPS}",
     "fn_placeholder": f"select item_pos, name || ' at ' || slug || ' costs ' || case when size % 2 = 0 then cast(price as varchar) else 'a fair price' end || ', call our number or visit [place]' as text from {t.ITEMS}",

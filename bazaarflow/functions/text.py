@@ -81,21 +81,32 @@ def indian_number(c: Column) -> Column:
     return F.replace(F.trim(c), F.lit(","), F.lit("")).try_cast("bigint")
 
 
-_CURRENCY = r"(?i)(₹|\brs\.?|\binr\b)"
+# What marks a price, and what is cut from a price cell.
+CURRENCY = r"(?i)₹|Rs\.?|Rupee"
+CURRENCY_SIGN = r"(?i)₹|Rs\.?"
 
 
 def prices(cell: Column) -> Column:
-    """(price, price_min, price_max) of a price cell; letters without a currency sign are no price."""
-    numbers = F.transform(F.regexp_extract_all(cell, F.lit(r"(\d[\d,]*)"), F.lit(1)), indian_number)
-    n = F.filter(numbers, lambda x: x.isNotNull())
-    a, b = F.try_element_at(n, F.lit(1)), F.try_element_at(n, F.lit(2))
-    wordy = F.regexp_replace(cell, _CURRENCY, "").rlike(r"[A-Za-z]") & ~cell.rlike(_CURRENCY)
-    ranged = (F.size(n) >= 2) & (cell.rlike("[-–]") | ((F.size(n) == 2) & (b > a)))
-    good = ~wordy & (F.size(n) > 0)
-    return F.struct(F.when(good & ~ranged, a).alias("price"), F.when(good & ranged, F.least(a, b)).alias("price_min"), F.when(good & ranged, F.greatest(a, b)).alias("price_max"))
+    """(price, price_min, price_max) of a price cell; letters without a currency sign are no price.
+
+    Two unequal numbers around a dash are a range, wherever they stand. Else a single number above 0 is the price; of more,
+    the first two are a range if they rise, and the first is the price if not.
+    """
+    clean = F.trim(F.regexp_replace(cell, CURRENCY_SIGN, ""))
+    numbers = F.filter(F.transform(F.regexp_extract_all(clean, F.lit(r"(\d[\d,]*)"), F.lit(1)), indian_number), lambda v: v > 0)
+    first, second = F.try_element_at(numbers, F.lit(1)), F.try_element_at(numbers, F.lit(2))
+    dashed = lambda k: indian_number(F.regexp_extract(clean, r"(\d[\d,]*)\s*[-–]\s*(\d[\d,]*)", k))
+    a, b = dashed(1), dashed(2)
+    around = F.coalesce((a > 0) & (b > 0) & (a != b), F.lit(False))
+    rising = F.coalesce(first < second, F.lit(False))
+    good = F.coalesce(cell.rlike(CURRENCY) | ~cell.rlike("[A-Za-z]"), F.lit(False))
+    low = F.when(around, F.least(a, b)).when(rising, first)
+    high = F.when(around, F.greatest(a, b)).when(rising, second)
+    return F.struct(F.when(good & ~around & ~rising, first).alias("price"), F.when(good, low).alias("price_min"), F.when(good, high).alias("price_max"))
 
 
 def price_label(price: Column, low: Column, high: Column, missing: str = "on request") -> Column:
+    """``₹1,200`` or ``₹a–₹b``; a price of 0 counts as none and gives ``missing`` ('', 'on request', 'price on request')."""
     shown = lambda p: F.concat(F.lit("₹"), F.format_number(p, 0))
     return F.when(F.coalesce(price, F.lit(0)) != 0, shown(price)).when(F.coalesce(low, F.lit(0)) != 0, F.concat(shown(low), F.lit("–"), shown(high))).otherwise(missing)
 

@@ -130,8 +130,6 @@ QUERIES = {
     "agg_shop_traits": lambda s, d: shop_traits(t.items(s, d), ["ring", "bolt"], 0.05),
     "agg_specialisation": lambda s, d: specialisation(t.items(s, d), 0.3, 30),
     "agg_catalog_faq": lambda s, d: catalog_faqs(t.items(s, d)),
-    "agg_extraction": lambda s, d: t.read(s, d, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("docs"), F.count_if(F.col("text").contains("@")).alias("with_mail"), F.count_if(F.length("text") < 200).alias("short"), F.sum("n_chars").alias("chars")),
-    "win_topk_items": lambda s, d: t.items(s, d).withColumn("r", F.row_number().over(Window.partitionBy("slug").orderBy(F.desc("size"), "item_pos"))).where("r <= 20").select("slug", "item_pos", F.col("r").cast("int").alias("r")),
     "win_signature": _signature,
     "win_fill_category": _lines,
     "win_queues": lambda s, d: queue(t.chat_log(s, d), "escalate").select("msg_id", "slug", "source"),
@@ -158,8 +156,6 @@ SQL = {
         from (select slug, category, count(*) as n, min(item_pos) as pos from {_I} group by slug, category)) where upto - n < 0.3 * total group by slug""",
     "agg_catalog_faq": f"""select slug, category, 'Our ' || category || ' items: ' || string_agg(name, ', ' order by r) filter (r <= 10) || case when count(*) > 10 then ' and ' || (count(*) - 10) || ' more' else '' end as answer
         from (select *, row_number() over (partition by slug, category order by item_pos) as r from {_I}) group by slug, category""",
-    "agg_extraction": "select source, count(*) as docs, count(*) filter (contains(text, '@')) as with_mail, count(*) filter (length(text) < 200) as short, cast(sum(n_chars) as bigint) as chars from documents group by source",
-    "win_topk_items": f"select slug, item_pos, cast(r as int) as r from (select *, row_number() over (partition by slug order by size desc, item_pos) as r from {_I}) where r <= 20",
     "win_signature": f"select slug, string_agg(name, '|' order by r) as signature from (select *, row_number() over (partition by slug order by price desc, item_pos) as r from {_I}) where r <= 3 group by slug",
     "win_fill_category": "select doc_id, cast(line - 1 as int) as line, coalesce(last_value(case when length(text) < 30 and length(text) > 2 then text end ignore nulls) over (partition by doc_id order by line rows between unbounded preceding and current row), 'General') as category from (select doc_id, unnest(string_split(text, chr(10))) as text, generate_subscripts(string_split(text, chr(10)), 1) as line from documents)",
     "win_queues": f"select msg_id, slug, source from {_L} where escalate",

@@ -1,143 +1,119 @@
-"""Catalogue pipeline: item filters, extraction from document lines and table rows, chunks, shop metadata."""
+"""Catalogue filters and projections: what is an item, what is a section, searches, gender and category of items."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as x
 from ..plans import tables as t
+from ..plans.sizing import sized
 
-JUNK = r"^(total|subtotal|page|phone|email|www|http)"
-PRICE_AT_END = r"^(.{3,60}?)[\s:.-]*(?:₹|\$|Rs\.?)\s?(\d[\d,]*)\s*$"
-RANGE_AT_END = r"^(.{3,60}?)[\s:.-]*(?:₹|\$|Rs\.?)\s?(\d[\d,]*)\s*[-–]\s*(?:₹|\$|Rs\.?)?\s?(\d[\d,]*)\s*$"
+# Names that are no items, section titles that are no categories, words of sections with and without goods.
+JUNK = r"^(gst\s*(no\.?|number)?|~?\d+\s*g\)?|pieces?\)?|free\s+delivery|delivery\s+(charge|time|zone|areas?|below|above)|minimum\s+order|order\s+via|loyalty\s+card|offer\s+code|happy\s+hours?|family\s+pack|opening\s+hours?|last\s+order|payment\s+mode)"
+META_TITLES = ["CATALOGUE", "CATALOG", "EXAMPLES", "EXAMPLE", "SAMPLE", "SAMPLES", "SUMMARY", "OVERVIEW", "INFORMATION", "GUIDE", "TERMS", "POLICY", "POLICIES", "DISCLAIMER", "APPENDIX", "INTRODUCTION", "CONTENTS"]
+HEADING = r"^\s*[A-Z][A-Z\s&/(),-]{3,60}\s*$"
+GOODS = r"(?i)\b(PRODUCTS?|CATALOGUE|CATALOG|MENU|SERVICES?|TREATMENTS?|PRICE\s*LIST|PRICING|TARIFF|ITEMS?)\b"
+OFFICE = r"(?i)\b(INFORMATION|HOURS|TIMING|PAYMENT|DELIVERY|POLICY|POLICIES|OFFERS?|LOYALTY|STAFF|EXPERTISE|CONTACT|ABOUT|LICEN[CS]E|REGISTRATION|TERMS|FAQ)\b"
+FRAGMENT = r"(?i)^(and|with|plus|including|reception|lashes)\b"
+DISCOUNT = r"(?i)discount|loyalty|referral|programme|program|offer|%|percent"
 
 
 def valid_item(name: Column, junk: str = JUNK) -> Column:
-    """3 to 80 characters, begins with a letter or digit, not all digits, no junk."""
-    return F.length(name).between(3, 80) & name.rlike(r"^[\p{L}\p{N}]") & ~name.rlike(r"^[\d\s.,]+$") & ~F.lower(name).rlike(junk)
+    """3 to 80 characters, no sign in front, not all digits, no junk."""
+    n = F.trim(name)
+    return F.length(n).between(3, 80) & ~n.rlike(r"^[~()+.,#-]") & ~n.rlike(r"^\d[\d\s,.]*$") & ~F.lower(n).rlike(junk)
 
 
-def section_heading(line: Column, meta: list[str]) -> Column:
-    """Short, in capitals or ending with a colon, no digits; document titles (``meta`` words) are none."""
-    n = F.size(x.split_words(line))
-    return n.between(1, 6) & ((F.upper(line) == line) | line.endswith(":")) & line.rlike(r"\p{L}{3}") & ~line.rlike(r"\d") & ~F.arrays_overlap(x.words(line), x.lit_array(meta))
+def junk_item(name: Column, price: Column) -> Column:
+    """A fragment (lower-case start, a plus, a count of members, a joining word), or a discount given as a price of at most 20."""
+    n = F.trim(F.coalesce(name, F.lit("")))
+    first = F.left(n, F.lit(1))
+    small = (first != F.upper(first)) & (first == F.lower(first))
+    return (n == "") | small | n.contains("+") | n.rlike(r"(?i)\(\d+\s*members?\)") | n.rlike(FRAGMENT) | F.coalesce((price <= 20) & n.rlike(DISCOUNT), F.lit(False))
 
 
-def items_from_lines(lines: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """Lines that end with a price or a range of prices, by heading; the first of a name wins."""
-    r = lambda n: F.nullif(F.regexp_extract("text", RANGE_AT_END, n), F.lit(""))
-    p = lambda n: F.nullif(F.regexp_extract("text", PRICE_AT_END, n), F.lit(""))
-    name = F.trim(F.coalesce(r(1), p(1)))
-    found = lines.select("*", name.alias("name"), F.when(r(1).isNull(), x.indian_number(p(2))).alias("price"), x.indian_number(r(2)).alias("price_min"), x.indian_number(r(3)).alias("price_max")).where(F.col("name").isNotNull() & valid_item(F.col("name")))
-    w = Window.partitionBy(key, F.lower("name")).orderBy(*order)
-    return found.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+def heading(line: Column) -> Column:
+    """A section heading: 4 to 61 capitals and signs."""
+    return line.rlike(HEADING)
 
 
-def metadata(docs: DataFrame) -> DataFrame:
-    """Phones (last ten digits, no repeats), email, PIN and payment words of each document."""
-    raw = F.regexp_extract_all("text", F.lit(r"(\+?\d[\d ()-]{8,16}\d)"), F.lit(1))
-    phones = F.array_distinct(F.transform(raw, lambda v: F.right(F.regexp_replace(v, r"\D", ""), F.lit(10))))
-    pay = x.lit_array(["cash", "card", "upi"])
-    return docs.select("doc_id", F.array_join(phones, ",").alias("phones"), F.nullif(F.regexp_extract("text", r"([\w.]+@[\w.]+\w)", 1), F.lit("")).alias("email"), F.nullif(F.regexp_extract("text", r"\b(\d{6})\b", 1), F.lit("")).alias("pin"), F.array_join(F.filter(pay, lambda p: F.contains(F.lower("text"), p)), ",").alias("payment"))
+def category_heading(line: Column, titles: list[str] = META_TITLES) -> Column:
+    """A heading that names goods, no document title."""
+    return heading(line) & ~F.arrays_overlap(x.split_words(F.upper(line)), x.lit_array(titles))
 
 
-def table_items(cells: DataFrame) -> DataFrame:
-    """Rows of tables (doc_id, tbl, row, cells) -> items, by header keywords or, without them, by what a column holds.
+def administrative(category: Column) -> Column:
+    """A section about the shop and not its goods; words of goods win."""
+    return ~category.rlike(GOODS) & category.rlike(OFFICE)
 
-    The last header cell of a role wins. A price column without a header is one where three tenths of the cells show a
-    currency sign or four tenths start with a digit; the name column defaults to the first. Single rows are facts, not items.
+
+def search(items: DataFrame, category: str = "", text: str = "", n: int = 25) -> DataFrame:
+    """The first ``n`` items by position whose category holds one text and whose name or description holds the other."""
+    low = lambda c: F.lower(F.coalesce(F.col(c), F.lit("")))
+    found = items.where(low("category").contains(category.lower()) & (low("name").contains(text.lower()) | low("description").contains(text.lower())))
+    return found.orderBy("item_pos").limit(n)
+
+
+def categories(items: DataFrame) -> DataFrame:
+    """Each shop's distinct categories, sorted and joined."""
+    return items.where("category <> ''").groupBy("slug").agg(F.array_join(F.array_sort(F.collect_set("category")), "|").alias("categories"))
+
+
+def enrich(items: DataFrame, shops: DataFrame, genders: dict[str, str], default: str = "unisex") -> DataFrame:
+    """Gender and category filled in where they are missing or not allowed.
+
+    ``shops``: slug, gender (of a shop for one gender only, else null) and allowed (array). A given gender stays; else the
+    shop's own one, else that of the first keyword pattern in the name, else ``default``. A category outside the allowed ones
+    becomes the first of them; a shop without a list keeps its items' categories.
     """
-    head = Window.partitionBy("doc_id", "tbl").orderBy("row")
-    rows = cells.withColumn("_r", F.row_number().over(head)).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("doc_id", "tbl"))).where("_n > 1")
-    header = rows.where("_r = 1").select("doc_id", "tbl", F.posexplode("cells").alias("col", "cell"))
-    role = F.when(F.lower("cell").rlike("price|rate|cost|amount"), "price").when(F.lower("cell").rlike("item|name|product|service"), "name")
-    named = header.withColumn("role", role).groupBy("doc_id", "tbl").agg(F.max(F.when(F.col("role") == "price", F.col("col"))).alias("price_named"), F.max(F.when(F.col("role") == "name", F.col("col"))).alias("name_col"))
-    body = rows.where("_r > 1")
-    share = body.select("doc_id", "tbl", F.posexplode("cells").alias("col", "cell")).groupBy("doc_id", "tbl", "col").agg(F.avg(F.col("cell").rlike("(?i)₹|rs\\.?").cast("int")).alias("money"), F.avg(F.col("cell").rlike(r"^\s*\d").cast("int")).alias("digits"))
-    guess = share.where("money >= 0.3 or digits >= 0.4").groupBy("doc_id", "tbl").agg(F.max_by("col", F.struct("money", "digits", -F.col("col"))).alias("price_guess"))
-    out = body.join(named, ["doc_id", "tbl"]).join(guess, ["doc_id", "tbl"], "left")
-    out = out.withColumn("name", F.trim(F.try_element_at("cells", F.coalesce("name_col", F.lit(0)) + 1))).withColumn("p", x.prices(F.try_element_at("cells", F.coalesce("price_named", "price_guess") + 1)))
-    return out.where(valid_item(F.col("name"))).select("doc_id", "tbl", "row", "name", "p.*")
-
-
-def chunks(paragraphs: DataFrame, least: int = 25, most: int = 200, whole: int = 300) -> DataFrame:
-    """Paragraphs (doc_id, pos, text) as chunks; longer ones by sentence; within a document the first of equal beginnings wins."""
-    parts = F.when(F.length("text") <= most, F.array("text")).otherwise(F.split("text", r"(?<=[.!?]) "))
-    out = paragraphs.where(F.length("text") >= least).select("doc_id", "pos", F.posexplode(parts).alias("part", "chunk")).where(F.length("chunk").between(20, whole))
-    w = Window.partitionBy("doc_id", F.lower(F.substring("chunk", 1, 80))).orderBy("pos", "part")
-    return out.withColumn("r", F.row_number().over(w)).where("r = 1").drop("r")
-
-
-def enrich(items: DataFrame, allowed: Column, genders: dict[str, str]) -> DataFrame:
-    """Gender by keyword, category checked against the shop's allowed ones with the first as default."""
-    gender = F.when(F.lit(False), "")
+    word = F.when(F.lit(False), "")
     for g, p in genders.items():
-        gender = gender.when(F.lower("name").rlike(p), g)
-    return items.withColumn("gender", gender.otherwise("unisex")).withColumn("kind", F.when(F.array_contains(allowed, F.col("category")), F.col("category")).otherwise(F.element_at(allowed, 1)))
+        word = word.when(F.lower("name").rlike(p), g)
+    rows = items.join(sized(shops.select("slug", F.col("gender").alias("_shop"), "allowed")), "slug", "left")
+    gender = F.coalesce(x.blank_to_null(F.col("gender")), "_shop", word.otherwise(default))
+    fits = F.col("allowed").isNull() | (F.size("allowed") == 0) | F.array_contains("allowed", F.col("category"))
+    return rows.withColumn("gender", gender).withColumn("category", F.when(fits, F.col("category")).otherwise(F.get("allowed", F.lit(0)))).drop("_shop", "allowed")
 
 
 def _lines(s, d):
     return t.read(s, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "text"))
 
 
-def _priced(s, d):
-    """Each item as a price-list line of its shop."""
-    k = F.col("item_pos") % 3
-    text = F.when(k == 0, F.format_string("%s : Rs. %,d", "name", "price")).when(k == 1, F.format_string("%s ₹%d - ₹%d", "name", "price", F.col("price") + 100)).otherwise(F.col("name"))
-    return t.items(s, d).select("slug", "item_pos", text.alias("text"))
-
-
-def gen_items_text(s, d):
-    return items_from_lines(_priced(s, d), "slug", ["item_pos"]).select("slug", "item_pos", "name", "price", "price_min", "price_max")
+def _enrich(s, d):
+    items = t.items(s, d).withColumn("gender", F.expr("if(size % 8 = 0, 'kids', if(size % 8 = 1, ' ', null))"))
+    shops = items.select("slug").distinct().selectExpr("slug", "if(slug = 'shop-3', 'women', null) as gender", "case when slug = 'shop-4' then null when slug < 'shop-4' then array('ECONOMY', 'PROMO') else array('SMALL', 'LARGE', 'PROMO') end as allowed")
+    return enrich(items, shops, {"men": "gear|bolt", "women": "rod|ring"}).select("item_pos", "gender", "category")
 
 
-def gen_items_table(s, d):
-    cells = t.items(s, d).select("slug", F.col("item_pos").alias("row"), F.array("brand", "name", F.format_string("Rs. %d", "price")).alias("cells"))
-    head = t.items(s, d).select("slug").distinct().select("slug", F.lit(-1).cast("bigint").alias("row"), F.array(F.lit("Brand"), F.lit("Item name"), F.lit("Size or amount?")).alias("cells"))
-    return table_items(cells.unionByName(head).select(F.col("slug").alias("doc_id"), F.lit(1).alias("tbl"), "row", "cells")).select(F.col("doc_id").alias("slug"), "row", "name", "price")
+def _sections(s, d):
+    """Lines of documents in capitals and items' categories with section words."""
+    names = t.items(s, d).selectExpr("item_pos", "concat(category, case item_pos % 6 when 0 then ' CATALOGUE' when 1 then ' SERVICE INFORMATION' when 2 then ' OPENING HOURS' when 3 then ': 12' when 4 then ' PLATES & RINGS' else '' end) as text")
+    return names.select("item_pos", heading(F.col("text")).alias("heading"), category_heading(F.col("text")).alias("category"), administrative(F.col("text")).alias("office"))
 
 
-def gen_shop_info(s, d):
-    """One row per shop: name, city, number of items, first items."""
-    w = Window.partitionBy("slug").orderBy("item_pos")
-    few = t.items(s, d).withColumn("r", F.row_number().over(w)).where("r <= 5").groupBy("slug").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("r", "name"))), lambda v: v["name"]), "|").alias("first_items"))
-    top = t.items(s, d).groupBy("slug").agg(F.count(F.lit(1)).alias("items")).join(few, "slug")
-    return t.shops(s, d).select("slug", "shop_name", "city").join(top, "slug", "left").select("slug", "shop_name", "city", F.coalesce("items", F.lit(0)).alias("items"), "first_items")
+def _valid(s, d):
+    names = t.items(s, d).selectExpr("item_pos", "size", "concat(case item_pos % 9 when 0 then '+' when 1 then 'and ' when 2 then 'Free delivery ' when 3 then 'Fine ' when 4 then '12' when 5 then 'Offer on ' when 6 then 'GST no ' else '' end, if(item_pos % 9 = 4, '', name), if(size % 10 = 1, ' (4 members)', '')) as name")
+    return names.select("item_pos", valid_item(F.col("name")).alias("valid"), junk_item(F.col("name"), F.col("size")).alias("junk"))
 
 
-ALLOWED = ["PROMO BRUSHED STEEL", "STANDARD POLISHED TIN", "ECONOMY ANODIZED BRASS"]
 QUERIES = {
-    "flt_item_valid": lambda s, d: _lines(s, d).select("doc_id", F.col("line").cast("int").alias("line"), valid_item(F.col("text")).alias("valid")),
-    "flt_section": lambda s, d: _lines(s, d).where(section_heading(F.col("text"), ["der", "die"])).groupBy("doc_id").agg(F.count(F.lit(1)).alias("headings")),
-    "flt_catalog": lambda s, d: t.items(s, d).where(F.lower("category").contains("e") & F.lower("name").contains("o")).orderBy("item_pos").limit(25).select("item_pos", "name"),
-    "prj_enrich_items": lambda s, d: enrich(t.items(s, d), x.lit_array(ALLOWED), {"men": "green|bolt", "women": "rose|ring"}).select("item_pos", "gender", "kind"),
-    "gen_items_text": gen_items_text,
-    "gen_items_table": gen_items_table,
-    "gen_metadata": lambda s, d: metadata(t.read(s, d, "documents")),
-    "gen_shop_info": gen_shop_info,
-    "gen_chunks": lambda s, d: chunks(_lines(s, d).withColumnRenamed("line", "pos")).select("doc_id", F.col("pos").cast("int").alias("pos"), F.col("part").cast("int").alias("part"), "chunk"),
-    "set_chunks": lambda s, d: chunks(_lines(s, d).withColumnRenamed("line", "pos"), 20, 10_000_000, 10_000_000).groupBy("doc_id").agg(F.count(F.lit(1)).alias("chunks")),
+    "flt_item_valid": _valid,
+    "flt_section": _sections,
+    "flt_catalog": lambda s, d: search(t.described(s, d), "e", "7x", 25).select("item_pos", "name"),
+    "flt_catalog_list": lambda s, d: categories(t.items(s, d)),
+    "prj_enrich_items": _enrich,
 }
-_LINES = "(select doc_id, unnest(string_split(text, chr(10))) as text, generate_subscripts(string_split(text, chr(10)), 1) - 1 as line from documents)"
-_VALID = r"length(text) between 3 and 80 and regexp_matches(text, '^[\p{L}\p{N}]') and not regexp_matches(text, '^[\d\s.,]+$') and not regexp_matches(lower(text), '" + JUNK + "')"
-_SENT = r"string_split(regexp_replace(text, '([.!?]) ', '\1' || chr(1), 'g'), chr(1))"
-_CHUNKS = f"""(select doc_id, line, part, chunk, row_number() over (partition by doc_id, lower(left(chunk, 80)) order by line, part) as r from (
-  select doc_id, line, unnest(case when length(text) <= {{most}} then [text] else {_SENT} end) as chunk, generate_subscripts(case when length(text) <= {{most}} then [text] else {_SENT} end, 1) - 1 as part from {_LINES} where length(text) >= {{least}}) where length(chunk) between 20 and {{whole}})"""
+_NAMES = f"(select item_pos, size, (case item_pos % 9 when 0 then '+' when 1 then 'and ' when 2 then 'Free delivery ' when 3 then 'Fine ' when 4 then '12' when 5 then 'Offer on ' when 6 then 'GST no ' else '' end) || (case when item_pos % 9 = 4 then '' else name end) || (case when size % 10 = 1 then ' (4 members)' else '' end) as name from {t.ITEMS})"
+_TITLES = f"(select item_pos, category || case item_pos % 6 when 0 then ' CATALOGUE' when 1 then ' SERVICE INFORMATION' when 2 then ' OPENING HOURS' when 3 then ': 12' when 4 then ' PLATES & RINGS' else '' end as text from {t.ITEMS})"
+_LIST = "[" + ", ".join(f"'{w}'" for w in META_TITLES) + "]"
 SQL = {
-    "flt_item_valid": f"select doc_id, cast(line as int) as line, {_VALID} as valid from {_LINES}",
-    "flt_section": rf"""select doc_id, count(*) as headings from {_LINES} where len(list_filter(regexp_split_to_array(trim(text), '\s+'), lambda w: w <> '')) between 1 and 6 and (upper(text) = text or ends_with(text, ':'))
-        and regexp_matches(text, '\p{{L}}{{3}}') and not regexp_matches(text, '\d') and not list_has_any(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+'), ['der', 'die']) group by doc_id""",
-    "flt_catalog": f"select item_pos, name from {t.ITEMS} where contains(lower(category), 'e') and contains(lower(name), 'o') order by item_pos limit 25",
-    "prj_enrich_items": f"""select item_pos, case when regexp_matches(lower(name), 'green|bolt') then 'men' when regexp_matches(lower(name), 'rose|ring') then 'women' else 'unisex' end as gender,
-        case when category in ('PROMO BRUSHED STEEL', 'STANDARD POLISHED TIN', 'ECONOMY ANODIZED BRASS') then category else 'PROMO BRUSHED STEEL' end as kind from {t.ITEMS}""",
-    "gen_items_text": f"""select slug, item_pos, name, case when k = 0 then price end as price, case when k = 1 then price end as price_min, case when k = 1 then price + 100 end as price_max from (
-        select *, row_number() over (partition by slug, lower(name) order by item_pos) as r from (select *, item_pos % 3 as k from {t.ITEMS} where item_pos % 3 < 2)) where r = 1""",
-    "gen_items_table": f"select slug, item_pos as row, name, price from {t.ITEMS}",
-    "gen_metadata": r"""select doc_id, array_to_string(list_filter(p, lambda v, i: list_position(p, v) = i), ',') as phones, nullif(regexp_extract(text, '([\w.]+@[\w.]+\w)', 1), '') as email, nullif(regexp_extract(text, '\b(\d{6})\b', 1), '') as pin,
-        array_to_string(list_filter(['cash', 'card', 'upi'], lambda w: contains(lower(text), w)), ',') as payment from (select *, list_transform(regexp_extract_all(text, '\+?\d[\d ()-]{8,16}\d'), lambda v: right(regexp_replace(v, '\D', '', 'g'), 10)) as p from documents)""",
-    "gen_shop_info": f"""select slug, shop_name, city, coalesce(n, 0) as items, first_items from {t.SHOPS} left join (select slug, count(*) as n, string_agg(name, '|' order by r) filter (r <= 5) as first_items
-        from (select *, row_number() over (partition by slug order by item_pos) as r from {t.ITEMS}) group by slug) using (slug)""",
-    "gen_chunks": "select doc_id, cast(line as int) as pos, cast(part as int) as part, chunk from " + _CHUNKS.format(least=25, most=200, whole=300) + " where r = 1",
-    "set_chunks": "select doc_id, count(*) as chunks from " + _CHUNKS.format(least=20, most=10_000_000, whole=10_000_000) + " where r = 1 group by doc_id",
+    "flt_item_valid": rf"""select item_pos, length(trim(name)) between 3 and 80 and not regexp_matches(trim(name), '^[~()+.,#-]') and not regexp_matches(trim(name), '^\d[\d\s,.]*$') and not regexp_matches(lower(trim(name)), '{JUNK}') as valid,
+        (upper(left(name, 1)) <> left(name, 1)) or contains(name, '+') or regexp_matches(name, '(?i)\(\d+\s*members?\)') or regexp_matches(name, '{FRAGMENT}') or (size <= 20 and regexp_matches(name, '{DISCOUNT}')) as junk from {_NAMES}""",
+    "flt_section": rf"""select item_pos, regexp_matches(text, '{HEADING}') as heading, regexp_matches(text, '{HEADING}') and not list_has_any(regexp_split_to_array(trim(text), '\s+'), {_LIST}) as category,
+        not regexp_matches(text, '{GOODS}') and regexp_matches(text, '{OFFICE}') as office from {_TITLES}""",
+    "flt_catalog": f"select item_pos, name from {t.DESCRIBED} where contains(lower(category), 'e') and (contains(lower(name), '7x') or contains(lower(description), '7x')) order by item_pos limit 25",
+    "flt_catalog_list": f"select slug, string_agg(category, '|' order by category) as categories from (select distinct slug, category from {t.ITEMS}) group by slug",
+    "prj_enrich_items": f"""select item_pos, case when size % 8 = 0 then 'kids' when slug = 'shop-3' then 'women' when regexp_matches(name, 'gear|bolt') then 'men' when regexp_matches(name, 'rod|ring') then 'women' else 'unisex' end as gender,
+        case when slug = 'shop-4' then category when slug < 'shop-4' then case when category in ('ECONOMY', 'PROMO') then category else 'ECONOMY' end else case when category in ('SMALL', 'LARGE', 'PROMO') then category else 'SMALL' end end as category from {t.ITEMS}""",
 }

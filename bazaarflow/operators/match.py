@@ -227,8 +227,6 @@ def _overlay(s, d):
 QUERIES = {
     "jn_config": lambda s, d: _m(s, d).join(F.broadcast(t.shops(s, d).where("shop_pos < 8").select("slug", "shop_name", "city")), "slug", "left").select("msg_id", F.coalesce("shop_name", F.lit("My shop")).alias("shop_name"), F.coalesce("city", F.lit("")).alias("city")),
     "jn_profile": lambda s, d: t.shops(s, d).withColumn("kind", F.element_at(x.lit_array(["bakery", "salon", "zoo"]), (F.col("shop_pos") % 3 + 1).cast("int"))).select("slug", F.coalesce(F.try_element_at(x.lit_map({"bakery": "cakes", "salon": "services"}), F.col("kind")), F.lit("items")).alias("label")),
-    "jn_phrase_theta": lambda s, d: phrase_items(_asks(s, d), t.items(s, d)).select("msg_id", "item_pos"),
-    "jn_item_score": lambda s, d: top(item_scores(_asks(s, d), t.items(s, d), ["do", "you", "have", "or"]), "msg_id", [F.desc("score"), "item_pos"], 20),
     "jn_faq_f1": lambda s, d: faq_f1(_late(s, d), _faqs(s, d), 0.2),
     "jn_faq_fuzzy": lambda s, d: faq_fuzzy(_m(s, d), t.faqs(s, d), 40.0),
     "jn_faq_vector": lambda s, d: vector_top(*_vectors(s, d), "label"),
@@ -236,8 +234,6 @@ QUERIES = {
     "flt_grounding": _grounding,
     "win_near_tie": _ties,
     "jn_match_cascade": _cascade,
-    "gen_item_reply": lambda s, d: item_reply(phrase_items(_asks(s, d), t.items(s, d), most=3).join(t.items(s, d).select("item_pos", "price"), "item_pos")),
-    "gen_category_list": _category_list,
     "gen_llm_requests": _requests,
     "prj_llm_reply": lambda s, d: clean_replies(t.faqs(s, d).select("faq_pos", F.concat(F.when(F.col("faq_pos") % 2 == 0, "Sure! ").otherwise(""), "a").alias("reply"), (F.col("faq_pos") % 4 < 2).alias("had_facts")).withColumnRenamed("faq_pos", "msg_id"), "^Sure! ", "thon", "Please ask us."),
     "prj_config_overlay": _overlay,
@@ -265,8 +261,6 @@ _SCORE = f"""select msg_id, item_pos, round(sum(case when list_contains(n, k) th
 SQL = {
     "jn_config": f"select msg_id, coalesce(shop_name, 'My shop') as shop_name, coalesce(city, '') as city from {t.MESSAGES} left join (select * from {t.SHOPS} where shop_pos < 8) using (slug)",
     "jn_profile": f"select slug, case shop_pos % 3 when 0 then 'cakes' when 1 then 'services' else 'items' end as label from {t.SHOPS}",
-    "jn_phrase_theta": f"select msg_id, item_pos from {_best(_PHRASE, 20, 'item_pos')}",
-    "jn_item_score": f"select msg_id, item_pos, cast(score as double) as score from {_best(f'select * from ({_SCORE}) where score >= 0.9', 20, 'score desc, item_pos')}",
     "jn_faq_f1": f"select * from {_f1_sql(0.2)}",
     "jn_faq_vector": f"select * from {_best(f'select * from ({_VEC}) where score >= 0', 1, 'score desc, r', 'q')}",
     "jn_chunk": f"select * from {_best(_CHUNK, 5, 'score desc, chunk_pos')}",
@@ -275,9 +269,6 @@ SQL = {
     "win_near_tie": f"""select key, cand, score from (select *, row_number() over (partition by key order by cand % 7 desc, r5) as r2 from (select *, max(score) over (partition by key) as best from (select q as key, r as cand, score, row_number() over (partition by q order by score desc, r) as r5 from ({_VEC}) where score >= 0) where r5 <= 5) where best - score <= 0.1) where r2 = 1""",
     "jn_match_cascade": f"""select msg_id, cast(case when f.faq_pos is not null then 0 else 1 end as int) as pass_no, cast(coalesce(f.faq_pos, c.chunk_pos) as varchar) as answer_id, coalesce(f.score, c.score) as score, case when f.faq_pos is not null then 'f1' else 'chunk' end as source
         from {_f1_sql(0.3)} f full join {_best(_CHUNK, 1, 'score desc, chunk_pos')} c using (msg_id)""",
-    "gen_item_reply": f"select msg_id, case when count(*) = 1 then 'We have this:' else 'We have these:' end || chr(10) || string_agg('• ' || name || ' – ₹' || format('{{:,}}', price), chr(10) order by item_pos) as reply from {_best(_PHRASE, 3, 'item_pos')} group by msg_id",
-    "gen_category_list": rf"""select msg_id, keyword, count(*) as n, min(i.item_pos) as first from (select item_pos as msg_id, slug, lower(string_split(name, ' ')[1]) as keyword from {t.ITEMS} where item_pos % 41 = 0) a join {t.ITEMS} i on a.slug = i.slug
-        and list_contains({_WORDS.format('i.name')}, keyword) where not regexp_matches(lower(i.name), 'non[- ]') group by msg_id, keyword having count(*) >= 2""",
     "gen_llm_requests": f"""select msg_id, case when ctx is null then 'free' else 'context' end as kind, coalesce('Facts:' || chr(10) || ctx, 'No facts.') || chr(10) || 'Question: ' || message as prompt, cast(0.3 as double) as temperature, cast(200 as int) as max_tokens from {_LATE}
         left join (select msg_id, string_agg(a, chr(10) order by chunk_pos) as ctx from {_best(_CHUNK, 2, 'score desc, chunk_pos')} join (select faq_pos as chunk_pos, a from {t.FAQS}) using (chunk_pos) where score > 0.3 group by msg_id) using (msg_id)""",
     "prj_llm_reply": f"select faq_pos as msg_id, case when faq_pos % 4 < 2 and contains(lower(a), 'thon') then 'Please ask us.' else trim(a) end as reply from {t.FAQS}",

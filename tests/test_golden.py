@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from bazaarflow.functions import ratio
 from bazaarflow.functions import text as x
-from bazaarflow.operators import catalog, faq, match
+from bazaarflow.operators import extract, faq, items, match
 from bazaarflow.operators import messages as m
 from bazaarflow.sources import files
 
@@ -35,7 +35,7 @@ def test_number(spark, text, n):
     assert one(spark, x.indian_number(F.col("t")), t=text) == n
 
 
-@pytest.mark.parametrize(("cell", "want"), [("Rs. 3,500", (3500, None, None)), ("Rs. 40,000 - Rs. 80,000", (None, 40000, 80000)), ("KL-KZD-PH-2005-0482", (None, None, None)), ("₹80–₹40", (None, 40, 80)), ("", (None, None, None))])
+@pytest.mark.parametrize(("cell", "want"), [("Rs. 3,500", (3500, None, None)), ("Rs. 40,000 - Rs. 80,000", (None, 40000, 80000)), ("KL-KZD-PH-2005-0482", (None, None, None)), ("₹80–₹40", (None, 40, 80)), ("", (None, None, None)), ("Rs. 500 (pre-order) 400", (500, None, None)), ("Rs. 100 200 300", (None, 100, 200)), ("Rs. 100 - 100", (100, None, None)), ("500 Rupees", (500, None, None)), ("0 - 90", (90, None, None))])
 def test_prices(spark, cell, want):
     assert tuple(one(spark, x.prices(F.col("c")), c=cell)) == want
 
@@ -91,9 +91,9 @@ def test_sessions_do_not_mix(spark):
 
 
 def test_nan_is_not_in_banana(spark):
-    items = spark.createDataFrame([("s", 1, "Banana Milkshake", "drinks"), ("s", 2, "Butter Nan", "breads")], "slug string, item_pos int, name string, category string")
+    rows = spark.createDataFrame([("s", 1, "Banana Milkshake", "drinks", None), ("s", 2, "Butter Nan", "breads", None)], "slug string, item_pos int, name string, category string, description string")
     asks = spark.createDataFrame([(1, "s", "nan undo")], "msg_id int, slug string, message string")
-    assert [(r.item_pos, r.score) for r in match.item_scores(asks, items, ["undo"]).collect()] == [(2, 3.0)]
+    assert [(r.item_pos, r.score) for r in items.matching_items(asks, rows, None, ["undo"]).collect()] == [(2, 3.0)]
 
 
 def test_pair_in_order(spark):
@@ -115,7 +115,7 @@ def test_upsert_is_idempotent(spark):
 
 def test_table_columns_by_content(spark):
     rows = spark.createDataFrame([("d", 1, 0, ["Dish", "Cost here"]), ("d", 1, 1, ["Masala Dosa", "₹80"]), ("d", 2, 0, ["x", "y"]), ("d", 2, 1, ["Idli Plate", "Rs. 40"]), ("d", 3, 0, ["fact", "alone"])], "doc_id string, tbl int, row int, cells array<string>")
-    assert sorted((r.name, r.price) for r in catalog.table_items(rows).collect()) == [("Idli Plate", 40), ("Masala Dosa", 80)]
+    assert sorted((r.name, r.price) for r in extract.table_items(rows).collect()) == [("Idli Plate", 40), ("Masala Dosa", 80)]
 
 
 def test_faq_files(spark, tmp_path):
