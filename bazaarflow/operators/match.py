@@ -1,11 +1,14 @@
-"""Matching messages to items, FAQs and chunks by tokens, edit ratio and vectors.
+"""Matching messages to FAQs and chunks by tokens, edit ratio and vectors, the gates on weak matches, and the cascade of passes.
 
-Candidates come from inverted indexes (equi-joins on slug and token or key); scores are verified on them, and the best are
-taken by ``row_number`` with explicit ties.
+Texts of a shop are looked up once, however many messages repeat them. Token matches come from equi-joins on the rarest words
+of each side; edit ratios and vectors, which no key can bound, are taken block by block on both sides.
 """
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -14,263 +17,466 @@ from pyspark.sql import functions as F
 from ..functions import ratio
 from ..functions import text as x
 from ..plans import tables as t
+from ..plans import scratch
+from ..plans.sizing import sized
+from . import items as it
 
-STOP = ["the", "and", "for", "der", "die", "und"]
+STOP = ["the", "and", "for", "der", "die", "und", "of", "in", "de", "la", "le", "en", "el", "les", "des", "ing", "er", "ed", "th", "st"]
+# Least scores of the passes and gates.
+F1_LEAST, FUZZY_LEAST, SHOP_ENGLISH, SHOP_MANGLISH, GENERIC_LEAST = 0.45, 70.0, 0.55, 0.45, 0.42
+WIN_ENGLISH, WIN_MANGLISH, GATE_ENGLISH, GATE_MANGLISH, SURE, DISCLAIMER, CHUNK_LEAST = 0.58, 0.45, 0.62, 0.52, 0.75, 0.85, 0.35
+NEAR_TIE = 0.03
+#: Rows of a block where each row of one side meets each of the other.
+BLOCK = 2000
 
 
 def top(rows: DataFrame, key: str, order: list, n: int = 1) -> DataFrame:
     return rows.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("_r") <= n).drop("_r")
 
 
-def phrase_items(messages: DataFrame, items: DataFrame, least: int = 7, most: int = 20) -> DataFrame:
-    """Items whose name holds two successive words of the message (``least`` letters or more in all), in item order.
+def phrasings(faqs: DataFrame) -> DataFrame:
+    """(slug, faq_pos, phrase_pos, phrase): the question and its variants, blanks dropped."""
+    every = F.filter(F.transform(F.concat(F.array("q"), F.coalesce("variants", F.array().cast("array<string>"))), lambda v: F.trim(v)), lambda v: v != "")
+    return faqs.select("slug", "faq_pos", F.posexplode(every).alias("phrase_pos", "phrase"))
+
+
+def _prefixes(rows: DataFrame, order: DataFrame, keys: list[str], least: float, kept: str) -> DataFrame:
+    """Rows with their token set ``w``, one row for each of the rarest tokens in which a partner of F1 ``least`` must show up."""
+    tokens = rows.select("slug", *keys, "w", F.explode("w").alias("token")).join(sized(order), ["slug", "token"], "left")
+    ranked = tokens.groupBy("slug", *keys).agg(F.any_value("w").alias(kept), F.sort_array(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "token"))).alias("s"))
+    length = F.size("s") - F.ceil(F.size("s") * F.lit(least / (2 - least)) - F.lit(1e-9)).cast("int") + 1
+    return ranked.select("slug", *keys, kept, F.explode(F.slice("s", F.lit(1), length)).alias("p")).select("slug", *keys, kept, F.col("p.token").alias("token"))
+
 
-    Whole words meet by an equi-join on bigrams; a bigram at the edge of longer words is met through its two inner
-    parts: names also index each word's suffixes with the next word's prefixes only where the name is short, so the join
-    stays linear in the words of names.
+def faq_f1(messages: DataFrame, faqs: DataFrame, least: float = F1_LEAST) -> DataFrame:
+    """Best FAQ of the shop by the F1 of token sets, over all phrasings; the earlier one on ties: (msg_id, faq_pos, score).
+
+    Two sets with an F1 of t share t / (2 - t) of either's tokens or more, so they meet on the rarest tokens of each: those
+    left when so many less one of the commonest are taken off. Common words are in hardly any prefix.
     """
-    w = x.words(F.col("message"))
-    grams = messages.select("msg_id", "slug", F.explode(F.array_distinct(F.transform(F.filter(F.arrays_zip(w.alias("a"), F.slice(w, F.lit(2), F.greatest(F.size(w), F.lit(1))).alias("b")), lambda p: p["b"].isNotNull()), lambda p: F.concat(p["a"], F.lit(" "), p["b"])))).alias("gram")).where(F.length("gram") >= least)
-    n = F.split(F.lower("name"), " ")
-    pairs = F.transform(F.sequence(F.lit(1), F.size("n") - 1), lambda i: F.struct(F.element_at("n", i).alias("a"), F.element_at("n", i + 1).alias("b")))
-    tails = lambda a: F.transform(F.sequence(F.lit(1), F.length(a)), lambda i: F.substring(a, i, F.length(a)))
-    heads = lambda b: F.transform(F.sequence(F.lit(1), F.length(b)), lambda i: F.substring(b, F.lit(1), i))
-    index = items.withColumn("n", n).where("size(n) > 1").select("slug", "item_pos", "name", F.explode(pairs).alias("p"))
-    index = index.select("slug", "item_pos", "name", F.explode(F.flatten(F.transform(tails(F.col("p.a")), lambda l: F.transform(heads(F.col("p.b")), lambda r: F.concat(l, F.lit(" "), r))))).alias("gram")).where(F.length("gram") >= least)
-    found = grams.join(index, ["slug", "gram"]).select("msg_id", "item_pos", "name").distinct()
-    return top(found, "msg_id", ["item_pos"], most)
-
-
-def item_scores(messages: DataFrame, items: DataFrame, stop: list[str], least: float = 0.9, generic: DataFrame | None = None) -> DataFrame:
-    """Token score of messages against items: a query token earns 3 for a word of the name, else 1 as the beginning of one, and 0.4 more as a word of the category; generic words count half."""
-    q = messages.select("msg_id", "slug", F.explode(F.array_distinct(F.filter(x.words(F.col("message")), lambda v: ~F.array_contains(x.lit_array(stop), v)))).alias("token"))
-    if generic is not None:
-        q = q.join(F.broadcast(generic.select("slug", F.col("word").alias("token"), F.lit(0.5).alias("w"))), ["slug", "token"], "left")
-    else:
-        q = q.withColumn("w", F.lit(None).cast("double"))
-    words = items.select("slug", "item_pos", F.explode(F.array_distinct(F.split(F.lower("name"), " "))).alias("word"))
-    exact = words.select("slug", "item_pos", F.col("word").alias("token"), F.lit(3.0).alias("points"))
-    starts = words.select("slug", "item_pos", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.length("word") - 1, F.lit(1))), lambda i: F.substring("word", F.lit(1), i))).alias("token"), F.lit(1.0).alias("points")).where("length(token) > 0")
-    named = exact.unionByName(starts).groupBy("slug", "item_pos", "token").agg(F.max("points").alias("points"))
-    kinds = items.select("slug", "item_pos", F.explode(F.array_distinct(F.split(F.lower("category"), " "))).alias("token"), F.lit(0.4).alias("points"))
-    hits = q.join(named.unionByName(kinds), ["slug", "token"])
-    return hits.groupBy("msg_id", "item_pos").agg(F.round(F.sum(F.col("points") * F.coalesce("w", F.lit(1.0))), 4).alias("score")).where(F.col("score") >= least)
-
-
-def _sets(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return rows.select("slug", id_col, F.array_distinct(x.words(F.col(text_col))).alias("w")).select("slug", id_col, F.size("w").alias(f"n_{id_col}"), F.explode("w").alias("token"))
-
-
-def faq_f1(messages: DataFrame, faqs: DataFrame, least: float = 0.45) -> DataFrame:
-    """Best FAQ of the shop by F1 of the token sets, by position on ties."""
-    both = _sets(messages, "msg_id", "message").join(_sets(faqs, "faq_pos", "q"), ["slug", "token"])
-    f = both.groupBy("msg_id", "faq_pos", "n_msg_id", "n_faq_pos").agg(F.count(F.lit(1)).alias("n"))
-    f = f.select("msg_id", "faq_pos", F.round(2.0 * F.col("n") / (F.col("n_msg_id") + F.col("n_faq_pos")), 6).alias("score")).where(F.col("score") >= least)
-    return top(f, "msg_id", [F.desc("score"), "faq_pos"])
-
-
-def faq_fuzzy(messages: DataFrame, faqs: DataFrame, least: float = 70.0, parts: int = 8) -> DataFrame:
-    """Best FAQ of the shop by token set ratio, by position on ties.
-
-    Near spellings need not share a word or its beginning, so each message meets all FAQs of its shop: both sides are dealt
-    to ``parts`` parts, each pair of parts is one group, and only a message's best of a group leaves it.
+    asked = it.texts(messages).withColumn("w", F.array_distinct(x.words(F.col("message"))))
+    known = phrasings(faqs).withColumn("w", F.array_distinct(x.words(F.col("phrase"))))
+    order = known.select("slug", F.explode("w").alias("token")).groupBy("slug", "token").agg(F.count(F.lit(1)).alias("df"))
+    met = _prefixes(asked, order, ["message"], least, "a").join(_prefixes(known, order, ["faq_pos", "phrase_pos"], least, "b"), ["slug", "token"])
+    met = met.where(F.size("b") >= F.size("a") * least / (2 - least) - 1e-9).dropDuplicates(["slug", "message", "faq_pos", "phrase_pos"])
+    scored = met.select("slug", "message", "faq_pos", F.round(x.overlap_f1(F.col("a"), F.col("b")), 4).alias("score")).where(F.col("score") >= least)
+    best = scored.groupBy("slug", "message").agg(F.max_by(F.struct("faq_pos", "score"), F.struct("score", -F.col("faq_pos"))).alias("f"))
+    return messages.join(best, ["slug", "message"]).select("msg_id", "f.*")
+
+
+def _parts(rows: DataFrame, key: str, out: str, block: int) -> DataFrame:
+    """Blocks of a key's rows, from a count of them."""
+    return rows.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).alias(out))
+
+
+def _dealt(rows: DataFrame, key: str, by: str, own: tuple[str, str], other: tuple[str, str], parts: DataFrame) -> DataFrame:
+    """Rows in their own block, once for every block of the other side."""
+    out = rows.join(sized(parts), key).withColumn(own[0], F.pmod(F.xxhash64(by), F.col(own[1])))
+    return out.withColumn(other[0], F.explode(F.expr(f"sequence(0L, {other[1]} - 1)"))).drop(own[1], other[1])
+
+
+def faq_fuzzy(messages: DataFrame, faqs: DataFrame, least: float = FUZZY_LEAST, block: int = BLOCK) -> DataFrame:
+    """Best FAQ of the shop by token set ratio over all phrasings, the earlier one on ties: (msg_id, faq_pos, score from 0 to 100).
+
+    A ratio bounds no word that both sides share, so each distinct text is compared with all of its shop's phrasings, block
+    by block on both sides; lengths and letter counts rule most out, and only a text's best of a block leaves it.
     """
-    every = lambda name: F.explode(F.expr(f"sequence(0L, {parts - 1}L)")).alias(name)
-    m = messages.select("slug", "msg_id", F.lower("message").alias("text"), F.pmod(F.xxhash64("msg_id"), F.lit(parts)).alias("m_part"), every("f_part"))
-    f = faqs.select("slug", "faq_pos", F.lower("q").alias("text"), F.pmod(F.xxhash64("faq_pos"), F.lit(parts)).alias("f_part"), every("m_part"))
+    asked, known = it.texts(messages), phrasings(faqs)
+    parts = _parts(asked, "slug", "m_parts", block).join(_parts(known, "slug", "f_parts", block), "slug")
+    m = _dealt(asked, "slug", "message", ("m_part", "m_parts"), ("f_part", "f_parts"), parts)
+    f = _dealt(known, "slug", "phrase", ("f_part", "f_parts"), ("m_part", "m_parts"), parts)
 
-    def block(m: pd.DataFrame, f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values("faq_pos")
-        found = ratio.best_token_set(m.text.fillna("").tolist(), f.text.fillna("").tolist(), least)
-        rows = [(i, f.faq_pos.iat[k], score) for i, (k, score) in zip(m.msg_id, found) if k >= 0]
-        return pd.DataFrame(rows, columns=["msg_id", "faq_pos", "score"]).astype({"msg_id": "int64", "faq_pos": "int64", "score": "float64"})
+    def best(m: pd.DataFrame, f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values(["faq_pos", "phrase_pos"])
+        found = ratio.best_token_set([v.lower() for v in m.message], [v.lower() for v in f.phrase], least)
+        rows = [(slug, text, f.faq_pos.iat[k], score) for slug, text, (k, score) in zip(m.slug, m.message, found) if k >= 0]
+        return pd.DataFrame(rows, columns=["slug", "message", "faq_pos", "score"]).astype({"slug": object, "message": object, "faq_pos": "int64", "score": "float64"})
 
     keys = ["slug", "m_part", "f_part"]
-    found = m.groupBy(*keys).cogroup(f.groupBy(*keys)).applyInPandas(block, "msg_id long, faq_pos long, score double")
-    return top(found, "msg_id", [F.desc("score"), "faq_pos"])
+    found = m.groupBy(*keys).cogroup(f.groupBy(*keys)).applyInPandas(best, "slug string, message string, faq_pos long, score double")
+    one = found.groupBy("slug", "message").agg(F.max_by(F.struct("faq_pos", "score"), F.struct("score", -F.col("faq_pos"))).alias("f"))
+    return messages.join(one, ["slug", "message"]).select("msg_id", "f.*")
 
 
-def vector_top(queries: DataFrame, rows: DataFrame, key: str, n: int = 1, least: float = 0.0, parts: int = 8) -> DataFrame:
-    """Top rows of each query by cosine within ``key``: (q, key, qv) against (r, key, rv); block products of unit vectors.
+def vector_top(queries: DataFrame, rows: DataFrame, key: str, n: int = 1, least: float = 0.0, block: int = BLOCK) -> DataFrame:
+    """Top rows of each query by cosine within ``key``: (q, key, qv) against (r, key, rv) of unit vectors -> (q, r, score).
 
-    Rows of a key are dealt to ``parts`` parts, the key's queries go to each, a part keeps its top ``n`` per query, and
-    the parts' tops are merged: no key is gathered in one task.
+    Both sides of a key are dealt to blocks of a counted size; a pair of blocks is one product, of which each query's top
+    ``n`` leave, and the blocks' tops are merged. The smaller r comes first on ties, to four decimals.
     """
-    spread = rows.withColumn("part", F.pmod(F.xxhash64("r"), F.lit(parts)))
-    asked = queries.withColumn("part", F.explode(F.expr(f"sequence(0L, {parts - 1}L)")))
+    parts = _parts(queries, key, "q_parts", block).join(_parts(rows, key, "r_parts", block), key)
+    asked = _dealt(queries, key, "q", ("q_part", "q_parts"), ("r_part", "r_parts"), parts)
+    known = _dealt(rows, key, "r", ("r_part", "r_parts"), ("q_part", "q_parts"), parts)
 
-    def block(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
+    def best(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(r):
             return pd.DataFrame({"q": [], "r": [], "score": []}).astype({"q": "int64", "r": "int64", "score": "float64"})
-        s = np.stack(q.qv.to_numpy()).astype(float) @ np.stack(r.rv.to_numpy()).astype(float).T
-        ids = r.r.to_numpy()
-        best = [np.lexsort((ids, -row))[:n] for row in s.round(4)]
-        return pd.DataFrame({"q": np.repeat(q.q.to_numpy(), [len(b) for b in best]), "r": np.concatenate([ids[b] for b in best]), "score": np.concatenate([row[b] for row, b in zip(s, best)])})
+        r = r.sort_values("r")
+        s = (np.stack(q.qv.to_numpy()).astype(float) @ np.stack(r.rv.to_numpy()).astype(float).T).round(4)
+        ids, found = r.r.to_numpy(), []
+        for row in s:
+            few = np.flatnonzero(row >= np.partition(row, len(row) - n)[len(row) - n]) if len(row) > n else np.arange(len(row))
+            found.append(few[np.argsort(-row[few], kind="stable")][:n])
+        return pd.DataFrame({"q": np.repeat(q.q.to_numpy(), [len(b) for b in found]), "r": np.concatenate([ids[b] for b in found]), "score": np.concatenate([row[b] for row, b in zip(s, found)])})
 
-    found = asked.groupBy(key, "part").cogroup(spread.groupBy(key, "part")).applyInPandas(block, "q long, r long, score double")
-    found = found.withColumn("score", F.round("score", 4)).where(F.col("score") >= least)
-    return top(found, "q", [F.desc("score"), "r"], n)
+    keys = [key, "q_part", "r_part"]
+    found = asked.groupBy(*keys).cogroup(known.groupBy(*keys)).applyInPandas(best, "q long, r long, score double")
+    return top(found.withColumn("score", F.round("score", 4)).where(F.col("score") >= least), "q", [F.desc("score"), "r"], n)
 
 
-def near_ties(scored: DataFrame, within: float = 0.03, of: int = 5) -> DataFrame:
+def near_ties(scored: DataFrame, within: float = NEAR_TIE, of: int = 5) -> DataFrame:
     """Among the top ``of`` (key, cand, score, overlap), those near the best are ranked again by overlap; the winner keeps its score."""
     w = Window.partitionBy("key")
-    near = scored.withColumn("r", F.row_number().over(w.orderBy(F.desc("score"), "cand"))).where(F.col("r") <= of).withColumn("best", F.max("score").over(w)).where(F.col("best") - F.col("score") <= within)
+    near = scored.withColumn("r", F.row_number().over(w.orderBy(F.desc("score"), "cand"))).where(F.col("r") <= of).withColumn("best", F.max("score").over(w)).where(F.round(F.col("best") - F.col("score"), 4) <= within)
     return top(near, "key", [F.desc("overlap"), "r"]).select("key", "cand", "score")
 
 
-def chunks_for(questions: DataFrame, chunks: DataFrame, n: int = 5) -> DataFrame:
-    """Top chunks of the shop by shared words over the question's words."""
-    q, c = _sets(questions, "msg_id", "message"), _sets(chunks, "chunk_pos", "text")
-    hit = q.join(c, ["slug", "token"]).groupBy("msg_id", "chunk_pos", "n_msg_id").agg(F.count(F.lit(1)).alias("n"))
-    return top(hit.select("msg_id", "chunk_pos", F.round(F.col("n") / F.col("n_msg_id"), 6).alias("score")), "msg_id", [F.desc("score"), "chunk_pos"], n)
+def hashing_encoder(dims: int = 64) -> Callable:
+    """A plain encoder: signed word hashes, as unit vectors. Any Arrow function of a text column that gives unit vectors can stand in its place."""
+
+    @F.pandas_udf("array<float>")
+    def encode(texts: pd.Series) -> pd.Series:
+        out = []
+        for text in texts:
+            v = np.zeros(dims, np.float32)
+            for w in (text or "").lower().split():
+                h = zlib.crc32(w.encode())
+                v[h % dims] += 1 if h >> 16 & 1 else -1
+            out.append(v / max(float(np.linalg.norm(v)), 1e-9))
+        return pd.Series(out)
+
+    return encode
+
+
+def by_language(messages: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides with a ``pool``: a shop's rows of the message's language (``lang``, ``qlang``), or all of them where it has none."""
+    want = F.when(F.col("lang") == "manglish", "ml").otherwise("en")
+    has = rows.select("slug", "qlang", F.lit(True).alias("_has")).distinct()
+    asked = messages.withColumn("qlang", want).join(sized(has), ["slug", "qlang"], "left").withColumn("pool", F.concat_ws("|", "slug", F.when(F.col("_has"), F.col("qlang")).otherwise("any"))).drop("qlang", "_has")
+    either = rows.withColumn("pool", F.explode(F.array(F.concat_ws("|", "slug", "qlang"), F.concat_ws("|", "slug", F.lit("any")))))
+    return asked, either.join(sized(asked.select("pool").distinct()), "pool", "left_semi")
+
+
+def known_words(rows: DataFrame, key: str, text: Column, vocabulary: DataFrame, out: str, stop: list[str] = STOP) -> DataFrame:
+    """Rows with the content words of a text that the shop's vocabulary (slug, term) has."""
+    words = rows.select(key, "slug", F.explode(F.array_distinct(x.content_words(text, stop))).alias("term")).join(vocabulary.select("slug", "term").distinct(), ["slug", "term"])
+    return rows.join(words.groupBy(key).agg(F.collect_set("term").alias(out)), key, "left")
+
+
+def on_topic(asked: Column, answered: Column) -> Column:
+    """Whether the words known on both sides go together: one begins with another, or a side has none."""
+    none = lambda a: F.coalesce(F.size(a), F.lit(0)) == 0
+    return none(asked) | none(answered) | F.coalesce(F.exists(asked, lambda a: F.exists(answered, lambda b: F.startswith(a, b) | F.startswith(b, a))), F.lit(False))
+
+
+def faq_vector(messages: DataFrame, embedded: DataFrame, vocabulary: DataFrame | None = None, english: float = SHOP_ENGLISH, manglish: float = SHOP_MANGLISH, disclaimer: float = DISCLAIMER) -> DataFrame:
+    """Best FAQ phrasing of the shop by vector: (msg_id, faq_pos, score).
+
+    ``messages``: msg_id, slug, lang, message, vec; ``embedded``: row, slug, faq_pos, qlang, qtext, faq_type, vec. Near ties are
+    ranked by shared words. A disclaimer needs a higher score, and with a ``vocabulary`` the winner must be on topic.
+    """
+    asked, known = by_language(messages, embedded)
+    best = vector_top(asked.select(F.col("msg_id").alias("q"), "pool", F.col("vec").alias("qv")), known.select(F.col("row").alias("r"), "pool", F.col("vec").alias("rv")), "pool", 5)
+    texts = best.join(messages.select(F.col("msg_id").alias("q"), "slug", "message", "lang"), "q").join(embedded.select(F.col("row").alias("r"), "faq_pos", "qtext", "faq_type"), "r")
+    scored = texts.withColumn("overlap", F.round(x.jaccard(F.array_distinct(x.words(F.col("message"))), F.array_distinct(x.words(F.col("qtext")))), 6))
+    won = near_ties(scored.select(F.col("q").alias("key"), F.col("r").alias("cand"), "score", "overlap")).select(F.col("key").alias("q"), F.col("cand").alias("r"))
+    won = texts.join(won, ["q", "r"]).where(F.col("score") >= F.when(F.col("lang") == "manglish", manglish).otherwise(english)).where((F.coalesce("faq_type", F.lit("")) != "disclaimer") | (F.col("score") >= disclaimer))
+    if vocabulary is not None:
+        won = known_words(known_words(won, "q", F.col("message"), vocabulary, "asked"), "q", F.col("qtext"), vocabulary, "answered").where(on_topic(F.col("asked"), F.col("answered")))
+    return won.select(F.col("q").alias("msg_id"), "faq_pos", "score")
+
+
+def chunks_for(questions: DataFrame, chunks: DataFrame, n: int = 5, stop: list[str] = STOP) -> DataFrame:
+    """Top chunks (slug, chunk_pos, text) of the shop by shared words over the question's words: (msg_id, chunk_pos, score).
+
+    A question that is all stop words takes the shop's first chunks at 0.1.
+    """
+    tokens = lambda c: F.array_distinct(F.filter(x.words(F.col(c)), lambda w: ~F.array_contains(x.lit_array(stop), w)))
+    asked = it.texts(questions).withColumn("w", tokens("message"))
+    c = chunks.select("slug", "chunk_pos", F.explode(tokens("text")).alias("token"))
+    hit = asked.select("slug", "message", F.size("w").alias("size"), F.explode("w").alias("token")).join(c, ["slug", "token"]).groupBy("slug", "message", "chunk_pos", "size").agg(F.count(F.lit(1)).alias("both"))
+    scored = hit.select("slug", "message", "chunk_pos", F.round(F.col("both") / F.col("size"), 6).alias("score"))
+    first = top(chunks.select("slug", "chunk_pos"), "slug", ["chunk_pos"], n)
+    bare = asked.where("size(w) = 0").join(sized(first), "slug").select("slug", "message", "chunk_pos", F.lit(0.1).alias("score"))
+    w = Window.partitionBy("slug", "message").orderBy(F.desc("score"), "chunk_pos")
+    best = scored.unionByName(bare).withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n).drop("_r")
+    return questions.join(best, ["slug", "message"]).select("msg_id", "chunk_pos", "score")
+
+
+def chunks_by_vector(questions: DataFrame, chunks: DataFrame, n: int = 5) -> DataFrame:
+    """Top chunks of the shop by cosine; both sides have a vec."""
+    found = vector_top(questions.select(F.col("msg_id").alias("q"), "slug", F.col("vec").alias("qv")), chunks.select(F.col("chunk_pos").alias("r"), "slug", F.col("vec").alias("rv")), "slug", n, -1.0)
+    return found.select(F.col("q").alias("msg_id"), F.col("r").alias("chunk_pos"), "score")
 
 
-def grounded(score: Column, query: Column, answer: Column, stop: list[str], gate: float = 0.52, sure: float = 0.75) -> Column:
-    """A match is kept from ``gate`` on; below ``sure`` it must share a content word."""
-    return (score >= gate) & ((score >= sure) | F.arrays_overlap(x.content_words(query, stop), x.content_words(answer, stop)))
+def passes_gate(score: Column, source: Column, lang: Column, message: Column, faq_text: Column, stop: list[str] = STOP) -> Column:
+    """Answers from items pass; a FAQ needs the gate of its language, and below ``SURE`` a word of three letters shared with the message, unless that has none."""
+    exact = source.isin("category_list", "item_lookup", "item_lookup_fallback")
+    asked = x.content_words(message, stop)
+    shares = (F.size(asked) == 0) | F.arrays_overlap(asked, x.words(F.coalesce(faq_text, F.lit(""))))
+    return exact | ((score >= F.when(lang == "manglish", GATE_MANGLISH).otherwise(GATE_ENGLISH)) & ((score >= SURE) | F.coalesce(shares, F.lit(False))))
 
 
-def cascade(passes: list[DataFrame]) -> DataFrame:
-    """The first pass (msg_id, answer_id, score, source) with a candidate decides."""
-    rows = None
-    for n, p in enumerate(passes):
-        p = p.select("msg_id", F.lit(n).alias("pass_no"), F.col("answer_id").cast("string").alias("answer_id"), F.col("score").cast("double").alias("score"), F.col("source").alias("source"))
-        rows = p if rows is None else rows.unionByName(p)
-    return rows.groupBy("msg_id").agg(F.min_by(F.struct("pass_no", "answer_id", "score", "source"), F.struct("pass_no", "answer_id")).alias("m")).select("msg_id", "m.*")
+def chunk_grounds(score: Column, message: Column, text: Column, stop: list[str] = STOP) -> Column:
+    """A chunk answers from ``CHUNK_LEAST`` on if it shares a word, no stop word, with the message."""
+    words = lambda c: F.filter(x.words(c), lambda w: ~F.array_contains(x.lit_array(stop), w))
+    return F.coalesce((score >= CHUNK_LEAST) & F.arrays_overlap(words(message), words(text)), F.lit(False))
 
 
-def item_reply(rows: DataFrame) -> DataFrame:
-    """Answer text from the matched items (msg_id, item_pos, name, price), in item order."""
-    line = F.struct("item_pos", F.concat(F.lit("• "), "name", F.lit(" – "), x.price_label(F.col("price"), F.lit(None).cast("bigint"), F.lit(None).cast("bigint"))).alias("line"))
-    out = rows.groupBy("msg_id").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.transform(F.sort_array(F.collect_list(line)), lambda v: v["line"]), "\n").alias("lines"))
-    return out.select("msg_id", F.concat(F.when(F.col("n") == 1, "We have this:\n").otherwise("We have these:\n"), "lines").alias("reply"))
+def generic_pools(messages: DataFrame, pool: DataFrame, intents: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Messages with the keys of their generic pool (``slug``) and of its part for their intent, and the pool's FAQs by such keys.
+
+    A pool is a language's FAQs that apply to the shop's type, for a bad mood with those for moods first. ``intent_key`` is
+    null where no FAQ of the pool has the intent in its section.
+    """
+    key = F.concat_ws("|", "lang", F.coalesce("shop_type", F.lit("")), F.col("bad").cast("string"))
+    asked = messages.withColumn("slug", key)
+    kinds = asked.select("slug", "lang", "shop_type", "bad").distinct()
+    applies = F.coalesce(F.size("shop_types") <= 0, F.lit(True)) | F.array_contains("shop_types", "all") | F.coalesce(F.array_contains("shop_types", F.col("shop_type")), F.lit(False))
+    rows = pool.join(sized(kinds), "lang").where(applies & (F.col("bad") | ~F.col("mood")))
+    rows = rows.select("slug", F.when(F.col("mood"), F.col("faq_pos")).otherwise(F.col("faq_pos") + F.lit(1 << 40)).alias("faq_pos"), "section", "q", "variants", "vec")
+    held = F.array_compact(F.array(*[F.when(F.lower("section").contains(i), F.lit(i)) for i in intents]))
+    parts = rows.withColumn("_i", F.explode(held)).withColumn("slug", F.concat_ws("|", "slug", "_i")).drop("_i")
+    known = parts.select(F.col("slug").alias("intent_key")).distinct().withColumn("_has", F.lit(True))
+    asked = asked.withColumn("intent_key", F.concat_ws("|", "slug", F.when(F.col("intent").isNotNull(), F.col("intent"))))
+    asked = asked.withColumn("intent_key", F.when(F.col("intent").isNotNull(), F.col("intent_key"))).join(sized(known), "intent_key", "left").withColumn("intent_key", F.when(F.col("_has"), F.col("intent_key"))).drop("_has")
+    return asked, rows.unionByName(parts)
+
+
+def match_cascade(messages: DataFrame, items: DataFrame, generic: DataFrame | None, embedded: DataFrame, vocabulary: DataFrame, pool: DataFrame, intents: list[str]) -> DataFrame:
+    """The answer of each message by the first pass that has one: (msg_id, pass_no, source, faq_pos, score, reply).
+
+    ``messages``: msg_id, slug, message, lang, vec, shop_type, bad (mood), greeting, broad, item_ask, about, full, item_intent,
+    intent. Passes: 1 a whole category; 2 the shop's FAQ by vector; 3 items, also in place of a weak FAQ, where items are asked
+    for; 4 items for a full question; then, unless the intent is about items, the generic pool: 5 the part of the intent and
+    6 all of it by vector, 7 by token set ratio, 8 by F1. A question about a service is not answered by items.
+    """
+    stocked = items.select("slug", F.lit(True).alias("stocked")).distinct()
+    m = messages.join(sized(stocked), "slug", "left").withColumn("stocked", F.coalesce("stocked", F.lit(False)))
+    m = scratch.table(m.withColumn("asks", F.col("stocked") & F.col("item_ask") & ~F.col("greeting") & ~F.col("broad")), "cascade-messages")
+    embedded = scratch.table(embedded, "cascade-faqs")
+    line = lambda rows, n, source, pos="cast(null as bigint)", score="1.0", reply="reply": rows.selectExpr("msg_id", f"{n} as pass_no", f"{source} as source", f"cast({pos} as bigint) as faq_pos", f"cast({score} as double) as score", f"cast({reply} as string) as reply")
+    one = it.category_lists(m.where("stocked and not greeting"), items)
+    frame = lambda k: F.when(F.col("lang") == "manglish", it.ANSWERS["manglish"][k]).otherwise(it.ANSWERS["english"][k])
+    one = line(one.join(m.select("msg_id", "lang"), "msg_id").withColumn("reply", F.concat_ws("\n", F.replace(frame(0), F.lit("{noun}"), F.col("keyword")), "reply", frame(2))), 1, "'category_list'")
+    one = scratch.table(one, "cascade-lists")
+    rest = m.join(one.select("msg_id"), "msg_id", "left_anti")
+    faq = scratch.table(faq_vector(rest, embedded, vocabulary).withColumnRenamed("score", "faq_score"), "cascade-vectors")
+    looked = it.item_answers(rest.where("stocked and not about and (asks or full)"), items, generic, broad=F.col("broad")).select("msg_id", "reply")
+    looked = scratch.table(looked, "cascade-items")
+    both = rest.select("msg_id", "slug", "lang", "asks", "full", "stocked", "item_intent").join(faq, "msg_id", "left").join(looked, "msg_id", "left")
+    weak = F.col("asks") & F.col("reply").isNotNull() & (F.col("faq_score") < F.when(F.col("lang") == "manglish", WIN_MANGLISH).otherwise(WIN_ENGLISH))
+    step = F.when(F.col("faq_score").isNotNull(), F.when(weak, 3).otherwise(2)).when(F.col("reply").isNotNull() & F.col("asks"), 3).when(F.col("reply").isNotNull() & F.col("full"), 4)
+    both = scratch.table(both.withColumn("step", step), "cascade-steps")
+    two = line(both.where("step = 2"), 2, "concat('shop:', slug)", "faq_pos", "faq_score", "null")
+    three = line(both.where("step = 3"), 3, "'item_lookup'").unionByName(line(both.where("step = 4"), 4, "'item_lookup_fallback'", score="0.9"))
+    left = m.join(both.where("step is null and not (stocked and item_intent)").select("msg_id"), "msg_id", "left_semi")
+    asked, known = (scratch.table(f, "cascade-pool") for f in generic_pools(left, pool, intents))
+    rows = known.withColumn("r", F.col("faq_pos"))
+    near = lambda a, key: vector_top(a.select(F.col("msg_id").alias("q"), F.col(key).alias("slug"), F.col("vec").alias("qv")), rows.select("slug", "r", F.col("vec").alias("rv")), "slug", 1, GENERIC_LEAST).select(F.col("q").alias("msg_id"), F.col("r").alias("faq_pos"), "score")
+    out = one.unionByName(two).unionByName(three)
+    open_ = asked
+    for n, found, source in ((5, lambda a: near(a.where("intent_key is not null"), "intent_key"), "lang"), (6, lambda a: near(a, "slug"), "lang"), (7, lambda a: faq_fuzzy(a, known).withColumn("score", F.round(F.col("score") / 100, 4)), "concat(lang, '_fuzzy')"), (8, lambda a: faq_f1(a, known), "concat(lang, '_f1')")):
+        hit = found(open_).withColumn("faq_pos", F.col("faq_pos") % F.lit(1 << 40)).join(left.select("msg_id", "lang"), "msg_id")
+        hit = scratch.table(hit, "cascade-hits")
+        # without a part of its own for the intent, the whole pool is what the first of the two searches covers
+        out = out.unionByName(line(hit, n, source, "faq_pos", "score", "null"))
+        open_ = open_.join(hit.select("msg_id"), "msg_id", "left_anti")
+    return out
 
 
 def llm_requests(open_rows: DataFrame, context: DataFrame, temperature: float = 0.3, tokens: int = 200) -> DataFrame:
-    """Requests for a model: a prompt with the retrieved chunks (msg_id, text, r), or the bare message."""
+    """Requests for a model (msg_id, kind, prompt, temperature, max_tokens) of routed messages (msg_id, message, lang, route, answer, answer_lang).
+
+    ``social`` for small talk; ``rephrase_manglish`` or ``rephrase_english`` of an answer in the other language; else a prompt with
+    the retrieved chunks (msg_id, text, r), or the bare message. Prices and lists of items are never rephrased.
+    """
     c = context.groupBy("msg_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("r", "text"))), lambda v: v["text"]), "\n").alias("ctx"))
     out = open_rows.join(c, "msg_id", "left")
-    return out.select("msg_id", F.when(F.col("ctx").isNull(), "free").otherwise("context").alias("kind"), F.concat_ws("\n", F.coalesce(F.concat(F.lit("Facts:\n"), "ctx"), F.lit("No facts.")), F.concat(F.lit("Question: "), "message")).alias("prompt"), F.lit(temperature).alias("temperature"), F.lit(tokens).alias("max_tokens"))
+    kind = F.when(F.col("route") == "small_talk", "social").when(F.col("answer").isNotNull() & (F.col("answer_lang") != F.col("lang")), F.concat(F.lit("rephrase_"), "lang")).when(F.col("ctx").isNotNull(), "context").otherwise("free")
+    about = F.when(F.col("kind").startswith("rephrase"), F.concat(F.lit("Answer:\n"), "answer")).when(F.col("kind") == "context", F.concat(F.lit("Facts:\n"), "ctx")).when(F.col("kind") == "free", "No facts.")
+    heat = F.when(F.col("kind") == "context", temperature / 2).when(F.col("kind") == "social", temperature * 2).otherwise(temperature)
+    return out.withColumn("kind", kind).where("answer is null or kind like 'rephrase%'").select("msg_id", "kind", F.concat_ws("\n", about, F.concat(F.lit("Question: "), "message"), F.concat(F.lit("Language: "), "lang")).alias("prompt"), heat.alias("temperature"), F.lit(tokens).alias("max_tokens"))
 
 
 def clean_replies(replies: DataFrame, preamble: str, denial: str, fallback: str) -> DataFrame:
-    """Returned replies (msg_id, had_facts, reply): preambles cut, denials in spite of facts replaced."""
-    cut = F.trim(F.regexp_replace("reply", preamble, ""))
-    return replies.select("msg_id", F.when(F.col("had_facts") & F.lower(cut).rlike(denial), fallback).otherwise(cut).alias("reply"))
+    """Returned replies (msg_id, kind, had_facts, ok, reply, offer_code, answer) -> (msg_id, reply).
+
+    Preambles go; a denial in spite of facts, an empty reply and one of a degraded model are replaced by the fallback, or, where
+    an answer was to be rephrased, by that answer; ``[offer_code]`` is filled in.
+    """
+    cut = F.trim(F.regexp_replace(F.regexp_replace("reply", preamble, ""), r"(?i)^a:\s*", ""))
+    bad = ~F.col("ok") | F.coalesce(cut == "", F.lit(True)) | (F.col("had_facts") & F.coalesce(F.lower(cut).rlike(denial), F.lit(False)))
+    code = F.coalesce(x.blank_to_null(F.col("offer_code")), F.lit("our special code"))
+    return replies.select("msg_id", F.when(bad, F.coalesce("answer", F.lit(fallback))).otherwise(F.replace(cut, F.lit("[offer_code]"), code)).alias("reply"))
+
+
+# Registered queries
 
 
 def _m(s, d):
     return t.messages(s, d)
 
 
-def _late(s, d):
-    return _m(s, d).where("turn >= 2")
+def _vectors(s, d):
+    """Vectors with a shop, a language and a text; those of ids divisible by 20 ask."""
+    e = t.read(s, d, "embeddings").join(t.read(s, d, "documents").selectExpr("doc_id as vec_id", "text"), "vec_id", "left")
+    e = e.selectExpr("vec_id", f"{_SHOP} as slug", f"{_QLANG} as qlang", "embedding as vec", "coalesce(text, '') as text", f"{_TYPE} as faq_type")
+    return e.where("vec_id % 20 = 0").selectExpr("vec_id as msg_id", "slug", "if(vec_id % 40 = 0, 'manglish', 'english') as lang", "text as message", "vec"), e.selectExpr("vec_id as row", "vec_id as faq_pos", "slug", "qlang", "text as qtext", "faq_type", "vec")
 
 
-def _faqs(s, d):
-    return t.faqs(s, d).where("faq_pos % 1000 < 2")
+_SHOP = "concat('v', cast(label as string))"
+_QLANG = "case when vec_id % 3 = 0 and label % 2 = 0 then 'ml' else 'en' end"
+_TYPE = "case when vec_id % 7 = 0 then 'disclaimer' end"
 
 
-def _asks(s, d):
-    """Messages about items: names of the shop's items with words around."""
-    i = t.items(s, d).where("item_pos % 13 = 0")
-    return i.select(F.col("item_pos").alias("msg_id"), "slug", F.concat(F.lit("Do you have "), F.lower("name"), F.lit(" or "), F.lower("category"), F.lit("?")).alias("message"))
+def _others(s, d, n: int):
+    """The ``n`` best rows of each asking vector in its pool, without itself."""
+    asked, known = by_language(*_vectors(s, d))
+    best = vector_top(asked.select(F.col("msg_id").alias("q"), "pool", F.col("vec").alias("qv")), known.select(F.col("row").alias("r"), "pool", F.col("vec").alias("rv")), "pool", n + 1, -1.0)
+    return top(best.where("q <> r"), "q", [F.desc("score"), "r"], n)
 
 
-def _vectors(s, d):
-    e = t.read(s, d, "embeddings")
-    return e.where("vec_id % 20 = 0").selectExpr("vec_id as q", "label", "embedding as qv"), e.where("vec_id % 20 <> 0").selectExpr("vec_id as r", "label", "embedding as rv")
+def _ties(s, d):
+    m, e = _vectors(s, d)
+    rows = _others(s, d, 5).join(m.select(F.col("msg_id").alias("q"), "message"), "q").join(e.select(F.col("row").alias("r"), "qtext"), "r")
+    overlap = F.round(x.jaccard(F.array_distinct(x.words(F.col("message"))), F.array_distinct(x.words(F.col("qtext")))), 6)
+    return near_ties(rows.select(F.col("q").alias("key"), F.col("r").alias("cand"), "score", overlap.alias("overlap")))
 
 
 def _chunk_rows(s, d):
     return t.faqs(s, d).select("slug", F.col("faq_pos").alias("chunk_pos"), F.col("a").alias("text"))
 
 
-def _cascade(s, d):
-    m, f = _late(s, d), _faqs(s, d)
-    one = faq_f1(m, f, 0.3).select("msg_id", F.col("faq_pos").alias("answer_id"), "score", F.lit("f1").alias("source"))
-    two = chunks_for(m, _chunk_rows(s, d), 1).select("msg_id", F.col("chunk_pos").alias("answer_id"), "score", F.lit("chunk").alias("source"))
-    return cascade([one, two])
+def _found(s, d):
+    """F1 matches of all messages, as the gate sees them."""
+    f = faq_f1(_m(s, d), t.phrased(s, d)).join(_m(s, d).select("msg_id", "message", F.expr(_LANG).alias("lang")), "msg_id")
+    return f.join(t.phrased(s, d).select("faq_pos", F.concat_ws(" ", "q", "a").alias("faq_text")), "faq_pos")
 
 
-def _ties(s, d):
-    q, r = _vectors(s, d)
-    v = vector_top(q, r, "label", 8).select(F.col("q").alias("key"), F.col("r").alias("cand"), "score", (F.col("r") % 7).alias("overlap"))
-    return near_ties(v, 0.1)
+_LANG = "case when session_id % 3 = 0 then 'manglish' else 'english' end"
 
 
 def _grounding(s, d):
-    f = faq_f1(_late(s, d), _faqs(s, d), 0.2).join(_late(s, d), "msg_id").join(_faqs(s, d).select("faq_pos", "a"), "faq_pos")
-    return f.where(grounded(F.col("score"), F.col("message"), F.col("a"), STOP, 0.25)).select("msg_id", "faq_pos", "score")
+    """Which F1 matches and which best chunks ground an answer."""
+    f = _found(s, d).select("msg_id", F.lit("faq").alias("kind"), "faq_pos", "score", passes_gate(F.col("score"), F.lit("english_f1"), F.col("lang"), F.col("message"), F.col("faq_text")).alias("passes"))
+    c = chunks_for(_m(s, d), _chunk_rows(s, d), 1).join(_m(s, d).select("msg_id", "message"), "msg_id").join(_chunk_rows(s, d).select("chunk_pos", "text"), "chunk_pos")
+    return f.unionByName(c.select("msg_id", F.lit("chunk").alias("kind"), F.col("chunk_pos").alias("faq_pos"), "score", chunk_grounds(F.col("score"), F.col("message"), F.col("text")).alias("passes")))
+
 
+def _cascade(s, d):
+    return match_cascade(**cascade_inputs(s, d)).drop("reply").withColumn("pass_no", F.col("pass_no").cast("int"))
 
-def _category_list(s, d):
-    """Items whose name holds the message's keyword as a word, but not after ``non``; at least two."""
-    asks = t.items(s, d).where("item_pos % 41 = 0").select(F.col("item_pos").alias("msg_id"), "slug", F.lower(F.element_at(F.split("name", " "), 1)).alias("keyword"))
-    found = asks.join(t.items(s, d).withColumn("keyword", F.explode(F.array_distinct(x.words(F.col("name"))))), ["slug", "keyword"]).where(~F.lower("name").rlike(r"non[- ]") | F.lit(False))
-    return found.groupBy("msg_id", "keyword").agg(F.count(F.lit(1)).alias("n"), F.min("item_pos").alias("first")).where("n >= 2")
+
+def cascade_inputs(s, d) -> dict:
+    """All messages and questions about items, with the FAQs of the shops as their FAQ rows and the benchmark as the generic pool."""
+    encode = hashing_encoder()
+    spoken = t.messages(s, d).selectExpr("msg_id", "slug", "message", f"{_LANG} as lang")
+    m = spoken.unionByName(t.asks(s, d).selectExpr("-1 - msg_id as msg_id", "slug", "message", "lang")).withColumn("vec", encode("message"))
+    w = x.words(F.col("message"))
+    has = lambda *v: F.arrays_overlap(w, x.lit_array(v))
+    m = m.withColumns({
+        "shop_type": F.expr("if(slug = 'shop-1', 'bakery', 'salon')"), "bad": F.col("message").contains("ough"), "greeting": has("hello"), "broad": F.lower("message").contains("services undo"), "item_ask": has("undo", "have", "price"), "about": has("included"),
+        "full": has("is", "do") & (F.size(w) >= 3), "item_intent": has("price", "undo"), "intent": F.when(has("de", "la"), "returns").when(has("the"), "delivery"),
+    })
+    faqs = t.phrased(s, d)
+    embedded = phrasings(faqs).join(faqs.select("slug", "faq_pos", "faq_type"), ["slug", "faq_pos"]).selectExpr("faq_pos * 10 + phrase_pos as row", "slug", "faq_pos", "if(faq_pos % 4 = 0, 'ml', 'en') as qlang", "phrase as qtext", "faq_type").withColumn("vec", encode("qtext"))
+    pool = t.read(s, d, "benchmark").selectExpr("item_id as faq_pos", "if(item_id % 2 = 0, 'english', 'manglish') as lang", "item_id % 5 = 0 as mood", "case when item_id % 3 = 0 then array('bakery') when item_id % 3 = 1 then array('all') end as shop_types", "if(item_id % 4 = 0, 'Delivery', 'Returns policy') as section", "text as q", "array(upper(text)) as variants").withColumn("vec", encode("q"))
+    described = t.described(s, d)
+    from .analytics import vocabulary
+
+    return {"messages": m, "items": described, "generic": it._generic(described), "embedded": embedded, "vocabulary": vocabulary(described, STOP), "pool": pool, "intents": ["delivery", "returns"]}
 
 
 def _requests(s, d):
-    c = chunks_for(_late(s, d), _chunk_rows(s, d), 2).where("score > 0.3").join(_chunk_rows(s, d), "chunk_pos").select("msg_id", "text", F.col("chunk_pos").alias("r"))
-    return llm_requests(_late(s, d), c)
+    """Requests of all messages: a third have an answer in a language, others go with the chunks that ground them."""
+    m = _m(s, d).selectExpr("msg_id", "slug", "message", f"{_LANG} as lang", "if(turn = 0 and session_id % 5 = 0, 'small_talk', 'open') as route", "case when session_id % 4 = 1 then substring(message, 3) end as answer", "if(session_id % 2 = 0, 'manglish', 'english') as answer_lang")
+    c = chunks_for(m, _chunk_rows(s, d), 2).where(F.col("score") >= CHUNK_LEAST).join(_chunk_rows(s, d).select("chunk_pos", "text"), "chunk_pos").select("msg_id", "text", F.col("chunk_pos").alias("r"))
+    return llm_requests(m, c)
+
+
+def _replies(s, d):
+    r = t.faqs(s, d).selectExpr("faq_pos as msg_id", "concat(case faq_pos % 4 when 0 then 'Sure! ' when 1 then 'A: ' else '' end, a, if(faq_pos % 3 = 0, ' [offer_code]', '')) as reply", "faq_pos % 8 < 4 as had_facts", "faq_pos % 7 <> 0 as ok", "if(faq_pos % 2 = 0, 'X5', ' ') as offer_code", "if(faq_pos % 14 = 0, q, null) as answer")
+    return clean_replies(r, "^Sure! ", "thon", "Please ask us.")
+
+
+def overlay(found: DataFrame, defaults: dict[str, str | None], required: list[str]) -> DataFrame:
+    """Extracted shop values over defaults, ignoring blanks and N/A, and which required fields were not found."""
+    real = lambda c: F.when(~F.upper(F.trim(F.col(c).cast("string"))).isin("", "N/A"), F.col(c))
+    missing = F.array_join(F.array_compact(F.array(*[F.when(real(c).isNull(), F.lit(c)) for c in required])), ",")
+    return found.select("slug", *[F.coalesce(real(c), F.lit(v)).alias(c) for c, v in defaults.items()], missing.alias("missing"))
 
 
 def _overlay(s, d):
-    """Extracted shop values over defaults, ignoring blanks and N/A; the required fields still missing."""
-    r = t.shops(s, d).select("slug", F.when(F.col("shop_pos") % 3 == 0, " ").otherwise(F.col("shop_name")).alias("shop_name"), F.when(F.col("shop_pos") % 2 == 0, "N/A").otherwise(F.col("city")).alias("city"))
-    real = lambda c: F.when(~F.upper(F.trim(c)).isin("", "N/A"), F.col(c))
-    return r.select("slug", F.coalesce(real("shop_name"), F.lit("My shop")).alias("shop_name"), real("city").alias("city"), F.array_join(F.array_compact(F.array(F.when(real("shop_name").isNull(), "shop_name"), F.when(real("city").isNull(), "city"))), ",").alias("missing"))
+    shops = t.shops(s, d).selectExpr("slug", "if(shop_pos % 3 = 0, ' ', shop_name) as shop_name", "if(shop_pos % 2 = 0, 'N/A', city) as city", "if(shop_pos % 5 = 0, null, concat('+91 ', shop_pos)) as phone", "if(shop_pos % 4 = 0, 'n/a', 'UPI') as payment")
+    return overlay(shops, {"shop_name": "My shop", "city": None, "phone": None, "payment": "UPI, Cash"}, ["shop_name", "city", "phone", "payment"])
+
+
+def with_config(messages: DataFrame, config: DataFrame, defaults: dict[str, str]) -> DataFrame:
+    """Messages with their shop's settings; unknown shops and missing values take the defaults."""
+    return messages.join(sized(config), "slug", "left").withColumns({k: F.coalesce(F.col(k), F.lit(v)) for k, v in defaults.items()})
 
 
 QUERIES = {
-    "jn_config": lambda s, d: _m(s, d).join(F.broadcast(t.shops(s, d).where("shop_pos < 8").select("slug", "shop_name", "city")), "slug", "left").select("msg_id", F.coalesce("shop_name", F.lit("My shop")).alias("shop_name"), F.coalesce("city", F.lit("")).alias("city")),
+    "jn_config": lambda s, d: with_config(_m(s, d), t.shops(s, d).select("slug", "shop_name", "city"), {"shop_name": "My shop", "city": ""}).select("msg_id", "shop_name", "city"),
     "jn_profile": lambda s, d: t.shops(s, d).withColumn("kind", F.element_at(x.lit_array(["bakery", "salon", "zoo"]), (F.col("shop_pos") % 3 + 1).cast("int"))).select("slug", F.coalesce(F.try_element_at(x.lit_map({"bakery": "cakes", "salon": "services"}), F.col("kind")), F.lit("items")).alias("label")),
-    "jn_faq_f1": lambda s, d: faq_f1(_late(s, d), _faqs(s, d), 0.2),
-    "jn_faq_fuzzy": lambda s, d: faq_fuzzy(_m(s, d), t.faqs(s, d), 40.0),
-    "jn_faq_vector": lambda s, d: vector_top(*_vectors(s, d), "label"),
-    "jn_chunk": lambda s, d: chunks_for(_late(s, d), _chunk_rows(s, d)),
+    "jn_faq_f1": lambda s, d: faq_f1(_m(s, d), t.phrased(s, d)),
+    "jn_faq_fuzzy": lambda s, d: faq_fuzzy(_m(s, d), t.phrased(s, d)),
+    "jn_faq_vector": lambda s, d: _others(s, d, 1),
+    "jn_chunk": lambda s, d: chunks_for(_m(s, d), _chunk_rows(s, d)),
     "flt_grounding": _grounding,
     "win_near_tie": _ties,
     "jn_match_cascade": _cascade,
     "gen_llm_requests": _requests,
-    "prj_llm_reply": lambda s, d: clean_replies(t.faqs(s, d).select("faq_pos", F.concat(F.when(F.col("faq_pos") % 2 == 0, "Sure! ").otherwise(""), "a").alias("reply"), (F.col("faq_pos") % 4 < 2).alias("had_facts")).withColumnRenamed("faq_pos", "msg_id"), "^Sure! ", "thon", "Please ask us."),
+    "prj_llm_reply": _replies,
     "prj_config_overlay": _overlay,
 }
-_LATE = f"(select * from {t.MESSAGES} where turn >= 2)"
-_FQ = f"(select * from {t.FAQS} where faq_pos % 1000 < 2)"
-_ASK = f"(select item_pos as msg_id, slug, 'Do you have ' || lower(name) || ' or ' || lower(category) || '?' as message from {t.ITEMS} where item_pos % 13 = 0)"
-_WORDS = "regexp_extract_all(lower({0}), '[\\p{{L}}\\p{{N}}_]+')"
+_WORDS = it._WORDS
+_STOPS = it._lit(STOP)
 
 
 def _best(inner: str, n: int, order: str, key: str = "msg_id") -> str:
     return f"(select * exclude (rk) from (select *, row_number() over (partition by {key} order by {order}) as rk from ({inner})) where rk <= {n})"
 
 
-def _f1_sql(least: float) -> str:
-    return _best(f"select msg_id, faq_pos, score from (select msg_id, faq_pos, round(2.0 * len(list_intersect(a, b)) / (len(a) + len(b)), 6) as score from (select msg_id, slug, list_distinct({_WORDS.format('message')}) as a from {_LATE}) join (select slug, faq_pos, list_distinct({_WORDS.format('q')}) as b from {_FQ}) using (slug)) where score >= {least}", 1, "score desc, faq_pos")
+def _set(c: str) -> str:
+    return f"list_distinct({_WORDS.format(c)})"
+
+
+def _content(c: str) -> str:
+    return f"list_filter({_WORDS.format(c)}, lambda w: length(w) >= 3 and not list_contains({_STOPS}, w))"
 
 
-_CHUNK = f"select msg_id, chunk_pos, round(len(list_intersect(a, b)) / len(a), 6) as score from (select msg_id, slug, list_distinct({_WORDS.format('message')}) as a from {_LATE}) join (select slug, faq_pos as chunk_pos, list_distinct({_WORDS.format('a')}) as b from {t.FAQS}) using (slug) where len(list_intersect(a, b)) > 0"
+_PHRASED = f"(select slug, faq_pos, q, a, unnest(list_filter(list_transform(list_concat([q], variants), lambda v: trim(v)), lambda v: v <> '')) as phrase from {t.PHRASED})"
+_SCORES = f"""select msg_id, faq_pos, max(round(case when len(list_intersect(a, b)) > 0 then 2.0 * len(list_intersect(a, b)) / (len(a) + len(b)) else 0.0 end, 4)) as score from (select msg_id, slug, {_set('message')} as a from {t.MESSAGES}) join (select slug, faq_pos, {_set('phrase')} as b from {_PHRASED}) using (slug) group by msg_id, faq_pos"""
+_F1 = _best(f"select * from ({_SCORES}) where score >= {F1_LEAST}", 1, "score desc, faq_pos")
+_TOKENS = "list_filter({0}, lambda w: not list_contains(" + _STOPS + ", w))"
+_ASKED = f"(select msg_id, slug, session_id, turn, message, {_TOKENS.format(_set('message'))} as a from {t.MESSAGES})"
+_CHUNKS = f"(select slug, faq_pos as chunk_pos, a as text, {_TOKENS.format(_set('a'))} as b from {t.FAQS})"
+_CHUNK = f"""select msg_id, chunk_pos, case when len(a) = 0 then 0.1 else round(len(list_intersect(a, b)) / len(a), 6) end as score from {_ASKED} join {_CHUNKS} using (slug) where len(a) = 0 or len(list_intersect(a, b)) > 0"""
 _COS = "round(list_sum(list_transform(range(1, 65), lambda i: cast(q.embedding[i] as double) * cast(r.embedding[i] as double))), 4)"
-_VEC = f"select q.vec_id as q, r.vec_id as r, {_COS} as score from embeddings q join embeddings r on q.label = r.label and q.vec_id % 20 = 0 and r.vec_id % 20 <> 0"
-_PHRASE = f"""select distinct msg_id, item_pos, name, price from (select msg_id, slug, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) as g from (select msg_id, slug, {_WORDS.format('message')} as w from {_ASK})) join {t.ITEMS} using (slug) where length(g) >= 7 and contains(lower(name), g)"""
-_SCORE = f"""select msg_id, item_pos, round(sum(case when list_contains(n, k) then 3.0 when len(list_filter(n, lambda v: starts_with(v, k))) > 0 then 1.0 else 0.0 end + case when list_contains(c, k) then 0.4 else 0.0 end), 4) as score from (
-  select msg_id, slug, unnest(list_filter(list_distinct({_WORDS.format('message')}), lambda v: v not in ('do', 'you', 'have', 'or'))) as k from {_ASK}) join (select slug, item_pos, string_split(lower(name), ' ') as n, string_split(lower(category), ' ') as c from {t.ITEMS}) using (slug) group by msg_id, item_pos"""
+_EMB = f"(select vec_id, label, embedding, {_QLANG} as qlang, case when vec_id % 40 = 0 then 'ml' else 'en' end as want from embeddings)"
+_VEC = f"select q.vec_id as q, r.vec_id as r, {_COS} as score from {_EMB} q join {_EMB} r on q.label = r.label and q.vec_id % 20 = 0 and q.vec_id <> r.vec_id and (q.want = r.qlang or (q.label, q.want) not in (select (label, qlang) from {_EMB}))"
+_TEXTS = "(select vec_id, coalesce(text, '') as text from embeddings left join documents on vec_id = doc_id)"
+_JACC = f"round(case when len(list_distinct(list_concat({_set('m.text')}, {_set('c.text')}))) > 0 then len(list_intersect({_set('m.text')}, {_set('c.text')})) / len(list_distinct(list_concat({_set('m.text')}, {_set('c.text')}))) else 0.0 end, 6)"
+_CUT = "trim(regexp_replace(regexp_replace(reply, '^Sure! ', ''), '(?i)^a:\\s*', ''))"
+_REPLY = "(select faq_pos as msg_id, concat(case faq_pos % 4 when 0 then 'Sure! ' when 1 then 'A: ' else '' end, a, if(faq_pos % 3 = 0, ' [offer_code]', '')) as reply, faq_pos % 8 < 4 as had_facts, faq_pos % 7 <> 0 as ok, if(faq_pos % 2 = 0, 'X5', 'our special code') as code, if(faq_pos % 14 = 0, q, null) as answer from " + t.FAQS + ")"
 SQL = {
-    "jn_config": f"select msg_id, coalesce(shop_name, 'My shop') as shop_name, coalesce(city, '') as city from {t.MESSAGES} left join (select * from {t.SHOPS} where shop_pos < 8) using (slug)",
+    "jn_config": f"select msg_id, coalesce(shop_name, 'My shop') as shop_name, coalesce(city, '') as city from {t.MESSAGES} left join {t.SHOPS} using (slug)",
     "jn_profile": f"select slug, case shop_pos % 3 when 0 then 'cakes' when 1 then 'services' else 'items' end as label from {t.SHOPS}",
-    "jn_faq_f1": f"select * from {_f1_sql(0.2)}",
-    "jn_faq_vector": f"select * from {_best(f'select * from ({_VEC}) where score >= 0', 1, 'score desc, r', 'q')}",
+    "jn_faq_f1": f"select * from {_F1}",
+    "jn_faq_vector": f"select * from {_best(_VEC, 1, 'score desc, r', 'q')}",
     "jn_chunk": f"select * from {_best(_CHUNK, 5, 'score desc, chunk_pos')}",
-    "flt_grounding": f"""select msg_id, faq_pos, score from {_f1_sql(0.2)} join (select msg_id, message from {_LATE}) using (msg_id) join (select faq_pos, a from {_FQ}) using (faq_pos) where score >= 0.25 and (score >= 0.75 or
-        list_has_any(list_filter({_WORDS.format('message')}, lambda w: length(w) >= 3 and w not in ('the', 'and', 'for', 'der', 'die', 'und')), list_filter({_WORDS.format('a')}, lambda w: length(w) >= 3 and w not in ('the', 'and', 'for', 'der', 'die', 'und'))))""",
-    "win_near_tie": f"""select key, cand, score from (select *, row_number() over (partition by key order by cand % 7 desc, r5) as r2 from (select *, max(score) over (partition by key) as best from (select q as key, r as cand, score, row_number() over (partition by q order by score desc, r) as r5 from ({_VEC}) where score >= 0) where r5 <= 5) where best - score <= 0.1) where r2 = 1""",
-    "jn_match_cascade": f"""select msg_id, cast(case when f.faq_pos is not null then 0 else 1 end as int) as pass_no, cast(coalesce(f.faq_pos, c.chunk_pos) as varchar) as answer_id, coalesce(f.score, c.score) as score, case when f.faq_pos is not null then 'f1' else 'chunk' end as source
-        from {_f1_sql(0.3)} f full join {_best(_CHUNK, 1, 'score desc, chunk_pos')} c using (msg_id)""",
-    "gen_llm_requests": f"""select msg_id, case when ctx is null then 'free' else 'context' end as kind, coalesce('Facts:' || chr(10) || ctx, 'No facts.') || chr(10) || 'Question: ' || message as prompt, cast(0.3 as double) as temperature, cast(200 as int) as max_tokens from {_LATE}
-        left join (select msg_id, string_agg(a, chr(10) order by chunk_pos) as ctx from {_best(_CHUNK, 2, 'score desc, chunk_pos')} join (select faq_pos as chunk_pos, a from {t.FAQS}) using (chunk_pos) where score > 0.3 group by msg_id) using (msg_id)""",
-    "prj_llm_reply": f"select faq_pos as msg_id, case when faq_pos % 4 < 2 and contains(lower(a), 'thon') then 'Please ask us.' else trim(a) end as reply from {t.FAQS}",
-    "prj_config_overlay": f"select slug, case when shop_pos % 3 = 0 then 'My shop' else shop_name end as shop_name, case when shop_pos % 2 = 1 then city end as city, concat_ws(',', case when shop_pos % 3 = 0 then 'shop_name' end, case when shop_pos % 2 = 0 then 'city' end) as missing from {t.SHOPS}",
+    "flt_grounding": f"""select msg_id, 'faq' as kind, faq_pos, score, score >= case when session_id % 3 = 0 then {GATE_MANGLISH} else {GATE_ENGLISH} end and (score >= {SURE} or len({_content('message')}) = 0 or list_has_any({_content('message')}, {_WORDS.format("q || ' ' || a")})) as passes from {_F1} join {t.MESSAGES} using (msg_id) join {t.PHRASED} using (faq_pos)
+        union all select msg_id, 'chunk', chunk_pos, score, score >= {CHUNK_LEAST} and list_has_any(a, b) from {_best(_CHUNK, 1, 'score desc, chunk_pos')} join {_ASKED} using (msg_id) join (select chunk_pos, b from {_CHUNKS}) using (chunk_pos)""",
+    "win_near_tie": f"""select key, cand, score from (select *, row_number() over (partition by key order by overlap desc, r5) as r2 from (select *, max(score) over (partition by key) as best from (select q as key, r as cand, score, {_JACC} as overlap, row_number() over (partition by q order by score desc, r) as r5
+        from {_best(_VEC, 5, 'score desc, r', 'q')} join {_TEXTS} m on m.vec_id = q join {_TEXTS} c on c.vec_id = r)) where round(best - score, 4) <= {NEAR_TIE}) where r2 = 1""",
+    "gen_llm_requests": f"""with m as (select *, {_LANG} as lang, turn = 0 and session_id % 5 = 0 as social, case when session_id % 4 = 1 then substring(message, 3) end as answer, if(session_id % 2 = 0, 'manglish', 'english') as answer_lang from {t.MESSAGES}),
+        c as (select msg_id, string_agg(text, chr(10) order by chunk_pos) as ctx from {_best(_CHUNK, 2, 'score desc, chunk_pos')} join (select chunk_pos, text from {_CHUNKS}) using (chunk_pos) where score >= {CHUNK_LEAST} group by msg_id),
+        k as (select *, case when social then 'social' when answer is not null and answer_lang <> lang then 'rephrase_' || lang when ctx is not null then 'context' else 'free' end as kind from m left join c using (msg_id))
+        select msg_id, kind, concat_ws(chr(10), case when kind like 'rephrase%' then 'Answer:' || chr(10) || answer when kind = 'context' then 'Facts:' || chr(10) || ctx when kind = 'free' then 'No facts.' end, 'Question: ' || message, 'Language: ' || lang) as prompt,
+        cast(case kind when 'context' then 0.15 when 'social' then 0.6 else 0.3 end as double) as temperature, cast(200 as int) as max_tokens from k where answer is null or kind like 'rephrase%'""",
+    "prj_llm_reply": f"select msg_id, case when not ok or {_CUT} = '' or (had_facts and regexp_matches(lower({_CUT}), 'thon')) then coalesce(answer, 'Please ask us.') else replace({_CUT}, '[offer_code]', code) end as reply from {_REPLY}",
+    "prj_config_overlay": f"""select slug, case when shop_pos % 3 = 0 then 'My shop' else shop_name end as shop_name, case when shop_pos % 2 = 1 then city end as city, case when shop_pos % 5 <> 0 then '+91 ' || shop_pos end as phone, case when shop_pos % 4 = 0 then 'UPI, Cash' else 'UPI' end as payment,
+        concat_ws(',', case when shop_pos % 3 = 0 then 'shop_name' end, case when shop_pos % 2 = 0 then 'city' end, case when shop_pos % 5 = 0 then 'phone' end, case when shop_pos % 4 = 0 then 'payment' end) as missing from {t.SHOPS}""",
 }

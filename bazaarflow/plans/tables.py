@@ -28,6 +28,16 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "part").selectExpr("concat('shop-', p_partkey % 10) as slug", "p_partkey as item_pos", "p_name as name", "p_type as category", "p_brand as brand", "cast(floor(p_retailprice) as bigint) as price", "p_size as size")
 
 
+#: Other wordings of a question: its last two thirds, its first half, the rest from a quarter on.
+PRIMARY = "substring(q, cast(floor(length(q) / 3) as int) + 1) as q"
+VARIANTS = "{0}(substring(q, 1, cast(floor(length(q) / 2) as int)), ' ', lower(substring(q, cast(floor(length(q) / 4) as int) + 1))) as variants"
+
+
+def phrased(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FAQs in other wordings than the messages that they come from."""
+    return faqs(spark, sf_dir).selectExpr("slug", "faq_pos", "faq_id", PRIMARY, VARIANTS.format("array"), "a", "if(faq_pos % 6 = 0, 'disclaimer', null) as faq_type")
+
+
 #: A short description of an item; the words that ask about one; both as SQL of either engine.
 DESCRIPTION = "concat(lower(replace(brand, '#', ' ')), 'x', size)"
 ASK = """case item_pos % 7 when 0 then concat('Do you have ', name, '?') when 1 then concat(lower(category), ' undo') when 2 then concat('price of ', name, 's please')
@@ -62,6 +72,7 @@ def chat_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 MESSAGES = "(select conv_id * 1000 + turn as msg_id, 'shop-' || (conv_id % 10) as slug, conv_id as session_id, turn, text as message from conversations where role = 'user')"
 FAQS = "(select 'shop-' || (q.conv_id % 10) as slug, q.conv_id * 1000 + q.turn as faq_pos, 'faq_' || q.conv_id || '_' || q.turn as faq_id, q.text as q, a.text as a from conversations q join conversations a on q.conv_id = a.conv_id and a.turn = q.turn + 1 where q.role = 'user' and a.role = 'assistant')"
+PHRASED = f"(select slug, faq_pos, faq_id, {PRIMARY}, {VARIANTS.format('list_value')}, a from {FAQS})"
 ITEMS = "(select 'shop-' || (p_partkey % 10) as slug, p_partkey as item_pos, p_name as name, p_type as category, p_brand as brand, cast(floor(p_retailprice) as bigint) as price, p_size as size from part)"
 DESCRIBED = f"(select slug, item_pos, case when size % 9 = 0 then 'Non-' || name else name end as name, category, {DESCRIPTION} as description, price, brand, size from {ITEMS})"
 ASKS = f"(select item_pos as msg_id, slug, {ASK} as message, case when item_pos % 2 = 0 then 'manglish' else 'english' end as lang from {ITEMS})"
