@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as x
+from ..plans.sizing import sized
 
 #: Guards in order, with what a message that they catch is logged as: source, bypass, sent_source, sentiment ('' = detected), confidence, faq_source, faq_id, faq_score.
 ROUTES = [
@@ -20,6 +21,7 @@ ROUTES = [
     ("location", "faq", "location_guard", "location_guard", "neutral", 0.99, "lang", "store_001", 0.99),
     ("off_domain", "compliment", "off_domain", "off_domain_guard", "neutral", 0.99, None, None, None),
     ("order_status", "faq", "order_status", "order_status_guard", "neutral", 0.99, None, "order_status_redirect", 1.0),
+    ("unknown_item", "compliment", "unknown_item", "unknown_item_guard", "neutral", 0.95, None, None, None),
     ("blocked", "compliment", "blocked_topic", "blocked_topic", "neutral", 0.99, None, None, None),
     ("booking", "faq", "booking_fastpath", "booking_fastpath", "neutral", 0.99, "config_booking", "booking_001", 0.99),
     ("escalate", "escalation", "human_escalation", "detected", "", None, None, None, None),
@@ -40,6 +42,17 @@ PATTERNS = {
     "offer": r"\b(offer|discount|coupon|promo)",
 }
 LEXICON = {"sarcastic": ["wow great job", "yeah right"], "urgent": ["urgent", "immediately", "asap"], "negative": ["bad", "worst", "terrible", "refund"], "positive": ["love", "excellent", "perfect"]}
+#: The longer table, for shops' items and services.
+ITEM_INTENTS = {
+    "hours": ["open", "close", "timing", "hour", "eppo"], "location": ["where", "address", "location", "evide"], "contact": ["contact", "phone", "call", "email"], "payment": ["payment", "pay", "upi", "card", "cash"], "delivery": ["delivery", "shipping", "parcel"],
+    "returns": ["return", "exchange", "refund", "cancel"], "offer": ["offer", "discount", "coupon"], "complaint": ["complaint", "problem", "damaged", "fraud"], "booking": ["book", "appointment", "slot", "reserve"], "services": ["service", "facial", "waxing", "haircut", "undo"],
+    "food": ["menu", "food", "dish", "biryani", "chicken"], "items": ["product", "item", "brand", "stock", "available"], "price": ["price", "cost", "rate", "how much", "ethra"],
+}
+#: Words that keep a thank-you from being one, and the words of a topic that a shop can block.
+NOT_A_COMPLIMENT = ["help", "location", "where", "need", "want", "order", "return", "refund", "price", "offer", "problem", "complaint", "how", "what", "when", "undo", "evide", "ethra"]
+BLOCK_WORDS = {"returns": ["return", "exchange", "replace"], "delivery": ["delivery", "shipping", "parcel"], "tracking": ["track", "order status"], "size": ["size", "measurements"], "cod": ["cod", "cash on delivery"], "review": ["review", "rating", "feedback"]}
+OFF_DOMAIN = {"clothing": ["chicken", "dosa", "doctor", "medicine"], "beauty_parlour": ["food", "chicken", "biryani"], "restaurant": ["saree", "facial", "tablet"]}
+URGENT_TOPICS = ["fraud", "refund", "complaint", "wrong_product", "damaged"]
 INTENTS = {"greeting": ["hello"], "price": ["price", "cost", "how much"], "delivery": ["deliver", "shipping"], "return": ["return", "exchange"], "payment": ["pay", "upi", "card"], "hours": ["open", "close", "timing"], "location": ["where", "address"], "offer": ["offer", "discount"], "complaint": ["complaint", "damaged"], "product": ["have", "available"]}
 
 
@@ -79,20 +92,54 @@ def item_ask(c: Column, availability: list[str], price: list[str], service: str)
     return F.struct(F.arrays_overlap(w, x.lit_array(availability)).alias("availability"), F.arrays_overlap(w, x.lit_array(price)).alias("price"), F.lower(c).rlike(service).alias("service"))
 
 
-def full_question(c: Column, starters: list[str], particles: list[str], stems: list[str]) -> Column:
-    """A starter and three words, or a particle and a word with a quality stem."""
+def full_question(c: Column, starters: list[str], particles: list[str], stems: list[str], exact: list[str] = (), service: list[str] = (), about: str | None = None, vote: Column | None = None) -> Column:
+    """A whole question: a starter and three words, or of three words a particle and one of quality (by stem, or exactly).
+
+    A message with a ``service`` word that is none by these rules is one if the ``about`` pattern occurs, or if ``vote`` says so.
+    """
     w = x.words(c)
     english = F.coalesce(F.array_contains(x.lit_array(starters), F.try_element_at(w, F.lit(1))), F.lit(False)) & (F.size(w) >= 3)
-    other = F.arrays_overlap(w, x.lit_array(particles)) & F.exists(w, lambda v: F.exists(x.lit_array(stems), lambda s: F.startswith(v, s)))
-    return english | other
+    quality = F.exists(w, lambda v: F.exists(x.lit_array(stems), lambda s: F.startswith(v, s))) | F.arrays_overlap(w, x.lit_array(list(exact)))
+    other = (F.size(w) >= 3) & F.arrays_overlap(w, x.lit_array(particles)) & quality
+    second = F.lit(False)
+    if about:
+        second = second | F.lower(c).rlike(about)
+    if vote is not None:
+        second = second | F.coalesce(vote, F.lit(False))
+    return english | other | (F.arrays_overlap(w, x.lit_array(list(service))) & second)
+
+
+def anchor_vote(vector: Column, questions: list[list[float]], lookups: list[list[float]], margin: float = 0.05) -> Column:
+    """Whether a message's vector is nearer to the best question anchor than to the best lookup anchor, by ``margin``."""
+    best = lambda anchors: F.greatest(*[x.cosine(vector, F.array(*[F.lit(float(v)) for v in a])) for a in anchors]) if len(anchors) > 1 else x.cosine(vector, F.array(*[F.lit(float(v)) for v in anchors[0]]))
+    return best(questions) > best(lookups) + margin
 
 
 def is_garbage(c: Column) -> Column:
-    """No word of two letters or digits is left."""
-    clean = F.regexp_replace(c, r"[^\p{L}\p{N}\s]", "")
+    """No word of two ASCII letters or digits is left."""
+    clean = F.regexp_replace(c, r"[^a-zA-Z0-9\s]", " ")
     return F.size(F.filter(F.split(clean, r"\s+"), lambda w: F.length(w) >= 2)) == 0
 
 
+def is_compliment(c: Column, pattern: str, barred: list[str] = NOT_A_COMPLIMENT, most: int = 6) -> Column:
+    """The pattern in at most ``most`` words, none of them barred, and no question."""
+    w = x.split_words(F.lower(c))
+    return F.lower(c).rlike(pattern) & (F.size(w) <= most) & ~F.arrays_overlap(w, x.lit_array(barred)) & ~F.rtrim(c).endswith("?")
+
+
+def keywords_of(topics: Column, table: dict[str, list[str]]) -> Column:
+    """The keywords of an array column of topics; a topic without any is its own."""
+    known = F.create_map(*[v for k, words in table.items() for v in (F.lit(k), x.lit_array(words))])
+    return F.flatten(F.transform(topics, lambda k: F.coalesce(F.try_element_at(known, k), F.array(k))))
+
+
+def foreign_words(shop_type: Column, listed: Column, table: dict[str, list[str]]) -> Column:
+    """Words foreign to a shop: those of its type and those that it lists; a general shop has none."""
+    known = F.create_map(*[v for k, words in table.items() for v in (F.lit(k), x.lit_array(words))])
+    none = F.array().cast("array<string>")
+    return F.when(F.coalesce(shop_type, F.lit("general")) != "general", F.array_union(F.coalesce(F.try_element_at(known, shop_type), none), F.coalesce(listed, none)))
+
+
 def asked_city(c: Column, pattern: str, stop: list[str]) -> Column:
     """City of a question about another branch, null without one."""
     city = F.nullif(F.regexp_extract(F.lower(c), pattern, 1), F.lit(""))
@@ -109,38 +156,78 @@ def hit_topics(c: Column, topics: dict[str, str]) -> Column:
     return F.array_compact(F.array(*[F.when(F.lower(c).rlike(p), F.lit(n)) for n, p in topics.items()]))
 
 
-def flags(messages: DataFrame, config: DataFrame, patterns: dict[str, str], lexicon: dict[str, list[str]], broad: list[str], topics: dict[str, str]) -> DataFrame:
-    """All guard flags of each message in one projection; ``config`` (slug, off_domain, blocked, active, offer_code) is joined by slug."""
+def flags(messages: DataFrame, config: DataFrame, patterns: dict[str, str], lexicon: dict[str, list[str]], broad: list[str], topics: dict[str, str], off_domain: dict[str, list[str]] = OFF_DOMAIN, blocked: dict[str, list[str]] = BLOCK_WORDS, barred: list[str] = NOT_A_COMPLIMENT) -> DataFrame:
+    """All guard flags of each message in one projection; ``config`` (slug, shop_type, off_domain, blocked, active, offer_code) is joined by slug.
+
+    ``unknown_item`` is false here: it needs the shop's vocabulary and joins in ``route_messages``.
+    """
     m = F.col("message")
-    rows = messages.join(F.broadcast(config), "slug", "left")
+    rows = messages.join(sized(config), "slug", "left")
     one = {g: F.lower(m).rlike(p) for g, p in patterns.items()}
-    one |= {"garbage": is_garbage(m), "broad": x.any_of(m, broad), "off_domain": contains_listed(m, F.col("off_domain")), "blocked": contains_listed(m, F.col("blocked"))}
-    one["escalate"] = F.coalesce(F.arrays_overlap(hit_topics(m, topics), F.col("active")), F.lit(False))
+    one |= {"garbage": is_garbage(m), "broad": x.any_of(m, broad), "compliment": is_compliment(m, patterns["compliment"], barred), "unknown_item": F.lit(False)}
+    one |= {"off_domain": contains_listed(m, foreign_words(F.col("shop_type"), F.col("off_domain"), off_domain)), "blocked": contains_listed(m, keywords_of(F.col("blocked"), blocked))}
+    hit = F.array_intersect(hit_topics(m, topics), F.coalesce("active", F.array().cast("array<string>")))
+    one["escalate"] = F.size(hit) > 0
     one["offer"] = one["offer"] & F.col("offer_code").isNotNull()
-    return rows.select("msg_id", "slug", "session_id", "message", lexicon_sentiment(m, lexicon).alias("detected"), *[one[g[0]].alias(g[0]) for g in ROUTES])
-
-
-def route(flagged: DataFrame) -> DataFrame:
-    """The first guard in order decides; the rest is ``open`` for matching."""
-    c = F.when(F.lit(False), "")
-    for g in ROUTES:
-        c = c.when(F.col(g[0]), g[0])
-
-    def logged(n: int, kind: str) -> Column:
-        v = F.when(F.lit(False), F.lit(None).cast(kind))
-        for g in ROUTES:
-            v = v.when(F.col("route") == g[0], F.lit(g[n]).cast(kind))
-        return v
-
-    out = flagged.withColumn("route", c.otherwise("open"))
-    sentiment = F.coalesce(F.nullif(logged(4, "string"), F.lit("")), F.col("detected.sentiment"))
-    return out.select(
-        "msg_id", "slug", "session_id", "message", "route", F.coalesce(logged(1, "string"), F.lit("match")).alias("source"), logged(2, "string").alias("bypass"), sentiment.alias("sentiment"),
-        F.coalesce(logged(5, "double"), F.col("detected.confidence")).alias("confidence"), F.when(F.col("route").isin("open", "escalate"), F.col("detected.sent_source")).otherwise(logged(3, "string")).alias("sent_source"),
-        logged(6, "string").alias("faq_source"), logged(7, "string").alias("faq_id"), logged(8, "double").alias("faq_score"), (F.col("route") == "escalate").alias("escalate"),
+    urgent = F.arrays_overlap(hit, x.lit_array(URGENT_TOPICS))
+    return rows.select(*messages.columns, lexicon_sentiment(m, lexicon).alias("detected"), urgent.alias("urgent"), *[one[g[0]].alias(g[0]) for g in ROUTES])
+
+
+def first_guard(flagged: DataFrame, guards: list[str]) -> Column:
+    """The first of the guards that fires, else null."""
+    c = F.when(F.lit(False), F.lit(None).cast("string"))
+    for g in guards:
+        c = c.when(F.col(g), F.lit(g))
+    return c
+
+
+def _constants() -> Column:
+    """What each route is logged as, by its name."""
+    kinds = ("string", "string", "string", "string", "double", "string", "string", "double")
+    names = ("source", "bypass", "sent_source", "sentiment", "confidence", "faq_source", "faq_id", "faq_score")
+    return F.create_map(*[v for g in ROUTES for v in (F.lit(g[0]), F.struct(*[F.lit(value).cast(k).alias(n) for value, k, n in zip(g[1:], kinds, names)]))])
+
+
+def route(flagged: DataFrame, detected: Column) -> DataFrame:
+    """Rows routed by their own columns alone, as a stream needs it: no unknown items, no held language; what no guard catches is ``open``."""
+    rows = flagged.withColumn("lang", detected).withColumn("route", F.coalesce(first_guard(flagged, [g[0] for g in ROUTES]), F.lit("open"))).withColumn("k", F.try_element_at(_constants(), F.col("route")))
+    found = F.col("route").isin("open", "escalate")
+    return rows.select(
+        "msg_id", "slug", "session_id", "message", "lang", "route", F.coalesce("k.source", F.lit("open")).alias("source"), F.coalesce("k.bypass", F.lit("")).alias("bypass"), F.coalesce(F.nullif("k.sentiment", F.lit("")), "detected.sentiment").alias("sentiment"), F.coalesce("k.confidence", "detected.confidence").alias("confidence"),
+        F.when(found, F.col("detected.sent_source")).otherwise(F.col("k.sent_source")).alias("sent_source"), F.when(F.col("route") == "location", F.col("lang")).otherwise(F.col("k.faq_source")).alias("faq_source"), "k.faq_id", "k.faq_score", (F.col("route") == "escalate").alias("escalate"),
     )
 
 
+def route_messages(messages: DataFrame, flagged: DataFrame, detected: Column, requested: Column, unknown: DataFrame | None = None, matches: DataFrame | None = None, context: DataFrame | None = None, order: str = "turn") -> DataFrame:
+    """Routed messages with their language in force, as the log has them.
+
+    The first guard in order decides. ``detected`` is a message's own language, ``requested`` the one that a switch asks for: a
+    switch counts for later messages of its session only if no earlier guard caught it. ``unknown`` (msg_id, unknown) is the guard
+    of unknown items. What no guard catches is answered by ``matches`` (msg_id, faq_source, faq_id, faq_score, escalate) that
+    passed their gate, else by the chunks of a shop in ``context`` (slug), else by a free reply.
+    """
+    early = [g[0] for g in ROUTES[: [g[0] for g in ROUTES].index("lang_switch") + 1]]
+    if unknown is not None:
+        flagged = flagged.drop("unknown_item").join(unknown.select("msg_id", F.col("unknown").alias("unknown_item")), "msg_id", "left").withColumn("unknown_item", F.coalesce("unknown_item", F.lit(False)))
+    rows = sticky_language(flagged, F.when(first_guard(flagged, early) == "lang_switch", requested), detected, order)
+    rows = rows.withColumn("route", first_guard(rows, [g[0] for g in ROUTES]))
+    none = rows.select("msg_id").limit(0)
+    matches = none.selectExpr("msg_id", "'' as faq_source", "'' as faq_id", "cast(0 as double) as faq_score", "false as escalate") if matches is None else matches
+    rows = rows.join(matches.select("msg_id", F.struct("faq_source", "faq_id", "faq_score", "escalate").alias("f")), "msg_id", "left")
+    shops = flagged.select("slug").limit(0) if context is None else context
+    rows = rows.join(sized(shops.select("slug", F.lit(True).alias("_c")).distinct()), "slug", "left")
+    rows = rows.withColumn("open", F.col("route").isNull()).withColumn("route", F.coalesce("route", F.when(F.col("f").isNotNull(), "match").when(F.col("_c"), "chunk").otherwise("free"))).withColumn("k", F.try_element_at(_constants(), F.col("route")))
+    lang = F.when(F.col("route") == "garbage", "english").otherwise(F.col("lang"))
+    own = F.when(F.col("route") == "match", "faq").when(F.col("route") == "chunk", "rag").otherwise("ollama")
+    return rows.select(
+        "msg_id", "slug", "session_id", "message", lang.alias("lang"), "route", F.coalesce("k.source", own).alias("source"), F.coalesce("k.bypass", F.lit("")).alias("bypass"), F.coalesce(F.nullif("k.sentiment", F.lit("")), "detected.sentiment").alias("sentiment"),
+        F.coalesce("k.confidence", "detected.confidence").alias("confidence"), F.when(F.col("open") | (F.col("route") == "escalate"), F.col("detected.sent_source")).otherwise(F.col("k.sent_source")).alias("sent_source"),
+        F.when(F.col("route") == "location", lang).when(F.col("route") == "chunk", "shop_context").otherwise(F.coalesce("k.faq_source", F.when(F.col("open"), F.col("f.faq_source")))).alias("faq_source"),
+        F.coalesce("k.faq_id", F.when(F.col("open"), F.col("f.faq_id"))).alias("faq_id"), F.coalesce("k.faq_score", F.when(F.col("open"), F.col("f.faq_score"))).alias("faq_score"),
+        (F.col("route") == "escalate").alias("_e"), F.coalesce(F.col("open") & F.col("f.escalate"), F.lit(False)).alias("_f"), F.coalesce(F.col("urgent") & (F.col("route") == "escalate"), F.lit(False)).alias("urgent"),
+    ).withColumn("escalate", F.col("_e") | F.col("_f")).drop("_e", "_f")
+
+
 def sticky_language(messages: DataFrame, preference: Column, detected: Column, order: str = "turn", long: int = 4) -> DataFrame:
     """Language in force: the last switch asked for earlier in the session, else the detected one; a Manglish preference yields to a longer English message."""
     before = Window.partitionBy("slug", "session_id").orderBy(order, "msg_id").rowsBetween(Window.unboundedPreceding, -1)
@@ -149,23 +236,31 @@ def sticky_language(messages: DataFrame, preference: Column, detected: Column, o
     return messages.withColumn("held", held).withColumn("lang", F.coalesce(preference, F.when(~F.coalesce(yields, F.lit(False)), held), detected))
 
 
-def unknown_items(asks: DataFrame, vocabulary: DataFrame, neutral: list[str], variant, least: float = 65.0) -> DataFrame:
+def unknown_items(asks: DataFrame, vocabulary: DataFrame, neutral: list[str], variant=None, least: float = 65.0, item_ask: str | None = None, synonyms: dict[str, list[str]] | None = None) -> DataFrame:
     """Asks (msg_id, slug, message) none of whose subject words the shop knows: (msg_id, unknown).
 
-    A word is known if it lies anywhere inside a term, if it holds a term of four letters or more and begins with that
-    term's first four, or if ``variant`` calls it a spelling variant of one. Distinct (slug, word) pairs meet the vocabulary
-    (slug, term) on any three successive letters of the term, on the first four letters, and on the first letter with
-    lengths that allow a ratio of ``least``. No pair without a common key is made.
+    ``item_ask``: the pattern that makes a message an ask for an item; without it all are. Words of umbrella ``synonyms`` are
+    added. Subject words have three ASCII letters or digits or more and are not ``neutral``; a message without any is left out. A word is
+    known if it lies anywhere inside a term, if it holds a run of four letters or more of a term and begins with its first
+    four, or if ``variant`` calls it a spelling variant of one. Distinct (slug, word) pairs meet the vocabulary (slug, term) on
+    any three successive letters, on the first four letters, and on the first letter with lengths that allow a ratio of
+    ``least``. No pair without a common key is made.
     """
-    tokens = asks.select("msg_id", "slug", F.explode(F.array_distinct(x.content_words(F.col("message"), neutral))).alias("word"))
+    text = F.lower("message") if synonyms is None else F.lower(x.append_umbrella(F.col("message"), synonyms))
+    subject = F.filter(x.split_words(F.regexp_replace(text, "[^a-z0-9\\s]", " ")), lambda w: (F.length(w) >= 3) & ~F.array_contains(x.lit_array(neutral), w) & (~w.rlike(f"^(?:{item_ask})$") if item_ask else F.lit(True)))
+    asks = asks.where(F.lower("message").rlike(rf"\b(?:{item_ask})\b")) if item_ask else asks
+    tokens = asks.select("msg_id", "slug", F.explode(F.array_distinct(subject)).alias("word"))
     words = tokens.select("slug", "word").distinct()
-    v = vocabulary.select("slug", "term").distinct()
+    v = vocabulary.select("slug", F.explode(F.regexp_extract_all(F.lower("term"), F.lit("([a-z0-9]+)"), F.lit(1))).alias("term")).distinct()
     grams = v.withColumn("k", F.explode(F.expr("array_distinct(transform(sequence(1, greatest(length(term) - 2, 1)), i -> substring(term, i, 3)))")))
     inside = words.join(grams, (words.slug == grams.slug) & (F.substring("word", 1, 3) == grams.k) & F.col("term").contains(F.col("word")), "left_semi")
-    stems = v.where(F.length("term") >= 4).withColumn("k", F.substring("term", 1, 4))
+    letters = v.select("slug", F.explode(F.regexp_extract_all("term", F.lit("([a-z]{4,})"), F.lit(1))).alias("term")).distinct()
+    stems = letters.withColumn("k", F.substring("term", 1, 4))
     stemmed = words.join(stems, (words.slug == stems.slug) & (F.substring("word", 1, 4) == stems.k) & F.col("word").contains(F.col("term")), "left_semi")
-    rest = words.join(inside.unionByName(stemmed).distinct(), ["slug", "word"], "left_anti").withColumn("k", F.substring("word", 1, 1))
-    near = rest.join(v.withColumn("k", F.substring("term", 1, 1)).where("length(term) >= 5"), ["slug", "k"]).where(200.0 * F.least(F.length("word"), F.length("term")) >= least * (F.length("word") + F.length("term")))
-    varied = near.withColumn("same", variant(F.col("word"), F.col("term"), least)).where("same").select("slug", "word")
-    known = inside.unionByName(stemmed).unionByName(varied).distinct().withColumn("known", F.lit(True))
+    known = inside.unionByName(stemmed)
+    if variant is not None:
+        rest = words.join(known.distinct(), ["slug", "word"], "left_anti").withColumn("k", F.substring("word", 1, 1))
+        near = rest.join(letters.withColumn("k", F.substring("term", 1, 1)).where("length(term) >= 5"), ["slug", "k"]).where(200.0 * F.least(F.length("word"), F.length("term")) >= least * (F.length("word") + F.length("term")))
+        known = known.unionByName(near.withColumn("same", variant(F.col("word"), F.col("term"), least)).where("same").select("slug", "word"))
+    known = known.distinct().withColumn("known", F.lit(True))
     return tokens.join(known, ["slug", "word"], "left").groupBy("msg_id").agg((~F.bool_or(F.coalesce("known", F.lit(False)))).alias("unknown"))

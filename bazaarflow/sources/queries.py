@@ -6,13 +6,13 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..plans import scratch
 from ..plans import tables as t
-from ..streaming.queries import shared_dir
 from . import files
 
 
 def _path(s, name: str) -> str:
-    return f"{shared_dir(s)}/files-{name}-{uuid.uuid4().hex[:12]}"
+    return f"{scratch.folder(s)}/files-{name}-{uuid.uuid4().hex[:12]}"
 
 
 def src_faq(s, d):

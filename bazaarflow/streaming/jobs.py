@@ -5,16 +5,16 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import messages as m
 
 
-def route_stream(messages: DataFrame, config: DataFrame, patterns: dict, lexicon: dict, broad: list[str], topics: dict) -> DataFrame:
-    """A message stream routed by the same expressions as a batch; ``config`` is the static side of a broadcast join."""
-    return m.route(m.flags(messages, config, patterns, lexicon, broad, topics))
+def route_stream(messages: DataFrame, config: DataFrame, detected: Column, patterns: dict, lexicon: dict, broad: list[str], topics: dict, **tables) -> DataFrame:
+    """A message stream routed by the same expressions as a batch; ``config`` is the static side of the join."""
+    return m.route(m.flags(messages, config, patterns, lexicon, broad, topics, **tables), detected)
 
 
 def sticky_language_stream(messages: DataFrame, ttl_ms: int = 0) -> DataFrame:

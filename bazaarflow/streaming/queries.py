@@ -2,25 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import message_queries as mq
+from ..plans import scratch
 from ..plans import tables as t
 from . import jobs
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one only in an unset local session."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared and not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return shared or tempfile.mkdtemp(prefix="spark-stream-")
-
-
 def stream(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     schema = t.read(spark, sf_dir, table).schema
     return spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/{table}.parquet*")
@@ -29,7 +21,7 @@ def stream(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def drained(frame: DataFrame) -> DataFrame:
     """Write a stream's appended rows until its source is exhausted and read them back."""
     spark = frame.sparkSession
-    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex[:12]}"
+    base = f"{scratch.folder(spark)}/stream-{uuid.uuid4().hex[:12]}"
     query = frame.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(frame.schema).parquet(f"{base}/out")
@@ -40,7 +32,7 @@ def _messages(spark, sf_dir):
 
 
 def str_route(s, d):
-    routed = jobs.route_stream(_messages(s, d), mq.config(s, d).drop("shop_name", "city"), mq.PATTERNS, mq.LEXICON, mq.BROAD, mq.TOPICS)
+    routed = jobs.route_stream(_messages(s, d), mq.config(s, d).drop("shop_name", "city"), mq.detected(), mq.PATTERNS, mq.LEXICON, mq.BROAD, mq.TOPICS, off_domain=mq.FOREIGN, blocked=mq.BLOCKS, barred=mq.BARRED)
     return drained(routed.drop("message"))
 
 
@@ -65,7 +57,7 @@ def str_dedup(s, d):
 QUERIES = {"str_route": str_route, "str_sticky_lang": str_sticky_lang, "str_stats": str_stats, "str_dedup": str_dedup}
 _PREF = mq._PREF
 SQL = {
-    "str_route": mq.SQL["rte_pipeline"],
+    "str_route": mq.STREAMED,
     "str_sticky_lang": f"select msg_id, last_value(pref ignore nulls) over (partition by slug, session_id order by turn, msg_id rows between unbounded preceding and 1 preceding) as held from (select *, {_PREF} as pref from {t.MESSAGES})",
     "str_dedup": "select event_id as msg_id, event_type as source from events",
 }
