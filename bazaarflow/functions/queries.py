@@ -10,6 +10,7 @@ from . import text as x
 
 STOP = ["the", "and", "for", "with", "der", "die", "und", "que", "les", "des"]
 SYNONYMS = {"the": "that this", "of": "from", "und": "auch mit", "de": "des"}
+DIET = {"the": "da", "and the": "plus", "of": "v", "Of the": "nv", "de la": "dl"}
 UMBRELLA = {"tion": ["nation", "station"], "heit": ["keit", "ung"], "oire": ["histoire"]}
 _M = t.MESSAGES
 _W = "regexp_extract_all(lower({}), '[\\p{{L}}\\p{{N}}_]+')"
@@ -33,11 +34,15 @@ def fn_slug(s, d):
 
 
 def fn_faq_bridge(s, d):
-    """Three dialects of a FAQ unified: question or q or the first variant; phrasings without blanks, primary first."""
-    rows = t.faqs(s, d).withColumns({"question": F.when(F.col("faq_pos") % 3 == 0, F.col("q")), "short": F.when(F.col("faq_pos") % 3 == 1, F.concat(F.lit(" "), F.col("q"))), "variants": F.when(F.col("faq_pos") % 3 == 2, F.array("q", F.lit(" "), F.substring("q", 1, 20)))})
-    primary = F.coalesce(x.blank_to_null(F.col("question")), x.blank_to_null(F.col("short")), x.blank_to_null(F.try_element_at("variants", F.lit(1))))
-    all_of = F.array_distinct(F.filter(F.concat(F.array(primary), F.transform(F.coalesce("variants", F.array().cast("array<string>")), lambda v: F.trim(v))), lambda v: F.coalesce(v, F.lit("")) != ""))
-    return rows.select("faq_id", primary.alias("question"), F.array_join(all_of, "|").alias("phrasings"), F.size(all_of).alias("n"))
+    """FAQs in three dialects, unified, and all their phrasings."""
+    k, one = F.col("faq_pos") % 3, lambda c: F.substring(c, 1, 20)
+    some = lambda n, c: F.when(k == n, c)
+    faq = x.unified_faq(
+        some(0, F.col("q")), some(1, F.concat(F.lit(" "), F.col("q"))), some(1, F.array(one("q"), F.lit(" "), one("a"))), some(2, F.array("q", F.lit(" "), one("q"))), some(0, F.col("a")), some(1, F.col("a")),
+        some(2, one("a")), some(1, F.lit(" ")), some(0, F.lower("q")),
+    )
+    rows = t.faqs(s, d).select("faq_id", faq.alias("f")).select("faq_id", "f.*")
+    return rows.select("faq_id", "q", "a", "q_ml", "a_ml", F.array_join(x.phrasings(F.col("q"), F.col("variants")), "|").alias("phrasings"), F.size("variants").alias("n_variants"))
 
 
 def fn_number(s, d):
@@ -56,9 +61,10 @@ def fn_prices(s, d):
 
 
 def fn_price_label(s, d):
+    """The three labels of a price: blank, by what is set, and by what is in the row."""
     price = F.when(F.col("item_pos") % 3 == 0, F.col("price")).when(F.col("item_pos") % 3 == 1, F.lit(0))
-    low = F.when(F.col("item_pos") % 2 == 0, F.col("price"))
-    return t.items(s, d).select("item_pos", x.price_label(price, low, F.col("price") + 500).alias("label"))
+    low, high = F.when(F.col("item_pos") % 2 == 0, F.col("price")), F.when(F.col("item_pos") % 5 != 0, F.col("price") + 500)
+    return t.items(s, d).select("item_pos", x.price_label(price, low, high, "").alias("short"), x.price_label(price, low, high, "price on request").alias("label"), x.price_label(price, low, high, "on request", zero=True).alias("strict"))
 
 
 def _values():
@@ -78,9 +84,9 @@ def fn_format_map(s, d):
 
 
 def fn_flatmap(s, d):
-    """A nested shop row as dotted keys with list values joined, and aliases."""
-    rows = t.shops(s, d).select("slug", "shop_name", "city", F.struct(F.col("city").alias("town"), F.array(F.lit("cash"), F.col("city")).alias("payment")).alias("cfg"))
-    flat = F.map_from_entries(F.array(*[F.struct(F.lit(k).alias("k"), v.alias("v")) for k, v in {"cfg_payment": F.array_join("cfg.payment", ", "), "cfg_town": F.col("cfg.town"), "city": F.col("cfg.town"), "shop_name": F.coalesce("shop_name", F.lit("N/A"))}.items()]))
+    """Nested settings of each shop as keys and texts, with aliases and defaults."""
+    rows = t.shops(s, d).select("slug", "shop_name", F.struct(F.col("city").alias("town"), F.array(F.lit("cash"), F.col("city")).alias("payment"), F.expr("case when shop_pos % 2 = 0 then 3 end").alias("days")).alias("c"))
+    flat = x.flat_settings({"c_town": F.col("c.town"), "c_payment": F.array_join("c.payment", ", "), "c_days": F.col("c.days"), "shop_name": F.col("shop_name")}, {"city": "c_town", "shop_name": "c_town", "phone": "c_phone"}, {"c_days": "0", "delivery": "N/A"})
     return rows.select("slug", F.explode(flat).alias("key", "value"))
 
 
@@ -89,9 +95,10 @@ def _pair(s, d):
 
 
 def fn_cosine(s, d):
-    e = t.read(s, d, "embeddings")
-    first = e.where("vec_id < 5").select(F.col("vec_id").alias("q"), F.col("embedding").alias("qv"))
-    return e.join(F.broadcast(first), e.vec_id != F.col("q")).select("q", "vec_id", F.round(x.cosine(F.col("qv"), F.col("embedding")), 4).alias("cosine"))
+    """Each document's vector against a set of anchors, the axes and a diagonal: the highest cosine."""
+    anchors = [[1.0 if i == k else 0.0 for i in range(64)] for k in range(3)] + [[0.125] * 64]
+    best = F.greatest(*[x.cosine(F.col("embedding"), F.array(*[F.lit(v) for v in a])) for a in anchors])
+    return t.read(s, d, "embeddings").select("vec_id", F.round(best, 4).alias("cosine"))
 
 
 def fn_token_set_ratio(s, d):
@@ -108,11 +115,11 @@ QUERIES = {
     "fn_slug": fn_slug,
     "fn_faq_bridge": fn_faq_bridge,
     "fn_normalize": _message(lambda: [x.replace_words(F.col("message"), {"the": "da", "of": "out of", "und": "and"}, [(r"whats\s?app", "whatsapp"), ("ing ", "in ")]).alias("text")]),
-    "fn_tokens": _message(lambda: [F.array_join(x.words(F.col("message")), " ").alias("all_words"), F.array_join(x.content_words(F.col("message"), STOP), " ").alias("content"), F.array_join(F.array_sort(F.array_distinct(F.concat(x.words(F.col("message")), F.transform(x.words(F.col("message")), x.stem)))), " ").alias("with_stems"), F.size(x.split_words(F.col("message"))).alias("n_split")]),
+    "fn_tokens": _message(lambda: [F.array_join(x.words(F.col("message")), " ").alias("all_words"), F.array_join(x.content_words(F.col("message"), STOP), " ").alias("content"), F.array_join(x.listed_words(F.col("message"), STOP), " ").alias("listed"), F.array_join(F.array_sort(x.priced_words(F.concat(F.col("message"), F.lit(" ₹20 x")), STOP)), " ").alias("priced"), F.array_join(F.array_sort(F.array_distinct(F.concat(x.words(F.col("message")), F.transform(x.words(F.col("message")), x.stem)))), " ").alias("with_stems"), F.size(x.split_words(F.col("message"))).alias("n_split")]),
     "fn_stem": _message(lambda: [F.array_join(F.transform(x.words(F.col("message")), x.stem), " ").alias("stems")]),
     "fn_synonyms": _message(lambda: [F.array_join(x.expand_synonyms(x.words(F.col("message")), SYNONYMS, ["und"]), " ").alias("tokens")]),
     "fn_umbrella": _message(lambda: [x.append_umbrella(F.col("message"), UMBRELLA).alias("text")]),
-    "fn_spelling": _message(lambda: [x.fix_spelling(F.col("message"), [("the", "teh"), ("and", "und"), ("of", "from")]).alias("text")]),
+    "fn_spelling": _message(lambda: [x.fix_spelling(F.col("message"), [("the", "teh"), ("and", "und"), ("of", "from")]).alias("text"), x.dietary(F.col("message"), DIET).alias("diet")]),
     "fn_number": fn_number,
     "fn_prices": fn_prices,
     "fn_price_label": fn_price_label,
@@ -156,24 +163,26 @@ _F1 = "case when len(list_intersect({a}, {b})) > 0 then 2.0 * len(list_intersect
 _PAIR = f"(select faq_id, {_words('q')} as a, {_words('a')} as b from {t.FAQS})"
 SQL = {
     "fn_slug": rf"select item_pos, regexp_replace(regexp_replace(regexp_replace(lower(trim('  ' || name || '__' || brand || ' - ')), '[\s_]+', '-', 'g'), '-+', '-', 'g'), '^-|-$', '', 'g') as slug from {t.ITEMS}",
-    "fn_faq_bridge": f"""select faq_id, trim(q) as question, case when faq_pos % 3 = 2 and trim(q) <> trim(left(q, 20)) and trim(left(q, 20)) <> '' then trim(q) || '|' || trim(left(q, 20)) else trim(q) end as phrasings,
-        cast(case when faq_pos % 3 = 2 and trim(q) <> trim(left(q, 20)) and trim(left(q, 20)) <> '' then 2 else 1 end as int) as n from {t.FAQS}""",
+    "fn_faq_bridge": f"""select faq_id, trim(q) as q, case when k < 2 then nullif(trim(a), '') end as a, case when k = 0 then nullif(trim(lower(q)), '') end as q_ml, case when k = 2 then nullif(trim(left(a, 20)), '') end as a_ml, array_to_string(list_concat([trim(q)], v), '|') as phrasings, cast(len(v) as int) as n_variants from (
+        select *, list_filter(case k when 1 then [trim(left(q, 20)), trim(left(a, 20))] when 2 then [trim(left(q, 20))] else []::varchar[] end, lambda w: w <> '' and w <> trim(q)) as v from (select *, faq_pos % 3 as k from {t.FAQS}))""",
     "fn_normalize": rf"""select msg_id, array_to_string(list_transform(string_split(regexp_replace(regexp_replace(regexp_replace(lower(trim(message)), '\s+', ' ', 'g'), 'whats\s?app', 'whatsapp', 'g'), 'ing ', 'in ', 'g'), ' '),
         lambda w: case w when 'the' then 'da' when 'of' then 'out of' when 'und' then 'and' else w end), ' ') as text from {_M}""",
-    "fn_tokens": rf"""select msg_id, array_to_string({_words('message')}, ' ') as all_words, array_to_string(list_filter({_words('message')}, lambda w: length(w) >= 3 and not list_contains({_list(STOP)}, w)), ' ') as content,
+    "fn_tokens": rf"""select msg_id, array_to_string({_words('message')}, ' ') as all_words, array_to_string(list_filter({_words('message')}, lambda w: length(w) >= 3 and not list_contains({_list(STOP)}, w)), ' ') as content, array_to_string(list_filter({_words('message')}, lambda w: length(w) > 1 and not list_contains({_list(STOP)}, w)), ' ') as listed,
+        array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(lower(message || ' ₹20 x'), '[\p{{L}}\p{{N}}_₹]+'), lambda w: not list_contains({_list(STOP)}, w)))), ' ') as priced,
         array_to_string(list_sort(list_distinct(list_concat({_words('message')}, {_STEMS}))), ' ') as with_stems, cast(len(list_filter(regexp_split_to_array(trim(message), '\s+'), lambda w: w <> '')) as int) as n_split from {_M}""",
     "fn_stem": f"select msg_id, array_to_string({_STEMS}, ' ') as stems from {_M}",
     "fn_synonyms": f"select msg_id, array_to_string({_expanded(_words('message'), ['und'])}, ' ') as tokens from {_M}",
     "fn_umbrella": "select msg_id, concat_ws(' ', message, array_to_string(list_sort(list_distinct(list_concat(" + ", ".join(f"case when contains(lower(message), '{k}') then {_list(v)} else []::varchar[] end" for k, v in UMBRELLA.items()) + f"))), ' ')) as text from {_M}",
-    "fn_spelling": rf"select msg_id, regexp_replace(regexp_replace(regexp_replace(message, '(?i)\bthe\b', 'teh', 'g'), '(?i)\band\b', 'und', 'g'), '(?i)\bof\b', 'from', 'g') as text from {_M}",
+    "fn_spelling": rf"select msg_id, regexp_replace(regexp_replace(regexp_replace(message, '(?i)\bthe\b', 'teh', 'g'), '(?i)\band\b', 'und', 'g'), '(?i)\bof\b', 'from', 'g') as text, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(message, '(?i)and the', 'plus', 'g'), '(?i)Of the', 'nv', 'g'), '(?i)de la', 'dl', 'g'), '(?i)the', 'da', 'g'), '(?i)of', 'v', 'g') as diet from {_M}",
     "fn_number": "select o_orderkey, case when o_orderkey % 7 = 0 then null else o_orderkey end as n from orders",
     "fn_prices": prices_sql(f"select item_pos, {CELL} as cell from {t.ITEMS}"),
-    "fn_price_label": f"select item_pos, case when item_pos % 3 = 0 then '₹' || format('{{:,}}', price) when item_pos % 2 = 0 then '₹' || format('{{:,}}', price) || '–₹' || format('{{:,}}', price + 500) else 'on request' end as label from {t.ITEMS}",
-    "fn_flatmap": f"select slug, unnest(['cfg_payment', 'cfg_town', 'city', 'shop_name']) as key, unnest(['cash, ' || city, city, city, coalesce(shop_name, 'N/A')]) as value from {t.SHOPS}",
+    "fn_price_label": f"""select item_pos, coalesce(one, two, '') as short, coalesce(one, two, 'price on request') as label, coalesce(case when p is not null then '₹' || format('{{:,}}', p) end, two, 'on request') as strict from (
+        select *, case when p <> 0 then '₹' || format('{{:,}}', p) end as one, case when item_pos % 2 = 0 and item_pos % 5 <> 0 then '₹' || format('{{:,}}', price) || '–₹' || format('{{:,}}', price + 500) end as two from (select *, case item_pos % 3 when 0 then price when 1 then 0 end as p from {t.ITEMS}))""",
+    "fn_flatmap": f"select slug, unnest(['c_town', 'c_payment', 'c_days', 'shop_name', 'city', 'delivery']) as key, unnest([city, 'cash, ' || city, case when shop_pos % 2 = 0 then '3' else '0' end, shop_name, city, 'N/A']) as value from {t.SHOPS}",
     "fn_placeholder": f"select item_pos, name || ' at ' || slug || ' costs ' || case when size % 2 = 0 then cast(price as varchar) else 'a fair price' end || ', call our number or visit [place]' as text from {t.ITEMS}",
     "fn_format_map": f"select item_pos, case when size % 3 = 0 then name || ' ' || slug else '{{item}} {{phone}}' end as text from {t.ITEMS}",
     "fn_preview": f"select faq_id, case when length(q) > 120 then left(q, 120) || '…' else q end as question, case when length(a) > 60 then left(a, 60) || '…' else a end as answer from {t.FAQS}",
     "fn_f1": f"select faq_id, round({_F1.format(a='a', b='b')}, 6) as f1, round({_F1.format(a=_expanded('a', []), b='b')}, 6) as f1_expanded from {_PAIR}",
     "fn_jaccard": f"select faq_id, round(len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))), 6) as jaccard from {_PAIR}",
-    "fn_cosine": "select q.vec_id as q, e.vec_id, round(list_sum(list_transform(range(1, 65), lambda i: cast(q.embedding[i] as double) * cast(e.embedding[i] as double))), 4) as cosine from embeddings e join embeddings q on q.vec_id < 5 and e.vec_id <> q.vec_id",
+    "fn_cosine": "select vec_id, round(greatest(cast(embedding[1] as double), cast(embedding[2] as double), cast(embedding[3] as double), list_sum(list_transform(range(1, 65), lambda i: cast(embedding[i] as double) * 0.125))), 4) as cosine from embeddings",
 }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -32,6 +33,55 @@ def split_words(c: Column) -> Column:
     return F.filter(F.split(F.trim(c), r"\s+"), lambda w: w != "")
 
 
+def phrasings(primary: Column, variants: Column) -> Column:
+    """The primary question and its variants, trimmed, blanks dropped, the primary first."""
+    some = F.coalesce(variants, F.array().cast("array<string>"))
+    return F.filter(F.transform(F.concat(F.array(primary), some), lambda v: F.trim(v)), lambda v: F.coalesce(v, F.lit("")) != "")
+
+
+def unified_faq(question: Column, q: Column, variants: Column, question_variants: Column, answer: Column, a: Column, answer_ml: Column, a_ml: Column, q_ml: Column) -> Column:
+    """The three dialects of a FAQ as one struct: q, variants, a, q_ml, a_ml.
+
+    The question is ``question``, else ``q``, else the first of the variants; blanks count as missing. Variants are those of
+    either name, without the question itself; repeats stay as they are.
+    """
+    listed = F.coalesce(F.when(F.size(variants) > 0, variants), question_variants, F.array().cast("array<string>"))
+    clean = F.filter(F.transform(listed, lambda v: F.trim(v)), lambda v: F.coalesce(v, F.lit("")) != "")
+    primary = F.coalesce(blank_to_null(question), blank_to_null(q), F.try_element_at(clean, F.lit(1)))
+    return F.struct(primary.alias("q"), F.filter(clean, lambda v: v != primary).alias("variants"), F.coalesce(blank_to_null(answer), blank_to_null(a)).alias("a"), blank_to_null(q_ml).alias("q_ml"), F.coalesce(blank_to_null(answer_ml), blank_to_null(a_ml)).alias("a_ml"))
+
+
+def listed_words(c: Column, stop: list[str]) -> Column:
+    """Words of two letters or more that are no stop words, with repeats."""
+    return F.filter(words(c), lambda w: (F.length(w) > 1) & ~F.array_contains(lit_array(stop), w))
+
+
+def priced_words(c: Column, stop: list[str]) -> Column:
+    """Distinct words, in which a rupee sign counts as a letter, without stop words."""
+    found = F.regexp_extract_all(F.lower(c), F.lit(r"([\p{L}\p{N}_₹]+)"), F.lit(1))
+    return F.array_distinct(F.filter(found, lambda w: ~F.array_contains(lit_array(stop), w)))
+
+
+def flat_settings(settings: dict[str, Column], aliases: dict[str, str], defaults: dict[str, str]) -> Column:
+    """Nested settings as one map of texts.
+
+    ``settings``: path, its parts joined by ``_``, to a column; an array is joined by commas, a null is blank. ``aliases``
+    names some paths a second time, where the alias itself is no path; ``defaults`` fills keys that are missing or blank.
+    """
+    out = {k: F.coalesce(v.cast("string"), F.lit("")) for k, v in settings.items()}
+    for short, path in aliases.items():
+        if short not in out and path in out:
+            out[short] = out[path]
+    for k, v in defaults.items():
+        out[k] = F.coalesce(F.nullif(out[k], F.lit("")), F.lit(v)) if k in out else F.lit(v)
+    return F.map_from_entries(F.array(*[F.struct(F.lit(k).alias("k"), v.alias("v")) for k, v in out.items()]))
+
+
+def dietary(c: Column, terms: dict[str, str]) -> Column:
+    """Phrases replaced by their canonical term wherever they occur, without case, the longest first."""
+    return reduce(lambda acc, p: F.regexp_replace(acc, "(?i)" + re.escape(p), terms[p]), sorted(terms, key=lambda p: (-len(p), p)), c)
+
+
 def content_words(c: Column, stop: list[str], least: int = 3) -> Column:
     return F.filter(words(c), lambda w: (F.length(w) >= least) & ~F.array_contains(lit_array(stop), w))
 
@@ -105,10 +155,14 @@ def prices(cell: Column) -> Column:
     return F.struct(F.when(good & ~around & ~rising, first).alias("price"), F.when(good, low).alias("price_min"), F.when(good, high).alias("price_max"))
 
 
-def price_label(price: Column, low: Column, high: Column, missing: str = "on request") -> Column:
-    """``₹1,200`` or ``₹a–₹b``; a price of 0 counts as none and gives ``missing`` ('', 'on request', 'price on request')."""
+def price_label(price: Column, low: Column, high: Column, missing: str = "on request", zero: bool = False, both: bool = True) -> Column:
+    """``₹1,200`` or ``₹a–₹b``, else ``missing``: blank, 'on request' or 'price on request' by the caller.
+
+    A price of 0 counts as none unless ``zero``; a range needs both ends, or with ``both`` false the lower one.
+    """
     shown = lambda p: F.concat(F.lit("₹"), F.format_number(p, 0))
-    return F.when(F.coalesce(price, F.lit(0)) != 0, shown(price)).when(F.coalesce(low, F.lit(0)) != 0, F.concat(shown(low), F.lit("–"), shown(high))).otherwise(missing)
+    has = lambda p: p.isNotNull() if zero else F.coalesce(p, F.lit(0)) != 0
+    return F.when(has(price), shown(price)).when(has(low) & (has(high) if both else F.lit(True)), F.concat(shown(low), F.lit("–"), F.coalesce(shown(high), F.lit("")))).otherwise(missing)
 
 
 _EMPTY = ("", "N/A", "NONE", "NULL", "0")
