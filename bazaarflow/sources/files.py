@@ -7,7 +7,11 @@ from pyspark.sql import functions as F
 
 FAQ = "array<struct<category: string, question: string, questions: array<string>, answer: string, q: string, a: string>>"
 ITEM = "name string, category string, description string, price bigint, price_min bigint, price_max bigint, gender string"
-CONFIG = "shop_name string, shop_type string, city string, contact struct<phone: string, email: string>, payment array<string>"
+CONFIG = (
+    "bot_name string, shop_name string, shop_type string, location string, city string, state string, hours struct<weekdays: string, sunday: string, holiday: string>, contact struct<whatsapp: string, phone: string, email: string>, "
+    "delivery struct<areas: string, free_above: string, days: string>, returns struct<days: int, condition: string, refund_days: string>, first_offer struct<code: string, description: string>, escalate struct<whatsapp: string, email: string>, "
+    "payment array<string>, allowed_categories array<string>, escalate_topics array<string>, blocked_topics array<string>, blocked_reply struct<manglish: string, english: string>, off_domain_signals array<string>, is_veg boolean, shop_gender string"
+)
 LOG = "timestamp timestamp, lang string, message string, sentiment string, confidence double, sent_source string, faq_source string, source string, faq_id string, faq_score double, escalate boolean, bypass string, reply string"
 LISTS = ("faqs", "questions", "items", "data")
 
@@ -43,9 +47,11 @@ def read_items(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_configs(spark: SparkSession, path: str, defaults: dict[str, str]) -> DataFrame:
-    """Nested shop settings ``<slug>/<file>.json``; plain keys fall back to ``defaults``."""
+    """Nested shop settings ``<slug>/<file>.json``; plain keys fall back to ``defaults``, and keys beyond ``CONFIG`` are kept as texts in ``extra``."""
     raw = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))
-    rows = raw.select(_slug(F.col("path")).alias("slug"), F.from_json("value", CONFIG).alias("c")).select("slug", "c.*")
+    rows = raw.select(_slug(F.col("path")).alias("slug"), F.from_json("value", CONFIG).alias("c"), F.from_json("value", "map<string, string>").alias("every"))
+    known = F.array(*[F.lit(f.name) for f in rows.schema["c"].dataType.fields])
+    rows = rows.select("slug", "c.*", F.map_filter(F.coalesce("every", F.create_map().cast("map<string, string>")), lambda k, v: ~F.array_contains(known, k)).alias("extra"))
     return rows.withColumns({k: F.coalesce(F.col(k), F.lit(v)) for k, v in defaults.items()})
 
 
@@ -54,9 +60,12 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, schema=LOG, header=True, multiLine=True, escape='"', mode="DROPMALFORMED")
 
 
-def append_log(rows: DataFrame, path: str, chars: int = 300) -> None:
-    """Append log rows by shop and day, replies cut to ``chars``."""
-    rows.withColumn("reply", F.substring("reply", 1, chars)).withColumn("log_date", F.to_date("timestamp")).write.mode("append").partitionBy("slug", "log_date").parquet(path)
+def append_log(rows: DataFrame, path: str, chars: int = 300, shops: str | None = None) -> None:
+    """Append log rows by day to the log of all shops, replies cut to ``chars``; with ``shops`` also by shop and day to the shops' own logs."""
+    cut = rows.withColumn("reply", F.substring("reply", 1, chars)).withColumn("log_date", F.to_date("timestamp"))
+    cut.write.mode("append").partitionBy("log_date").parquet(path)
+    if shops:
+        cut.where("slug is not null").write.mode("append").partitionBy("slug", "log_date").parquet(shops)
 
 
 def rewrite(rows: DataFrame, path: str, version: int) -> str:

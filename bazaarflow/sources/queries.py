@@ -35,11 +35,26 @@ def src_items(s, d):
 
 
 def src_config(s, d):
-    """Nested settings of each shop; missing ones come from the defaults."""
+    """Nested settings of each shop; missing ones come from the defaults, unknown keys go to a map."""
     path = _path(s, "config")
-    c = F.struct("shop_name", F.when(F.col("shop_pos") % 2 == 0, F.col("city")).alias("city"), F.struct(F.lit("1").alias("phone")).alias("contact"))
+    c = F.struct(
+        "shop_name", F.expr("if(shop_pos % 2 = 0, city, null) as city"), F.expr("named_struct('phone', '1', 'email', if(shop_pos % 3 = 0, 'a@b.c', null)) as contact"), F.expr("named_struct('weekdays', '9 to 5', 'sunday', if(shop_pos % 4 = 0, 'closed', null)) as hours"),
+        F.expr("named_struct('areas', city) as delivery"), F.expr("named_struct('days', cast(shop_pos % 10 as int)) as returns"), F.expr("if(shop_pos % 5 = 0, named_struct('code', 'X', 'description', 'ten off'), null) as first_offer"), F.expr("array('upi', 'cash') as payment"), F.expr("named_struct('email', 'x@y.z') as escalate"),
+        F.expr("cast(shop_pos as string) as branch"), F.expr("if(shop_pos % 7 = 0, 'yes', null) as parking"),
+    )
     t.shops(s, d).select(F.to_json(c).alias("value"), F.col("slug").alias("shop")).write.partitionBy("shop").text(path)
-    return files.read_configs(s, f"{path}/*/", {"city": "somewhere", "shop_type": "general"}).select("slug", "shop_name", "city", "shop_type", "contact.phone")
+    rows = files.read_configs(s, f"{path}/*/", {"city": "somewhere", "shop_type": "general"})
+    return rows.select("slug", "shop_name", "city", "shop_type", "contact.phone", "contact.email", "hours.weekdays", "hours.sunday", F.col("delivery.areas").alias("areas"), F.col("returns.days").alias("days"), F.col("first_offer.code").alias("code"), F.array_join("payment", ",").alias("payment"), F.col("escalate.email").alias("escalate"), F.col("extra")["branch"].alias("branch"), F.col("extra")["parking"].alias("parking"))
+
+
+def snk_log(s, d):
+    """The log appended twice, a half each time, to one log and to those of the shops; both are read back."""
+    path = _path(s, "sink")
+    rows = t.chat_log(s, d).selectExpr("msg_id", "if(session_id % 9 = 0, null, slug) as slug", "cast(ts as timestamp) as timestamp", "source", "repeat(concat(source, ' '), cast(msg_id % 90 as int)) as reply")
+    for half in (0, 1):
+        files.append_log(rows.where(F.col("msg_id") % 2 == half), f"{path}/all", shops=f"{path}/shops")
+    read = lambda part: s.read.parquet(f"{path}/{part}").groupBy("log_date", "source").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("reply")).alias("chars"), F.max(F.length("reply")).alias("longest"))
+    return read("all").withColumn("log", F.lit("all")).unionByName(read("shops").withColumn("log", F.lit("shops"))).withColumn("log_date", F.col("log_date").cast("string"))
 
 
 def src_log(s, d):
@@ -58,11 +73,14 @@ def snk_faq(s, d):
     return files.read_latest(s, path)
 
 
-QUERIES = {"src_faq": src_faq, "src_items": src_items, "src_config": src_config, "src_log": src_log, "snk_faq": snk_faq}
+QUERIES = {"src_faq": src_faq, "src_items": src_items, "src_config": src_config, "src_log": src_log, "snk_log": snk_log, "snk_faq": snk_faq}
 SQL = {
     "src_faq": f"select q as question, a as answer, 'c' as category from {t.FAQS}",
     "src_items": f"select slug, category, count(*) as items, cast(sum(price) as bigint) as total from {t.ITEMS} group by slug, category",
-    "src_config": f"select slug, shop_name, case when shop_pos % 2 = 0 then city else 'somewhere' end as city, 'general' as shop_type, '1' as phone from {t.SHOPS}",
+    "src_config": f"""select slug, shop_name, case when shop_pos % 2 = 0 then city else 'somewhere' end as city, 'general' as shop_type, '1' as phone, case when shop_pos % 3 = 0 then 'a@b.c' end as email, '9 to 5' as weekdays, case when shop_pos % 4 = 0 then 'closed' end as sunday, city as areas, cast(shop_pos % 10 as int) as days,
+        case when shop_pos % 5 = 0 then 'X' end as code, 'upi,cash' as payment, 'x@y.z' as escalate, cast(shop_pos as varchar) as branch, case when shop_pos % 7 = 0 then 'yes' end as parking from {t.SHOPS}""",
+    "snk_log": f"""with r as (select cast(cast(ts as date) as varchar) as log_date, source, session_id, least(300, (length(source) + 1) * (msg_id % 90)) as n from {t.LOG}) select log_date, source, count(*) as n, cast(sum(n) as bigint) as chars, cast(max(n) as int) as longest, 'all' as log from r group by log_date, source
+        union all select log_date, source, count(*), cast(sum(n) as bigint), cast(max(n) as int), 'shops' from r where session_id % 9 <> 0 group by log_date, source""",
     "src_log": f"select source, lang, count(*) as n, count(*) as quoted from {t.LOG} group by source, lang",
     "snk_faq": f"select slug, faq_id, a || ' (2)' as a from {t.FAQS}",
 }
