@@ -148,3 +148,95 @@ def test_unknown_item(spark):
     terms = spark.createDataFrame([("s", "biriyani"), ("s", "dosa")], "slug string, term string")
     got = {r.msg_id: r.unknown for r in m.unknown_items(asks, terms, ["kittumo", "undo"], ratio.spelling_variant).collect()}
     assert got == {1: False, 2: True}
+
+
+ITEM = "slug string, item_pos int, name string, category string, description string, price bigint"
+
+
+def test_phrases_of_names_in_messages(spark):
+    """The name's words are looked for in the message, so a longer message word hits and a longer name does not have to."""
+    rows = spark.createDataFrame([("s", 1, "Masala Dosa", "d", None, 80), ("s", 2, "Ghee Masala Dosas", "d", None, 90), ("s", 3, "Home Service Charge", "x", None, 5), ("s", 4, "a b", "x", None, 5)], ITEM)
+    asks = spark.createDataFrame([(1, "s", "two masala dosas please"), (2, "s", "masala dosa"), (3, "s", "home service undo"), (4, "s", "a b"), (5, "z", "masala dosa"), (6, "s", None), (7, "s", "tikkamasala dosage")], "msg_id int, slug string, message string")
+    got = items.matching_items(asks, rows, None).where("score is null").collect()
+    assert sorted((x.msg_id, x.item_pos) for x in got) == [(1, 1), (1, 2), (2, 1), (3, 3), (7, 1)]
+
+
+def test_generic_words_count_less_beside_others(spark):
+    rows = spark.createDataFrame([("s", i, f"{v} Masala", "curries", None, 80) for i, v in enumerate(["Egg", "Fish", "Crab", "Beef", "Lamb"])] + [("s", 9, "Puri", "breads", None, 20)], ITEM)
+    asks = spark.createDataFrame([(1, "s", "masala puri"), (2, "s", "masala undo"), (3, "s", "curries undo"), (4, "s", "nothing here")], "msg_id int, slug string, message string")
+    from bazaarflow.operators import analytics
+
+    got = items.matching_items(asks, rows, analytics.generic_tokens(rows)).collect()
+    assert [(x.item_pos, x.score) for x in got if x.msg_id == 1] == [(9, 3.0)]
+    assert sorted(x.item_pos for x in got if x.msg_id == 2) == [0, 1, 2, 3, 4]
+    assert {x.score for x in got if x.msg_id == 3} == {1.8} and not [x for x in got if x.msg_id == 4]
+
+
+def test_category_lists(spark):
+    """``veg`` does not list Non-Veg items; a question about a service lists nothing; one item is no list."""
+    rows = spark.createDataFrame([("s", 1, "Veg Biryani", "r", None, 80), ("s", 2, "Non-Veg Biryani", "r", None, 90), ("s", 3, "Veg Thali", "r", None, 70), ("s", 4, "Eyebrow Threading", "b", None, 30), ("s", 5, "Lip Threading", "b", None, 20), ("s", 6, "Facial", "b", None, 500)], ITEM)
+    asks = spark.createDataFrame([(1, "s", "veg undo"), (2, "s", "all threadings"), (3, "s", "threading pain undo"), (4, "s", "facial undo"), (5, "s", "full biryani list"), (6, "s", "")], "msg_id int, slug string, message string")
+    got = {x.msg_id: (x.keyword, x.n, x.first) for x in items.category_lists(asks, rows).collect()}
+    assert got == {1: ("veg", 2, 1), 2: ("threading", 2, 4), 5: ("biryani", 2, 1)}
+
+
+def test_table_roles(spark):
+    """Hours are no price; the name decides before the price; labels and administrative sections are facts; a floor of 10."""
+    cells = [(1, 0, ["Name", "3 hours", "60"]), (1, 1, ["Hair Spa", "2 hours", "60"]), (1, 2, ["Loyalty Card", "10 visits", ""]), (1, 3, ["Tip", "1 hour", "7"]), (2, 0, ["OPENING HOURS", ""]), (2, 1, ["Item", "Rate"]), (2, 2, ["Since 1999", "1999"])]
+    cells += [(3, 0, ["BRIDAL SERVICES", ""]), (3, 1, ["Service charge", "Notes"]), (3, 2, ["Makeup", "from Rs. 4,000 - 6,000"]), (3, 3, ["hair spa", "Rs. 90"]), (4, 0, ["Parking", "behind the shop"])]
+    df = spark.createDataFrame([("d", *c) for c in cells], "doc_id string, tbl int, row int, cells array<string>")
+    got = {r.name: (r.category, r.price, r.price_min, r.price_max) for r in extract.table_items(df).collect()}
+    assert got == {"Hair Spa": ("General", 60, None, None), "Makeup": ("BRIDAL SERVICES", None, 4000, 6000)}
+    facts = {(r.label, r.detail) for r in extract.table_facts(df).collect()}
+    assert facts == {("Loyalty Card", "10 visits"), ("Since 1999", "1999"), ("Parking", "behind the shop")}
+
+
+def test_price_list_lines(spark):
+    lines = ["HAIR CARE:", "Hair Cut 250", "Hair Spa Rs. 1,200 - Rs. 2,400", "Hair Cut (ladies) ₹300", "Beard | 99", "call 12", "NAIL ART", "Polish ₹80 only"]
+    df = spark.createDataFrame([("d", i, v) for i, v in enumerate(lines)], "doc_id string, line int, text string")
+    got = [(r.name, r.category, r.price, r.price_min, r.price_max) for r in extract.items_from_lines(df, "doc_id", ["line"]).orderBy("line").collect()]
+    assert got == [("Hair Cut", "HAIR CARE", 250, None, None), ("Hair Spa", "HAIR CARE", None, 1200, 2400), ("Beard", "HAIR CARE", 99, None, None), ("call", "HAIR CARE", 12, None, None), ("Polish", "NAIL ART", 80, None, None)]
+
+
+def test_routes_depend_on_order_not_on_partitions(spark):
+    """The router gives the same rows for shuffled input and other partition counts, and each message once."""
+    from bazaarflow.operators import message_queries as mq
+    from bazaarflow.plans import tables as t
+
+    sf = "/root/testdata/sf0.001"
+    want = sorted(tuple(r) for r in mq.rte_pipeline(spark, sf).collect())
+    assert len(want) == len({r[0] for r in want}) == t.messages(spark, sf).count()
+    plain = t.messages
+    try:
+        t.messages = lambda s, d: plain(s, d).orderBy(F.xxhash64("msg_id")).repartition(7)
+        assert sorted(tuple(r) for r in mq.rte_pipeline(spark, sf).collect()) == want
+    finally:
+        t.messages = plain
+
+
+def test_switch_of_language_counts_only_if_it_is_reached(spark):
+    """An earlier guard keeps a switch from counting; another session's switch does not matter; garbage is English."""
+    rows = [(1, "s", 1, 0, "speak manglish"), (2, "s", 1, 1, "hello"), (3, "s", 2, 0, "hello"), (4, "s", 3, 0, "thanks, speak manglish"), (5, "s", 3, 1, "hello"), (6, "s", 1, 2, "??"), (7, "s", 1, 3, "this is a long english message")]
+    messages = spark.createDataFrame(rows, "msg_id int, slug string, session_id int, turn int, message string")
+    config = spark.createDataFrame([("s", "salon", ["dosa"], ["returns", "wifi"], ["fraud"], None)], "slug string, shop_type string, off_domain array<string>, blocked array<string>, active array<string>, offer_code string")
+    flagged = m.flags(messages, config, m.PATTERNS, m.LEXICON, ["everything"], {"fraud": "scam"})
+    got = {r.msg_id: (r.route, r.lang) for r in m.route_messages(messages, flagged, F.lit("english"), F.lit("manglish")).collect()}
+    assert got == {1: ("lang_switch", "manglish"), 2: ("greeting", "manglish"), 3: ("greeting", "english"), 4: ("compliment", "english"), 5: ("greeting", "english"), 6: ("garbage", "english"), 7: ("free", "english")}
+
+
+def test_guards_by_topic_and_type(spark):
+    texts = ["do you exchange", "wifi here", "a masala dosa", "it is a scam", "dosa in a general shop"]
+    messages = spark.createDataFrame([(i, "g" if i == 4 else "s", 1, i, v) for i, v in enumerate(texts)], "msg_id int, slug string, session_id int, turn int, message string")
+    config = spark.createDataFrame([("s", "salon", ["dosa"], ["returns", "wifi"], ["fraud"], None), ("g", "general", ["dosa"], None, None, None)], "slug string, shop_type string, off_domain array<string>, blocked array<string>, active array<string>, offer_code string")
+    rows = m.flags(messages, config, m.PATTERNS, m.LEXICON, ["everything"], {"fraud": "scam"}).orderBy("msg_id").collect()
+    assert [r.blocked for r in rows] == [True, True, False, False, False]
+    assert [r.off_domain for r in rows] == [False, False, True, False, False]
+    assert [(r.escalate, bool(r.urgent)) for r in rows][3] == (True, True)
+
+
+def test_uploads(spark):
+    rows = spark.createDataFrame([("a", '{"bot_name": 1, "shop_name": 1, "contact": 1, "hours": 1, "escalate": 1}'), ("b", "{}"), ("c", "[1]"), ("d", "x")], "slug string, value string")
+    got = {r.slug: r.reason for r in faq.checked_configs(rows).collect()}
+    assert got["a"] is None and got["b"] == "missing: bot_name,shop_name,contact,hours,escalate" and got["c"] == got["d"] == "no JSON object"
+    good, bad = faq.split_checked(faq.checked_configs(rows))
+    assert good.count() == 1 and bad.count() == 3

@@ -1,9 +1,10 @@
 """The whole job against brute force: cases that candidate keys, prefixes or bounds once left out."""
 
 import random
+import re
 
 from bazaarflow.functions import ratio
-from bazaarflow.operators import match
+from bazaarflow.operators import items, match
 from bazaarflow.operators import messages as m
 from bazaarflow.plans import registry
 from bazaarflow.plans import tables as t
@@ -33,21 +34,65 @@ def test_best_token_set_equals_brute_force():
 
 def test_faq_fuzzy_without_a_common_word(spark):
     asks = spark.createDataFrame([(1, "s", "xbiryani"), (2, "s", None), (3, "z", "xbiryani")], "msg_id long, slug string, message string")
-    faqs = spark.createDataFrame([(7, "s", "biryani"), (8, "s", "price list"), (9, "s", None), (6, "u", "xbiryani")], "faq_pos long, slug string, q string")
-    assert [tuple(x) for x in match.faq_fuzzy(asks, faqs).select("msg_id", "faq_pos", "score").collect()] == [(1, 7, 93.3333)]
+    faqs = spark.createDataFrame([(7, "s", "rice", ["biryani", " "]), (8, "s", "price list", None), (9, "s", None, []), (6, "u", "xbiryani", None)], "faq_pos long, slug string, q string, variants array<string>")
+    for block in (2000, 1):
+        assert [tuple(x) for x in match.faq_fuzzy(asks, faqs, block=block).select("msg_id", "faq_pos", "score").collect()] == [(1, 7, 93.3333)]
+
+
+def phrases_of(f):
+    return [v.strip() for v in (f.q, *(f.variants or [])) if v and v.strip()]
 
 
 def test_registered_fuzzy_match_covers_all_messages_and_faqs(spark):
-    messages, faqs = t.messages(spark, SF).collect(), sorted(t.faqs(spark, SF).collect(), key=lambda f: f.faq_pos)
+    messages, faqs = t.messages(spark, SF).collect(), sorted(t.phrased(spark, SF).collect(), key=lambda f: f.faq_pos)
     want = {}
     for slug in {x.slug for x in messages}:
-        asks, own = [x for x in messages if x.slug == slug], [f for f in faqs if f.slug == slug]
-        found = best([a.message.lower() for a in asks], [f.q.lower() for f in own], 40.0)
-        want |= {a.msg_id: (own[k].faq_pos, score) for a, (k, score) in zip(asks, found) if k >= 0}
+        asks = [x for x in messages if x.slug == slug]
+        own = [(f.faq_pos, p) for f in faqs if f.slug == slug for p in phrases_of(f)]
+        found = best([a.message.lower() for a in asks], [p.lower() for _, p in own], match.FUZZY_LEAST)
+        want |= {a.msg_id: (own[k][0], score) for a, (k, score) in zip(asks, found) if k >= 0}
     got = registry.queries()["jn_faq_fuzzy"](spark, SF).collect()
     assert {x.msg_id: (x.faq_pos, x.score) for x in got} == want and len(want) > 20
 
 
+def test_f1_by_rarest_words_equals_all_pairs(spark):
+    """No pair of an F1 from the threshold on is lost by the prefixes, at any threshold."""
+    r = random.Random(8)
+    word = lambda: r.choice("abcdefghijklmnopqrstuvwxyz"[: r.choice([4, 26])]) * r.randrange(1, 3)
+    text = lambda: " ".join(word() for _ in range(r.randrange(1, 12)))
+    asks = [(i, f"s{i % 2}", text()) for i in range(80)]
+    faqs = [(i, f"s{i % 2}", text(), [text() for _ in range(r.randrange(3))]) for i in range(60)]
+
+    def f1(a, b):
+        a, b = set(a.split()), set(b.split())
+        return round(2 * len(a & b) / (len(a) + len(b)) + 1e-12, 4)
+
+    m = spark.createDataFrame(asks, "msg_id long, slug string, message string")
+    f = spark.createDataFrame(faqs, "faq_pos long, slug string, q string, variants array<string>")
+    for least in (0.2, 0.45, 0.8):
+        want = {}
+        for i, slug, message in asks:
+            scores = [(max(f1(message, p) for p in [q, *v]), -pos) for pos, s, q, v in faqs if s == slug]
+            score, pos = max(scores)
+            if score >= least:
+                want[i] = (-pos, score)
+        got = {x.msg_id: (x.faq_pos, x.score) for x in match.faq_f1(m, f, least).collect()}
+        assert got == want
+
+
+def test_vectors_in_blocks_equal_one_product(spark):
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    v = r.normal(size=(40, 8))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    rows = spark.createDataFrame([(i, f"k{i % 2}", v[i].tolist()) for i in range(40)], "r long, key string, rv array<double>")
+    asked = spark.createDataFrame([(i, f"k{i % 2}", v[i].tolist()) for i in range(0, 40, 3)], "q long, key string, qv array<double>")
+    want = {(i, j) for i in range(0, 40, 3) for j in sorted((j for j in range(40) if j % 2 == i % 2), key=lambda j: (-round(float(v[i] @ v[j]), 4), j))[:4]}
+    for block in (2000, 3):
+        assert {(x.q, x.r) for x in match.vector_top(asked, rows, "key", 4, -1.0, block).collect()} == want
+
+
 def known(word, terms):
     stem = lambda v: len(v) >= 4 and word[:4] == v[:4] and v in word
     near = lambda v: len(word) >= 5 and len(v) >= 5 and word[0] == v[0] and ratio.indel(word, v) >= 65
@@ -64,3 +109,53 @@ def test_unknown_items_against_brute_force(spark):
         spark.createDataFrame([(i, "s", w) for i, w in enumerate(asks)], "msg_id int, slug string, message string"), spark.createDataFrame([("s", v) for v in terms] + [("u", "laptop")], "slug string, term string"), [], ratio.spelling_variant
     )
     assert {x.msg_id: x.unknown for x in got.collect()} == {i: not known(w, terms) for i, w in enumerate(asks)}
+
+
+def test_cascade_against_plain_python(spark):
+    """The registered cascade: each message's pass and score from the passes' own results, put together by hand."""
+    i = match.cascade_inputs(spark, SF)
+    m = {x.msg_id: x for x in i["messages"].collect()}
+    got = {x.msg_id: x for x in match.match_cascade(**i).collect()}
+    frame = i["messages"]
+    lists = {x.msg_id for x in items.category_lists(frame.where("not greeting"), i["items"]).collect()}
+    vectors = {x.msg_id: x for x in match.faq_vector(frame, i["embedded"], i["vocabulary"]).collect()}
+    answers = {x.msg_id for x in items.item_answers(frame, i["items"], i["generic"], broad=frame["broad"]).collect()}
+    pool, types = i["pool"].collect(), ("bakery",)
+
+    def generic(x):
+        own = [f for f in pool if f.lang == x.lang and (f.shop_types is None or "all" in f.shop_types or x.shop_type in f.shop_types) and (x.bad or not f.mood)]
+        own.sort(key=lambda f: (not f.mood, f.faq_pos))
+        dot = lambda f: round(float(sum(a * b for a, b in zip(x.vec, f.vec))), 4)
+        part = [f for f in own if x.intent and x.intent in f.section.lower()]
+        for n, some in ((5, part), (6, own)):
+            scored = [(dot(f), -k) for k, f in enumerate(some)]
+            if scored and max(scored)[0] >= match.GENERIC_LEAST:
+                return n, max(scored)[0]
+        phrases = [p for f in own for p in phrases_of(f)]
+        k, score = best([x.message.lower()], [p.lower() for p in phrases], match.FUZZY_LEAST)[0]
+        if k >= 0:
+            return 7, round(score / 100, 4)
+        words = lambda text: set(re.findall(r"\w+", text.lower()))
+        f1 = max((2 * len(words(x.message) & words(p)) / (len(words(x.message)) + len(words(p))) for p in phrases if words(p)), default=0)
+        return (8, round(f1, 4)) if f1 >= match.F1_LEAST else None
+
+    seen = set()
+    for k, x in m.items():
+        asks = x.item_ask and not x.greeting and not x.broad
+        v, a = vectors.get(k), k in answers and not x.about and (asks or x.full)
+        weak = match.WIN_MANGLISH if x.lang == "manglish" else match.WIN_ENGLISH
+        if k in lists:
+            want = (1, 1.0)
+        elif v:
+            want = (3, 1.0) if asks and a and v.score < weak else (2, v.score)
+        elif a and asks:
+            want = (3, 1.0)
+        elif a:
+            want = (4, 0.9)
+        else:
+            want = None if x.item_intent else generic(x)
+        assert (want is None) == (k not in got), (k, want)
+        if want:
+            assert got[k].pass_no == want[0] and abs(got[k].score - want[1]) < 2e-4, (k, want, got[k])
+            seen.add(want[0])
+    assert {1, 2, 3} <= seen and types
