@@ -5,11 +5,11 @@ from __future__ import annotations
 
 def modules() -> list:
     from ..functions import queries as functions
-    from ..operators import analytics, catalog, extract, faq, items, match, message_queries
+    from ..operators import analytics, catalog, extract, faq, items, match, message_queries, plugins
     from ..sources import queries as sources
     from ..streaming import queries as streaming
 
-    return [functions, message_queries, analytics, catalog, extract, faq, match, items, sources, streaming]
+    return [functions, message_queries, analytics, catalog, extract, faq, match, items, plugins, sources, streaming]
 
 
 def queries() -> dict:
