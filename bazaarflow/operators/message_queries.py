@@ -204,7 +204,7 @@ _HOLDS = "len(list_filter({0}, lambda p: contains(lower(message), p))) > 0"
 _MANGLISH = f"(list_has_any(w, {_list(SIGNALS + PARTICLES + SWITCH)}) or len(list_filter(w, lambda v: length(v) > 3 and ends_with(v, 'o') and list_contains({_list(SIGNALS)}, left(v, length(v) - 1)))) > 0)"
 _SUBJECT = f"list_filter(regexp_split_to_array(trim(regexp_replace(lower(case when contains(lower(message), 'tion') then message || ' nation' else message end), '[^a-z0-9\\s]', ' ', 'g')), '\\s+'), lambda v: length(v) >= 3 and not list_contains({_strings(NEUTRAL)}, v) and not regexp_matches(v, '^(?:{ASK})$'))"
 _VOCABULARY = f"(select distinct slug, unnest(regexp_extract_all(lower(term), '[a-z0-9]+')) as term from (select slug, name || ' ' || category as term from {t.ITEMS} union all select slug, a from {t.FAQS}))"
-_UNKNOWN = f"""(with w as (select msg_id, slug, unnest({_SUBJECT}) as word from {_M} where regexp_matches(lower(message), '\\b(?:{ASK})\\b')), u as (select distinct slug, word from w), v as (select * from {_VOCABULARY}), l as (select distinct slug, unnest(regexp_extract_all(term, '[a-z]{{4,}}')) as term from v),
+_UNKNOWN = f"""(with w as (select msg_id, slug, unnest({_SUBJECT}) as word from {_M} where regexp_matches(lower(message), '(^|[^\\p{{L}}\\p{{N}}_])(?:{ASK})($|[^\\p{{L}}\\p{{N}}_])')), u as (select distinct slug, word from w), v as (select * from {_VOCABULARY}), l as (select distinct slug, unnest(regexp_extract_all(term, '[a-z]{{4,}}')) as term from v),
   k as (select slug, word from u semi join v on u.slug = v.slug and contains(v.term, u.word) union select slug, word from u semi join l on u.slug = l.slug and starts_with(u.word, left(l.term, 4)) and contains(u.word, l.term))
   select msg_id, bool_and(k.word is null) as unknown from w left join k using (slug, word) group by msg_id)"""
 _FLAG = {g[0]: _m(g[0]) if g[0] in PATTERNS else "" for g in m.ROUTES} | {

@@ -248,7 +248,7 @@ def unknown_items(asks: DataFrame, vocabulary: DataFrame, neutral: list[str], va
     """
     text = F.lower("message") if synonyms is None else F.lower(x.append_umbrella(F.col("message"), synonyms))
     subject = F.filter(x.split_words(F.regexp_replace(text, "[^a-z0-9\\s]", " ")), lambda w: (F.length(w) >= 3) & ~F.array_contains(x.lit_array(neutral), w) & (~w.rlike(f"^(?:{item_ask})$") if item_ask else F.lit(True)))
-    asks = asks.where(F.lower("message").rlike(rf"\b(?:{item_ask})\b")) if item_ask else asks
+    asks = asks.where(F.lower("message").rlike(rf"(^|[^\p{{L}}\p{{N}}_])(?:{item_ask})($|[^\p{{L}}\p{{N}}_])")) if item_ask else asks
     tokens = asks.select("msg_id", "slug", F.explode(F.array_distinct(subject)).alias("word"))
     words = tokens.select("slug", "word").distinct()
     v = vocabulary.select("slug", F.explode(F.regexp_extract_all(F.lower("term"), F.lit("([a-z0-9]+)"), F.lit(1))).alias("term")).distinct()
