@@ -7,7 +7,7 @@ import functools
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A side is broadcast only when it was counted and has at most this many narrow rows.
@@ -70,6 +70,18 @@ def sized(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if small_enough(df, rows) else df
 
 
+def first_by_hash(rows: DataFrame, key: Column, n: int) -> DataFrame:
+    """About ``n`` rows, those whose 64-bit hash is lowest, each hash once: even, bounded and the same at every size.
+
+    The bound on the hash has 64 bits, so it is never rounded to nothing, and no row is favoured by its text or place.
+    """
+    keyed = rows.withColumn("_h", F.xxhash64(key))
+    count = keyed.count()
+    if count > n:
+        keyed = keyed.where(F.col("_h") < F.lit(int(n * 2**64 / count) - 2**63))
+    return keyed.dropDuplicates(["_h"]).drop("_h")
+
+
 def numbered(df: DataFrame, keys: list[str], order: list, out: str, buckets: int = 32, salt: str | None = None) -> DataFrame:
     """Gapless numbers from 0 within ``keys`` without one task per key.
 
@@ -91,27 +103,46 @@ def numbered(df: DataFrame, keys: list[str], order: list, out: str, buckets: int
     return joined.withColumn(out, F.col("_row") + F.col("_base")).drop("_row", "_base", cell, "_b_cell", *[f"_b_{k}" for k in keys])
 
 
+#: Nodes with more neighbours than this get their minimum by a broadcast.
+HUB = 1000
+#: Up to so many nodes get their minima by a broadcast, whatever their neighbours.
+FEW_NODES = 200_000
+
+
+def _with_minimum(edges: DataFrame, low: DataFrame, n_edges: int) -> DataFrame:
+    """``edges`` (a, b) with ``low``'s minimum m of each a; no task gathers the edges of a hub.
+
+    ``n_edges`` edges have at most twice as many nodes, and at most 2 * ``n_edges`` / h of those are hubs of more than h
+    edges: both bounds are known before anything is sent to all tasks.
+    """
+    if 2 * n_edges <= FEW_NODES:
+        return edges.join(F.broadcast(low.select("a", "m")), "a")
+    h = max(HUB, 2 * n_edges // FEW_NODES)
+    hubs = F.broadcast(low.where(F.col("n") > h).select("a", "m"))
+    return edges.join(hubs, "a").unionByName(edges.join(hubs, "a", "left_anti").join(low.where(F.col("n") <= h).select("a", "m"), "a"))
+
+
 def components(edges: DataFrame, label: str = "components") -> DataFrame:
-    """Connected components of ``edges`` (``a``, ``b`` long) as (``node``, ``root``); the root is the smallest node.
+    """Connected components of ``edges`` (``a``, ``b`` long) as a table (``node``, ``root``); the root is the smallest node.
 
     Distributed union-find by alternating large-star and small-star steps: each round hangs every node's neighbours on
-    its smallest neighbour, first those above it, then those below. Only minima are aggregated (map-side combine) and
-    each round is a table in the shared folder, so no node's neighbours meet in one row and lost executors cost one round.
-    Loops and duplicate edges are allowed; nodes of loops alone do not appear. An empty input gives an empty result.
+    its smallest neighbour, first those above it, then those below, until every node hangs on a root. Only minima are
+    aggregated (map-side combine) and each round is a table in the shared folder, so no node's neighbours meet in one row or
+    task and lost executors cost one round. Loops and duplicate edges are allowed; nodes of loops alone do not appear. An
+    empty input gives an empty result.
     """
     e = edges.select(F.greatest("a", "b").cast("long").alias("a"), F.least("a", "b").cast("long").alias("b")).where("a <> b").distinct()
-    e, seen = materialise(e, label), None
+    e = materialise(e, label)
     while True:
-        mark = e.agg(F.count(F.lit(1)).alias("n"), F.expr("bit_xor(xxhash64(a, b))").alias("x")).first()
-        if (mark["n"], mark["x"]) == seen or not mark["n"]:
+        ends = e.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(e.select(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        ends = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+        mark = ends.agg(F.coalesce(F.sum("up"), F.lit(0)).alias("n"), F.count_if(F.expr("up > 1 or up + down > 1")).alias("open")).first()
+        if not mark["open"]:
             break
-        seen = (mark["n"], mark["x"])
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.where("m < a").select("a", F.col("m").alias("b")))
-        large = large.where("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
+        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count(F.lit(1)).alias("n"))
+        large = _with_minimum(both.where("b > a"), low, mark["n"]).select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.where("m < a").select("a", F.col("m").alias("b"))).distinct()
+        low = large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
+        small = _with_minimum(large, low, 2 * mark["n"]).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
         e = materialise(small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), label)
-    nodes = e.groupBy("a").agg(F.min("b").alias("root")).select(F.col("a").alias("node"), "root")
-    return nodes.unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+    return e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import hashing as H
-from .common import components, in_small_batches, materialise, sized
+from .common import in_small_batches, materialise, sized
+from .grouping import jaccard, linked
 
 #: A token holds its coordinate in its lowest bits.
 COORDINATE_BITS = 6
@@ -39,96 +40,41 @@ def _sets(shingle: int, k: int):
     return run
 
 
-def _edges(found: list[tuple[int, int]]) -> pa.RecordBatch:
-    pairs = np.array(found, np.int64).reshape(-1, 2)
-    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+def agreeing(k: int, at_least: int):
+    """Lists of shared tokens, at most one a coordinate: similar if ``at_least`` of them agree."""
 
+    def similar(payload):
+        flat = payload.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+        m = len(payload)
+        rows = np.repeat(np.arange(m), payload.value_lengths().to_numpy(zero_copy_only=False))
+        grid = np.arange(m * k, dtype=np.uint64).reshape(m, k)  # no token is below m * k but by chance of 2**-40
+        grid[rows, (flat & np.uint64((1 << COORDINATE_BITS) - 1)).astype(np.int64)] = flat
 
-def _matching(k: int, at_least: int):
-    """Groups of documents posted under one coordinate-value pair -> a spanning forest of the pairs that agree enough."""
+        def compare(i, others) -> np.ndarray:
+            return (grid[others] == grid[i]).sum(1) >= at_least
 
-    def run(batches):
-        found: list[tuple[int, int]] = []
-        for group in H.runs(batches, 0):
-            m = group.num_rows
-            if m < 2:
-                continue
-            group = group.sort_by(group.column_names[1])  # so that groups with common members find the same trees
-            ids = group.column(1).to_numpy()
-            lists = group.column(2).combine_chunks()
-            flat = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-            sizes = lists.value_lengths().to_numpy(zero_copy_only=False)
-            rows = np.repeat(np.arange(m), sizes)
-            grid = np.arange(m * k, dtype=np.uint64).reshape(m, k)  # no token is below m * k but by chance of 2**-40
-            grid[rows, (flat & np.uint64((1 << COORDINATE_BITS) - 1)).astype(np.int64)] = flat
-            forest, trees = H.Forest(m), m
-            for i in range(m - 1):
-                for j in np.flatnonzero((grid[i + 1 :] == grid[i]).sum(1) >= at_least) + i + 1:
-                    if ids[i] != ids[j] and forest.join(i, int(j)):
-                        found.append((ids[i], ids[j]))
-                        trees -= 1
-                if trees == 1:
-                    break
-            if len(found) > 50_000:
-                yield _edges(found)
-                found = []
-        yield _edges(found)
-
-    return run
+        compare.likely = compare
+        return compare
 
+    return similar
 
-def _full_sets(shingle: int):
-    def run(batches):
-        for batch in H.slices(batches, 1):
-            words, at = H.words(*H.buffers(batch.column(1)))
-            sets = [H.distinct(H.shingles(words[at[i] : at[i + 1]], shingle)).tobytes() for i in range(batch.num_rows)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(batch.column(i) for i in range(2, batch.num_columns)), pa.array(sets, pa.binary())], [batch.schema.names[0], *batch.schema.names[2:], "members"])
-
-    return run
 
+def _stored_sets(payload: pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(x.as_py(), np.uint64) for x in payload]
 
-def exact_forest(percent: int):
-    """Groups of (group, id, set) -> a spanning forest of the pairs with 100 * intersection >= percent * union.
 
-    All pairs of a group are compared: one set is marked in the group's own numbering, and sums over the others' marks give
-    its intersections with all of them at once. Only the forest leaves the task.
-    """
+def _full_sets(shingle: int):
+    """(text, group, unit, tree) -> the last three and the text's set."""
 
     def run(batches):
-        found: list[tuple[int, int]] = []
-        for group in H.runs(batches, 0):
-            m = group.num_rows
-            if m < 2:
-                continue
-            ids = group.column(1).to_numpy()
-            sets = [np.frombuffer(x.as_py(), np.uint64) for x in group.column(2)]
-            size = np.array([len(s) for s in sets], np.int64)
-            start = np.concatenate([[0], np.cumsum(size)])
-            local = np.unique(np.concatenate(sets), return_inverse=True)[1]
-            marks = np.zeros(local.max() + 1 if len(local) else 0, np.int32)
-            forest = H.Forest(m)
-            for i in range(m - 1):
-                own = local[start[i] : start[i + 1]]
-                marks[own] = 1
-                both = np.add.reduceat(marks[local[start[i + 1] :]], start[i + 1 : -1] - start[i + 1])
-                marks[own] = 0
-                for j in np.flatnonzero(100 * both >= percent * (size[i] + size[i + 1 :] - both)) + i + 1:
-                    if ids[i] != ids[j] and forest.join(i, int(j)):
-                        found.append((ids[i], ids[j]))
-        yield _edges(found)
+        for batch in H.slices(batches, 0):
+            words, at = H.words(*H.buffers(batch.column(0)))
+            sets = [H.distinct(H.shingles(words[at[i] : at[i + 1]], shingle)).tobytes() for i in range(batch.num_rows)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(sets, pa.binary())], ["group", "unit", "tree", "payload"])
 
     return run
 
 
-def block_pairs(rows: DataFrame, key: str, unit: str, blocks: str) -> DataFrame:
-    """Deal each ``key``'s rows to ``blocks`` blocks by the hash of ``unit`` and send each block to every pair it is in.
-
-    ``group`` identifies (key, block, block); with one block a key is one group.
-    """
-    dealt = rows.withColumn("_own", F.expr(f"pmod(xxhash64({unit}, {key}), {blocks})")).withColumn("_other", F.explode(F.expr(f"sequence(0L, {blocks} - 1)")))
-    return dealt.withColumn("group", F.xxhash64(key, F.least("_own", "_other"), F.greatest("_own", "_other"))).drop("_own", "_other")
-
-
 @in_small_batches
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 85, k: int = 32, at_least: int = 16, block: int = 256, block_mb: int = 16, posting_block: int = 1024) -> DataFrame:
     """Near-duplicate components of ``docs``: one row per input row with doc_id, n_shingles, component_id, kept.
@@ -138,36 +84,41 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     two in a million), so each class keeps only the prefix of its rarest shared pairs in which any such partner must
     show up, and classes with fewer shared pairs than that drop out. Within a posting, agreements are counted and only a
     spanning forest of the matches is kept; its components are the groups in which links are then confirmed on full
-    sets. Large postings and groups are dealt as pairs of blocks, so no task holds a group and no pair leaves a task.
+    sets. Large postings and groups are dealt to blocks that meet their smallest member first, and only what is then still
+    apart is compared across blocks, so no task holds a group and a large group of copies costs its rows, not their pairs.
 
     Empty or null text, or text without words: n_shingles 0, linked with nothing, kept. A text of fewer words than
-    ``shingle`` is one shingle. A null id: its row has a null component and is kept. Rows of one id count as one document.
-    Other columns are ignored. An empty table gives an empty result.
+    ``shingle`` is one shingle. A null id: its row has a null component and is kept. Rows of one id
+    count as one document: a link of one of their texts is a link of the id.
+    Other columns, whatever their names, are ignored. An empty table gives an empty result.
     """
     if k > 1 << COORDINATE_BITS:
         raise ValueError(f"k may be at most {1 << COORDINATE_BITS}")
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sets = materialise(source.mapInArrow(_sets(shingle, k), _SETS), "near-sets")
     classes = sets.where("n_shingles > 0 and doc_id is not null").groupBy("set_hi", "set_lo").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
-    reps = materialise(sets.join(classes, ["set_hi", "set_lo", "doc_id"]).dropDuplicates(["doc_id"]), "near-classes")
+    reps = materialise(sets.join(classes, ["set_hi", "set_lo", "doc_id"]).dropDuplicates(["set_hi", "set_lo"]), "near-classes")
 
-    posted = reps.select("doc_id", F.explode("tokens").alias("token"))
+    posted = reps.select("doc_id", "set_hi", "set_lo", F.explode("tokens").alias("token"))
     often = posted.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    shared = posted.join(often, "token").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("s")).where(F.size("s") >= at_least)
-    prefix = shared.select("doc_id", F.col("s.token").alias("tokens"), F.explode(F.expr(f"slice(s, 1, size(s) - {at_least} + 1)")).alias("p")).select("doc_id", "tokens", "p.token", F.ceil(F.col("p.df") / F.lit(posting_block)).alias("blocks"))
-    groups = block_pairs(prefix, "token", "doc_id", "blocks").select("group", "doc_id", "tokens")
-    matches = groups.repartition("group").sortWithinPartitions("group").mapInArrow(_matching(k, at_least), "a long, b long")
-    clusters = components(matches, "near-matches")
-
-    members = materialise(clusters.join(reps.select(F.col("doc_id").alias("node"), "n_shingles"), "node"), "near-members")
+    shared = posted.join(often, "token").groupBy("doc_id", "set_hi", "set_lo").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("s")).where(F.size("s") >= at_least)
+    shared = materialise(shared.select(F.xxhash64("set_hi", "set_lo").alias("set"), F.col("doc_id").alias("unit"), "s"), "near-shared")
+    prefix = shared.select("unit", "set", F.explode(F.expr(f"slice(s, 1, size(s) - {at_least} + 1)")).alias("p"))
+    prefix = prefix.select(F.col("p.token").alias("key"), "unit", "set", F.ceil(F.col("p.df") / F.lit(posting_block)).alias("blocks"))
+    tokens = shared.select("set", F.col("s.token").alias("payload"))
+    clusters = linked(prefix, agreeing(k, at_least), "near-matches", lambda groups: tokens.join(sized(groups), "set"), ["set"])
+
+    members = materialise(clusters.join(reps.groupBy(F.col("doc_id").alias("node")).agg(F.sum("n_shingles").alias("n_shingles")), "node"), "near-members")
     room = members.groupBy("root").agg(F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(block)), F.ceil(F.sum("n_shingles") * 8 / F.lit(block_mb << 20))).alias("blocks"))
-    placed = members.join(room, "root").select(F.col("node").alias("doc_id"), "root", "blocks")
-    full = source.join(sized(placed), "doc_id").select("doc_id", "text", "root", "blocks").mapInArrow(_full_sets(shingle), "doc_id long, root long, blocks long, members binary")
-    dealt = block_pairs(full, "root", "doc_id", "blocks").select("group", "doc_id", "members")
-    links = dealt.repartition("group").sortWithinPartitions("group").mapInArrow(exact_forest(percent), "a long, b long")
-    linked = components(links, "near-links")
+    placed = members.join(sized(room), "root").select(F.col("node").alias("unit"), F.col("root").alias("key"), "blocks")
+
+    def with_sets(groups: DataFrame) -> DataFrame:
+        texts = source.join(sized(groups), F.col("doc_id") == F.col("unit")).select("text", "group", "unit", "tree")
+        return texts.mapInArrow(_full_sets(shingle), "group long, unit long, tree long, payload binary")
+
+    linked_sets = linked(placed, jaccard(percent, _stored_sets), "near-links", with_sets)
 
-    label = reps.select("set_hi", "set_lo", "doc_id", "copies").join(linked, F.col("node") == F.col("doc_id"), "left").where("copies > 1 or root is not null")
+    label = reps.select("set_hi", "set_lo", "doc_id", "copies").join(linked_sets, F.col("node") == F.col("doc_id"), "left").where("copies > 1 or root is not null")
     label = label.select("set_hi", "set_lo", F.coalesce("root", "doc_id").alias("component"))
     out = sets.where("n_shingles > 0").join(label, ["set_hi", "set_lo"], "left").unionByName(sets.where("n_shingles = 0").withColumn("component", F.lit(None).cast("long")), allowMissingColumns=True)
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
