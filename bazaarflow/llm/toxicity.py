@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import hashing as H
-from .common import in_small_batches, materialise, sized
+from .common import first_by_hash, in_small_batches, materialise, sized
 
 # Characters that pass for Latin letters (Cyrillic, Greek, full width), and digits and signs used as letters.
 HOMOGLYPHS = {
@@ -33,9 +33,7 @@ _WORD = re.compile(r"[^\W\d_]+")
 
 #: Lexicon entries begin a word: with so many first letters, or a whole word.
 STEMS = (4, 5, 6, 7)
-#: Lexicon entries kept, the strongest first: a bound on the model, not on documents.
-MAX_ENTRIES = 20_000
-#: Labelled rows that the calibration may see at most; the lexicon is counted over all of them.
+#: Labelled rows that the calibration sees, about; the lexicon is counted over all of them.
 CALIBRATION_ROWS = 50_000
 
 
@@ -189,16 +187,18 @@ def _score(sent, cap: float):
     return run
 
 
-def learn(docs: DataFrame, labels: DataFrame, cap: float = 8.0, false_alarms: float = 0.05, least_ratio: float = 5.0):
+def learn(docs: DataFrame, labels: DataFrame, cap: float = 8.0, false_alarms: float = 0.05, least_ratio: float = 5.0, calibration_rows: int = CALIBRATION_ROWS):
     """Lexicon, exception phrases and calibration from labelled rows: ([(entry, kind, weight)], [phrase], coefficients).
 
     ``labels``: doc_id and toxic 0 or 1. Words and word stems are counted by documents over all labelled rows. An entry's
     weight is its log odds; it enters if toxic rows hold it ``least_ratio`` times as often and a likelihood-ratio test over
     all candidates would admit ``false_alarms`` by chance. A stem also needs no single word to make up most of it. Phrases of
-    a lexicon word and a neighbour that clean rows hold as often as toxic ones become exceptions.
+    a lexicon word and a neighbour that clean rows hold as often as toxic ones become exceptions. All that pass their test are
+    kept: what comes to the driver grows with the words that tell, not with documents. The calibration sees about
+    ``calibration_rows`` rows, those that come first by hash.
     """
     spark = docs.sparkSession
-    rows = docs.join(sized(labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))), "doc_id").select("text", "toxic")
+    rows = docs.join(sized(labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))), "doc_id").select("text", "toxic", "doc_id")
     n = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(n) < 2:
         return [], [], np.array([-3.0, 6.0, 0.0])
@@ -214,29 +214,30 @@ def learn(docs: DataFrame, labels: DataFrame, cap: float = 8.0, false_alarms: fl
     longer = counts.where("kind = 0").select(F.explode(F.array(*[F.struct(F.lit(s).alias("kind"), F.when(F.length("entry") > s, F.substring("entry", 1, s)).alias("entry")) for s in STEMS])).alias("e"), "t").where("e.entry is not null")
     longer = longer.groupBy("e.kind", "e.entry").agg(F.max("t").alias("most"))
     strong = strong.join(longer, ["kind", "entry"], "left").where("kind = 0 or (most is not null and 2 * most <= t)")
-    lexicon = [(r["entry"], r["kind"], float(r["weight"])) for r in strong.orderBy(F.desc("gain"), "entry", "kind").limit(MAX_ENTRIES).select("entry", "kind", "weight").collect()]
+    lexicon = [(r["entry"], r["kind"], float(r["weight"])) for r in sorted(strong.select("entry", "kind", "weight").collect())]
 
     sent = spark.sparkContext.broadcast(lexicon)
     phrases = rows.mapInArrow(_phrases(sent), "phrase string, toxic long, clean long").groupBy("phrase").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c"))
-    exceptions = [r[0] for r in phrases.where((c >= 3) & (c / n[0] >= t / n[1])).orderBy(F.desc("c"), "phrase").limit(MAX_ENTRIES).select("phrase").collect()]
+    exceptions = sorted(r[0] for r in phrases.where((c >= 3) & (c / n[0] >= t / n[1])).select("phrase").collect())
 
-    share = min(1.0, CALIBRATION_ROWS / (n[0] + n[1]))
-    sample = rows if share == 1.0 else rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(share * 1_000_000))
-    got = sample.mapInArrow(_features(spark.sparkContext.broadcast((lexicon, exceptions)), cap), "capped double, dense double, toxic int").collect()
+    sample = first_by_hash(rows, F.xxhash64("doc_id", "text"), calibration_rows)
+    got = sorted(sample.mapInArrow(_features(spark.sparkContext.broadcast((lexicon, exceptions)), cap), "capped double, dense double, toxic int").collect())
     return lexicon, exceptions, _calibrate(np.array([r[:2] for r in got], float).reshape(-1, 2), np.array([r[2] for r in got], float))
 
 
 @in_small_batches
-def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", cap: float = 8.0) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", cap: float = 8.0, **options) -> DataFrame:
     """Toxicity of each row's whole text: doc_id, score (0 to 1), predicted (1 from 0.5 on).
 
     ``labels`` (doc_id, toxic) are those to learn from. Text is lower-cased and words with look-alike letters, digits or signs
     are folded before an Aho-Corasick pass finds lexicon words and stems at word starts outside exception phrases. The
     score is logistic in the capped weight and in the weight by length. Null and empty texts score as clean; repeated
     rows score alike; with no labels of both kinds the lexicon is empty and all rows are clean; an empty table gives none.
+    Texts of any length are read whole; other columns, whatever their names, are ignored; an id with two labels is toxic if
+    one says so. ``options``: those of ``learn``.
     """
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    model = learn(source, labels, cap)
+    model = learn(source, labels, cap, **options)
     return source.mapInArrow(_score(docs.sparkSession.sparkContext.broadcast(model), cap), "doc_id long, score double, predicted int")
 
 
