@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 
@@ -11,14 +12,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import hashing as H
-from .common import in_small_batches
+from .common import first_by_hash, in_small_batches, materialise
 
 KINDS = ("email", "ip", "card", "phone")
-#: Words that one entity may span.
-MAX_WORDS = 6
-#: The field learns from a sample by hash of about five times as many documents, and from at most four times as many runs
-#: of words in it; every document is searched.
-TRAINING_DOCS = 3000
+#: What the field looks for besides; it has no base pattern and no part in the counts of the four kinds.
+SECRET = "secret"
+#: Bounded entities: words and characters that one entity of the field may span. Base matches have no bound.
+MAX_WORDS, MAX_CHARS = 6, 320
+#: The field learns from the documents, and from the runs of words in them, that come first by hash: about as many.
+TRAINING_DOCS, TRAINING_RUNS = 15_000, 12_000
 
 # A digit before would have begun the same match earlier, so these starts lose nothing and long digit runs stay linear.
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
@@ -63,28 +65,65 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
-_TOKEN = re.compile(r"\S+")
-_TELLING = re.compile(r"[0-9@]")
+_SIGN = re.compile(r"[0-9@]")
+_LONG = re.compile(r"(?<!\S)\S{16,}")
+_AT_DOT = re.compile(r"[\[(](?:at|dot)[\])]|\b(?:at|dot)\b", re.IGNORECASE)
+_DOT = re.compile("dot", re.IGNORECASE)
+_SPACE = re.compile(r"\s")
+_WORD = re.compile(r"\S+")
 _TRIM_LEFT, _TRIM_RIGHT = "\"'<[{,;:", "\"'>]},;:.!?"
-_CUES = {"email": ("mail", "contact"), "ip": ("ip", "host", "server", "addr"), "card": ("card", "visa", "carte", "karte", "tarjeta"), "phone": ("tel", "phone", "call", "mobil", "fax", "whatsapp")}
+_CUES = {"email": ("mail", "contact"), "ip": ("ip", "host", "server", "addr"), "card": ("card", "visa", "carte", "karte", "tarjeta"), "phone": ("tel", "phone", "call", "mobil", "fax", "whatsapp"), SECRET: ("password", "passwd", "pwd", "token", "secret", "key")}
 _WHOLE = {
-    "email": re.compile(r"[A-Za-z0-9._%+-]+ ?(?:@|[\[(]at[\])]| at ) ?[A-Za-z0-9-]+(?:(?:\.| ?[\[(]dot[\])] ?)[A-Za-z0-9-]+)+"),
+    "email": re.compile(r"[A-Za-z0-9._%+-]+ ?(?:@|[\[(]at[\])]| at ) ?[A-Za-z0-9-]+(?:(?:\.| ?[\[(]dot[\])] ?| dot )[A-Za-z0-9-]+)+", re.IGNORECASE),
     "ip": re.compile(r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}"),
     "card": re.compile(r"[0-9](?:[ -]?[0-9]){12,18}"),
     "phone": re.compile(r"(?:\+|00)?[0-9]{0,3}[ .-]?(?:\([0-9]{1,5}\)[ .-]?)?[0-9]+(?:[ .-][0-9]+)*"),
 }
+_KEY = re.compile(r"[A-Za-z0-9+/_-]{12,}={0,2}")
+#: What surely is a secret: values of named fields and keys with a known beginning. The field learns their looks from these.
+_SEED = re.compile(r"(?i:password|passwd|pwd|secret|token|api[_-]?key)\s*[=:]\s*[\"']?([A-Za-z0-9+/_-]{12,}={0,2})|\b(AKIA[0-9A-Z]{12,})\b")
 
 
 def clusters(text: str):
-    """Runs of words near a digit or an at sign, at most ``MAX_WORDS`` clean words joining two: where entities can be."""
-    words = [m.span() for m in _TOKEN.finditer(text)] if _TELLING.search(text) else []
+    """Runs of successive words in which entities can be: words with a digit or an at sign, long ones, and spelt addresses.
+
+    An "at" or "dot" counts in brackets, or where both are within three words; then its clean neighbours join the run.
+    """
+    found = {m.span() for m in _LONG.finditer(text)}
+    end = 0
+    while m := _SIGN.search(text, end):
+        start = m.start()
+        while start and not text[start - 1].isspace():
+            start -= 1
+        stop = _SPACE.search(text, m.end())
+        end = stop.start() if stop else len(text)
+        found.add((start, end))
+    spelt = [m.span() for m in _AT_DOT.finditer(text)] if _DOT.search(text) else []
+    if not found and not spelt:
+        return
+    for k, (a, b) in enumerate(spelt):
+        near = [s for s in spelt[max(0, k - 2) : k + 3] if text[s[0] : s[1]].lower().strip("[]()") != text[a:b].lower().strip("[]()") and abs(s[0] - a) < 80]
+        if not near and text[a] not in "[(":
+            continue
+        found.add((a, b))
+        end = a
+        while end and text[end - 1].isspace():
+            end -= 1
+        start = end
+        while start and not text[start - 1].isspace():
+            start -= 1
+        if start < end:
+            found.add((start, end))
+        if m := _WORD.search(text, b):
+            found.add(m.span())
     run: list[tuple[int, int]] = []
-    for a, b in words:
-        if _TELLING.search(text, a, b) or text[a:b].lower().strip("[]()") in ("at", "dot"):
-            run.append((a, b))
-        elif run:
+    for a, b in sorted(found):
+        if run and a < run[-1][1]:
+            continue
+        if run and text[run[-1][1] : a].strip():
             yield run
             run = []
+        run.append((a, b))
     if run:
         yield run
 
@@ -92,15 +131,18 @@ def clusters(text: str):
 def segments(text: str, run: list[tuple[int, int]]):
     """Candidate entities of a run: (first word, word after, kind, start, end) of whole-span shapes, up to MAX_WORDS words."""
     for i in range(len(run)):
+        if run[i][1] - run[i][0] >= 12:
+            for m in _KEY.finditer(text, *run[i]):
+                yield i, i + 1, SECRET, *m.span()
         for j in range(i + 1, min(len(run), i + MAX_WORDS) + 1):
             start, end = run[i][0], run[j - 1][1]
             while start < end and text[start] in _TRIM_LEFT:
                 start += 1
             while end > start and text[end - 1] in _TRIM_RIGHT:
                 end -= 1
-            span = text[start:end]
-            if len(span) > 120:
+            if end - start > MAX_CHARS:
                 break
+            span = text[start:end]
             for kind, shape in _WHOLE.items():
                 if shape.fullmatch(span):
                     yield i, j, kind, start, end
@@ -119,6 +161,9 @@ def span_features(text: str, kind: str, start: int, end: int, words: int) -> lis
         f += [f"card:n{len(digits)}", f"card:luhn{luhn(digits)}", f"card:{'grouped' if len(digits) != len(span) else 'flat'}", f"card:first{digits[0]}"]
     elif kind == "ip":
         f += [f"ip:valid{_is_ip(span)}"]
+    elif kind == SECRET:
+        classes = sum(any(test(c) for c in span) for test in (str.islower, str.isupper, str.isdigit))
+        f += [f"secret:classes{classes}", f"secret:long{min(len(span) // 6, 6)}", f"secret:turns{min(len(re.findall('[0-9][A-Za-z]|[A-Za-z][0-9]', span)), 6)}", f"secret:{'digits' if span.isdigit() else 'hex' if re.fullmatch('[0-9a-f]+', span) else 'mixed'}", f"secret:known{span.startswith('AKIA')}"]
     else:
         f += [f"email:{'at' if '@' in span else 'spelt'}", f"email:tld{len(re.split(r'[.)]', span)[-1]) > 1}"]
     return f
@@ -162,42 +207,88 @@ class Field:
     @staticmethod
     def marginals(n: int, spans: list[tuple[int, int, float]]) -> list[float]:
         """Probability of each span by the semi-Markov forward and backward sums."""
+        ends: dict[int, list[tuple[int, float]]] = {}
+        starts: dict[int, list[tuple[int, float]]] = {}
+        for a, b, s in spans:
+            ends.setdefault(b, []).append((a, s))
+            starts.setdefault(a, []).append((b, s))
         forward, back = [0.0] * (n + 1), [0.0] * (n + 1)
         for j in range(1, n + 1):
-            forward[j] = _logsum([forward[j - 1], *(forward[a] + s for a, b, s in spans if b == j)])
+            forward[j] = _logsum([forward[j - 1], *(forward[a] + s for a, s in ends[j])]) if j in ends else forward[j - 1]
         for i in range(n - 1, -1, -1):
-            back[i] = _logsum([back[i + 1], *(back[b] + s for a, b, s in spans if a == i)])
+            back[i] = _logsum([back[i + 1], *(back[b] + s for b, s in starts[i])]) if i in starts else back[i + 1]
         return [float(np.exp(forward[a] + s + back[b] - forward[n])) for a, b, s in spans]
 
 
+def variants(kind: str, entity: str, pick: int) -> str | None:
+    """Another way to write a base entity that its pattern misses: a spelt address, a number without the country's."""
+    if kind == "email":
+        at, dot = ((" [at] ", " [dot] "), (" (at) ", " (dot) "), (" at ", " dot "))[pick % 3]
+        local, domain = entity.rsplit("@", 1)
+        return local + at + domain.replace(".", dot)
+    if kind == "phone":
+        parts = re.split(r"(?<=[0-9])[ .-]+(?=[(0-9])", entity.lstrip("+"), maxsplit=1)
+        return (parts[1], f"00{entity.lstrip('+')}")[pick % 2] if len(parts) == 2 and len(_digits(parts[1])) >= 9 else None
+    return None
+
+
+def open_ended(kind: str, span: str) -> bool:
+    """Looks that the base patterns and seeds cannot have, so that their silence says nothing: spelt addresses, numbers without a plus, bare keys."""
+    if kind == SECRET:
+        return len(span) >= 16 and len(re.findall("[0-9][A-Za-z]|[A-Za-z][0-9]", span)) >= 4
+    return kind == "email" and "@" not in span or kind == "phone" and ("(" in span or span.startswith("00")) and 9 <= len(_digits(span)) <= 15
+
+
+def _run_example(text: str, run, positive: set, unsure: list):
+    found = list(segments(text, run))
+    if not found or any(run[0][0] < e and s < run[-1][1] for s, e in unsure) or any(open_ended(k, text[s:e]) for _, _, k, s, e in found if not any(a <= s and e <= b for _, a, b in positive)):
+        return None
+    return len(run), [(i, j, span_features(text, k, s, e, j - i)) for i, j, k, s, e in found], [n for n, (_, _, k, s, e) in enumerate(found) if (k, s, e) in positive]
+
+
 def examples(text: str):
     """Runs with a known answer: (words, [(first, after, features)], chosen spans).
 
-    Base matches are the positive spans. A run in which a base pattern matched but failed its test (say two entities that
-    it read as one) says nothing, so it is left out; all else in a run of the text is no entity.
+    Base matches and seeds of secrets are the positive spans; each email and phone also comes a second time, written as
+    the patterns miss it, between the words around it. A run in which a base pattern matched but failed its test (say two
+    entities that it read as one), or in which something has looks that no pattern can have, says nothing, so it is left out; all else in a
+    run of the text is no entity.
     """
-    base = {(k, a, b) for k, a, b in base_spans(text)}
-    unsure = [m.span() for p, k in ((_CARD, "card"), (_PHONE, "phone")) for m in p.finditer(text) if len(_digits(m[0])) > 12 and (k, *m.span()) not in base]
+    base = base_spans(text)
+    positive = set(base) | {(SECRET, *m.span(1 if m[1] else 2)) for m in _SEED.finditer(text)}
+    unsure = [m.span() for p, k in ((_CARD, "card"), (_PHONE, "phone")) for m in p.finditer(text) if len(_digits(m[0])) > 12 and (k, *m.span()) not in positive]
     for run in clusters(text):
-        a, b = run[0][0], run[-1][1]
-        if any(a < e and s < b for s, e in unsure) or len(run) > 40:
-            continue
-        found = list(segments(text, run))
-        if found:
-            yield len(run), [(i, j, span_features(text, k, s, e, j - i)) for i, j, k, s, e in found], [n for n, (_, _, k, s, e) in enumerate(found) if (k, s, e) in base]
+        if example := _run_example(text, run, positive, unsure):
+            yield example
+    for n, (kind, start, end) in enumerate(base):
+        if other := variants(kind, text[start:end], n + start):
+            left, right = text[max(0, start - 40) : start], text[end : end + 40]
+            left, right = re.sub(r"\S*[0-9@]\S*", "", left), re.sub(r"\S*[0-9@]\S*", "", right)
+            shown = f"{left.rstrip()} {other} {right.lstrip()}".strip()
+            at = shown.find(other)
+            for run in clusters(shown):
+                if run[0][0] < at + len(other) and at < run[-1][1] and (example := _run_example(shown, run, {(kind, at, at + len(other))}, [])) and example[2]:
+                    yield example
 
 
 def train(runs, rounds: int = 30, rate: float = 0.3, ridge: float = 1e-3) -> dict[str, float]:
-    """Conditional likelihood of the chosen spans by adaptive gradient steps; the same input gives the same weights."""
+    """Conditional likelihood of the chosen spans by adaptive gradient steps; the same input gives the same weights.
+
+    Equal runs are weighed together, so the work follows the distinct ones.
+    """
+    counts: dict = {}
+    for n, spans, chosen in runs:
+        key = (n, tuple((a, b, tuple(f)) for a, b, f in spans), tuple(chosen))
+        counts[key] = counts.get(key, 0) + 1
     weights: dict[str, float] = {}
     seen: dict[str, float] = {}
     for _ in range(rounds):
         gradient: dict[str, float] = {}
-        for n, spans, chosen in runs:
+        for (n, spans, chosen), times in counts.items():
             field = Field(weights)
             p = Field.marginals(n, [(a, b, field.score(f)) for a, b, f in spans])
             for k, (_, _, f) in enumerate(spans):
-                d = (k in chosen) - p[k]
+                d = times * ((k in chosen) - p[k])
                 if abs(d) > 1e-6:
                     for x in f:
                         gradient[x] = gradient.get(x, 0.0) + d
@@ -208,32 +299,59 @@ def train(runs, rounds: int = 30, rate: float = 0.3, ridge: float = 1e-3) -> dic
     return weights
 
 
+class Taken:
+    """Whether a span crosses one of a text's base spans: they are merged and sorted once, so each question is one search."""
+
+    def __init__(self, spans: list[tuple[int, int]]) -> None:
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for a, b in sorted(spans):
+            if self.ends and a < self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], b)
+            else:
+                self.starts.append(a)
+                self.ends.append(b)
+
+    def crosses(self, start: int, end: int) -> bool:
+        k = bisect.bisect_right(self.ends, start)
+        return k < len(self.starts) and self.starts[k] < end
+
+
+def sound(kind: str, span: str) -> bool:
+    """The tests of the base kinds hold for what the field adds, too."""
+    if kind == "card":
+        return luhn(_digits(span))
+    if kind == "ip":
+        return _is_ip(span)
+    return kind != "phone" or 9 <= len(_digits(span)) <= 15
+
+
 def find(text: str, field: Field, least: float = 1.0) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
     """Base spans, and all spans: the field's best segmentation adds those of score ``least`` that cross no base span."""
     base = base_spans(text)
-    taken = sorted((a, b) for _, a, b in base)
+    taken = Taken([(a, b) for _, a, b in base])
     extra = []
     for run in clusters(text):
-        found = []
-        for i, j, k, s, e in segments(text, run):
-            if any(a < e and s < b for a, b in taken):
-                continue
-            if k == "card" and not luhn(_digits(text[s:e])) or k == "ip" and not _is_ip(text[s:e]) or k == "phone" and not 9 <= len(_digits(text[s:e])) <= 15:
-                continue
-            found.append((i, j, k, s, e))
+        found = [c for c in segments(text, run) if not taken.crosses(c[3], c[4]) and sound(c[2], text[c[3] : c[4]])]
         if found:
             spans = [(i, j, field.score(span_features(text, k, s, e, j - i)) - least) for i, j, k, s, e in found]
             extra += [found[c][2:] for c in field.best(len(run), spans)]
-    order = {k: n for n, k in enumerate(KINDS)}
+    order = {k: n for n, k in enumerate((*KINDS, SECRET))}
     return base, sorted({*base, *extra}, key=lambda x: (order[x[0]], x[1], x[2]))
 
 
-def _examples(batches):
-    import pickle
+_EXAMPLE = pa.struct([("n", pa.int32()), ("spans", pa.list_(pa.struct([("first", pa.int32()), ("after", pa.int32()), ("features", pa.list_(pa.string()))]))), ("chosen", pa.list_(pa.int32()))])
+
 
-    for batch in H.slices(batches, 0):
-        out = [pickle.dumps(x) for t in batch.column(0).to_pylist() for x in examples(t)]
-        yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["example"])
+def _examples(batches):
+    """(hash, text) -> the text's runs with a known answer, each with a hash of its own."""
+    for batch in H.slices(batches, 1):
+        rows, keys = [], []
+        for h, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for k, (n, spans, chosen) in enumerate(examples(t)):
+                rows.append({"n": n, "spans": [{"first": a, "after": b, "features": f} for a, b, f in spans], "chosen": chosen})
+                keys.append(f"{h}:{k}")
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(rows, _EXAMPLE)], ["key", "e"])
 
 
 def _find(sent):
@@ -244,32 +362,39 @@ def _find(sent):
             line = lambda spans: ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
             counts = [pa.array([sum(s[0] == k for s in base) for base, _ in rows], pa.int64()) for k in KINDS]
             digest = pa.array([hashlib.sha256(line(base).encode()).hexdigest() for base, _ in rows], pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *counts, digest, pa.array([line(s) for _, s in rows], pa.string())], ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"])
+            known, secrets = ([line([s for s in every if (s[0] == SECRET) == other]) for _, every in rows] for other in (False, True))
+            total = pa.array([len(every) for _, every in rows], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), *counts, digest, pa.array(known, pa.string()), pa.array(secrets, pa.string()), total], ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "secret_spans", "n_spans"])
 
     return run
 
 
+def learn(source: DataFrame, training_docs: int, training_runs: int) -> dict[str, float]:
+    """The field's weights from a bounded sample of ``source`` (doc_id, text) with its base spans, seeds and variants."""
+    keyed = source.select(F.xxhash64("doc_id", "text").alias("h"), "text")
+    runs = first_by_hash(keyed, F.col("h"), training_docs).mapInArrow(_examples, "key string, e struct<n: int, spans: array<struct<first: int, after: int, features: array<string>>>, chosen: array<int>>")
+    runs = first_by_hash(materialise(runs, "pii-runs"), F.col("key"), training_runs)
+    got = sorted(runs.collect(), key=lambda r: r["key"])
+    return train([(r.e.n, [(v["first"], v["after"], v["features"]) for v in r.e.spans], r.e.chosen) for r in got])
+
+
 @in_small_batches
-def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", training_docs: int = TRAINING_DOCS) -> DataFrame:
-    """Emails, IP addresses, card and phone numbers of each row's whole text.
+def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", training_docs: int = TRAINING_DOCS, training_runs: int = TRAINING_RUNS) -> DataFrame:
+    """Emails, IP addresses, card and phone numbers, and secrets of each row's whole text.
 
     Base spans are the fixed patterns' tested matches, and n_email, n_ip, n_card, n_phone and base_sha256 are of these. The
-    semi-Markov field adds spans that the patterns miss, such as a card number right after a phone number: over each run
-    of telling words it chooses the best segmentation into entities of at most ``MAX_WORDS`` words and others. It
-    learns from the base spans in a sample bounded by ``training_docs``.
-
-    Returns doc_id, the counts, base_sha256 and spans (kind:start:end in code points, end exclusive). Null text is empty: no
-    spans. Repeated rows give the same; other columns are ignored; an empty table gives none.
+    semi-Markov field adds spans that the patterns miss: entities that run into each other, spelt addresses, numbers without
+    the country's, keys and passwords. Over each run of telling words it chooses the best segmentation into entities of at
+    most ``MAX_WORDS`` words and others. It learns from about ``training_docs`` documents and ``training_runs`` runs in them,
+    those that come first by hash.
+
+    Returns doc_id, the counts, base_sha256, spans (kind:start:end in code points, end exclusive, of the four kinds),
+    secret_spans (the same of secrets) and n_spans (all of both). Null text is empty: no spans. Texts of any length are
+    searched whole. Repeated rows give the same; other columns, whatever their names, are ignored; an empty table gives none.
     """
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    share = min(1.0, 5 * training_docs / max(1, source.count()))
-    sample = source.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) < int(share * 1_000_000) + (share == 1.0))
-    sample = sample.where(F.col("text").rlike(r"@|[0-9]{3}|\+[0-9]") & (F.length("text") < 100_000)).select("text")
-    import pickle
-
-    runs = [pickle.loads(r[0]) for r in sample.mapInArrow(_examples, "example binary").collect()]
-    sent = docs.sparkSession.sparkContext.broadcast(train(sorted(runs, key=repr)[: 4 * training_docs]))
-    return source.mapInArrow(_find(sent), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    sent = docs.sparkSession.sparkContext.broadcast(learn(source, training_docs, training_runs))
+    return source.mapInArrow(_find(sent), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, secret_spans string, n_spans long")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
