@@ -133,3 +133,21 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+ORACLE_SQL = r"""
+with recursive d as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w
+  from documents),
+s as (
+  select doc_id, list_distinct(case when len(w) = 0 then []::varchar[] when len(w) < 5 then [array_to_string(w, ' ')]
+    else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) end) as s from d),
+e as (select doc_id, len(s) as n, unnest(s) as g from s),
+pairs as (
+  select a.doc_id as a, b.doc_id as b from e a join e b on a.g = b.g and a.doc_id < b.doc_id
+  group by a.doc_id, b.doc_id, a.n, b.n having 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+links as (select a, b from pairs union all select b, a from pairs),
+reach(a, b) as (select doc_id, doc_id from s union select r.a, l.b from reach r join links l on r.b = l.a),
+roots as (select a as doc_id, min(b) as component_id from reach group by a)
+select doc_id, cast(len(s) as bigint) as n_shingles, component_id, doc_id = component_id as kept from s join roots using (doc_id)
+"""

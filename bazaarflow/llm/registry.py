@@ -21,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_benchmark_decontamination": decontamination.ORACLE_SQL}
+    return {"op5_benchmark_decontamination": decontamination.ORACLE_SQL, "op8_minhash_near_dedup": near_dedup.ORACLE_SQL}
