@@ -96,13 +96,19 @@ def table_items(cells: DataFrame) -> DataFrame:
     price of 5 or more before it. Prices under 10 are noise. The first row of a name in a document wins.
     """
     rows = _data_rows(cells).where("not is_fact").where(valid_item(F.col("name")))
-    rows = rows.withColumn("own", x.prices(F.get("cells", F.col("price_col")))).withColumn("every", F.transform("others", x.prices))
-    found = (F.coalesce("own.price", F.lit(0)) != 0) | (F.coalesce("own.price_min", F.lit(0)) != 0)
-    at = F.coalesce(F.array_position(F.transform("every", lambda p: p["price_min"].isNotNull()), True), F.lit(0))
-    before = F.filter(F.transform(F.when(at > 0, F.slice("every", F.lit(1), F.greatest(at.cast("int") - 1, F.lit(0)))).otherwise(F.col("every")), lambda p: p["price"]), lambda p: p >= 5)
+    keys = ["doc_id", "tbl", "row"]
+    cells = rows.select(*keys, "name", "category", "name_col", "price_col", "text_col", F.posexplode("cells").alias("i", "cell")).withColumn("p", x.prices(F.col("cell")))
+    other, own = F.col("i") != F.col("name_col"), F.col("i") == F.col("price_col")
+    told = lambda c: F.max(F.when(own, F.col(f"p.{c}"))).alias(c)
+    rows = cells.groupBy(*keys).agg(
+        F.first("name").alias("name"), F.first("category").alias("category"), F.trim(F.max(F.when(F.col("i") == F.col("text_col"), F.col("cell")))).alias("description"), told("price"), told("price_min"), told("price_max"),
+        F.min(F.when(other & F.col("p.price_min").isNotNull(), F.col("i"))).alias("at"), F.sort_array(F.collect_list(F.when(other, F.struct("i", "p.price", "p.price_min", "p.price_max")))).alias("every"),
+    )
+    found = (F.coalesce("price", F.lit(0)) != 0) | (F.coalesce("price_min", F.lit(0)) != 0)
+    before = F.try_element_at(F.filter("every", lambda v: (v["price"] >= 5) & (F.col("at").isNull() | (v["i"] < F.col("at")))), F.lit(-1))["price"]
+    span = F.try_element_at(F.filter("every", lambda v: v["i"] == F.col("at")), F.lit(1))
     pick = lambda own, other: F.when(found, own).otherwise(other)
-    span = F.try_element_at("every", F.nullif(at, F.lit(0)).cast("int"))
-    rows = rows.select("doc_id", "tbl", "row", "name", "category", F.trim(F.get("cells", F.col("text_col"))).alias("description"), pick(F.col("own.price"), F.try_element_at(before, F.lit(-1))).alias("p"), pick(F.col("own.price_min"), span["price_min"]).alias("lo"), pick(F.col("own.price_max"), span["price_max"]).alias("hi"))
+    rows = rows.select(*keys, "name", "category", "description", pick(F.col("price"), before).alias("p"), pick(F.col("price_min"), span["price_min"]).alias("lo"), pick(F.col("price_max"), span["price_max"]).alias("hi"))
     rows = rows.where("coalesce(p, 0) <> 0 or coalesce(lo, 0) <> 0").where("not coalesce(p > 0 and p < 10, false) and not coalesce(lo < 10 and (hi is null or hi < 100), false)")
     first = rows.withColumn("_f", F.row_number().over(Window.partitionBy("doc_id", F.lower("name")).orderBy("tbl", "row"))).where("_f = 1")
     described = F.when(~F.lower("description").isin("", "description", "details", "desc"), F.col("description"))
@@ -148,18 +154,22 @@ def metadata(docs: DataFrame, cities: list[str] = CITIES, states: list[str] = ST
     Phones are ten digits from 6 on, with or without a country code, each once by its last ten. The address is the text after an
     address label up to a six-digit PIN, else what leads to the first PIN. A name is the first of eight lines with no link or number.
     """
-    raw = F.regexp_extract_all("text", F.lit(r"((?:\+91|\b0)?[\s-]?[6-9][\d\s-]{9,14})"), F.lit(1))
-    digits = F.filter(F.transform(raw, lambda v: F.regexp_replace(v, r"\D", "")), lambda v: (F.length(v) >= 10) & F.right(v, F.lit(10)).rlike("^[6-9]"))
+    # what is looked at more than once is a column of its own, so that it is found once
+    docs = docs.withColumns({
+        "_raw": F.regexp_extract_all("text", F.lit(r"((?:\+91|\b0)?[\s-]?[6-9][\d\s-]{9,14})"), F.lit(1)), "_opens": F.regexp_extract_all("text", F.lit(HOURS), F.lit(1)), "_code": _found(f"(?i){OFFER}"), "_about": _found(f"(?i){OFFER}", 2),
+        "_flat": F.regexp_replace("text", "\n", " "), "_lines": F.slice(F.filter(F.transform(F.split("text", "\n"), lambda v: F.trim(v)), lambda v: v != ""), 1, 8),
+    })
+    digits = F.filter(F.transform("_raw", lambda v: F.regexp_replace(v, r"\D", "")), lambda v: (F.length(v) >= 10) & F.right(v, F.lit(10)).rlike("^[6-9]"))
     phones = F.transform(F.array_distinct(F.transform(digits, lambda v: F.right(v, F.lit(10)))), lambda v: F.concat(F.lit("+91 "), F.left(v, F.lit(5)), F.lit(" "), F.right(v, F.lit(5))))
-    opens = F.regexp_extract_all("text", F.lit(HOURS), F.lit(1))
-    closes = F.transform(opens, lambda h: F.struct(h.alias("h"), F.call_function("regexp_extract", F.col("text"), F.concat(F.lit(r"(?i)\Q"), h, F.lit(rf"\E.*?({_CLOCK})")), F.lit(1)).alias("c")))
+    closes = F.transform("_opens", lambda h: F.struct(h.alias("h"), F.call_function("regexp_extract", F.col("text"), F.concat(F.lit(r"(?i)\Q"), h, F.lit(rf"\E.*?({_CLOCK})")), F.lit(1)).alias("c")))
     closed = F.try_element_at(F.filter(closes, lambda v: (v["c"] != "") & ~F.contains(F.lower(v["h"]), F.lower(v["c"]))), F.lit(1))
-    hours = F.coalesce(F.concat(closed["h"], F.lit(" - "), closed["c"]), F.try_element_at(opens, F.lit(1)), _found(rf"(?i)({_CLOCK}\s*[-–to]+\s*{_CLOCK})"))
-    flat = F.regexp_replace("text", "\n", " ")
-    address = F.coalesce(*[F.nullif(F.regexp_extract(flat, p, 1), F.lit("")) for p in (ADDRESS, PIN_ADDRESS)])
-    lines = F.slice(F.filter(F.transform(F.split("text", "\n"), lambda v: F.trim(v)), lambda v: v != ""), 1, 8)
-    name = F.try_element_at(F.filter(lines, lambda v: ~v.rlike(r"\d{7,}|@|www\.|http") & F.length(v).between(6, 59) & ~v.startswith("[")), F.lit(1))
-    code, about = _found(f"(?i){OFFER}"), F.regexp_replace(F.coalesce(_found(f"(?i){OFFER}", 2), F.lit("")), "[-–—: ]+$", "")
+    hours = F.when(F.size("_opens") > 0, F.coalesce(F.concat(closed["h"], F.lit(" - "), closed["c"]), F.get("_opens", F.lit(0)))).otherwise(_found(rf"(?i)({_CLOCK}\s*[-–to]+\s*{_CLOCK})"))
+    # the pattern without a label is tried only in runs of its characters that hold a PIN
+    runs = F.filter(F.regexp_extract_all("_flat", F.lit("([A-Za-z0-9 ,./#-]{17,})"), F.lit(1)), lambda r: r.rlike(r"\b\d{6}\b"))
+    near = F.try_element_at(F.filter(F.transform(runs, lambda r: F.regexp_extract(r, PIN_ADDRESS, 1)), lambda r: r != ""), F.lit(1))
+    address = F.when(F.col("_flat").rlike(r"\b\d{6}\b"), F.coalesce(F.nullif(F.regexp_extract("_flat", ADDRESS, 1), F.lit("")), near))
+    name = F.try_element_at(F.filter("_lines", lambda v: ~v.rlike(r"\d{7,}|@|www\.|http") & F.length(v).between(6, 59) & ~v.startswith("[")), F.lit(1))
+    code, about = F.col("_code"), F.regexp_replace(F.coalesce("_about", F.lit("")), "[-–—: ]+$", "")
     coded = (F.upper(code) == code) | code.rlike(r"\d")
     rupees = lambda p: F.concat(F.lit("₹"), F.nullif(F.regexp_extract("text", p, 1), F.lit("")))
     return docs.select(
