@@ -6,7 +6,6 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -83,14 +82,14 @@ def _frequencies(sent, sizes: list[int]):
 
 
 _PROBE = pa.list_(pa.struct([("pos", pa.int64()), ("gram", pa.int64()), ("before", pa.int64()), ("context", pa.list_(pa.int64()))]))
-_ROW = "row long, doc_id long, n_words long, md5 string"
+_ROW = "doc_id long, n_words long, md5 string"
 
 
 def _probes(sent, sizes: list[int], window: int):
     """Documents -> their word counts and every place of a wanted prefix shingle with the words around it."""
 
     def run(batches):
-        wanted, row = HashSet(sent.value), (TaskContext.get().partitionId() << 40)
+        wanted = HashSet(sent.value)
         for batch in H.slices(batches, 1):
             data, offsets = H.buffers(batch.column(1))
             words, at = H.words(data, offsets, H.ALNUM)
@@ -104,9 +103,7 @@ def _probes(sent, sizes: list[int], window: int):
                         found.append({"pos": int(pos), "gram": int(gram.view(np.int64)), "before": int(pos - first), "context": w[first : pos + window].view(np.int64).tolist()})
                 probes.append(found)
                 md5.append(hashlib.md5(data[offsets[i] : offsets[i + 1]]).hexdigest())
-            rows = pa.array(np.arange(row, row + batch.num_rows))
-            row += batch.num_rows
-            yield pa.RecordBatch.from_arrays([rows, batch.column(0), pa.array(np.diff(at), pa.int64()), pa.array(md5), pa.array(probes, _PROBE)], ["row", "doc_id", "n_words", "md5", "probes"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(at), pa.int64()), pa.array(md5), pa.array(probes, _PROBE)], ["doc_id", "n_words", "md5", "probes"])
 
     return run
 
@@ -128,7 +125,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, shing
 
     Returns doc_id, n_words, n_hit, n_items, items_sha256, contaminated, text_md5, one row per input row. Null or empty
     text has no words; items without words match nothing; repeated items count once by id; items with a null id hit words
-    but are not listed. An empty table on either side is allowed, other columns are ignored.
+    but are not listed. An empty table on either side is allowed; texts of any length are
+    read whole; other columns, whatever their names, are ignored.
     """
     spark = docs.sparkSession
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -148,17 +146,19 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, shing
         prefix = materialise(places.withColumn("r", F.row_number().over(rarest)).where("r = 1").select("gram", "offset", "item_id", F.col("words").alias("window_words")), "leak-prefix")
         probed = materialise(source.mapInArrow(_probes(_send(spark, prefix.select("gram").distinct()), sizes, window), f"{_ROW}, probes array<struct<pos: bigint, gram: bigint, before: bigint, context: array<bigint>>>"), "leak-probes")
         rows = probed.drop("probes") if rows is None else rows
-        found = probed.select("row", "n_words", F.explode("probes").alias("p")).select("row", "n_words", "p.*").join(sized(prefix), "gram")
+        found = probed.select("doc_id", "md5", "n_words", F.explode("probes").alias("p")).select("doc_id", "md5", "n_words", "p.*").join(sized(prefix), "gram")
         found = found.where("offset <= before and pos - offset + size(window_words) <= n_words")
         found = found.where("slice(context, int(before - offset + 1), size(window_words)) = window_words")
-        hits.append(found.select("row", (F.col("pos") - F.col("offset")).alias("start"), (F.col("pos") - F.col("offset") + F.size("window_words")).alias("end"), "item_id"))
+        hits.append(found.select("doc_id", "md5", (F.col("pos") - F.col("offset")).alias("start"), (F.col("pos") - F.col("offset") + F.size("window_words")).alias("end"), "item_id"))
     hit = hits[0]
     for h in hits[1:]:
         hit = hit.unionByName(h)
-    so_far = Window.partitionBy("row").orderBy("start", "end", "item_id").rowsBetween(Window.unboundedPreceding, -1)
+    # equal rows have equal hits, so rows are told apart by id and text, which are the same in every scan
+    so_far = Window.partitionBy("doc_id", "md5").orderBy("start", "end", "item_id").rowsBetween(Window.unboundedPreceding, -1)
     new = F.greatest(F.lit(0), F.col("end") - F.greatest(F.col("start"), F.coalesce(F.max("end").over(so_far), F.lit(0))))
-    per_row = hit.withColumn("new", new).groupBy("row").agg(F.sum("new").alias("n_hit"), F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
-    out = rows.join(per_row, "row", "left")
+    per = hit.withColumn("new", new).groupBy("doc_id", "md5").agg(F.sum("new").alias("n_hit"), F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
+    per = sized(materialise(per.withColumnsRenamed({"doc_id": "_id", "md5": "_md5"}), "leak-hits"))
+    out = rows.join(per, rows["doc_id"].eqNullSafe(per["_id"]) & (rows["md5"] == per["_md5"]), "left")
     items_text = F.coalesce(F.concat_ws(",", "items"), F.lit(""))
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     return out.select("doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"), F.sha2(items_text, 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"), F.col("md5").alias("text_md5"))
