@@ -11,6 +11,8 @@ from .common import materialise, numbered
 
 #: Unit sizes are exact below 2**9 and rounded up to 9 significant bits above it: at most about 15,000 classes ever.
 CLASS_BITS = 9
+#: Rows that one task numbers, about.
+CELL_ROWS = 500_000
 #: A group with more than one in so many rows is placed by a broadcast of at most as many groups.
 HEAVY = 1000
 
@@ -119,7 +121,9 @@ def shard_documents(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", t
     found without one task per class, take the units to their shards.
 
     Returns doc_id, size, text_crc32, law (``bytes``), shard, slot (gapless from 0 within a shard), grown_shard (null),
-    unit_rows. Repeated rows and null ids are rows like any other; other columns are ignored; an empty table gives none.
+    unit_rows. Sizes up to 511 bytes are packed as they are, larger ones in classes of 9 significant bits, at every size of
+    the input. Repeated rows and null ids are rows like any other; ties go by key and piece; texts of any length count whole;
+    other columns, whatever their names, are ignored; an empty table gives none.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.unhex(F.md5(text)).alias("key"))
@@ -139,7 +143,8 @@ def shard_documents(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", t
     histogram = [(r["class"], r["n"]) for r in units.groupBy("class").agg(F.count(F.lit(1)).alias("n")).collect()]
     spark = docs.sparkSession
     plan = spark.createDataFrame(fewest_bytes(histogram, shards), "class long, first long, end long, shard int")
-    ranked = numbered(units, ["class"], [F.col("key"), F.col("piece")], "rank")
+    spread = max(32, -(-(total["n"] or 0) // (shards * CELL_ROWS)))  # cells of a key follow the counted rows
+    ranked = numbered(units, ["class"], [F.col("key"), F.col("piece")], "rank", spread)
     placed = ranked.join(F.broadcast(plan), (ranked["class"] == plan["class"]) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("end")))
     placed = materialise(placed.select("key", "piece", "pieces", "per", "n", F.col("rows").alias("unit_rows"), "shard"), "shard-placed")
 
@@ -151,11 +156,11 @@ def shard_documents(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", t
     light = rows.join(many, "key", "left_anti").join(placed.select("key", "unit_rows", "shard"), "key")
     crowd = rows.join(F.broadcast(whole), "key")
     split = rows.join(F.broadcast(cut.select("key", "per").distinct()), "key")
-    split = numbered(split, ["key"], [F.col("doc_id")], "rank").withColumn("piece", F.floor(F.col("rank") / F.col("per")))
+    split = numbered(split, ["key"], [F.col("doc_id")], "rank", spread).withColumn("piece", F.floor(F.col("rank") / F.col("per")))
     split = split.join(F.broadcast(cut.select("key", "piece", "unit_rows", "shard")), ["key", "piece"])
     columns = ["doc_id", "size", "text_crc32", "shard", "unit_rows"]
     all_rows = materialise(light.select(columns).unionByName(crowd.select(columns)).unionByName(split.select(columns)), "shard-all")
-    out = numbered(all_rows, ["shard"], [F.col("doc_id"), F.col("text_crc32")], "slot", salt="doc_id")
+    out = numbered(all_rows, ["shard"], [F.col("doc_id"), F.col("text_crc32")], "slot", spread, "doc_id")
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "unit_rows")
 
 
