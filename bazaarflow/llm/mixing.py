@@ -66,7 +66,7 @@ def least_exponent(holds) -> float:
 def _draw(docs: DataFrame, max_repetition: float | None = 1.5, target_entropy: float | None = None, budget: int | None = None, block_docs: int = BLOCK_DOCS, seed: int = 1, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The rows of ``docs`` as a struct ``d``, as often as they are drawn, with the columns mix_*."""
     source = F.coalesce(F.concat(F.lit("s:"), F.col(source_col).cast("string")), F.lit("null"))
-    marked = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("d"), source.alias("mix_source"), _token_count(F.col(text_col)).alias("mix_tokens"), F.xxhash64(F.col(id_col), F.lit(seed)).alias("_hash"))
+    marked = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("d"), source.alias("mix_source"), _token_count(F.col(text_col)).alias("mix_tokens"), F.when(F.col(id_col).isNull(), F.xxhash64(F.lit("null"), F.col(text_col), F.lit(seed))).otherwise(F.xxhash64(F.col(id_col), F.lit(seed))).alias("_hash"))
     rows = materialise(marked.select("mix_source", "mix_tokens", "_hash"), "mix-rows")
     totals = materialise(rows.groupBy("mix_source").agg(F.sum("mix_tokens").alias("tokens"), F.count(F.lit(1)).alias("docs")), "mix-totals")
     spoken = totals.where("tokens > 0")
@@ -128,8 +128,8 @@ def draws(docs: DataFrame, **options) -> DataFrame:
 
     mix_source, mix_tokens, mix_weight, mix_passes (budget over tokens of the source), mix_pass (0, 1, ..), mix_block and
     mix_order (sort by pass, order and id to read a source). A null source is a source. Sources without tokens have weight 0 and
-    are read once if there is no budget. Null ids share a place in the order; repeated rows are drawn together. Columns of
-    ``docs`` stay, and none may be named like those added; an empty table gives none.
+    are read once if there is no budget. Rows without an id have a place by their text; repeated rows are drawn together; texts
+    of any length count whole. Columns of ``docs`` stay, and none may be named like those added; an empty table gives none.
     """
     if any(c.lower().startswith("mix_") for c in docs.columns):
         raise ValueError("columns named mix_* would clash; use mixed()")
