@@ -339,11 +339,19 @@ def test_contamination_equals_sql_and_blocks(spark):
         con.sql(f"create view {name} as select * from '{SF}/{name}.parquet'")
     want = con.sql(decontamination.ORACLE_SQL).df().sort_values("doc_id").reset_index(drop=True)
     b = spark.read.parquet(f"{SF}/benchmark.parquet")
-    for options in ({}, {"block_shingles": 400}):
+    for options in ({}, {"block_shingles": 400}, {"block_shingles": 90}):
         got = decontamination.contamination(documents(spark), b, **options).toPandas().sort_values("doc_id").reset_index(drop=True)
         assert all((got[c] == want[c]).all() for c in want.columns)
 
 
+def test_blocks_do_not_depend_on_the_order_of_scans(spark):
+    """Blocks of the benchmark scan the documents again: their rows may then come in another order and number of tasks."""
+    docs, b = documents(spark), spark.read.parquet(f"{SF}/benchmark.parquet")
+    shuffled = docs.select(*[F.col(c) for c in docs.columns]).repartition(3, F.rand())
+    rows = lambda df: sorted(tuple(x) for x in df.collect())
+    assert rows(decontamination.contamination(shuffled, b, block_shingles=400)) == rows(decontamination.contamination(docs, b))
+
+
 # 6 mixing
 
 
@@ -578,6 +586,49 @@ def test_licenses(spark):
     assert (got[0].found[0].first_word, got[0].found[0].end_word) == (4, 9)
 
 
+def common_words(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        above = row[:]
+        for j, y in enumerate(b):
+            row[j + 1] = above[j] + 1 if x == y else max(above[j + 1], row[j])
+    return row[-1]
+
+
+def test_alignment_is_a_common_subsequence():
+    """Patience alignment keeps both orders and never has more words than the longest common subsequence; without repeats it has all of them."""
+    r = random.Random(13)
+    for _ in range(300):
+        a, b = (r.choices("abcdef", k=r.randrange(12)) for _ in range(2))
+        got = licenses.align(a, b)
+        assert all(a[i] == b[j] for i, j in got) and all(x < y and u < v for (x, u), (y, v) in zip(got, got[1:]))
+        assert len(got) <= common_words(a, b)
+        p, q = (r.sample("abcdefgh", k=r.randrange(9)) for _ in range(2))
+        assert len(licenses.align(p, q)) == common_words(p, q)
+
+
+def test_whole_licences_planted_damaged_and_reordered(spark):
+    """Whole licences in prose are found with a twentieth of their words changed, left out or added; shuffled ones are not."""
+    r = random.Random(14)
+    prose = lambda n: " ".join(r.choice(["the", "of", "to", "and", "sea", "tree", "copy", "software", "in"]) for _ in range(n))
+    texts, want = [], []
+    for name in ("MIT", "ISC", "BSD-3-Clause"):
+        words = licenses.TEMPLATES[name][-1].split()
+        for kind in ("whole", "changed", "cut", "added", "shuffled", "half"):
+            for _ in range(6):
+                t = list(words)
+                for k in r.sample(range(len(t)), len(t) // 20):
+                    t[k] = {"changed": "other", "cut": "", "added": f"{t[k]} extra"}.get(kind, t[k])
+                t = r.sample(t, len(t)) if kind == "shuffled" else t[: len(t) // 2] if kind == "half" else t
+                texts.append(f"{prose(40)} {' '.join(t)} {prose(40)}")
+                want.append(name if kind in ("whole", "changed", "cut", "added") else None)
+    got = licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    last = {name: len(licenses.TEMPLATES[name]) - 1 for name in licenses.TEMPLATES}
+    whole = [{f.license for f in x.found if f.template == last[f.license] and f.license in ("MIT", "ISC", "BSD-3-Clause")} for x in got]
+    assert sum(w in found for w, found in zip(want, whole) if w) == sum(w is not None for w in want)
+    assert not any(found for w, found in zip(want, whole) if w is None)
+
+
 def test_longest_increasing():
     import itertools
 
