@@ -105,10 +105,17 @@ def numbered(df: DataFrame, keys: list[str], order: list, out: str, buckets: int
 
 #: Nodes with more neighbours than this get their minimum by a broadcast.
 HUB = 1000
+#: Edges that one task reads, at least.
+EDGES_A_TASK = 50_000
 #: Up to so many nodes get their minima by a broadcast, whatever their neighbours.
 FEW_NODES = 200_000
 
 
+def _compact(edges: DataFrame) -> DataFrame:
+    """A table of small files read by as many tasks as its rows need, so that a hub's counts come from few tasks."""
+    return edges.coalesce(max(4, edges.count() // EDGES_A_TASK))
+
+
 def _with_minimum(edges: DataFrame, low: DataFrame, n_edges: int) -> DataFrame:
     """``edges`` (a, b) with ``low``'s minimum m of each a; no task gathers the edges of a hub.
 
@@ -132,7 +139,7 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
     empty input gives an empty result.
     """
     e = edges.select(F.greatest("a", "b").cast("long").alias("a"), F.least("a", "b").cast("long").alias("b")).where("a <> b").distinct()
-    e = materialise(e, label)
+    e = _compact(materialise(e, label))
     while True:
         ends = e.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(e.select(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
         ends = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
@@ -144,5 +151,5 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
         large = _with_minimum(both.where("b > a"), low, mark["n"]).select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.where("m < a").select("a", F.col("m").alias("b"))).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
         small = _with_minimum(large, low, 2 * mark["n"]).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
-        e = materialise(small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), label)
+        e = _compact(materialise(small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), label))
     return e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

@@ -108,7 +108,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     tokens = shared.select("set", F.col("s.token").alias("payload"))
     clusters = linked(prefix, agreeing(k, at_least), "near-matches", lambda groups: tokens.join(sized(groups), "set"), ["set"])
 
-    members = materialise(clusters.join(reps.groupBy(F.col("doc_id").alias("node")).agg(F.sum("n_shingles").alias("n_shingles")), "node"), "near-members")
+    members = materialise(reps.groupBy(F.col("doc_id").alias("node")).agg(F.sum("n_shingles").alias("n_shingles")).join(sized(clusters), "node"), "near-members")
     room = members.groupBy("root").agg(F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(block)), F.ceil(F.sum("n_shingles") * 8 / F.lit(block_mb << 20))).alias("blocks"))
     placed = members.join(sized(room), "root").select(F.col("node").alias("unit"), F.col("root").alias("key"), "blocks")
 
@@ -118,7 +118,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     linked_sets = linked(placed, jaccard(percent, _stored_sets), "near-links", with_sets)
 
-    label = reps.select("set_hi", "set_lo", "doc_id", "copies").join(linked_sets, F.col("node") == F.col("doc_id"), "left").where("copies > 1 or root is not null")
+    label = reps.select("set_hi", "set_lo", "doc_id", "copies").join(sized(linked_sets), F.col("node") == F.col("doc_id"), "left").where("copies > 1 or root is not null")
     label = label.select("set_hi", "set_lo", F.coalesce("root", "doc_id").alias("component"))
     out = sets.where("n_shingles > 0").join(label, ["set_hi", "set_lo"], "left").unionByName(sets.where("n_shingles = 0").withColumn("component", F.lit(None).cast("long")), allowMissingColumns=True)
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
