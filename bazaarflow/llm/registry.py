@@ -1,8 +1,8 @@
-"""Queries of the ten training-data operators, with SQL where SQL can express one."""
+"""Queries of the training-data operators, with SQL where SQL can express one."""
 
 from __future__ import annotations
 
-from . import brown_lm, chroma, decontamination, licenses, line_dedup, mixing, near_dedup, pii, sharding, toxicity
+from . import brown_lm, chroma, decontamination, hard_negatives, licenses, line_dedup, mixing, near_dedup, pii, sharding, toxicity
 
 
 def queries() -> dict:
@@ -17,8 +17,13 @@ def queries() -> dict:
         "op8_minhash_near_dedup": near_dedup.query,
         "op9_license_scan": licenses.query,
         "op10_chroma_fingerprints": chroma.query,
+        "op13_hard_negatives": hard_negatives.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_benchmark_decontamination": decontamination.ORACLE_SQL, "op8_minhash_near_dedup": near_dedup.ORACLE_SQL}
+    return {
+        "op5_benchmark_decontamination": decontamination.ORACLE_SQL,
+        "op8_minhash_near_dedup": near_dedup.ORACLE_SQL,
+        "op13_hard_negatives": hard_negatives.ORACLE_SQL,
+    }
