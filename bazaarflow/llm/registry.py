@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import brown_lm, chroma, decontamination, hard_negatives, licenses, line_dedup, mixing, near_dedup, pii, sharding, toxicity
+from . import brown_lm, chroma, conversations, decontamination, hard_negatives, licenses, line_dedup, mixing, near_dedup, pii, sharding, toxicity
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_minhash_near_dedup": near_dedup.query,
         "op9_license_scan": licenses.query,
         "op10_chroma_fingerprints": chroma.query,
+        "op11_conversation_repair": conversations.query,
         "op13_hard_negatives": hard_negatives.query,
     }
 
