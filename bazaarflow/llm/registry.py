@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import brown_lm, chroma, conversations, decontamination, hard_negatives, licenses, line_dedup, mixing, near_dedup, pii, sharding, toxicity
+from . import brown_lm, chroma, conversations, decontamination, hard_negatives, licenses, line_dedup, mixing, near_dedup, pii, quality, sharding, toxicity
 
 
 def queries() -> dict:
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op9_license_scan": licenses.query,
         "op10_chroma_fingerprints": chroma.query,
         "op11_conversation_repair": conversations.query,
+        "op12_quality_crf": quality.query,
         "op13_hard_negatives": hard_negatives.query,
     }
 
