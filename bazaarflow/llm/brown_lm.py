@@ -19,6 +19,10 @@ CLASSES = 96
 ROUNDS = 12
 #: Weight of the class unigram in a transition.
 SMOOTHING = 4.0
+#: Words seen less often have no class of their own: they stand for unseen words, at every size of the corpus.
+LEAST_SEEN = 2
+#: Share of the class model in a token's probability; the rest is the add-half unigram's.
+CLASS_SHARE = 0.9
 
 
 def _word_counts(batches):
@@ -278,11 +282,10 @@ def _scores(sent):
             known = rank < len(m["n"])
             kind = np.append(m["class"], m["rare"])[rank]
             log_n = np.append(np.log10(m["n"] + 0.5), 0.0)[rank]
-            emit = log_n - m["emission"][kind]
             end = m["end"]
             chain = _chains(kind, at, end)
-            step = m["step"][np.concatenate([[end], chain[:-1]]), chain]
-            emits = _chains(emit, at, 0.0)
+            step = m["mixed"][np.concatenate([[end], chain[:-1]]), chain]
+            emits = _chains(log_n, at, m["end_log"])
             bases = _chains(log_n - m["base"], at, m["end_log"] - m["base"])
             starts = at[:-1] + np.arange(len(at) - 1)
             rows = batch.num_rows
@@ -326,16 +329,18 @@ def most_frequent(counts: DataFrame, head: int) -> tuple[np.ndarray, np.ndarray]
 def learn(training: DataFrame, counts: DataFrame, head: int = HEAD, clustered: int = CLUSTERED, classes: int = CLASSES, rounds: int = ROUNDS) -> dict:
     """The model of ``training`` (text), whose words are counted in ``counts`` (word, n), as arrays that every task gets.
 
-    The ``clustered`` most frequent words are put into ``classes`` by exchange clustering. Every other word of the head then
-    goes to the class under which the core words before and after it are likeliest; their neighbours are counted over the
-    whole text. Words beyond the head, unseen ones included, share a class; the end is a class.
+    The ``clustered`` most frequent words are put into ``classes`` by exchange clustering. Every other word of the head that
+    was seen ``LEAST_SEEN`` times then goes to the class under which the core words before and after it are likeliest; their
+    neighbours are counted over the whole text. Words seen less, those beyond the head and unseen ones share a class, so what
+    was seen once tells how often and where an unseen word comes; the end is a class.
     """
     spark = training.sparkSession
     ends = training.count()
     sums = counts.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
     total, kinds = (sums["n"] or 0) + ends, sums["v"] + (ends > 0)
     head_words, head_n = most_frequent(counts, head)
-    size = min(clustered, len(head_words))
+    classed = int(np.searchsorted(-head_n, -LEAST_SEEN, "right"))
+    size = min(clustered, classed)
 
     def table(n: int) -> tuple[np.ndarray, np.ndarray]:
         order = np.argsort(head_words[:n]).astype(np.int64)
@@ -344,8 +349,9 @@ def learn(training: DataFrame, counts: DataFrame, head: int = HEAD, clustered: i
     pairs = training.mapInArrow(_pair_counts(spark.sparkContext.broadcast(table(size)), size), "pair long, n long")
     pairs = materialise(pairs.groupBy("pair").agg(F.sum("n").alias("n")), "lm-pairs")
     of, between = exchange_classes(pairs, size, classes, rounds)
+    kind = assign_classes(training, table(classed), of, between, size, classes)
     words, order = table(len(head_words))
-    kind = assign_classes(training, (words, order), of, between, size, classes)
+    kind = np.concatenate([kind, np.full(len(words) - classed, classes, np.int64)])
     between = count_classes(training, (words, order), kind, classes)
 
     rare, end = classes, classes + 1
@@ -356,8 +362,10 @@ def learn(training: DataFrame, counts: DataFrame, head: int = HEAD, clustered: i
     share = (between.sum(0) + 0.5) / (between.sum() + 0.5 * (classes + 2))
     step = np.log10((between + SMOOTHING * share) / (between.sum(1, keepdims=True) + SMOOTHING))
     emission = np.log10(np.maximum(in_class + 0.5 * types, 0.5))
+    emission[end] = np.log10(ends + 0.5)
     base = float(np.log10(total + 0.5 * (kinds + 1)))
-    return {"table": words, "order": order, "n": head_n, "class": kind, "rare": rare, "end": end, "emission": emission, "step": step, "base": base, "end_log": float(np.log10(ends + 0.5)), "end_known": int(ends > 0), "total": total}
+    mixed = np.log10(CLASS_SHARE * 10 ** (step - emission) + (1 - CLASS_SHARE) * 10**-base)
+    return {"table": words, "order": order, "n": head_n, "class": kind, "rare": rare, "end": end, "emission": emission, "step": step, "mixed": mixed, "base": base, "end_log": float(np.log10(ends + 0.5)), "end_known": int(ends > 0), "total": total}
 
 
 @in_small_batches
@@ -366,7 +374,7 @@ def score_documents(docs: DataFrame, held_out=None, id_col: str = "doc_id", text
 
     Tokens are lower-cased (A-Z) words between blanks and one end per text. Words have classes as ``learn`` states.
     P(word | word before) = P(class | class before) * P(word | class), transitions backing off to class frequencies and
-    emissions to half a count. All training tokens are counted. The counts of the ``head`` most frequent words go to every
+    emissions to half a count, mixed with the unigram (``CLASS_SHARE``), so no token falls far below it. All training tokens are counted. The counts of the ``head`` most frequent words go to every
     task; those of all others are joined to the documents that need them by a shuffle.
 
     Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score (add-half unigram), score. A null text is empty: one

@@ -230,13 +230,60 @@ def test_model_sums_to_one_and_scores_by_hand(spark):
         got = brown_lm.score_documents(df, F.lit(False), head=head, clustered=clustered, classes=4, rounds=6).toPandas().set_index("doc_id").score
         for i, t in enumerate(texts):
             value, before = 0.0, m["end"]
-            for w in t.split():
-                value += m["step"][before, of[w]] + math.log10(counted[w] + 0.5) - m["emission"][of[w]]
-                before = of[w]
-            assert abs(got[i] - value - m["step"][before, m["end"]]) < 1e-6
+            for w in [*t.split(), None]:
+                kind, n = (of[w], counted[w]) if w else (m["end"], len(texts))
+                by_class = 10 ** (m["step"][before, kind] + (math.log10(n + 0.5) - m["emission"][kind]))
+                value += math.log10(brown_lm.CLASS_SHARE * by_class + (1 - brown_lm.CLASS_SHARE) * (n + 0.5) / 10 ** m["base"])
+                before = kind
+            assert abs(got[i] - value) < 1e-6
     assert len({of[w] for w in of if w[0] in "ab"} & {of[w] for w in of if w[0] in "xyz"}) <= 2  # the two kinds of words hardly mix
 
 
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_gain_on_held_out_texts_at_default_parameters(spark, sf):
+    got = brown_lm.query(spark, f"/root/testdata/{sf}").toPandas()
+    held = got[got.held_out]
+    assert (held.score - held.base_score).sum() / held.n_tokens.sum() >= 0.2
+    assert (held.score < held.base_score).mean() < 0.05
+
+
+def test_no_token_falls_far_below_the_unigram(spark):
+    known = [" ".join(f"{a}{r}" for r in range(k % 7 + 1) for a in "abc") + f" once{k}" for k in range(60)]
+    df = spark.createDataFrame([*enumerate(known), (99, "never seen words at all")], "doc_id long, text string")
+    got = brown_lm.score_documents(df, F.col("doc_id") == 99, clustered=10, classes=3).where("held_out").first()
+    assert got.n_known == 1 and got.score >= got.base_score + got.n_tokens * math.log10(1 - brown_lm.CLASS_SHARE)
+
+
+def test_exchange_against_a_plain_one(spark):
+    r = random.Random(21)
+    size, classes = 48, 4
+    after = [[(k + 1) % classes, (k + 2) % classes] for k in range(classes)]
+    chain, kind = [], 0
+    for _ in range(6000):
+        kind = r.choice(after[kind]) if r.random() < 0.9 else r.randrange(classes)
+        chain.append(kind + classes * min(int(r.expovariate(0.3)), size // classes - 1))
+    seen = collections.Counter(zip(chain, chain[1:]))
+
+    def value(of):
+        sums = np.zeros((classes + 2, classes + 2))
+        for (a, b), n in seen.items():
+            sums[of[a], of[b]] += n
+        f = lambda m: float((m * np.log(np.maximum(m, 1e-300))).sum())
+        return f(sums) - f(sums.sum(0)) - f(sums.sum(1))
+
+    # a start that knows nothing of the kinds, in both
+    name = r.sample(range(size), size)
+    seen = collections.Counter({(name[a], name[b]): n for (a, b), n in seen.items()})
+    plain = [k % classes for k in range(size)]
+    first = value(plain)
+    for _ in range(12):
+        for w in range(size):
+            plain[w] = max(range(classes), key=lambda c: value(plain[:w] + [c] + plain[w + 1 :]))
+    pairs = spark.createDataFrame([(a * (size + 2) + b, n) for (a, b), n in seen.items()], "pair long, n long")
+    of, _ = brown_lm.exchange_classes(pairs, size, classes, 12)
+    assert value(of.tolist()) - first >= 0.95 * (value(plain) - first) > 0
+
+
 # 4 lines
 
 
