@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as x
+from ..plans import scratch
 from ..plans import tables as t
 from ..plans.sizing import sized
 
@@ -32,6 +35,40 @@ def log_stats(log: DataFrame, kinds: dict[str, str] = KINDS) -> DataFrame:
     return out.where("kind = 'all' or value is not null")
 
 
+def daily_counts(log: DataFrame, kinds: dict[str, str] = KINDS) -> DataFrame:
+    """Partial counts of each day (``ts``), which add up: (log_date, kind, value, n, faq, greeting, ollama); one pass with grouping sets.
+
+    Kinds are those of ``log_stats`` and ``faq_id``, whose counts are all kept, so the most used FAQs of any days are exact.
+    """
+    keys = ["sentiment", "lang", "bypass", "faq_source", "source", "called", "faq_id"]
+    called = F.when(F.col("source") == kinds["ollama"], F.col("lang"))
+    clean = log.withColumn("called", called).select(F.to_date("ts").alias("log_date"), *[(F.col(k) if k == "faq_id" else x.blank_to_null(F.col(k))).alias(k) for k in keys], *[(F.col("source") == v).alias(f"_{k}") for k, v in kinds.items()])
+    sets = clean.groupingSets([[F.col("log_date"), F.col(k)] for k in keys] + [[F.col("log_date")]], "log_date", *keys)
+    sets = sets.agg(F.count(F.lit(1)).alias("n"), F.grouping_id().alias("g"), *[F.count_if(f"_{k}").alias(k) for k in kinds])
+    every = 2 ** len(keys) - 1
+    kind = F.when(F.col("g") == every, "all")
+    for i, k in enumerate(keys):
+        kind = kind.when(F.col("g") == every - 2 ** (len(keys) - 1 - i), "model_lang" if k == "called" else k)
+    return sets.select("log_date", kind.alias("kind"), F.coalesce(*keys).alias("value"), "n", *kinds).where("kind = 'all' or value is not null")
+
+
+def write_days(counts: DataFrame, path: str) -> None:
+    """Write daily counts; the days in ``counts`` replace those that are there, other days stay. A row without a time has no day of its own (null)."""
+    counts.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("log_date").parquet(path)
+
+
+def stats_of_days(counts: DataFrame, kinds: dict[str, str] = KINDS) -> DataFrame:
+    """``log_stats`` of any days from their counts."""
+    sums = counts.where("kind <> 'faq_id'").groupBy("kind", "value").agg(F.sum("n").alias("n"), *[F.sum(k).alias(k) for k in kinds])
+    whole = lambda c: F.when(F.col("kind") == "all", c)
+    return sums.select("kind", "value", "n", whole(F.col("faq")).alias("faq_hits"), whole(F.col("greeting")).alias("greetings"), whole(F.col("ollama")).alias("model_calls"), whole(F.format_string("%.1f", 100.0 * F.col("faq") / F.col("n"))).alias("hit_rate"))
+
+
+def top_faqs_of_days(counts: DataFrame, n: int = 20) -> DataFrame:
+    """``top_faqs`` of any days from their counts."""
+    return counts.where("kind = 'faq_id'").groupBy(F.col("value").alias("faq_id")).agg(F.sum("n").alias("hits")).orderBy(F.desc("hits"), "faq_id").limit(n)
+
+
 def bypasses(log: DataFrame, n: int = 50) -> DataFrame:
     """Each bypass with its count and its ``n`` newest messages, newest first."""
     rows = log.where("bypass <> ''")
@@ -212,7 +249,23 @@ def _lines(s, d):
     return fill_down(docs, "doc_id", ["line"], heading).select("doc_id", F.col("line").cast("int").alias("line"), "category")
 
 
+EVENT_KINDS = {"greeting": "signup", "faq": "click", "ollama": "error"}
+
+
+def _days(s, d):
+    """Daily counts of the log, written twice: the second time only its odd days, first with other counts, then as they are."""
+    log = t.chat_log(s, d).withColumn("faq_source", F.expr(_FAQ_SOURCE))
+    path = f"{scratch.folder(s)}/days-{uuid.uuid4().hex[:12]}"
+    counts = scratch.table(daily_counts(log, EVENT_KINDS), "days")
+    odd = F.dayofyear("log_date") % 2 == 1
+    write_days(counts.withColumn("n", F.when(odd, F.col("n") + 7).otherwise(F.col("n"))), path)
+    write_days(counts.where(odd), path)
+    return s.read.schema(counts.schema).parquet(path)
+
+
 QUERIES = {
+    "agg_stats_daily": lambda s, d: stats_of_days(_days(s, d), EVENT_KINDS),
+    "agg_top_faq_daily": lambda s, d: top_faqs_of_days(_days(s, d)),
     "agg_stats": lambda s, d: log_stats(t.chat_log(s, d).withColumn("faq_source", F.expr(_FAQ_SOURCE)), {"greeting": "signup", "faq": "click", "ollama": "error"}),
     "agg_top_faq": lambda s, d: top_faqs(t.chat_log(s, d)),
     "agg_bypass": lambda s, d: bypasses(t.chat_log(s, d)),
@@ -247,11 +300,17 @@ _TRADERS = f"(select slug, {_NAME} as shop_name, {_KIND} as shop_type from {t.SH
 _SPEC = f"(select slug, item_pos, case when slug = 'shop-7' and category <> 'PROMO' then 'LARGE' when slug = 'shop-8' and category in ('SMALL', 'ECONOMY', 'LARGE') then 'SMALL' else category end as category from {_I})"
 _CAT = f"(select *, gender <> 'all' and not one as foreigner from (select slug, item_pos, name, price, category, coalesce(gender, 'all') as gender, slug in ('shop-2', 'shop-3') as one, slug = 'shop-6' as veg from {_GI}) where not one or gender in ('women', 'all'))"
 _WORDED = "concat_ws(' ', case when any_value(veg) then 'veg' end, case when any_value(foreigner) then gender end, lower(category))"
-SQL = {
-    "agg_stats": f"with l as (select nullif(trim(sentiment), '') as sentiment, lang, nullif(trim(bypass), '') as bypass, nullif({_FAQ_SOURCE}, '') as faq_source, source, case when source = 'error' then lang end as model_lang from {_L}) "
+_STATS = (
+    f"with l as (select nullif(trim(sentiment), '') as sentiment, lang, nullif(trim(bypass), '') as bypass, nullif({_FAQ_SOURCE}, '') as faq_source, source, case when source = 'error' then lang end as model_lang from {_L}) "
     + " union all ".join(f"select '{k}' as kind, {k} as value, count(*) as n, cast(null as bigint) as faq_hits, cast(null as bigint) as greetings, cast(null as bigint) as model_calls, cast(null as varchar) as hit_rate from l where {k} is not null group by {k}" for k in ("sentiment", "lang", "bypass", "faq_source", "source", "model_lang"))
-    + " union all select 'all', null, count(*), count(*) filter (source = 'click'), count(*) filter (source = 'signup'), count(*) filter (source = 'error'), printf('%.1f', 100.0 * count(*) filter (source = 'click') / count(*)) from l",
-    "agg_top_faq": f"select faq_id, count(*) as hits from {_L} where faq_id is not null group by faq_id order by hits desc, faq_id limit 20",
+    + " union all select 'all', null, count(*), count(*) filter (source = 'click'), count(*) filter (source = 'signup'), count(*) filter (source = 'error'), printf('%.1f', 100.0 * count(*) filter (source = 'click') / count(*)) from l"
+)
+_TOP = f"select faq_id, count(*) as hits from {_L} where faq_id is not null group by faq_id order by hits desc, faq_id limit 20"
+SQL = {
+    "agg_stats": _STATS,
+    "agg_stats_daily": _STATS,
+    "agg_top_faq": _TOP,
+    "agg_top_faq_daily": _TOP,
     "agg_bypass": f"select bypass, max(c) as n, string_agg(msg_id, ',' order by r) filter (r <= 50) as newest from (select *, row_number() over (partition by bypass order by ts desc, msg_id desc) as r, count(*) over (partition by bypass) as c from {_L} where bypass <> '') group by bypass",
     "agg_shop_summary": f"""select slug, case when ok then coalesce(f.n, 0) end as faqs, case when ok then coalesce(i.n, 0) end as items, case when ok then coalesce(e.n, 0) end as embedded, case when not ok then 'missing settings' end as error from (select slug, shop_pos % 4 <> 1 as ok from {t.SHOPS})
         left join (select slug, count(*) as n from {_F} group by slug) f using (slug) left join (select slug, count(*) as n from {_I} group by slug) i using (slug) left join (select slug, count(*) as n from (select slug, unnest(variants) as v from {t.PHRASED}) where trim(v) <> '' group by slug) e using (slug)""",

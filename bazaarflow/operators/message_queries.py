@@ -135,6 +135,13 @@ def win_sticky_lang(s, d):
     return m.sticky_language(t.messages(s, d), pref, found).select("msg_id", "held", "lang")
 
 
+def win_sticky_shop(s, d):
+    """The language of shops whose messages have no session, in the order of the messages' numbers."""
+    pref = F.when(F.lower(F.col("message")).rlike("anou"), "english").when(F.lower(F.col("message")).rlike("enver|thoring"), "manglish")
+    rows = t.messages(s, d).withColumn("session_id", F.lit(None).cast("bigint"))
+    return m.sticky_language(rows, pref, F.lit("english"), "msg_id", cell=F.floor(F.col("msg_id") / 100_000)).select("msg_id", "held", "lang")
+
+
 def _vote(s, d):
     """Full questions by rules, with the vote of two anchors of each kind over the vectors of the documents."""
     e = t.read(s, d, "embeddings").join(t.read(s, d, "documents").selectExpr("doc_id as vec_id", "text"), "vec_id")
@@ -179,6 +186,7 @@ QUERIES = {
     "rte_pipeline": rte_pipeline,
     "rte_reply": rte_reply,
     "win_sticky_lang": win_sticky_lang,
+    "win_sticky_shop": win_sticky_shop,
     "val_message": lambda s, d: checked(t.read(s, d, "documents").selectExpr("doc_id as msg_id", "text as message")).select("msg_id", F.length("message").alias("n"), "reason"),
 }
 
@@ -259,6 +267,8 @@ SQL = {
     "grd_escalate": f"select msg_id, {_FLAG['escalate']} as escalate, coalesce({_URGENT}, false) as urgent from {_M} left join {_CFG} using (slug)",
     "grd_unknown_word": f"select msg_id, unknown from {_UNKNOWN}",
     "rte_reply": f"select msg_id, route, lang, {_reply()} as reply from {_ROUTED} where route in {tuple(REPLIES)}",
+    "win_sticky_shop": f"""select msg_id, held, coalesce(pref, case when not (held = 'manglish' and len(list_filter(regexp_split_to_array(trim(message), '\\s+'), lambda v: v <> '')) > 4) then held end, 'english') as lang from (
+        select *, last_value(pref ignore nulls) over (partition by slug order by msg_id rows between unbounded preceding and 1 preceding) as held from (select *, {_PREF} as pref from {_M}))""",
     "win_sticky_lang": rf"""select msg_id, held, coalesce(pref, case when not coalesce(held = 'manglish' and det = 'english' and n > 4, false) then held end, det) as lang from (
         select *, last_value(pref ignore nulls) over (partition by slug, session_id order by turn, msg_id rows between unbounded preceding and 1 preceding) as held from (
         select *, {_PREF} as pref, case when list_has_any({_W}, ['und', 'of']) then 'manglish' else 'english' end as det, len(list_filter(regexp_split_to_array(trim(message), '\s+'), lambda w: w <> '')) as n from {_M}))""",

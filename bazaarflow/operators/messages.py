@@ -228,12 +228,37 @@ def route_messages(messages: DataFrame, flagged: DataFrame, detected: Column, re
     ).withColumn("escalate", F.col("_e") | F.col("_f")).drop("_e", "_f")
 
 
-def sticky_language(messages: DataFrame, preference: Column, detected: Column, order: str = "turn", long: int = 4) -> DataFrame:
-    """Language in force: the last switch asked for earlier in the session, else the detected one; a Manglish preference yields to a longer English message."""
+def sticky_language(messages: DataFrame, preference: Column, detected: Column, order: str = "turn", long: int = 4, cell: Column | None = None) -> DataFrame:
+    """Language in force: the last switch asked for earlier in the session, else the detected one; a Manglish preference yields to a longer English message.
+
+    Messages without a session share their shop's language, as ``held_as_of`` finds it by ``cell``.
+    """
     before = Window.partitionBy("slug", "session_id").orderBy(order, "msg_id").rowsBetween(Window.unboundedPreceding, -1)
-    held = F.last(preference, True).over(before)
-    yields = (held == "manglish") & (detected == "english") & (F.size(x.split_words(F.col("message"))) > long)
-    return messages.withColumn("held", held).withColumn("lang", F.coalesce(preference, F.when(~F.coalesce(yields, F.lit(False)), held), detected))
+    own = messages.where("session_id is not null")
+    shared = held_as_of(messages.where("session_id is null"), ["slug"], order, preference, cell)
+    rows = own.withColumn("held", F.last(preference, True).over(before)).unionByName(shared)
+    yields = (F.col("held") == "manglish") & (detected == "english") & (F.size(x.split_words(F.col("message"))) > long)
+    return rows.withColumn("lang", F.coalesce(preference, F.when(~F.coalesce(yields, F.lit(False)), F.col("held")), detected))
+
+
+def held_as_of(rows: DataFrame, keys: list[str], order: str, preference: Column, cell: Column | None = None) -> DataFrame:
+    """Rows with ``held``, the last ``preference`` before each by (``order``, msg_id) within ``keys``, for keys that hold any share of the rows.
+
+    ``cell`` cuts a key into stretches of ``order`` and must not fall as that rises (default: a thousand of a number, an hour of a
+    time). Of each stretch the last switch is aggregated; a window over a key's stretches gives the switch in force as
+    each begins, valid until the next; rows join it by key and stretch, and only within a stretch a window looks back. So a
+    key's rows spread over its stretches, and no task sorts a key.
+    """
+    time = dict(rows.dtypes)[order] in ("timestamp", "timestamp_ntz", "date")
+    cell = (F.date_trunc("hour", order) if time else F.floor(F.col(order) / 1000)) if cell is None else cell
+    key = F.xxhash64(*[F.coalesce(F.col(k).cast("string"), F.lit("\0")) for k in keys], *[F.col(k).isNull() for k in keys])
+    placed = rows.withColumns({"_key": key, "_cell": cell.cast("string"), "_switch": preference})
+    switches = placed.groupBy("_key", "_cell").agg(F.max_by("_switch", F.when(F.col("_switch").isNotNull(), F.struct(order, "msg_id"))).alias("_last"), F.min(order).alias("_from"))
+    in_force = F.last("_last", True).over(Window.partitionBy("_key").orderBy(F.asc_nulls_first("_from")).rowsBetween(Window.unboundedPreceding, -1))
+    valid = switches.select("_key", F.coalesce("_cell", F.lit("")).alias("_cell"), in_force.alias("_carried"))
+    inner = Window.partitionBy("_key", "_cell").orderBy(F.asc_nulls_first(order), "msg_id").rowsBetween(Window.unboundedPreceding, -1)
+    joined = placed.withColumn("_cell", F.coalesce("_cell", F.lit(""))).join(valid, ["_key", "_cell"])
+    return joined.withColumn("held", F.coalesce(F.last("_switch", True).over(inner), "_carried")).select(*rows.columns, "held")
 
 
 def unknown_items(asks: DataFrame, vocabulary: DataFrame, neutral: list[str], variant=None, least: float = 65.0, item_ask: str | None = None, synonyms: dict[str, list[str]] | None = None) -> DataFrame:

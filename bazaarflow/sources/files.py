@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,14 +71,51 @@ def append_log(rows: DataFrame, path: str, chars: int = 300, shops: str | None =
         cut.where("slug is not null").write.mode("append").partitionBy("slug", "log_date").parquet(shops)
 
 
-def rewrite(rows: DataFrame, path: str, version: int) -> str:
-    """Write a table's next version beside the earlier ones, which stay; returns its folder."""
-    target = f"{path}/v={version}"
-    rows.write.mode("errorifexists").parquet(target)
-    return target
+class Conflict(Exception):
+    """Another writer committed the same version first."""
+
+
+def _versions(spark: SparkSession, path: str) -> list[tuple[int, str]]:
+    """Committed versions with the names of their manifests, in order; of one version the first name counts."""
+    try:
+        rows = spark.read.schema("version int, name string").json(f"{path}/log").groupBy("version").agg(F.min("name").alias("name")).collect()
+    except AnalysisException:
+        return []
+    return sorted((r["version"], r["name"]) for r in rows)
 
 
-def read_latest(spark: SparkSession, path: str) -> DataFrame:
-    """The highest version of a versioned table."""
-    rows = spark.read.parquet(path)
-    return rows.where(F.col("v") == rows.agg(F.max("v")).first()[0]).drop("v")
+def commit(rows: DataFrame, path: str, by: str | None = None) -> int:
+    """Write ``rows`` as the next version of the table at ``path`` and return its number; with ``by``, only the keys in ``rows`` are replaced.
+
+    Data go to a folder of their own. A manifest then lists which folder holds which key, and a row in the log, one file that
+    appears at once, makes the version readable. A job that stops before leaves the last version as it was, and folders
+    that no manifest names. Earlier versions stay. Two writers of one version: the later one gets a ``Conflict``.
+    """
+    spark, name = rows.sparkSession, uuid.uuid4().hex
+    rows.write.mode("errorifexists").parquet(f"{path}/data/{name}")
+    versions = _versions(spark, path)
+    version = versions[-1][0] + 1 if versions else 1
+    key = F.col(by).cast("string") if by else F.lit(None).cast("string")
+    listed = spark.read.schema(rows.schema).parquet(f"{path}/data/{name}").select(key.alias("key")).distinct().withColumn("folder", F.lit(name))
+    if by and versions:
+        before = spark.read.parquet(f"{path}/manifest/{versions[-1][1]}").alias("b")
+        listed = before.join(listed.select(F.col("key").alias("k")), F.col("key").eqNullSafe(F.col("k")), "left_anti").unionByName(listed)
+    listed.write.parquet(f"{path}/manifest/{name}")
+    spark.range(1).select(F.lit(version).cast("int").alias("version"), F.lit(name).alias("name")).coalesce(1).write.mode("append").json(f"{path}/log")
+    if dict(_versions(spark, path))[version] != name:
+        raise Conflict(f"version {version} of {path}")
+    return version
+
+
+def read_committed(spark: SparkSession, path: str, by: str | None = None, version: int | None = None) -> DataFrame:
+    """The last committed version of a table, or the ``version`` asked for; ``by`` as it was committed."""
+    versions = dict(_versions(spark, path))
+    if not versions or version is not None and version not in versions:
+        raise FileNotFoundError(f"no version {version or ''} of {path}")
+    listed = spark.read.parquet(f"{path}/manifest/{versions[version or max(versions)]}")
+    names = [r[0] for r in listed.select("folder").distinct().collect()]  # at most one for each commit
+    rows = spark.read.parquet(*[f"{path}/data/{n}" for n in names]).withColumn("_folder", F.regexp_extract(F.col("_metadata.file_path"), "/data/([0-9a-f]+)/", 1))
+    if not by:
+        return rows.drop("_folder")
+    held = listed.select(F.col("key").alias("_key"), F.col("folder").alias("_held"))
+    return rows.join(held, (F.col("_folder") == F.col("_held")) & F.col(by).cast("string").eqNullSafe(F.col("_key")), "left_semi").drop("_folder")

@@ -66,11 +66,13 @@ def src_log(s, d):
 
 
 def snk_faq(s, d):
+    """FAQs of all shops, then new answers of the shops in two commits, each of which replaces its own shops' rows."""
     path = _path(s, "versions")
     rows = t.faqs(s, d).select("slug", "faq_id", "a")
-    files.rewrite(rows, path, 1)
-    files.rewrite(rows.withColumn("a", F.concat("a", F.lit(" (2)"))), path, 2)
-    return files.read_latest(s, path)
+    files.commit(rows, path, "slug")
+    for half in ("slug < 'shop-5'", "slug >= 'shop-5'"):
+        files.commit(rows.where(half).withColumn("a", F.concat("a", F.lit(" (2)"))), path, "slug")
+    return files.read_committed(s, path, "slug")
 
 
 QUERIES = {"src_faq": src_faq, "src_items": src_items, "src_config": src_config, "src_log": src_log, "snk_log": snk_log, "snk_faq": snk_faq}

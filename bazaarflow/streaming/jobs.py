@@ -1,12 +1,13 @@
-"""Streaming jobs: routing against static settings, sticky language state, windowed statistics, replay-safe append."""
+"""Streaming jobs: routing against settings that are read anew for each batch, language state in event time, windowed statistics, replay-safe append."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import messages as m
@@ -17,6 +18,87 @@ def route_stream(messages: DataFrame, config: DataFrame, detected: Column, patte
     return m.route(m.flags(messages, config, patterns, lexicon, broad, topics, **tables), detected)
 
 
+def route_batches(messages: DataFrame, settings: Callable[[SparkSession], DataFrame], routed: Callable[[DataFrame, DataFrame], DataFrame], path: str, state: str, answered: Callable[[DataFrame, DataFrame], DataFrame] | None = None, **trigger) -> StreamingQuery:
+    """Route a message stream by the settings in force when each micro-batch begins, and answer its open messages in the same batch.
+
+    ``settings(spark)`` reads the settings anew, say the last committed version of a table, so a change holds from the next batch on;
+    ``routed(messages, settings)`` gives routed messages. Those of route ``open`` are joined to ``answered(messages, settings)``, which gives
+    (msg_id, route, source, faq_id, faq_score) for those that it can answer. A batch is written to a folder of its own
+    number, which a replay replaces, so every message has one row whatever fails. ``trigger``: as in ``DataStreamWriter.trigger``.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        config = settings(batch.sparkSession)
+        batch = batch.persist()
+        try:
+            rows = routed(batch, config)
+            if answered is not None:
+                open_ = batch.join(rows.where("route = 'open'").select("msg_id"), "msg_id", "left_semi")
+                names = ["route", "source", "faq_id", "faq_score"]
+                found = answered(open_, config).select("msg_id", F.struct(*names).alias("_a"))
+                rows = rows.join(found, "msg_id", "left")
+                rows = rows.withColumns({n: F.when(F.col("_a").isNotNull(), F.col(f"_a.{n}")).otherwise(F.col(n)) for n in names}).drop("_a")
+            rows.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        finally:
+            batch.unpersist()
+
+    return messages.writeStream.foreachBatch(write).option("checkpointLocation", state).trigger(**(trigger or {"availableNow": True})).start()
+
+
+class HeldLanguage(StatefulProcessor):
+    """Rows (msg_id, ts, preference) of a session wait until the watermark has passed their time, then get the preference held before them."""
+
+    def __init__(self, ttl_ms: int) -> None:
+        self.ttl_ms = ttl_ms
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.waiting = handle.getMapState("waiting", "ms long, msg_id long", "preference string")
+        self.held = handle.getValueState("held", "preference string, ms long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs()
+        for part in rows:
+            for msg_id, ms, preference in zip(part.msg_id, part.ms, part.preference):
+                if ms > passed:
+                    self.waiting.updateValue((int(ms), int(msg_id)), (preference if isinstance(preference, str) else None,))
+                    self.handle.registerTimer(int(ms))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        until = expiredTimerInfo.getExpiryTimeInMs()
+        due = sorted(k for k in ((int(k[0]), int(k[1])) for k in self.waiting.keys()) if k[0] <= until)
+        held = self.held.get() if self.held.exists() else None
+        out = []
+        for ms, msg_id in due:
+            if held and self.ttl_ms and ms - held[1] > self.ttl_ms:
+                held = None
+            out.append((msg_id, held[0] if held else None))
+            preference = self.waiting.getValue((ms, msg_id))[0]
+            held = (preference, ms) if preference is not None else held
+            self.waiting.removeKey((ms, msg_id))
+        if held:
+            self.held.update(held)
+        elif self.held.exists():
+            self.held.clear()
+        yield pd.DataFrame({"msg_id": pd.Series([m for m, _ in out], dtype="int64"), "held": pd.Series([h for _, h in out], dtype=object)})
+
+    def close(self) -> None:
+        pass
+
+
+def sticky_language_events(messages: DataFrame, late: str = "2 hours", ttl_ms: int = 0) -> DataFrame:
+    """(slug, session_id, msg_id, ts, preference) -> the preference held before each message in the order of (ts, msg_id), whatever order they come in.
+
+    A message waits in the session's state until the watermark, ``late`` behind the newest time seen, reaches it; one that comes
+    later than that is left out. With ``ttl_ms`` a preference is forgotten once so much event time has passed since it was asked for.
+    Equal to the window over the whole table, as far as the watermark has come. Repeats of a (ts, msg_id) are one row. Needs
+    the RocksDB state store.
+    """
+    rows = messages.withWatermark("ts", late).select("slug", "session_id", "msg_id", "ts", F.unix_millis("ts").alias("ms"), "preference")
+    return rows.groupBy("slug", "session_id").transformWithStateInPandas(HeldLanguage(ttl_ms), "msg_id long, held string", "Append", "EventTime")
+
+
 def sticky_language_stream(messages: DataFrame, ttl_ms: int = 0) -> DataFrame:
     """(slug, session_id, turn, msg_id, preference) -> the preference held before each message, kept as state per session.
 
