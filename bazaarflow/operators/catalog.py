@@ -9,8 +9,12 @@ from ..functions import text as x
 from ..plans import tables as t
 from ..plans.sizing import sized
 
-# Names that are no items, section titles that are no categories, words of sections with and without goods.
-JUNK = r"^(gst\s*(no\.?|number)?|~?\d+\s*g\)?|pieces?\)?|free\s+delivery|delivery\s+(charge|time|zone|areas?|below|above)|minimum\s+order|order\s+via|loyalty\s+card|offer\s+code|happy\s+hours?|family\s+pack|opening\s+hours?|last\s+order|payment\s+mode)"
+# Beginnings of names that are no items (a blank stands for any number of blanks, with a plus for one or more), section titles that are no categories, words of sections with and without goods.
+JUNK_NAMES = [
+    r"gst (no\.?|number)?", r"~?\d+ g\)?", r"pieces?\)?", "traditional +recipe", r"pickle \+", "free +delivery", "delivery +(charge|time|zone|areas?|below|above)", "minimum +order", "order +via", "loyalty +card", "offer +code", "happy +hours?",
+    "family +pack", "opening +hours?", "last +order", "home +delivery +hours", r"breakfast +\(", "payment +mode", "catering +(available|service|for)",
+]
+JUNK = "^(" + "|".join(v.replace(" +", r"\s+").replace(" ", r"\s*") for v in JUNK_NAMES) + ")"
 META_TITLES = ["CATALOGUE", "CATALOG", "EXAMPLES", "EXAMPLE", "SAMPLE", "SAMPLES", "SUMMARY", "OVERVIEW", "INFORMATION", "GUIDE", "TERMS", "POLICY", "POLICIES", "DISCLAIMER", "APPENDIX", "INTRODUCTION", "CONTENTS"]
 HEADING = r"^\s*[A-Z][A-Z\s&/(),-]{3,60}\s*$"
 GOODS = r"(?i)\b(PRODUCTS?|CATALOGUE|CATALOG|MENU|SERVICES?|TREATMENTS?|PRICE\s*LIST|PRICING|TARIFF|ITEMS?)\b"

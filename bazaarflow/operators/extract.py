@@ -11,13 +11,20 @@ from ..plans import tables as t
 from . import catalog
 from .catalog import META_TITLES, administrative, heading, junk_item, valid_item
 
-# Words of header cells by role, and labels of rows that are facts about a shop.
+# Words of header cells by role.
 HEADERS = {
     "name": ("name", "item", "dish", "product", "service", "treatment", "type", "particulars"),
     "price": ("price", "rate", "amount", "cost", "fee", "charge", "tariff", "₹", "rs."),
     "description": ("description", "detail", "desc", "notes", "includes", "inclusion", "inclusions", "duration", "time", "hrs", "min"),
 }
-FACT_LABELS = r"(?i)^(registration no\.?|address|phone|whatsapp|monday|sunday|payment modes?|gstin?( no\.?)?|landmark|last order|free delivery|delivery (charge|time|zone|areas?)|minimum order|offer code.*|happy hours? offer|family pack|loyalty card|parking|shop name|instagram|facebook)$"
+# Labels of rows that are facts about a shop; a blank stands for any number of blanks.
+LABELS = [
+    r"Registration No\.?", "Address", r"Phone( \(.*?\))?", "Emergency Phone", "WhatsApp", "WhatsApp Order", "Monday", "Sunday", "Emergency", "EMI", "Kids Special", "Senior Citizen", "Payment Modes?", "Health Insurance", "Free Consultation",
+    "FSSAI License", r"GSTIN?( No\.?)?", "Zomato", "Swiggy", "AC Available", "Private Dining", "Owner", "Owner / Director", "Head Chef", "Cuisine", "Seating (Capacity)?", "Landmark", "Last Order", "Home Delivery Hours", r"Breakfast( \(.*?\))?",
+    "Free Delivery (Above|Below)?", "Delivery (Charge|Time|Zone|Areas?)", "Minimum Order", "Order via", "Catering", "Bulk Order", "Offer Code.*", "Happy Hours? Offer", "Family Pack", "Loyalty Card", "Weekend Breakfast",
+    "Restaurant Name", "Equipment", "Sterilisation", "Parking", "Salon Name", "Clinic Name", "Shop Name", "Alternate Phone", "Instagram", "Facebook", "Accessibility", "Lift Available",
+]
+FACT_LABELS = "(?i)^(" + "|".join(v.replace(" ", r"\s*") for v in LABELS) + ")$"
 DURATION = r"(?i)\d+(\.\d+)?\s*(hrs?|min(utes?)?|hour)"
 MONEY = r"(?i)(Rs\.?|₹)\s*\d"
 
@@ -283,8 +290,8 @@ def _merged(s, d):
 
 
 def _shop_docs(s, d):
-    """One text per shop: the address blocks of the documents with the shop's number."""
-    return _documents(s, d).where("doc_id < 10").selectExpr("concat('shop-', doc_id) as doc_id", "text")
+    """The address blocks of all documents; those with a shop's number are the shop's."""
+    return _documents(s, d).selectExpr("concat('shop-', doc_id) as doc_id", "text")
 
 
 def gen_shop_info(s, d):
@@ -293,22 +300,24 @@ def gen_shop_info(s, d):
 
 
 def agg_extraction(s, d):
-    """Extraction report of each document: words, tables, items by source, facts, and the fields still missing."""
-    return extraction_report(metadata(_shop_docs(s, d)), _cells(s, d), _merged(s, d), table_facts(_cells(s, d)))
+    """Extraction report of each document: pages, tables, rows, items by source, facts, and the fields still missing."""
+    pages = t.read(s, d, "pages").selectExpr("concat('shop-', page_id % 50) as doc_id", "page_id div 50 as page", "html as text")
+    return extraction_report(metadata(_shop_docs(s, d)), _cells(s, d), _merged(s, d), table_facts(_cells(s, d)), pages)
 
 
-def extraction_report(meta: DataFrame, cells: DataFrame, items: DataFrame, facts: DataFrame, required: tuple = ("phones", "email", "hours", "location", "city", "payment", "offer_code")) -> DataFrame:
-    """Per document (doc_id): tables, rows, items of tables and of lines, facts, and the required fields not found."""
+def extraction_report(meta: DataFrame, cells: DataFrame, items: DataFrame, facts: DataFrame, pages: DataFrame, required: tuple = ("phones", "email", "hours", "location", "city", "payment", "offer_code")) -> DataFrame:
+    """Per document (doc_id): pages (doc_id, page, text) and their characters, tables, rows, items of tables and of lines, facts, and the required fields not found."""
     absent = F.array_join(F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit("")) == "", F.lit(c)) for c in required])), ",")
     out = meta.select("doc_id", absent.alias("missing"))
     parts = [
+        pages.groupBy("doc_id").agg(F.countDistinct("page").alias("pages"), F.sum(F.length("text")).alias("chars")),
         cells.groupBy("doc_id").agg(F.countDistinct("tbl").alias("tables"), F.count(F.lit(1)).alias("rows")),
         items.groupBy("doc_id").agg(F.count_if(F.col("layer") == 0).alias("from_tables"), F.count_if(F.col("layer") == 1).alias("from_lines")),
         facts.groupBy("doc_id").agg(F.count(F.lit(1)).alias("facts")),
     ]
     for p in parts:
         out = out.join(p, "doc_id", "left")
-    return out.na.fill(0, ["tables", "rows", "from_tables", "from_lines", "facts"])
+    return out.na.fill(0, ["pages", "chars", "tables", "rows", "from_tables", "from_lines", "facts"])
 
 
 def _chunk_sources(s, d):
@@ -412,7 +421,7 @@ _META = rf"""(select doc_id, array_to_string(list_transform(list_filter({_LAST10
   list_filter({_FIRST8}, lambda v: not regexp_matches(v, '\d{{7,}}|@|www\.|http') and length(v) between 6 and 59 and left(v, 1) <> '[')[1] as shop_name, '₹' || nullif(regexp_extract(text, '(?i)Free\s+Delivery\s+Above\s+Rs\.?\s*([\d,]+)', 1), '') as delivery_free,
   '₹' || nullif(regexp_extract(text, '(?i)Delivery\s+Charge\s+Below\s+Rs\.?\s*[\d,]+\s+Rs\.?\s*([\d,]+)', 1), '') as delivery_charge, regexp_replace({_get(r'(?i)Delivery\s+Time\s+([^\n]{3,60})')}, '\.+$', '') as delivery_days, regexp_replace({_get(r'(?i)Delivery\s+Zone\s+([^\n]{3,150})')}, '\.+$', '') as delivery_areas from @documents@)"""
 _ALL_META = _META.replace("@documents@", _D)
-_SHOP_META = _META.replace("@documents@", f"(select 'shop-' || doc_id as doc_id, text from {_D} where doc_id < 10)")
+_SHOP_META = _META.replace("@documents@", f"(select 'shop-' || doc_id as doc_id, text from {_D})")
 _FRAGMENT = rf"(c = '' or (left(c, 1) <> upper(left(c, 1)) and left(c, 1) = lower(left(c, 1))) or contains(c, '+') or regexp_matches(c, '(?i)\(\d+\s*members?\)') or regexp_matches(c, '{catalog.FRAGMENT}') or coalesce(coalesce(price, price_min) <= 20 and regexp_matches(c, '{catalog.DISCOUNT}'), false))"
 _MERGED = rf"""(select doc_id, layer, pos, name, category, price, price_min, price_max from (select *, row_number() over (partition by doc_id, trim(lower(regexp_replace(c, '\s*\(.*?\)\s*$', ''))) order by layer, pos) as r from (select *, trim(regexp_replace(name, '\s*\|.*$', '')) as c from (
   select doc_id, 0 as layer, tbl * 10000 + row as pos, name, category, price, price_min, price_max from {_TABLE_ITEMS} union all select slug, 1, item_pos, name, category, price, price_min, price_max from {_LINE_ITEMS})) where not {_FRAGMENT} and {_VALID}) where r = 1)"""
@@ -432,7 +441,8 @@ SQL = {
     "gen_shop_info": f"""select doc_id, shop_name, left(regexp_split_to_array(shop_name, '\\s+')[1], 10) as bot_name, location, city, coalesce(state, 'Kerala') as state, hours, sunday, nullif(string_split(phones, ',')[1], '') as phone, nullif(string_split(phones, ',')[1], '') as whatsapp, email, website,
         coalesce(nullif(payment, ''), 'UPI,Cash,Cards') as payment, offer_code, offer_desc, delivery_free, delivery_charge, delivery_days, delivery_areas, cast(coalesce(ni, 0) as int) as n_items, cast(coalesce(nf, 0) as int) as n_facts, coalesce(names, '') as names, coalesce(details, '') as details from {_SHOP_META}
         left join (select doc_id, count(*) as ni, string_agg(name, '|' order by layer, pos) as names from {_MERGED} group by doc_id) using (doc_id) left join (select doc_id, count(*) as nf, string_agg(detail, '|' order by tbl, row) as details from {_TABLE_FACTS} group by doc_id) using (doc_id)""",
-    "agg_extraction": f"""select doc_id, concat_ws(',', {', '.join(f"case when coalesce({c}, '') = '' then '{c}' end" for c in _REQUIRED)}) as missing, coalesce(tables, 0) as tables, coalesce(rows, 0) as rows, coalesce(from_tables, 0) as from_tables, coalesce(from_lines, 0) as from_lines, coalesce(facts, 0) as facts from {_SHOP_META}
+    "agg_extraction": f"""select doc_id, concat_ws(',', {', '.join(f"case when coalesce({c}, '') = '' then '{c}' end" for c in _REQUIRED)}) as missing, coalesce(pages, 0) as pages, coalesce(chars, 0) as chars, coalesce(tables, 0) as tables, coalesce(rows, 0) as rows, coalesce(from_tables, 0) as from_tables, coalesce(from_lines, 0) as from_lines, coalesce(facts, 0) as facts from {_SHOP_META}
+        left join (select 'shop-' || page_id % 50 as doc_id, count(*) as pages, cast(sum(length(html)) as bigint) as chars from pages group by all) using (doc_id)
         left join (select doc_id, count(distinct tbl) as tables, count(*) as rows from {_CELLS_SQL} group by doc_id) using (doc_id) left join (select doc_id, count(*) filter (layer = 0) as from_tables, count(*) filter (layer = 1) as from_lines from {_MERGED} group by doc_id) using (doc_id)
         left join (select doc_id, count(*) as facts from {_TABLE_FACTS} group by doc_id) using (doc_id)""",
     "gen_chunks": f"""with m as (select * from {_ALL_META}) select 'doc-' || doc_id as doc_id, cast(0 as int) as layer, cast(0 as bigint) as pos, 'Offer: use code ' || offer_code || ' — ' || coalesce(offer_desc, '') as chunk from m where upper(trim(offer_code)) not in ('', 'N/A')

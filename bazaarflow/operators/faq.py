@@ -97,13 +97,20 @@ def item_faqs(items: DataFrame) -> DataFrame:
     return made.select("slug", "item_pos", "category", "f.id", F.get("f.asked", F.lit(0)).alias("q"), F.array_join(F.slice("f.asked", 2, 9), "|").alias("variants"), "f.a", "f.a_ml")
 
 
-def described_faqs(items: DataFrame) -> DataFrame:
-    """Per item name of a shop one FAQ on price and, with a description, on what it is: id, variants, a; the first of an id."""
+#: Questions on an item, and on what it is; the end of its answer.
+ITEM_ASKS = ("How much is {}?", "Price of {}?", "{} vila enthu?", "{} rate?", "Is {} available?", "{} undo?")
+WHAT_ASKS = ("What is {}?", "{} enthu aanu?")
+ITEM_MORE = " WhatsApp {whatsapp} for details."
+
+
+def described_faqs(items: DataFrame, asks: tuple = ITEM_ASKS, what: tuple = WHAT_ASKS, more: str = ITEM_MORE) -> DataFrame:
+    """Per item name of a shop one FAQ on price, stock and, with a description, on what it is: id, variants, a; the first of an id."""
     rows = first_by(items.where("length(name) >= 3").withColumn("id", F.concat(F.lit("item_"), F.left(_base(F.col("name")), F.lit(30)))), ["slug", "id"], ["item_pos"])
     told = x.blank_to_null(F.col("description"))
     label = x.price_label(F.col("price"), F.lit(None).cast("bigint"), F.lit(None).cast("bigint"), "price on request")
-    asked = F.concat(F.array(F.concat(F.lit("How much is "), "name", F.lit("?")), F.concat("name", F.lit(" rate?")), F.concat("name", F.lit(" undo?"))), F.when(told.isNotNull(), F.array(F.concat(F.lit("What is "), "name", F.lit("?")))).otherwise(F.array().cast("array<string>")))
-    return rows.select("slug", "item_pos", "id", F.array_join(asked, "|").alias("variants"), F.concat("name", F.lit(" — "), label, F.coalesce(F.concat(F.lit(" ("), told, F.lit(")")), F.lit("")), F.lit(".")).alias("a"))
+    filled = lambda forms: F.array(*[F.replace(F.lit(v), F.lit("{}"), F.col("name")) for v in forms])
+    asked = F.concat(filled(asks), F.when(told.isNotNull(), filled(what)).otherwise(F.array().cast("array<string>")))
+    return rows.select("slug", "item_pos", "id", F.array_join(asked, "|").alias("variants"), F.concat("name", F.lit(" — "), label, F.coalesce(F.concat(F.lit(" ("), F.trim(told), F.lit(")")), F.lit("")), F.lit("."), F.lit(more)).alias("a"))
 
 
 def core_faqs(shops: DataFrame, core: list[tuple[str, str, str | None]]) -> DataFrame:
@@ -143,8 +150,8 @@ def embed_rows(faqs: DataFrame, manglish: Column | None = None) -> DataFrame:
     return rows.select("slug", "faq_id", "pos", lang.alias("qlang"), F.col("text").alias("qtext"))
 
 
-#: Endings and word pairs of broken Manglish answers.
-BROKEN = r"[—–-]\s*$|\b(provide|properly|professional|customer|service)\s+\w*\s*(cheyyum|cheyyaam|cheythu)\b"
+# Endings, joined words and word pairs of broken Manglish answers.
+BROKEN = r"[—–-]\s*$|\b\w+-(inu|inte|il| inu)\s+\w+\s+(cheyyum|cheyyaam)\b|\b(provide|properly|professional|customer|service)\s+\w*\s*(cheyyum|cheyyaam|cheythu)\b"
 
 
 def clean_manglish(c: Column, broken: str = BROKEN) -> Column:
@@ -328,7 +335,7 @@ SQL = {
     "gen_item_faqs": f"""with i as (select slug, item_pos, category, name, regexp_replace(lower(name), '[^a-z0-9]', '_', 'g') as b, p from (select *, case when size % 5 = 0 then 0 else price end as p, row_number() over (partition by slug, lower(name) order by item_pos) as r from {_I}) where r = 1)
         select slug, item_pos, category, 'item_' || b || '_avail' as id, 'Do you have ' || name || '?' as q, name || ' undo?|Is ' || name || ' available?' as variants, 'Yes, ' || name || ' is available.' || case when p <> 0 then ' Price: ₹' || p || '.' else '' end as a, 'Athe, ' || name || ' und!' as a_ml from i
         union all select slug, item_pos, category, 'item_' || b || '_price', 'How much is ' || name || '?', name || ' vila ethra?', name || ' costs ₹' || p || '.', name || ' ₹' || p || ' aanu.' from i where p <> 0""",
-    "gen_described_faqs": f"""select slug, item_pos, id, 'How much is ' || name || '?|' || name || ' rate?|' || name || ' undo?' || case when d is not null then '|What is ' || name || '?' else '' end as variants, name || ' — ' || coalesce('₹' || format('{{:,}}', p), 'price on request') || coalesce(' (' || d || ')', '') || '.' as a from (
+    "gen_described_faqs": f"""select slug, item_pos, id, replace('{'|'.join(ITEM_ASKS)}' || case when d is not null then '|{'|'.join(WHAT_ASKS)}' else '' end, '{{}}', name) as variants, name || ' — ' || coalesce('₹' || format('{{:,}}', p), 'price on request') || coalesce(' (' || d || ')', '') || '.{ITEM_MORE}' as a from (
         select *, row_number() over (partition by slug, id order by item_pos) as r from (select slug, item_pos, name, 'item_' || left(regexp_replace(lower(name), '[^a-z0-9]', '_', 'g'), 30) as id, case when size % 4 <> 0 then description end as d, case when size % 5 <> 0 then price end as p from {t.DESCRIBED})) where r = 1""",
     "gen_core_faqs": f"""select slug, cast(0 as int) as pos, 'Where is ' || shop_name || '?' as q, 'In ' || city || '.' as a from {t.SHOPS} union all select slug, 1, 'Is it a big shop?', shop_name || ' is well known.' from {t.SHOPS} where balance > 0
         union all select slug, 2, 'How to call?', 'Ring [phone].' from {t.SHOPS}""",

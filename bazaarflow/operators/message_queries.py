@@ -205,7 +205,7 @@ def _m(g: str) -> str:
     return f"regexp_matches(lower(message), '{PATTERNS[g]}')"
 
 
-_COMPLIMENT = f"({_m('compliment')} and len({_SPACED}) <= 6 and not list_has_any({_SPACED}, {_strings(BARRED)}) and not ends_with(rtrim(message), '?'))"
+_COMPLIMENT = f"({_m('compliment')} and len({_SPACED}) <= 6 and not list_has_any({_SPACED}, {_strings(BARRED)}) and not {_any(m.NOR_WITHIN)} and not ends_with(rtrim(message, '!., '), '?'))"
 _FOREIGN = "(case shop_type " + " ".join(f"when '{k}' then list_concat({_strings(v)}, coalesce(off_domain, []))" for k, v in FOREIGN.items()) + " when 'general' then [] else coalesce(off_domain, []) end)"
 _BLOCKED = "flatten(list_transform(coalesce(blocked, []), lambda k: case k " + " ".join(f"when '{k}' then {_strings(v)}" for k, v in BLOCKS.items()) + " else [k] end))"
 _HOLDS = "len(list_filter({0}, lambda p: contains(lower(message), p))) > 0"

@@ -42,18 +42,82 @@ PATTERNS = {
     "offer": r"\b(offer|discount|coupon|promo)",
 }
 LEXICON = {"sarcastic": ["wow great job", "yeah right"], "urgent": ["urgent", "immediately", "asap"], "negative": ["bad", "worst", "terrible", "refund"], "positive": ["love", "excellent", "perfect"]}
-#: The longer table, for shops' items and services.
+# Intents and their keywords in the order tried, first of FAQs, then of shops' items and services.
+INTENTS = {
+    "hours": ["open", "close", "timing", "time", "hour", "eppo", "neram", "worktime"],
+    "location": ["where", "address", "location", "evide", "evda", "sthalam", "map", "directions"],
+    "contact": ["contact", "phone", "call", "whatsapp", "email", "reach", "number"],
+    "payment": ["payment", "pay", "upi", "card", "cash", "gpay", "phonepay", "paytm"],
+    "delivery": ["delivery", "deliver", "shipping", "ship", "parcel", "reach"],
+    "returns": ["return", "exchange", "refund", "replace", "back", "cancel"],
+    "offer": ["offer", "discount", "deal", "sale", "coupon", "code", "promo"],
+    "services": ["service", "do you", "provide", "offer", "available"],
+    "complaint": ["complaint", "problem", "issue", "wrong", "bad", "worst", "damaged"],
+    "booking": ["book", "appointment", "slot", "schedule", "reserve", "session"],
+}
 ITEM_INTENTS = {
-    "hours": ["open", "close", "timing", "hour", "eppo"], "location": ["where", "address", "location", "evide"], "contact": ["contact", "phone", "call", "email"], "payment": ["payment", "pay", "upi", "card", "cash"], "delivery": ["delivery", "shipping", "parcel"],
-    "returns": ["return", "exchange", "refund", "cancel"], "offer": ["offer", "discount", "coupon"], "complaint": ["complaint", "problem", "damaged", "fraud"], "booking": ["book", "appointment", "slot", "reserve"], "services": ["service", "facial", "waxing", "haircut", "undo"],
-    "food": ["menu", "food", "dish", "biryani", "chicken"], "items": ["product", "item", "brand", "stock", "available"], "price": ["price", "cost", "rate", "how much", "ethra"],
+    "hours": ["open", "close", "timing", "time", "hour", "eppo", "neram"],
+    "location": ["where", "address", "location", "evide", "evda", "sthalam", "map"],
+    "contact": ["contact", "phone", "call", "whatsapp", "email", "reach", "number"],
+    "payment": ["payment", "pay", "upi", "card", "cash", "gpay", "phonepay"],
+    "delivery": ["delivery", "deliver", "shipping", "ship", "parcel"],
+    "returns": ["return", "exchange", "refund", "replace", "back", "cancel"],
+    "offer": ["offer", "discount", "deal", "sale", "coupon", "code", "promo"],
+    "complaint": ["complaint", "compliant", "complaining", "complient", "problem", "issue", "bad", "worst", "damaged", "not happy", "not satisfied", "mosham", "fraud", "cheating"],
+    "booking": ["book", "appointment", "slot", "schedule", "reserve", "session"],
+    "services": [
+        "service", "facial", "cleanup", "bleach", "wax", "waxing", "threading", "manicure", "pedicure", "massage", "haircut", "trim", "highlights", "color", "colour", "straightening", "rebonding", "keratin", "bridal", "makeup", "eyebrow",
+        "undo", "und", "undu", "indo", "kittumo", "ethoke",
+    ],
+    "food": ["menu", "food", "dish", "dishes", "biriyani", "biryani", "chicken", "mutton", "fish", "prawn", "seafood", "veg", "items", "undo", "und"],
+    "items": ["product", "item", "brand", "stock", "available", "price", "vila"],
+    "price": ["price", "cost", "rate", "charge", "fee", "how much", "ethra", "vila"],
+}
+# Words that keep a thank-you from being one, whole and as parts of words.
+NOT_A_COMPLIMENT = [
+    "help", "location", "where", "need", "want", "shop", "store", "address", "delivery", "order", "return", "refund", "payment", "price", "offer", "problem", "issue", "complaint", "how", "what", "when", "policy", "rule", "number", "contact", "phone", "whatsapp",
+    "paripadi", "niyamam", "niyamangal", "evide", "evideya", "evideanu", "enthu", "entha", "nthanu", "ntha", "eppo", "eppozha", "ethra", "ethranu", "engane", "ingane", "ngane", "sugamano", "sugam", "sugamalle", "kittumano", "tharamo", "undaakumo", "cheyyano", "pattumo",
+    "undo", "undu", "sthalam", "naadu", "eevide", "evideyaanu", "kaanan", "kanan", "illalo", "illa", "open", "close", "holiday", "time", "neram", "bro", "da", "di", "mol", "mon",
+]
+NOR_WITHIN = ["paripadi", "niyamam", "evideya", "engane", "ingane", "sugamano", "kittumano", "pattumo", "cheyyano"]
+# The words of a topic that a shop can block.
+BLOCK_WORDS = {
+    "returns": ["return", "exchange", "replace", "paripadi", "return cheyyano"],
+    "delivery": ["delivery", "shipping", "deliver", "parcel", "shipment"],
+    "tracking": ["track", "tracking", "order status", "where is my order"],
+    "size": ["size", "sizing", "size chart", "fit", "measurements"],
+    "cod": ["cod", "cash on delivery"],
+    "order_cancel": ["cancel order", "order cancel"],
+    "shipping": ["shipping", "ship", "courier"],
+    "free_delivery": ["free delivery", "free shipping", "delivery free"],
+    "product_quality": ["fabric", "stitching", "material", "cloth", "torn", "damaged cloth"],
+    "clothing": ["dress", "shirt", "kurta", "saree", "t-shirt", "jeans", "pants"],
+    "fashion": ["fashion", "trend", "style", "outfit", "collection"],
+    "review": ["review", "rating", "feedback", "write review"],
+}
+# Words that are foreign to a type of shop.
+OFF_DOMAIN = {
+    "clothing": [
+        "chicken", "mutton", "beef", "fish", "prawn", "biriyani", "biryani", "dosa", "idli", "vada", "appam", "rice", "food", "dish", "dishes", "restaurant", "menu", "breakfast", "lunch", "dinner", "meal", "snack",
+        "recipe", "cook", "hotel", "cafe", "medical", "doctor", "dental", "medicine", "tablet", "treatment", "hospital", "clinic",
+    ],
+    "spice": [
+        "chicken", "mutton", "beef", "fish", "dosa", "idli", "restaurant", "menu", "breakfast", "lunch", "dinner", "hotel", "cafe", "medical", "doctor", "dental", "medicine", "tablet", "treatment", "hospital", "clinic", "consultation",
+        "patient", "prescription", "diagnosis", "clothing", "dress", "shirt",
+    ],
+    "beauty_parlour": ["food", "dish", "chicken", "restaurant", "biriyani", "biryani", "medical", "doctor", "medicine", "tablet", "hospital", "clothing", "shipment"],
+    "dental_clinic": ["food", "dish", "chicken", "restaurant", "menu", "recipe", "clothing", "dress", "shirt", "fashion", "delivery", "return", "order", "shipment", "tracking"],
+    "jewellery": ["chicken", "food", "dish", "restaurant", "menu", "medical", "doctor", "medicine", "tablet", "hospital", "clothing", "dress", "shirt"],
+    "gym": ["food", "dish", "chicken", "restaurant", "menu", "medical", "doctor", "dental", "medicine", "clothing", "dress", "jewellery", "gold"],
+    "pharmacy": ["chicken", "food", "dish", "restaurant", "menu", "recipe", "clothing", "dress", "shirt", "fashion", "jewellery", "gold"],
+    "restaurant": [
+        "clothing", "fashion", "dress", "shirt", "jewellery", "gold", "medical", "doctor", "dental", "medicine", "tablet", "hospital", "clinic", "consultation", "patient", "prescription", "diagnosis",
+        "return", "refund", "shipment", "tracking",
+    ],
+    "bakery": ["clothing", "fashion", "dress", "jewellery", "gold", "medical", "doctor", "dental", "medicine", "clinic", "consultation", "patient", "prescription", "tracking", "shipment"],
+    "electronics": ["chicken", "food", "dish", "restaurant", "menu", "clothing", "dress", "jewellery", "gold", "medical", "doctor", "dental"],
 }
-#: Words that keep a thank-you from being one, and the words of a topic that a shop can block.
-NOT_A_COMPLIMENT = ["help", "location", "where", "need", "want", "order", "return", "refund", "price", "offer", "problem", "complaint", "how", "what", "when", "undo", "evide", "ethra"]
-BLOCK_WORDS = {"returns": ["return", "exchange", "replace"], "delivery": ["delivery", "shipping", "parcel"], "tracking": ["track", "order status"], "size": ["size", "measurements"], "cod": ["cod", "cash on delivery"], "review": ["review", "rating", "feedback"]}
-OFF_DOMAIN = {"clothing": ["chicken", "dosa", "doctor", "medicine"], "beauty_parlour": ["food", "chicken", "biryani"], "restaurant": ["saree", "facial", "tablet"]}
 URGENT_TOPICS = ["fraud", "refund", "complaint", "wrong_product", "damaged"]
-INTENTS = {"greeting": ["hello"], "price": ["price", "cost", "how much"], "delivery": ["deliver", "shipping"], "return": ["return", "exchange"], "payment": ["pay", "upi", "card"], "hours": ["open", "close", "timing"], "location": ["where", "address"], "offer": ["offer", "discount"], "complaint": ["complaint", "damaged"], "product": ["have", "available"]}
 
 
 def is_manglish(c: Column, signals: list[str], particles: list[str], switch: list[str]) -> Column:
@@ -121,10 +185,10 @@ def is_garbage(c: Column) -> Column:
     return F.size(F.filter(F.split(clean, r"\s+"), lambda w: F.length(w) >= 2)) == 0
 
 
-def is_compliment(c: Column, pattern: str, barred: list[str] = NOT_A_COMPLIMENT, most: int = 6) -> Column:
-    """The pattern in at most ``most`` words, none of them barred, and no question."""
+def is_compliment(c: Column, pattern: str, barred: list[str] = NOT_A_COMPLIMENT, most: int = 6, within: list[str] = NOR_WITHIN) -> Column:
+    """The pattern in at most ``most`` words, none of them barred, nor one of ``within`` inside a word, and no question."""
     w = x.split_words(F.lower(c))
-    return F.lower(c).rlike(pattern) & (F.size(w) <= most) & ~F.arrays_overlap(w, x.lit_array(barred)) & ~F.rtrim(c).endswith("?")
+    return F.lower(c).rlike(pattern) & (F.size(w) <= most) & ~F.arrays_overlap(w, x.lit_array(barred)) & ~x.any_of(c, within) & ~F.rtrim(c, F.lit("!., ")).endswith("?")
 
 
 def keywords_of(topics: Column, table: dict[str, list[str]]) -> Column:
