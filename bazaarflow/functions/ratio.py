@@ -23,6 +23,25 @@ def common_subsequence(a: str, b: str) -> int:
     return len(a) - row.bit_count()
 
 
+def subsequence_of_at_least(a: str, b: str, need: float, step: int = 24) -> int:
+    """``common_subsequence``, or -1 as soon as what is left of ``b`` cannot bring it to ``need``."""
+    if min(len(a), len(b)) < need:
+        return -1
+    where: dict[str, int] = {}
+    for i, c in enumerate(a):
+        where[c] = where.get(c, 0) | 1 << i
+    full = (1 << len(a)) - 1
+    row = full
+    for at in range(0, len(b), step):
+        if len(a) - row.bit_count() + len(b) - at < need:
+            return -1
+        for c in b[at : at + step]:
+            if hit := row & where.get(c, 0):
+                row = (row + hit | row - hit) & full
+    found = len(a) - row.bit_count()
+    return found if found >= need else -1
+
+
 def indel(a: str, b: str) -> float:
     """100 * 2 * common subsequence / total length; 100 for two empty texts."""
     return 200.0 * common_subsequence(a, b) / (len(a) + len(b)) if a or b else 100.0
@@ -83,10 +102,15 @@ def best_token_set(asked: list[str], texts: list[str], least: float) -> list[tup
             if bound[i] < best - 1e-4:
                 break
             if score[i] < 100.0:
-                both = " ".join(sorted(own & words[i]))
-                a, b = (f"{both} {' '.join(sorted(w))}".strip() for w in (own - words[i], words[i] - own))
-                score[i] = max(score[i], indel(a, b))
-                best = max(best, score[i])
+                # both begin with the common words, so only the rest is aligned
+                shared = own & words[i]
+                begun = sum(map(len, shared)) + len(shared)
+                a, b = " ".join(sorted(own - shared)), " ".join(sorted(words[i] - shared))
+                total = 2 * begun + len(a) + len(b)
+                found = subsequence_of_at_least(a, b, (best - 1e-4) * total / 200.0 - begun)
+                if found >= 0:
+                    score[i] = max(score[i], 200.0 * (begun + found) / total)
+                    best = max(best, score[i])
         score = np.floor(score * 1e4 + 0.5) / 1e4
         i = int(score.argmax())
         out.append((i, float(score[i])) if score[i] >= least else (-1, 0.0))

@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as x
+from ..plans import scratch
 from ..plans import tables as t
-from ..plans.sizing import sized
 
 #: Points of a query token: a word of the name, the beginning of one, the same for words of many names, category, description.
 EXACT, PREFIX, GENERIC_EXACT, GENERIC_PREFIX, CATEGORY, DESCRIPTION = 3.0, 1.0, 0.4, 0.2, 0.4, 0.3
@@ -50,14 +50,14 @@ def texts(messages: DataFrame) -> DataFrame:
     return messages.where(F.col("message").isNotNull()).select("slug", "message").distinct()
 
 
-def kinds(items: DataFrame) -> DataFrame:
-    """Items of a shop that look alike, as their first one (``kind``)."""
-    return items.groupBy("slug", "name", "category", "description").agg(F.min("item_pos").alias("kind"))
+def classes(items: DataFrame) -> DataFrame:
+    """Names with a category of a shop, each known by its first item (``kind``)."""
+    return items.groupBy("slug", "name", "category").agg(F.min("item_pos").alias("kind"))
 
 
-def members(items: DataFrame, shown: int) -> DataFrame:
-    """The first items of each kind."""
-    w = Window.partitionBy("slug", "name", "category", "description")
+def members(items: DataFrame, shown: int, keys: tuple = ("slug", "name", "category")) -> DataFrame:
+    """The first items of each class, or of each of what ``keys`` tell apart: (slug, kind, item_pos)."""
+    w = Window.partitionBy(*keys)
     return items.withColumn("kind", F.min("item_pos").over(w)).withColumn("_r", F.row_number().over(w.orderBy("item_pos"))).where(F.col("_r") <= shown).select("slug", "kind", "item_pos")
 
 
@@ -81,33 +81,71 @@ def phrase_kinds(asked: DataFrame, kinds_: DataFrame, least: int = PHRASE) -> Da
     return found.join(phrases.select("slug", "phrase", "kind").distinct(), ["slug", "phrase"]).select("slug", "message", "kind").distinct()
 
 
-def token_index(kinds_: DataFrame) -> DataFrame:
-    """(slug, token, kind, exact, prefix, in_category, in_description) of all tokens that can earn points."""
-    name, category = x.split_words(F.lower("name")), x.split_words(F.coalesce(F.lower("category"), F.lit("")))
-    row = lambda t, *flags: F.struct(t.alias("token"), *[F.lit(f).alias(c) for f, c in zip(flags, ("exact", "prefix", "in_category", "in_description"))])
-    prefixes = F.flatten(F.transform(name, lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.length(w), F.lit(1))), lambda i: F.substring(w, F.lit(1), i))))
-    every = F.concat(
-        F.transform(_with_stems(name), lambda t: row(t, True, False, False, False)), F.transform(F.array_distinct(prefixes), lambda t: row(t, False, True, False, False)),
-        F.transform(_with_stems(category), lambda t: row(t, False, False, True, False)), F.transform(F.transform(x.words(F.coalesce("description", F.lit(""))), x.stem), lambda t: row(t, False, False, False, True)),
-    )
-    rows = kinds_.select("slug", "kind", F.explode(every).alias("e")).select("slug", "kind", "e.*").where("token <> ''")
-    return rows.groupBy("slug", "token", "kind").agg(*[F.bool_or(c).alias(c) for c in ("exact", "prefix", "in_category", "in_description")])
-
-
-def kind_scores(asked: DataFrame, kinds_: DataFrame, generic: DataFrame | None, stop: list[str] = ASK_STOP, least: float = LEAST) -> DataFrame:
-    """Token scores (slug, message, kind, score) from ``least`` on; ``generic``: (slug, word) in many names, which count less beside other tokens."""
+def _asked_tokens(asked: DataFrame, generic: DataFrame | None, stop: list[str]) -> DataFrame:
+    """(slug, message, n, token, generic) of each text; a word of many names is generic beside other tokens."""
     q = asked.withColumn("tokens", query_tokens(F.col("message"), stop)).select("slug", "message", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
     if generic is None:
-        q = q.withColumn("generic", F.lit(False))
-    else:
-        common = generic.select("slug", F.col("word").alias("token"), F.lit(True).alias("_g"))
-        q = q.join(sized(common), ["slug", "token"], "left").withColumn("generic", F.coalesce("_g", F.lit(False)) & (F.col("n") > 1)).drop("_g")
-    hit = q.join(token_index(kinds_), ["slug", "token"])
+        return q.withColumn("generic", F.lit(False))
+    common = generic.select("slug", F.col("word").alias("token"), F.lit(True).alias("_g"))
+    return q.join(common, ["slug", "token"], "left").withColumn("generic", F.coalesce("_g", F.lit(False)) & (F.col("n") > 1)).drop("_g")
+
+
+def name_matches(tokens: DataFrame, known: DataFrame) -> DataFrame:
+    """How tokens (slug, token) meet classes: (slug, token, kind, exact, prefix, in_category).
+
+    Prefixes are looked up among a shop's distinct name words, so a token of one letter meets each word once and not each
+    item, and only words that were found lead on to classes.
+    """
+    words = known.select("slug", "kind", F.explode(F.array_distinct(x.split_words(F.lower("name")))).alias("word"))
+    every = words.select("slug", "word").distinct()
+    prefixes = every.select("slug", "word", F.explode(F.expr("transform(sequence(1, length(word)), i -> substring(word, 1, i))")).alias("token"), F.lit(False).alias("exact"))
+    whole = every.select("slug", "word", F.explode(F.array_distinct(F.array("word", x.stem(F.col("word"))))).alias("token"), F.lit(True).alias("exact"))
+    found = tokens.join(prefixes.unionByName(whole), ["slug", "token"]).groupBy("slug", "token", "word").agg(F.bool_or("exact").alias("exact"))
+    named = found.join(words, ["slug", "word"]).select("slug", "token", "kind", "exact", F.lit(True).alias("prefix"), F.lit(False).alias("in_category"))
+    sections = known.select("slug", "category").distinct()
+    filed = sections.select("slug", "category", F.explode(_with_stems(x.split_words(F.coalesce(F.lower("category"), F.lit(""))))).alias("token")).where("token <> ''")
+    filed = tokens.join(filed, ["slug", "token"]).join(known.select("slug", "category", "kind"), ["slug", "category"]).select("slug", "token", "kind", F.lit(False).alias("exact"), F.lit(False).alias("prefix"), F.lit(True).alias("in_category"))
+    return named.unionByName(filed).groupBy("slug", "token", "kind").agg(*[F.bool_or(c).alias(c) for c in ("exact", "prefix", "in_category")])
+
+
+def class_scores(q: DataFrame, known: DataFrame) -> DataFrame:
+    """Points of name and category (slug, message, kind, s) of tokens (as ``_asked_tokens`` gives them)."""
+    hit = q.join(name_matches(q.select("slug", "token").distinct(), known), ["slug", "token"])
     name = F.when(F.col("exact"), F.when(F.col("generic"), GENERIC_EXACT).otherwise(EXACT)).when(F.col("prefix"), F.when(F.col("generic"), GENERIC_PREFIX).otherwise(PREFIX)).otherwise(0.0)
-    points = name + F.when(F.col("in_category"), CATEGORY).otherwise(0.0) + F.when(F.col("in_description"), DESCRIPTION).otherwise(0.0)
-    out = hit.groupBy("slug", "message", "kind").agg(F.sum(points).alias("s"), F.count_if("in_category").alias("c"), F.max("n").alias("n"))
-    score = F.round(F.col("s") + F.when(F.col("c") == F.col("n"), WHOLE_CATEGORY).otherwise(0.0), 4)
-    return out.select("slug", "message", "kind", score.alias("score")).where(F.col("score") >= least)
+    out = hit.groupBy("slug", "message", "kind").agg(F.sum(name + F.when(F.col("in_category"), CATEGORY).otherwise(0.0)).alias("s"), F.count_if("in_category").alias("c"), F.max("n").alias("n"))
+    return out.select("slug", "message", "kind", (F.col("s") + F.when(F.col("c") == F.col("n"), WHOLE_CATEGORY).otherwise(0.0)).alias("s"))
+
+
+def scored_items(asked: DataFrame, items: DataFrame, generic: DataFrame | None, stop: list[str] = ASK_STOP, least: float = LEAST, shown: int = SHOWN) -> DataFrame:
+    """The best items of each text by token score, ``shown`` at most, the earlier on ties: (slug, message, item_pos, score).
+
+    ``generic``: (slug, word) in many names, which count less beside other tokens. Name and category are scored once for the
+    items that share them. A description adds points only to items that hold a token in it, which are found by that token. Of
+    the others the best come from the first ``shown`` classes by score, then first item, each with its first items: any
+    other item has ``shown`` before it.
+    """
+    q = scratch.table(_asked_tokens(asked, generic, stop), "item-tokens")
+    scores = scratch.table(class_scores(q, scratch.table(classes(items), "item-classes")), "item-scores")
+    w = Window.partitionBy("slug", "message")
+    best = scores.withColumn("score", F.round("s", 4)).where(F.col("score") >= least).withColumn("_k", F.row_number().over(w.orderBy(F.desc("score"), "kind"))).where(F.col("_k") <= shown)
+    plain = best.join(members(items, shown), ["slug", "kind"]).select("slug", "message", "item_pos", "score")
+    alike = ("slug", "name", "category", "description")
+    told = items.groupBy(*alike).agg(F.min("item_pos").alias("like")).withColumn("kind", F.min("like").over(Window.partitionBy("slug", "name", "category")))
+    held = told.select("slug", "kind", "like", F.explode(F.array_distinct(F.transform(x.words(F.coalesce("description", F.lit(""))), x.stem))).alias("token"))
+    added = q.select("slug", "message", "token").join(held, ["slug", "token"]).groupBy("slug", "message", "kind", "like").agg((F.count(F.lit(1)) * DESCRIPTION).alias("d"))
+    more = added.join(scores, ["slug", "message", "kind"], "left").withColumn("score", F.round(F.coalesce("s", F.lit(0.0)) + F.col("d"), 4)).where(F.col("score") >= least)
+    more = more.withColumn("_k", F.row_number().over(w.orderBy(F.desc("score"), "like"))).where(F.col("_k") <= shown)
+    more = more.select("slug", "message", "like", "score").join(members(items, shown, alike).withColumnRenamed("kind", "like"), ["slug", "like"]).select("slug", "message", "item_pos", "score")
+    both = plain.unionByName(more).groupBy("slug", "message", "item_pos").agg(F.max("score").alias("score"))
+    return both.withColumn("_r", F.row_number().over(w.orderBy(F.desc("score"), "item_pos"))).where(F.col("_r") <= shown).drop("_r")
+
+
+def phrased_items(asked: DataFrame, items: DataFrame, shown: int = SHOWN) -> DataFrame:
+    """The first items, ``shown`` at most, of which a phrase occurs in the text: (slug, message, item_pos)."""
+    w = Window.partitionBy("slug", "message")
+    found = phrase_kinds(asked, classes(items)).withColumn("_k", F.row_number().over(w.orderBy("kind"))).where(F.col("_k") <= shown)
+    rows = found.join(members(items, shown), ["slug", "kind"]).select("slug", "message", "item_pos")
+    return rows.withColumn("_r", F.row_number().over(w.orderBy("item_pos"))).where(F.col("_r") <= shown).drop("_r")
 
 
 def matching_items(messages: DataFrame, items: DataFrame, generic: DataFrame | None, stop: list[str] = ASK_STOP, least: float = LEAST, shown: int = SHOWN, broad: Column | None = None) -> DataFrame:
@@ -117,14 +155,12 @@ def matching_items(messages: DataFrame, items: DataFrame, generic: DataFrame | N
     score comes first, and the earlier item on ties. Messages for which ``broad`` holds match nothing.
     """
     asked = texts(messages if broad is None else messages.where(~F.coalesce(broad, F.lit(False))))
-    k = kinds(items)
-    phrased = phrase_kinds(asked, k).withColumn("score", F.lit(None).cast("double"))
+    asked = scratch.table(asked, "item-texts")
+    phrased = scratch.table(phrased_items(asked, items, shown).withColumn("score", F.lit(None).cast("double")), "item-phrases")
     rest = asked.join(phrased.select("slug", "message").distinct(), ["slug", "message"], "left_anti")
-    w = Window.partitionBy("slug", "message")
-    order = [F.desc_nulls_first("score")]
-    found = phrased.unionByName(kind_scores(rest, k, generic, stop, least)).withColumn("_k", F.row_number().over(w.orderBy(*order, "kind"))).where(F.col("_k") <= shown).drop("_k")
-    best = found.join(members(items, shown), ["slug", "kind"]).withColumn("rank", F.row_number().over(w.orderBy(*order, "item_pos"))).where(F.col("rank") <= shown)
-    return messages.select("msg_id", "slug", "message").join(best.drop("kind"), ["slug", "message"]).select("msg_id", "item_pos", "score", "rank")
+    w = Window.partitionBy("slug", "message").orderBy(F.desc_nulls_first("score"), "item_pos")
+    best = phrased.unionByName(scored_items(rest, items, generic, stop, least, shown)).withColumn("rank", F.row_number().over(w))
+    return messages.select("msg_id", "slug", "message").join(best, ["slug", "message"]).select("msg_id", "item_pos", "score", "rank")
 
 
 def list_keyword(messages: DataFrame, items: DataFrame) -> DataFrame:
@@ -143,7 +179,7 @@ def list_keyword(messages: DataFrame, items: DataFrame) -> DataFrame:
     forms = F.flatten(F.transform(asked, lambda v: F.when(v.endswith("s"), F.array(v, F.substring(v, F.lit(1), F.length(v) - 1))).otherwise(F.array(v))))
     wide = rows.where("breadth").select("msg_id", "slug", F.posexplode(forms).alias("at", "keyword"))
     names = items.select("slug", F.explode(F.filter(x.words(F.col("name")), lambda v: F.length(v) > 2)).alias("keyword")).distinct()
-    first = wide.join(sized(names), ["slug", "keyword"]).groupBy("msg_id", "slug").agg(F.min_by("keyword", "at").alias("keyword"))
+    first = wide.join(names, ["slug", "keyword"]).groupBy("msg_id", "slug").agg(F.min_by("keyword", "at").alias("keyword"))
     return bare.unionByName(first)
 
 
@@ -192,18 +228,19 @@ def item_answers(messages: DataFrame, items: DataFrame, generic: DataFrame | Non
     A whole category is listed first. A question whether something is included answers with the descriptions of the first
     five items, if any has one. Else the items are listed under the noun that the message is about.
     """
-    lists = category_lists(messages, items)
+    lists = scratch.table(category_lists(messages, items), "item-lists")
     rest = messages.where(F.lower("message").rlike(INCLUSION)).unionByName(messages.where(~F.lower("message").rlike(INCLUSION)).join(lists.select("msg_id"), "msg_id", "left_anti"))
     found = matching_items(rest, items, generic, broad=broad).join(items.select("item_pos", "name", "category", "price", "description"), "item_pos")
     body = F.when((F.col("rank") <= 5) & (F.coalesce("description", F.lit("")) != ""), F.concat_ws(": ", "name", "description"))
     per = found.groupBy("msg_id").agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list(F.struct("rank", item_line().alias("line"), F.lower("name").alias("name"), body.alias("body")))).alias("r"))
-    rows = rest.select("msg_id", "message", "lang").join(per, "msg_id")
+    rows = scratch.table(rest.select("msg_id", "message", "lang").join(per, "msg_id"), "item-found")
     names, bodies = F.transform("r", lambda v: v["name"]), F.filter(F.transform("r", lambda v: v["body"]), lambda v: v.isNotNull())
     out = rows.withColumn("noun", subject_noun(F.col("message"), names)).withColumn("bodies", F.array_join(bodies, " | ")).withColumn("lines", F.array_join(F.transform("r", lambda v: v["line"]), "\n"))
     pick = lambda k: F.when(F.col("lang") == "manglish", templates["manglish"][k]).otherwise(templates["english"][k])
     head = F.when(F.col("noun") != "", F.replace(pick(0), F.lit("{noun}"), F.col("noun"))).otherwise(pick(1))
     listed = F.concat_ws("\n", head, "lines", pick(2))
     single = out.select("msg_id", "n", F.when(F.lower("message").rlike(INCLUSION) & (F.col("bodies") != ""), F.replace(pick(3), F.lit("{body}"), F.col("bodies"))).otherwise(listed).alias("reply"), (F.lower("message").rlike(INCLUSION) & (F.col("bodies") != "")).alias("_inc"))
+    single = scratch.table(single, "item-answers")
     whole = lists.join(messages.select("msg_id", "lang"), "msg_id").join(single.where("_inc").select("msg_id"), "msg_id", "left_anti")
     whole = whole.select("msg_id", "n", F.concat_ws("\n", F.replace(pick(0), F.lit("{noun}"), F.col("keyword")), "reply", pick(2)).alias("reply"))
     return single.join(whole.select("msg_id"), "msg_id", "left_anti").drop("_inc").unionByName(whole)
@@ -217,17 +254,12 @@ def _generic(items: DataFrame) -> DataFrame:
 
 def _scores(s, d):
     i, m = t.described(s, d), t.asks(s, d)
-    found = kind_scores(texts(m), kinds(i), _generic(i))
-    w = Window.partitionBy("slug", "message").orderBy(F.desc("score"), "item_pos")
-    best = found.join(members(i, SHOWN), ["slug", "kind"]).withColumn("r", F.row_number().over(w)).where(F.col("r") <= SHOWN)
-    return m.join(best, ["slug", "message"]).select("msg_id", "item_pos", "score")
+    return m.join(scored_items(texts(m), i, _generic(i)), ["slug", "message"]).select("msg_id", "item_pos", "score")
 
 
 def _phrases(s, d):
     i, m = t.described(s, d), t.asks(s, d)
-    found = phrase_kinds(texts(m), kinds(i)).join(members(i, SHOWN), ["slug", "kind"])
-    best = found.withColumn("r", F.row_number().over(Window.partitionBy("slug", "message").orderBy("item_pos"))).where(F.col("r") <= SHOWN)
-    return m.join(best, ["slug", "message"]).select("msg_id", "item_pos")
+    return m.join(phrased_items(texts(m), i), ["slug", "message"]).select("msg_id", "item_pos")
 
 
 def _top(s, d):

@@ -42,7 +42,7 @@ def phrasings(faqs: DataFrame) -> DataFrame:
 
 def _prefixes(rows: DataFrame, order: DataFrame, keys: list[str], least: float, kept: str) -> DataFrame:
     """Rows with their token set ``w``, one row for each of the rarest tokens in which a partner of F1 ``least`` must show up."""
-    tokens = rows.select("slug", *keys, "w", F.explode("w").alias("token")).join(sized(order), ["slug", "token"], "left")
+    tokens = rows.select("slug", *keys, "w", F.explode("w").alias("token")).join(order, ["slug", "token"], "left")
     ranked = tokens.groupBy("slug", *keys).agg(F.any_value("w").alias(kept), F.sort_array(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "token"))).alias("s"))
     length = F.size("s") - F.ceil(F.size("s") * F.lit(least / (2 - least)) - F.lit(1e-9)).cast("int") + 1
     return ranked.select("slug", *keys, kept, F.explode(F.slice("s", F.lit(1), length)).alias("p")).select("slug", *keys, kept, F.col("p.token").alias("token"))
@@ -56,7 +56,7 @@ def faq_f1(messages: DataFrame, faqs: DataFrame, least: float = F1_LEAST) -> Dat
     """
     asked = it.texts(messages).withColumn("w", F.array_distinct(x.words(F.col("message"))))
     known = phrasings(faqs).withColumn("w", F.array_distinct(x.words(F.col("phrase"))))
-    order = known.select("slug", F.explode("w").alias("token")).groupBy("slug", "token").agg(F.count(F.lit(1)).alias("df"))
+    order = sized(known.select("slug", F.explode("w").alias("token")).groupBy("slug", "token").agg(F.count(F.lit(1)).alias("df")))
     met = _prefixes(asked, order, ["message"], least, "a").join(_prefixes(known, order, ["faq_pos", "phrase_pos"], least, "b"), ["slug", "token"])
     met = met.where(F.size("b") >= F.size("a") * least / (2 - least) - 1e-9).dropDuplicates(["slug", "message", "faq_pos", "phrase_pos"])
     scored = met.select("slug", "message", "faq_pos", F.round(x.overlap_f1(F.col("a"), F.col("b")), 4).alias("score")).where(F.col("score") >= least)
@@ -71,18 +71,21 @@ def _parts(rows: DataFrame, key: str, out: str, block: int) -> DataFrame:
 
 def _dealt(rows: DataFrame, key: str, by: str, own: tuple[str, str], other: tuple[str, str], parts: DataFrame) -> DataFrame:
     """Rows in their own block, once for every block of the other side."""
-    out = rows.join(sized(parts), key).withColumn(own[0], F.pmod(F.xxhash64(by), F.col(own[1])))
+    out = rows.join(parts, key).withColumn(own[0], F.pmod(F.xxhash64(by), F.col(own[1])))
     return out.withColumn(other[0], F.explode(F.expr(f"sequence(0L, {other[1]} - 1)"))).drop(own[1], other[1])
 
 
-def faq_fuzzy(messages: DataFrame, faqs: DataFrame, least: float = FUZZY_LEAST, block: int = BLOCK) -> DataFrame:
+def faq_fuzzy(messages: DataFrame, faqs: DataFrame, least: float = FUZZY_LEAST, block: int = BLOCK, asked_block: int = 48) -> DataFrame:
     """Best FAQ of the shop by token set ratio over all phrasings, the earlier one on ties: (msg_id, faq_pos, score from 0 to 100).
 
     A ratio bounds no word that both sides share, so each distinct text is compared with all of its shop's phrasings, block
-    by block on both sides; lengths and letter counts rule most out, and only a text's best of a block leaves it.
+    by block on both sides; lengths and letter counts rule most out, an alignment ends once it cannot reach the best so far,
+    and only a text's best of a block leaves it. Grams of letters bound nothing here: two texts of n letters at a ratio of 70 may
+    share as few as n / 10 - 1 pairs of letters, which unlike texts of a language exceed.
     """
     asked, known = it.texts(messages), phrasings(faqs)
-    parts = _parts(asked, "slug", "m_parts", block).join(_parts(known, "slug", "f_parts", block), "slug")
+    parts = _parts(asked, "slug", "m_parts", min(block, asked_block)).join(_parts(known, "slug", "f_parts", block), "slug")
+    parts = sized(parts)
     m = _dealt(asked, "slug", "message", ("m_part", "m_parts"), ("f_part", "f_parts"), parts)
     f = _dealt(known, "slug", "phrase", ("f_part", "f_parts"), ("m_part", "m_parts"), parts)
 
@@ -104,7 +107,7 @@ def vector_top(queries: DataFrame, rows: DataFrame, key: str, n: int = 1, least:
     Both sides of a key are dealt to blocks of a counted size; a pair of blocks is one product, of which each query's top
     ``n`` leave, and the blocks' tops are merged. The smaller r comes first on ties, to four decimals.
     """
-    parts = _parts(queries, key, "q_parts", block).join(_parts(rows, key, "r_parts", block), key)
+    parts = sized(_parts(queries, key, "q_parts", block).join(_parts(rows, key, "r_parts", block), key))
     asked = _dealt(queries, key, "q", ("q_part", "q_parts"), ("r_part", "r_parts"), parts)
     known = _dealt(rows, key, "r", ("r_part", "r_parts"), ("q_part", "q_parts"), parts)
 
@@ -186,18 +189,38 @@ def faq_vector(messages: DataFrame, embedded: DataFrame, vocabulary: DataFrame |
     return won.select(F.col("q").alias("msg_id"), "faq_pos", "score")
 
 
-def chunks_for(questions: DataFrame, chunks: DataFrame, n: int = 5, stop: list[str] = STOP) -> DataFrame:
+def chunks_for(questions: DataFrame, chunks: DataFrame, n: int = 5, stop: list[str] = STOP, first_part: float = 0.4) -> DataFrame:
     """Top chunks (slug, chunk_pos, text) of the shop by shared words over the question's words: (msg_id, chunk_pos, score).
 
-    A question that is all stop words takes the shop's first chunks at 0.1.
+    A question that is all stop words takes the shop's first chunks at 0.1. Of a question's known words the rarest (``first_part``
+    of them) are looked up first: the n-th best count so far, t, bounds the n-th best from below, so all but t - 1 of the words
+    must be looked up for every chunk that can reach it to be met, and the commonest are never read. A chunk that, with
+    all words left, cannot reach the bound is dropped; the others are counted on their whole word sets.
     """
     tokens = lambda c: F.array_distinct(F.filter(x.words(F.col(c)), lambda w: ~F.array_contains(x.lit_array(stop), w)))
-    asked = it.texts(questions).withColumn("w", tokens("message"))
-    c = chunks.select("slug", "chunk_pos", F.explode(tokens("text")).alias("token"))
-    hit = asked.select("slug", "message", F.size("w").alias("size"), F.explode("w").alias("token")).join(c, ["slug", "token"]).groupBy("slug", "message", "chunk_pos", "size").agg(F.count(F.lit(1)).alias("both"))
-    scored = hit.select("slug", "message", "chunk_pos", F.round(F.col("both") / F.col("size"), 6).alias("score"))
+    asked = it.texts(questions).withColumn("w", tokens("message")).withColumn("key", F.md5(F.concat("slug", F.lit("\0"), "message").cast("binary")))
+    asked = scratch.table(asked, "chunk-questions")
+    held = scratch.table(chunks.select("slug", "chunk_pos", tokens("text").alias("b")), "chunk-words")
+    posts = held.select("slug", "chunk_pos", F.explode("b").alias("token"))
+    often = posts.groupBy("slug", "token").agg(F.count(F.lit(1)).alias("df"))
+    place = Window.partitionBy("key").orderBy("df", "token")
+    q = asked.select("slug", "key", F.explode("w").alias("token")).join(often, ["slug", "token"]).withColumns({"at": F.row_number().over(place), "known": F.count(F.lit(1)).over(Window.partitionBy("key"))})
+    q = scratch.table(q.select("slug", "key", "token", "at", "known"), "chunk-tokens")
+    counts = lambda rows: rows.join(posts, ["slug", "token"]).groupBy("key", "chunk_pos").agg(F.count(F.lit(1)).alias("c"))
+    nth = lambda rows: rows.groupBy("key").agg(F.sort_array(F.collect_list("c"), False).alias("cs"), F.count(F.lit(1)).alias("m")).select("key", F.when(F.col("m") >= n, F.element_at("cs", n)).otherwise(1).alias("t"))
+    top_n = lambda rows: rows.withColumn("_r", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("c")))).where(F.col("_r") <= n).drop("_r")
+    part = F.ceil(F.col("known") * F.lit(first_part))
+    early = scratch.table(counts(q.where(F.col("at") <= part)), "chunk-early")
+    bound = nth(top_n(early))
+    read = q.join(bound, "key", "left").withColumn("most", F.greatest(part, F.col("known") - F.coalesce("t", F.lit(1)) + 1))
+    late = counts(read.where((F.col("at") > part) & (F.col("at") <= F.col("most"))))
+    met = scratch.table(early.unionByName(late).groupBy("key", "chunk_pos").agg(F.sum("c").alias("c")), "chunk-met")
+    need = read.groupBy("key").agg(F.max("most").alias("most"), F.max("known").alias("known")).join(nth(top_n(met)), "key")
+    likely = met.join(need, "key").where(F.col("c") + F.col("known") - F.col("most") >= F.col("t")).select("key", "chunk_pos")
+    full = likely.join(asked, "key").join(held, ["slug", "chunk_pos"])
+    scored = full.select("slug", "message", "chunk_pos", F.round(F.size(F.array_intersect("w", "b")) / F.size("w"), 6).alias("score"))
     first = top(chunks.select("slug", "chunk_pos"), "slug", ["chunk_pos"], n)
-    bare = asked.where("size(w) = 0").join(sized(first), "slug").select("slug", "message", "chunk_pos", F.lit(0.1).alias("score"))
+    bare = asked.where("size(w) = 0").join(first, "slug").select("slug", "message", "chunk_pos", F.lit(0.1).alias("score"))
     w = Window.partitionBy("slug", "message").orderBy(F.desc("score"), "chunk_pos")
     best = scored.unionByName(bare).withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n).drop("_r")
     return questions.join(best, ["slug", "message"]).select("msg_id", "chunk_pos", "score")

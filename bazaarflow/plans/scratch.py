@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _local: dict[str, str] = {}
 
@@ -28,3 +29,10 @@ def table(df: DataFrame, label: str) -> DataFrame:
     path = f"{folder(df.sparkSession)}/{label}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def counted(df: DataFrame, label: str) -> tuple[DataFrame, int]:
+    """``table`` and its number of rows, counted as they are written."""
+    seen = Observation()
+    written = table(df.observe(seen, F.count(F.lit(1)).alias("n")), label)
+    return written, seen.get["n"]
