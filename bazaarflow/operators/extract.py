@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as x
 from ..functions.queries import prices_sql
+from ..plans import scratch
 from ..plans import tables as t
 from . import catalog
 from .catalog import META_TITLES, administrative, heading, junk_item, valid_item
@@ -91,8 +92,17 @@ def _table_rows(cells: DataFrame) -> DataFrame:
     return rows.withColumn("category", F.coalesce(F.last(title, True).over(Window.partitionBy("doc_id").orderBy("tbl", "row")), F.lit("General")))
 
 
+def laid_out(cells: DataFrame) -> DataFrame:
+    """Rows of tables with layout and headings as a table, to be given to ``table_items`` and ``table_facts`` in place of the cells."""
+    return scratch.table(_table_rows(cells), "table-rows")
+
+
+def _laid(cells: DataFrame) -> DataFrame:
+    return cells if "is_header" in cells.columns else _table_rows(cells)
+
+
 def _data_rows(cells: DataFrame) -> DataFrame:
-    rows = _table_rows(cells).where("n > 1 and not is_title and not is_header and not is_heading and length(name) >= 2")
+    rows = _laid(cells).where("n > 1 and not is_title and not is_header and not is_heading and length(name) >= 2")
     return rows.withColumn("is_fact", F.col("name").rlike(FACT_LABELS) | administrative(F.col("category")))
 
 
@@ -124,7 +134,7 @@ def table_items(cells: DataFrame) -> DataFrame:
 
 def table_facts(cells: DataFrame) -> DataFrame:
     """Facts (doc_id, tbl, row, label, detail): tables of one row, and rows that a label or an administrative section marks."""
-    single = _table_rows(cells).where("n = 1 and size(cells) >= 2").select("doc_id", "tbl", "row", F.trim(F.get("cells", F.lit(0))).alias("label"), F.try_element_at(_filled(F.expr("slice(cells, 2, size(cells))")), F.lit(1)).alias("detail")).where("length(label) between 1 and 60")
+    single = _laid(cells).where("n = 1 and size(cells) >= 2").select("doc_id", "tbl", "row", F.trim(F.get("cells", F.lit(0))).alias("label"), F.try_element_at(_filled(F.expr("slice(cells, 2, size(cells))")), F.lit(1)).alias("detail")).where("length(label) between 1 and 60")
     rows = _data_rows(cells).where("is_fact").select("doc_id", "tbl", "row", F.col("name").alias("label"), F.try_element_at(_filled(F.col("others")), F.lit(1)).alias("detail"))
     return single.unionByName(rows).where("detail is not null").withColumn("detail", F.trim("detail"))
 
@@ -161,26 +171,30 @@ def metadata(docs: DataFrame, cities: list[str] = CITIES, states: list[str] = ST
     Phones are ten digits from 6 on, with or without a country code, each once by its last ten. The address is the text after an
     address label up to a six-digit PIN, else what leads to the first PIN. A name is the first of eight lines with no link or number.
     """
-    # what is looked at more than once is a column of its own, so that it is found once
+    # what is looked at more than once is a column of its own, so that it is found once; a plain search for what a pattern
+    # cannot do without comes first, so most texts never meet the pattern
+    low = F.lower("text")
+    holds = lambda *words: F.exists(x.lit_array(words), lambda w: F.contains(F.col("_low"), w))
+    docs = docs.withColumns({"_low": low, "_clock": F.col("text").rlike(r"\d\s*[AaPp][Mm]"), "_pin": F.col("text").rlike(r"\b\d{6}\b")})
     docs = docs.withColumns({
-        "_raw": F.regexp_extract_all("text", F.lit(r"((?:\+91|\b0)?[\s-]?[6-9][\d\s-]{9,14})"), F.lit(1)), "_opens": F.regexp_extract_all("text", F.lit(HOURS), F.lit(1)), "_code": _found(f"(?i){OFFER}"), "_about": _found(f"(?i){OFFER}", 2),
-        "_flat": F.regexp_replace("text", "\n", " "), "_lines": F.slice(F.filter(F.transform(F.split("text", "\n"), lambda v: F.trim(v)), lambda v: v != ""), 1, 8),
+        "_raw": F.regexp_extract_all("text", F.lit(r"((?:\+91|\b0)?[\s-]?[6-9][\d\s-]{9,14})"), F.lit(1)), "_opens": F.when(F.col("_clock"), F.regexp_extract_all("text", F.lit(HOURS), F.lit(1))), "_code": F.when(holds("code", "coupon", "promo"), _found(f"(?i){OFFER}")), "_about": F.when(holds("code", "coupon", "promo"), _found(f"(?i){OFFER}", 2)),
+        "_flat": F.when(F.col("_pin"), F.translate("text", "\n", " ")), "_labelled": holds("address", "located at", "location"), "_lines": F.slice(F.filter(F.transform(F.split("text", "\n"), lambda v: F.trim(v)), lambda v: v != ""), 1, 8),
     })
     digits = F.filter(F.transform("_raw", lambda v: F.regexp_replace(v, r"\D", "")), lambda v: (F.length(v) >= 10) & F.right(v, F.lit(10)).rlike("^[6-9]"))
     phones = F.transform(F.array_distinct(F.transform(digits, lambda v: F.right(v, F.lit(10)))), lambda v: F.concat(F.lit("+91 "), F.left(v, F.lit(5)), F.lit(" "), F.right(v, F.lit(5))))
     closes = F.transform("_opens", lambda h: F.struct(h.alias("h"), F.call_function("regexp_extract", F.col("text"), F.concat(F.lit(r"(?i)\Q"), h, F.lit(rf"\E.*?({_CLOCK})")), F.lit(1)).alias("c")))
     closed = F.try_element_at(F.filter(closes, lambda v: (v["c"] != "") & ~F.contains(F.lower(v["h"]), F.lower(v["c"]))), F.lit(1))
-    hours = F.when(F.size("_opens") > 0, F.coalesce(F.concat(closed["h"], F.lit(" - "), closed["c"]), F.get("_opens", F.lit(0)))).otherwise(_found(rf"(?i)({_CLOCK}\s*[-–to]+\s*{_CLOCK})"))
+    hours = F.when(F.size("_opens") > 0, F.coalesce(F.concat(closed["h"], F.lit(" - "), closed["c"]), F.get("_opens", F.lit(0)))).otherwise(F.when(F.col("_clock"), _found(rf"(?i)({_CLOCK}\s*[-–to]+\s*{_CLOCK})")))
     # the pattern without a label is tried only in runs of its characters that hold a PIN
     runs = F.filter(F.regexp_extract_all("_flat", F.lit("([A-Za-z0-9 ,./#-]{17,})"), F.lit(1)), lambda r: r.rlike(r"\b\d{6}\b"))
     near = F.try_element_at(F.filter(F.transform(runs, lambda r: F.regexp_extract(r, PIN_ADDRESS, 1)), lambda r: r != ""), F.lit(1))
-    address = F.when(F.col("_flat").rlike(r"\b\d{6}\b"), F.coalesce(F.nullif(F.regexp_extract("_flat", ADDRESS, 1), F.lit("")), near))
+    address = F.when(F.col("_pin"), F.coalesce(F.when(F.col("_labelled"), F.nullif(F.regexp_extract("_flat", ADDRESS, 1), F.lit(""))), near))
     name = F.try_element_at(F.filter("_lines", lambda v: ~v.rlike(r"\d{7,}|@|www\.|http") & F.length(v).between(6, 59) & ~v.startswith("[")), F.lit(1))
     code, about = F.col("_code"), F.regexp_replace(F.coalesce("_about", F.lit("")), "[-–—: ]+$", "")
     coded = (F.upper(code) == code) | code.rlike(r"\d")
     rupees = lambda p: F.concat(F.lit("₹"), F.nullif(F.regexp_extract("text", p, 1), F.lit("")))
     return docs.select(
-        "doc_id", F.array_join(phones, ",").alias("phones"), _found(r"([a-zA-Z0-9_.+-]+@[a-zA-Z0-9-]+\.[a-zA-Z]{2,})").alias("email"), _found(r"((?:https?://|www\.)[\w.-]+\.[a-z]{2,})").alias("website"), hours.alias("hours"),
+        "doc_id", F.array_join(phones, ",").alias("phones"), F.when(F.contains("text", F.lit("@")), _found(r"([a-zA-Z0-9_.+-]+@[a-zA-Z0-9-]+\.[a-zA-Z]{2,})")).alias("email"), _found(r"((?:https?://|www\.)[\w.-]+\.[a-z]{2,})").alias("website"), hours.alias("hours"),
         F.concat(F.lit("Sunday: "), _found(r"(?i)Sunday[\s:]+(.{5,50}?(?:AM|PM)[^\n]*)")).alias("sunday"), F.regexp_replace(address, r"\s+", " ").alias("location"), _found(rf"\b({'|'.join(cities)})\b").alias("city"), _found(rf"\b({'|'.join(states)})\b").alias("state"),
         F.array_join(F.array_compact(F.array(*[F.when(F.col("text").rlike(f"(?i){p}"), F.lit(k)) for k, p in payments.items()])), ",").alias("payment"), F.when(coded, code).alias("offer_code"), F.when(coded, about).alias("offer_desc"), name.alias("shop_name"),
         rupees(r"(?i)Free\s+Delivery\s+Above\s+Rs\.?\s*([\d,]+)").alias("delivery_free"), rupees(r"(?i)Delivery\s+Charge\s+Below\s+Rs\.?\s*[\d,]+\s+Rs\.?\s*([\d,]+)").alias("delivery_charge"),
@@ -283,8 +297,8 @@ def _documents(s, d):
     return t.read(s, d, "documents").selectExpr("doc_id", f"{_BLOCK} as text")
 
 
-def _merged(s, d):
-    tables = table_items(_cells(s, d)).withColumn("pos", F.col("tbl") * 10_000 + F.col("row"))
+def _merged(s, d, rows=None):
+    tables = table_items(_cells(s, d) if rows is None else rows).withColumn("pos", F.col("tbl") * 10_000 + F.col("row"))
     lines = items_from_lines(_priced(s, d), "slug", ["item_pos"]).withColumnsRenamed({"slug": "doc_id", "item_pos": "pos"})
     return merged_items(tables, lines)
 
@@ -295,14 +309,16 @@ def _shop_docs(s, d):
 
 
 def gen_shop_info(s, d):
-    info = shop_info(metadata(_shop_docs(s, d)), _merged(s, d), table_facts(_cells(s, d)))
+    rows = laid_out(_cells(s, d))
+    info = shop_info(metadata(_shop_docs(s, d)), _merged(s, d, rows), table_facts(rows))
     return info.select(*[c for c in info.columns if c not in ("items", "facts")], F.size("items").alias("n_items"), F.size("facts").alias("n_facts"), F.array_join(F.transform("items", lambda v: v["name"]), "|").alias("names"), F.array_join(F.transform("facts", lambda v: v["detail"]), "|").alias("details"))
 
 
 def agg_extraction(s, d):
     """Extraction report of each document: pages, tables, rows, items by source, facts, and the fields still missing."""
     pages = t.read(s, d, "pages").selectExpr("concat('shop-', page_id % 50) as doc_id", "page_id div 50 as page", "html as text")
-    return extraction_report(metadata(_shop_docs(s, d)), _cells(s, d), _merged(s, d), table_facts(_cells(s, d)), pages)
+    rows = laid_out(_cells(s, d))
+    return extraction_report(metadata(_shop_docs(s, d)), rows, _merged(s, d, rows), table_facts(rows), pages)
 
 
 def extraction_report(meta: DataFrame, cells: DataFrame, items: DataFrame, facts: DataFrame, pages: DataFrame, required: tuple = ("phones", "email", "hours", "location", "city", "payment", "offer_code")) -> DataFrame:
@@ -321,9 +337,11 @@ def extraction_report(meta: DataFrame, cells: DataFrame, items: DataFrame, facts
 
 
 def _chunk_sources(s, d):
-    items = table_items(_cells(s, d)).withColumn("pos", F.col("tbl") * 10_000 + F.col("row"))
+    rows = laid_out(_cells(s, d))
+    items = table_items(rows).withColumn("pos", F.col("tbl") * 10_000 + F.col("row"))
     shop = _documents(s, d).selectExpr("concat('doc-', doc_id) as doc_id", "text")
-    return chunks(shop, items, _cells(s, d), table_facts(_cells(s, d)), metadata(_documents(s, d)).withColumn("doc_id", F.concat(F.lit("doc-"), "doc_id")))
+    config = metadata(shop).select("doc_id", "offer_code", "offer_desc", "delivery_areas", "delivery_free")
+    return chunks(shop, items, rows.select("doc_id", "tbl", "row", "cells"), table_facts(rows), scratch.table(config, "chunk-config"))
 
 
 QUERIES = {
