@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import ratio
 from ..functions import text as x
 from ..plans import tables as t
-from ..plans import scratch
+from ..plans import scratch, vectors
 from ..plans.sizing import sized
 from . import items as it
 
@@ -107,6 +107,8 @@ def vector_top(queries: DataFrame, rows: DataFrame, key: str, n: int = 1, least:
     Both sides of a key are dealt to blocks of a counted size; a pair of blocks is one product, of which each query's top
     ``n`` leave, and the blocks' tops are merged. The smaller r comes first on ties, to four decimals.
     """
+    # columns of their own, as both sides may come from one table
+    queries, rows = queries.select("q", F.concat(F.col(key)).alias(key), "qv"), rows.select("r", F.concat(F.col(key)).alias(key), "rv")
     parts = sized(_parts(queries, key, "q_parts", block).join(_parts(rows, key, "r_parts", block), key))
     asked = _dealt(queries, key, "q", ("q_part", "q_parts"), ("r_part", "r_parts"), parts)
     known = _dealt(rows, key, "r", ("r_part", "r_parts"), ("q_part", "q_parts"), parts)
@@ -308,6 +310,27 @@ def match_cascade(messages: DataFrame, items: DataFrame, generic: DataFrame | No
     return out
 
 
+def answered(routed: DataFrame, cascade: dict, texts: DataFrame) -> DataFrame:
+    """Routed messages of which those that no guard caught are answered by the cascade, as far as the answers pass their gate.
+
+    ``routed`` as ``route_messages`` gives it, without matches; ``cascade``: the arguments of ``match_cascade``, whose messages take
+    their language in force from ``routed``; ``texts`` (pool, faq_pos, faq_text, answer, escalate) of the FAQs, pool ``shop`` or
+    ``generic``. What the gate rejects stays with chunks or a free reply. Adds pass_no and reply (null where a model is to write it).
+    """
+    rows = scratch.table(routed, "routed")
+    asked = scratch.table(cascade["messages"].drop("lang").join(rows.where("route in ('chunk', 'free')").select("msg_id", "lang"), "msg_id"), "open-messages")
+    hits = match_cascade(**(cascade | {"messages": asked}))
+    hits = hits.withColumn("pool", F.when(F.col("pass_no") == 2, "shop").when(F.col("pass_no") >= 5, "generic")).join(texts, ["pool", "faq_pos"], "left").join(asked.select("msg_id", "message", "lang"), "msg_id")
+    kept = hits.where(passes_gate(F.col("score"), F.col("source"), F.col("lang"), F.col("message"), F.col("faq_text")))
+    kept = kept.select("msg_id", F.struct(
+        "pass_no", F.lit("match").alias("route"), F.lit("faq").alias("source"), F.col("source").alias("faq_source"), F.coalesce(F.concat(F.lit("faq_"), "faq_pos"), "source").alias("faq_id"), F.col("score").alias("faq_score"),
+        F.coalesce("escalate", F.lit(False)).alias("escalate"), F.coalesce("reply", "answer").alias("reply"),
+    ).alias("_h"))
+    out = rows.join(kept, "msg_id", "left").withColumns({"pass_no": F.col("_h.pass_no"), "reply": F.col("_h.reply")})
+    names = ["route", "source", "faq_source", "faq_id", "faq_score", "escalate"]
+    return out.withColumns({c: F.when(F.col("_h").isNotNull(), F.col(f"_h.{c}")).otherwise(F.col(c)) for c in names}).drop("_h")
+
+
 def llm_requests(open_rows: DataFrame, context: DataFrame, temperature: float = 0.3, tokens: int = 200) -> DataFrame:
     """Requests for a model (msg_id, kind, prompt, temperature, max_tokens) of routed messages (msg_id, message, lang, route, answer, answer_lang).
 
@@ -411,6 +434,52 @@ def cascade_inputs(s, d) -> dict:
     return {"messages": m, "items": described, "generic": it._generic(described), "embedded": embedded, "vocabulary": vocabulary(described, STOP), "pool": pool, "intents": ["delivery", "returns"]}
 
 
+def cascade_texts(s, d) -> DataFrame:
+    """Texts of the shops' FAQs and of the generic pool."""
+    shop = t.phrased(s, d).select(F.lit("shop").alias("pool"), "faq_pos", F.concat_ws(" ", "q", "a").alias("faq_text"), F.col("a").alias("answer"), (F.col("faq_pos") % 9 == 0).alias("escalate"))
+    pool = t.read(s, d, "benchmark").select(F.lit("generic").alias("pool"), F.col("item_id").cast("bigint").alias("faq_pos"), F.col("text").alias("faq_text"), F.col("text").alias("answer"), F.lit(False).alias("escalate"))
+    return shop.unionByName(pool)
+
+
+def _rte_cascade(s, d):
+    """All messages, and the questions about items, through the guards and the cascade."""
+    from . import message_queries as mq
+
+    asks = t.asks(s, d).selectExpr("-1L - msg_id as msg_id", "slug", "cast(null as bigint) as session_id", "msg_id as turn", "message")
+    routed = mq.routed(s, d, context=t.faqs(s, d).where("slug <> 'shop-3'"), messages=t.messages(s, d).unionByName(asks.withColumn("turn", F.col("turn").cast("int"))))
+    return answered(routed, cascade_inputs(s, d), cascade_texts(s, d)).drop("message")
+
+
+def _blended(s, d):
+    """Each asking vector with three quarters of the next one's, as a unit vector: near to several rows, the same as none."""
+    m, e = _vectors(s, d)
+    after = e.select((F.col("row") - 1).alias("msg_id"), F.col("vec").alias("_next"))
+    sums = F.zip_with("vec", "_next", lambda a, b: a.cast("double") + 0.75 * b.cast("double"))
+    m = m.join(after, "msg_id").withColumn("vec", sums)
+    norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, v: a + v * v))
+    return m.withColumn("_n", norm).withColumn("vec", F.transform("vec", lambda v: v / F.col("_n"))).drop("_n", "_next"), e
+
+
+def _guarded(s, d):
+    """FAQs by vector with thresholds by language, the higher one of disclaimers, and the guard of topics by a shop's words."""
+    m, e = _blended(s, d)
+    words = e.where("row % 3 = 0").select("slug", F.explode(F.array_distinct(x.content_words(F.col("qtext"), STOP))).alias("term")).where("length(term) > 6").distinct()
+    return faq_vector(m, e, words, 0.55, 0.45, 0.7)
+
+
+def _chunk_vectors(s, d):
+    m, e = _blended(s, d)
+    return chunks_by_vector(m, e.select("slug", F.col("row").alias("chunk_pos"), "vec"))
+
+
+def _probed(s, d):
+    """The nearest other row by an inverted file, its lists searched as far as their bounds leave open."""
+    asked, known = by_language(*_vectors(s, d))
+    index = vectors.build(known.select(F.col("row").alias("r"), "pool", F.col("vec").alias("rv")), "pool")
+    best = vectors.search(index, asked.select(F.col("msg_id").alias("q"), "pool", F.col("vec").alias("qv")), "pool", 2)
+    return top(best.where("q <> r"), "q", [F.desc("score"), "r"]).select("q", "r", "score")
+
+
 def _requests(s, d):
     """Requests of all messages: a third have an answer in a language, others go with the chunks that ground them."""
     m = _m(s, d).selectExpr("msg_id", "slug", "message", f"{_LANG} as lang", "if(turn = 0 and session_id % 5 = 0, 'small_talk', 'open') as route", "case when session_id % 4 = 1 then substring(message, 3) end as answer", "if(session_id % 2 = 0, 'manglish', 'english') as answer_lang")
@@ -446,6 +515,10 @@ QUERIES = {
     "jn_faq_f1": lambda s, d: faq_f1(_m(s, d), t.phrased(s, d)),
     "jn_faq_fuzzy": lambda s, d: faq_fuzzy(_m(s, d), t.phrased(s, d)),
     "jn_faq_vector": lambda s, d: _others(s, d, 1),
+    "jn_faq_vector_index": _probed,
+    "jn_faq_vector_guarded": _guarded,
+    "jn_chunk_vector": _chunk_vectors,
+    "rte_cascade": _rte_cascade,
     "jn_chunk": lambda s, d: chunks_for(_m(s, d), _chunk_rows(s, d)),
     "flt_grounding": _grounding,
     "win_near_tie": _ties,
@@ -482,6 +555,10 @@ _EMB = f"(select vec_id, label, embedding, {_QLANG} as qlang, case when vec_id %
 _VEC = f"select q.vec_id as q, r.vec_id as r, {_COS} as score from {_EMB} q join {_EMB} r on q.label = r.label and q.vec_id % 20 = 0 and q.vec_id <> r.vec_id and (q.want = r.qlang or (q.label, q.want) not in (select (label, qlang) from {_EMB}))"
 _TEXTS = "(select vec_id, coalesce(text, '') as text from embeddings left join documents on vec_id = doc_id)"
 _JACC = f"round(case when len(list_distinct(list_concat({_set('m.text')}, {_set('c.text')}))) > 0 then len(list_intersect({_set('m.text')}, {_set('c.text')})) / len(list_distinct(list_concat({_set('m.text')}, {_set('c.text')}))) else 0.0 end, 6)"
+_BLEND = f"""(select msg_id, slug, want, text, list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y * y)))) as v from (select a.vec_id as msg_id, a.label as slug, a.want, m.text,
+  list_transform(range(1, 65), lambda i: cast(a.embedding[i] as double) + 0.75 * cast(b.embedding[i] as double)) as v from {_EMB} a join {_EMB} b on b.vec_id = a.vec_id + 1 join {_TEXTS} m on m.vec_id = a.vec_id where a.vec_id % 20 = 0))"""
+_DOT = "round(list_sum(list_transform(range(1, 65), lambda i: q.v[i] * cast(r.embedding[i] as double))), 4)"
+_BLENDED = f"select q.msg_id, q.slug, q.want, q.text, r.vec_id as r, c.text as qtext, {_DOT} as score from {_BLEND} q join {_EMB} r on q.slug = r.label join {_TEXTS} c on c.vec_id = r.vec_id"
 _CUT = "trim(regexp_replace(regexp_replace(reply, '^Sure! ', ''), '(?i)^a:\\s*', ''))"
 _REPLY = "(select faq_pos as msg_id, concat(case faq_pos % 4 when 0 then 'Sure! ' when 1 then 'A: ' else '' end, a, if(faq_pos % 3 = 0, ' [offer_code]', '')) as reply, faq_pos % 8 < 4 as had_facts, faq_pos % 7 <> 0 as ok, if(faq_pos % 2 = 0, 'X5', 'our special code') as code, if(faq_pos % 14 = 0, q, null) as answer from " + t.FAQS + ")"
 SQL = {
@@ -489,6 +566,13 @@ SQL = {
     "jn_profile": f"select slug, case shop_pos % 3 when 0 then 'cakes' when 1 then 'services' else 'items' end as label from {t.SHOPS}",
     "jn_faq_f1": f"select * from {_F1}",
     "jn_faq_vector": f"select * from {_best(_VEC, 1, 'score desc, r', 'q')}",
+    "jn_faq_vector_index": f"select * from {_best(_VEC, 1, 'score desc, r', 'q')}",
+    "jn_faq_vector_guarded": f"""with near as (select *, {_JACC.replace('m.text', 'text').replace('c.text', 'qtext')} as overlap, max(score) over (partition by msg_id) as best, row_number() over (partition by msg_id order by score desc, r) as r5 from {_best(f"{_BLENDED} where q.want = r.qlang or (q.slug, q.want) not in (select (label, qlang) from {_EMB})", 5, 'score desc, r')}),
+        won as (select *, row_number() over (partition by msg_id order by overlap desc, r5) as r2 from near where round(best - score, 4) <= {NEAR_TIE}),
+        vocab as (select distinct label as slug, unnest({_content('text')}) as term from {_TEXTS} join embeddings using (vec_id) where vec_id % 3 = 0), terms as (select slug, list(term) as ts from vocab where length(term) > 6 group by slug),
+        w as (select msg_id, r as faq_pos, score, list_intersect(list_distinct({_content('text')}), coalesce(ts, [])) as a, list_intersect(list_distinct({_content('qtext')}), coalesce(ts, [])) as b from won left join terms using (slug) where r2 = 1 and score >= case want when 'ml' then 0.45 else 0.55 end and (r % 7 <> 0 or score >= 0.7))
+        select msg_id, faq_pos, score from w where len(a) = 0 or len(b) = 0 or len(list_filter(a, lambda p: len(list_filter(b, lambda o: starts_with(p, o) or starts_with(o, p))) > 0)) > 0""",
+    "jn_chunk_vector": f"select msg_id, r as chunk_pos, score from {_best(_BLENDED, 5, 'score desc, r')}",
     "jn_chunk": f"select * from {_best(_CHUNK, 5, 'score desc, chunk_pos')}",
     "flt_grounding": f"""select msg_id, 'faq' as kind, faq_pos, score, score >= case when session_id % 3 = 0 then {GATE_MANGLISH} else {GATE_ENGLISH} end and (score >= {SURE} or len({_content('message')}) = 0 or list_has_any({_content('message')}, {_WORDS.format("q || ' ' || a")})) as passes from {_F1} join {t.MESSAGES} using (msg_id) join {t.PHRASED} using (faq_pos)
         union all select msg_id, 'chunk', chunk_pos, score, score >= {CHUNK_LEAST} and list_has_any(a, b) from {_best(_CHUNK, 1, 'score desc, chunk_pos')} join {_ASKED} using (msg_id) join (select chunk_pos, b from {_CHUNKS}) using (chunk_pos)""",

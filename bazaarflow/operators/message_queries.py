@@ -71,14 +71,14 @@ def vocabulary(s, d):
     return words.select("slug", F.explode(x.split_words(F.lower("term"))).alias("term")).distinct()
 
 
-def unknown(s, d, variant=ratio.spelling_variant):
-    return m.unknown_items(t.messages(s, d), vocabulary(s, d), NEUTRAL, variant, item_ask=ASK, synonyms={"tion": ["nation"]})
+def unknown(s, d, variant=ratio.spelling_variant, messages=None):
+    return m.unknown_items(t.messages(s, d) if messages is None else messages, vocabulary(s, d), NEUTRAL, variant, item_ask=ASK, synonyms={"tion": ["nation"]})
 
 
-def routed(s, d, matches=None, context=None, variant=None):
-    messages = t.messages(s, d)
+def routed(s, d, matches=None, context=None, variant=None, messages=None):
+    messages = t.messages(s, d) if messages is None else messages
     flagged = m.flags(messages, config(s, d).drop("shop_name", "city"), PATTERNS, LEXICON, BROAD, TOPICS, FOREIGN, BLOCKS, BARRED)
-    return m.route_messages(messages, flagged, detected(), F.expr(_REQUEST), unknown(s, d, variant), matches, context)
+    return m.route_messages(messages, flagged, detected(), F.expr(_REQUEST), unknown(s, d, variant, messages), matches, context)
 
 
 def rte_pipeline(s, d):

@@ -12,7 +12,7 @@ BROADCAST_ROWS = 200_000
 
 
 def sized(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` as a table that was counted while it was written, hinted for broadcast only if it is small; otherwise the join shuffles.
+    """``df`` as a table that is counted from its files, hinted for broadcast only if it is small; otherwise the join shuffles.
 
     The side is made once, whatever it is made from.
     """

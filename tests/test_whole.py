@@ -3,11 +3,13 @@
 import random
 import re
 
+import numpy as np
 from bazaarflow.functions import ratio
 from bazaarflow.operators import items, match
 from bazaarflow.operators import messages as m
-from bazaarflow.plans import registry
+from bazaarflow.plans import registry, vectors
 from bazaarflow.plans import tables as t
+from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
 
@@ -159,3 +161,73 @@ def test_cascade_against_plain_python(spark):
             assert got[k].pass_no == want[0] and abs(got[k].score - want[1]) < 2e-4, (k, want, got[k])
             seen.add(want[0])
     assert {1, 2, 3} <= seen and types
+
+
+def test_router_through_the_cascade(spark):
+    """What guards caught stays as it was; of the rest, the cascade's answers that pass the gate, told by hand, and no others."""
+    i, texts = match.cascade_inputs(spark, SF), {(x.pool, x.faq_pos): x for x in match.cascade_texts(spark, SF).collect()}
+    got = {x.msg_id: x for x in registry.queries()["rte_cascade"](spark, SF).collect()}
+    plain = {x.msg_id: x for x in registry.queries()["rte_pipeline"](spark, SF).collect()}
+    asked = {x.msg_id: x for x in i["messages"].collect()}
+    assert set(got) == set(asked) and set(plain) <= set(got)
+    open_ = {"match", "chunk", "free"}
+    columns = ["route", "source", "bypass", "sentiment", "confidence", "faq_source", "faq_id", "faq_score", "escalate", "lang"]
+    caught = [k for k, x in plain.items() if x.route not in open_ and got[k].route not in open_]
+    assert len(caught) > 5 and all(got[k][c] == plain[k][c] for k in caught for c in columns)
+    left = spark.createDataFrame([(k, x.lang) for k, x in got.items() if x.route in open_], "msg_id long, lang string")
+    hits = {x.msg_id: x for x in match.match_cascade(**(i | {"messages": i["messages"].drop("lang").join(left, "msg_id")})).collect()}
+    words = lambda text: {w for w in re.findall(r"[^\W]+", text.lower())}
+    kinds = set()
+    for k in (x.msg_id for x in left.collect()):
+        h, x = hits.get(k), got[k]
+        if h is not None and h.source not in ("category_list", "item_lookup", "item_lookup_fallback"):
+            f = texts["shop" if h.pass_no == 2 else "generic", h.faq_pos]
+            content = {w for w in words(asked[k].message) if len(w) >= 3 and w not in match.STOP}
+            passes = h.score >= (match.GATE_MANGLISH if x.lang == "manglish" else match.GATE_ENGLISH) and (h.score >= match.SURE or not content or bool(content & words(f.faq_text)))
+            want = (h.source, f"faq_{h.faq_pos}", h.score, f.answer, f.escalate) if passes else None
+        else:
+            want = (h.source, h.source, h.score, h.reply, False) if h is not None else None
+        assert (x.route == "match") == (want is not None), (k, x, h)
+        if want:
+            assert (x.faq_source, x.faq_id, x.faq_score, x.reply, x.escalate, x.source) == (*want, "faq"), (k, x, h)
+            kinds.add(h.pass_no)
+        else:
+            assert x.reply is None and x.pass_no is None
+    assert len(kinds) >= 3
+
+
+# the inverted file of vectors
+
+
+def clustered(r, n, spread=0.6, dims=16):
+    heads = r.normal(size=(12, dims))
+    v = heads[r.integers(0, 12, n)] + spread * r.normal(size=(n, dims))
+    return v / np.linalg.norm(v, axis=1, keepdims=True)
+
+
+def test_index_search_is_exact_and_skips_lists(spark):
+    r = np.random.default_rng(3)
+    v, q = clustered(r, 1500, 0.15), clustered(r, 60, 0.15)
+    q[:30] = v[:30]
+    rows = spark.createDataFrame([(i, "ab"[i % 2], x.tolist()) for i, x in enumerate(v)], "r long, key string, rv array<double>")
+    asked = spark.createDataFrame([(i, "abc"[i % 3], x.tolist()) for i, x in enumerate(q)], "q long, key string, qv array<double>")
+    for options in ({}, {"lists": 1}, {"block": 50, "sample": 100}):
+        index = vectors.build(rows, "key", **options)
+        assert index.rows.count() == 1500
+        got = vectors.search(index, asked, "key", 4, 0.2).collect()
+        want = {(x.q, x.r) for x in match.vector_top(asked, rows, "key", 4, 0.2).collect()}
+        assert {(x.q, x.r) for x in got} == want and len(want) > 100
+        compared = sum({x.q: x.compared for x in got}.values())
+    assert compared < 40 * 750
+    assert vectors.search(vectors.build(rows.limit(0), "key"), asked, "key", 4).count() == 0
+
+
+def test_recall_of_few_probes(spark):
+    """Lists of the hard, almost even vectors of the given table, and of clustered ones: recall of at least 0.9 and what it costs."""
+    e = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select(F.lit("all").alias("key"), "vec_id", "embedding")
+    rows, asked = e.selectExpr("vec_id as r", "key", "embedding as rv"), e.where("vec_id % 20 = 0").selectExpr("vec_id as q", "key", "embedding as qv")
+    want = {(x.q, x.r) for x in match.vector_top(asked, rows, "key", 5, -1.0).collect()}
+    index = vectors.build(rows, "key")
+    got = vectors.search(index, asked, "key", 5, probes=28, exact=False).collect()
+    assert len({(x.q, x.r) for x in got} & want) >= 0.9 * len(want)
+    assert sum({x.q: x.compared for x in got}.values()) < 0.7 * 100 * 2000
