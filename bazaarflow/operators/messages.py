@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as x
+from ..plans import scratch
 from ..plans.sizing import sized
 
 #: Guards in order, with what a message that they catch is logged as: source, bypass, sent_source, sentiment ('' = detected), confidence, faq_source, faq_id, faq_score.
@@ -325,6 +326,39 @@ def held_as_of(rows: DataFrame, keys: list[str], order: str, preference: Column,
     return joined.withColumn("held", F.coalesce(F.last("_switch", True).over(inner), "_carried")).select(*rows.columns, "held")
 
 
+#: Letters from rare to common: any order serves, a good one has small keys.
+RARE_LETTERS = "qxzjkvwbpygfmcduhlsrniotae"
+_HALF = len(RARE_LETTERS) // 2
+
+
+def near_spellings(words: DataFrame, terms: DataFrame, least: float) -> DataFrame:
+    """Pairs (slug, word, term) of one first letter that share enough letters for a ratio of ``least``: (slug, word) against (slug, term).
+
+    Texts of n and m letters at a ratio of r have a common subsequence of r / 200 * (n + m) letters, where m is at least
+    n * r / (200 - r), as the shorter text bounds the subsequence. Two words that share k letters share one of the n - k + 1 that
+    come first of either, in an order from rare letters to common ones, so they meet on those only. Of those that meet, lengths and
+    the letters in common, counted from two packed numbers, rule out all that cannot reach the ratio.
+    """
+
+    def keyed(rows: DataFrame, word: str) -> DataFrame:
+        n = F.length(word)
+        count = lambda c: n - F.length(F.replace(F.col(word), F.lit(c), F.lit("")))
+        pack = lambda letters: sum((F.shiftleft(F.least(count(c), F.lit(15)).cast("long"), 4 * k) for k, c in enumerate(letters)), F.lit(0).cast("long"))
+        need = F.ceil(least / 200 * (n + F.ceil(n * least / (200 - least) - 1e-9)) - 1e-9).cast("int")
+        rare = F.expr(f"array_sort(transform(split({word}, ''), v -> if(v between 'a' and 'z', char(96 + instr('{RARE_LETTERS}', v)), '`')))")
+        held = rows.withColumns({f"{word}_lo": pack(RARE_LETTERS[:_HALF]), f"{word}_hi": pack(RARE_LETTERS[_HALF:]), "_need": need, "_rare": rare})
+        few = F.slice("_rare", F.lit(1), F.greatest(n - F.col("_need") + 1, F.lit(1)))
+        # the k-th of a letter among the first is the k-th of the word, as they are sorted; a letter's first is key enough
+        return held.select("slug", word, f"{word}_lo", f"{word}_hi", F.substring(word, 1, 1).alias("first"), F.explode(F.array_distinct(few)).alias("letter"))
+
+    met = keyed(words, "word").join(keyed(terms, "term"), ["slug", "first", "letter"])
+    n, m = F.length("word"), F.length("term")
+    digit = lambda c, k: F.shiftright(F.col(c), 4 * k).bitwiseAND(F.lit(15))
+    alike = sum((F.least(digit(f"word_{h}", k), digit(f"term_{h}", k)) for h, size in (("lo", _HALF), ("hi", len(RARE_LETTERS) - _HALF)) for k in range(size)), F.lit(0).cast("long"))
+    enough = (n > 15) | (m > 15) | (200.0 * alike >= least * (n + m))
+    return met.where(200.0 * F.least(n, m) >= least * (n + m)).where(enough).select("slug", "word", "term").distinct()
+
+
 def unknown_items(asks: DataFrame, vocabulary: DataFrame, neutral: list[str], variant=None, least: float = 65.0, item_ask: str | None = None, synonyms: dict[str, list[str]] | None = None) -> DataFrame:
     """Asks (msg_id, slug, message) none of whose subject words the shop knows: (msg_id, unknown).
 
@@ -332,13 +366,14 @@ def unknown_items(asks: DataFrame, vocabulary: DataFrame, neutral: list[str], va
     added. Subject words have three ASCII letters or digits or more and are not ``neutral``; a message without any is left out. A word is
     known if it lies anywhere inside a term, if it holds a run of four letters or more of a term and begins with its first
     four, or if ``variant`` calls it a spelling variant of one. Distinct (slug, word) pairs meet the vocabulary (slug, term) on
-    any three successive letters, on the first four letters, and on the first letter with lengths that allow a ratio of
-    ``least``. No pair without a common key is made.
+    any three successive letters, on the first four letters, and, for spellings, on the rarest letters of each (``near_spellings``).
+    No pair without a common key is made.
     """
     text = F.lower("message") if synonyms is None else F.lower(x.append_umbrella(F.col("message"), synonyms))
     subject = F.filter(x.split_words(F.regexp_replace(text, "[^a-z0-9\\s]", " ")), lambda w: (F.length(w) >= 3) & ~F.array_contains(x.lit_array(neutral), w) & (~w.rlike(f"^(?:{item_ask})$") if item_ask else F.lit(True)))
     asks = asks.where(F.lower("message").rlike(rf"(^|[^\p{{L}}\p{{N}}_])(?:{item_ask})($|[^\p{{L}}\p{{N}}_])")) if item_ask else asks
     tokens = asks.select("msg_id", "slug", F.explode(F.array_distinct(subject)).alias("word"))
+    tokens = scratch.table(tokens, "unknown-tokens")
     words = tokens.select("slug", "word").distinct()
     v = vocabulary.select("slug", F.explode(F.regexp_extract_all(F.lower("term"), F.lit("([a-z0-9]+)"), F.lit(1))).alias("term")).distinct()
     grams = v.withColumn("k", F.explode(F.expr("array_distinct(transform(sequence(1, greatest(length(term) - 2, 1)), i -> substring(term, i, 3)))")))
@@ -346,10 +381,10 @@ def unknown_items(asks: DataFrame, vocabulary: DataFrame, neutral: list[str], va
     letters = v.select("slug", F.explode(F.regexp_extract_all("term", F.lit("([a-z]{4,})"), F.lit(1))).alias("term")).distinct()
     stems = letters.withColumn("k", F.substring("term", 1, 4))
     stemmed = words.join(stems, (words.slug == stems.slug) & (F.substring("word", 1, 4) == stems.k) & F.col("word").contains(F.col("term")), "left_semi")
-    known = inside.unionByName(stemmed)
+    known = scratch.table(inside.unionByName(stemmed).distinct(), "unknown-known")
     if variant is not None:
-        rest = words.join(known.distinct(), ["slug", "word"], "left_anti").withColumn("k", F.substring("word", 1, 1))
-        near = rest.join(letters.withColumn("k", F.substring("term", 1, 1)).where("length(term) >= 5"), ["slug", "k"]).where(200.0 * F.least(F.length("word"), F.length("term")) >= least * (F.length("word") + F.length("term")))
+        rest = words.join(known, ["slug", "word"], "left_anti").where("length(word) >= 5")
+        near = near_spellings(scratch.table(rest, "unknown-words"), scratch.table(letters.where("length(term) >= 5"), "unknown-terms"), least)
         known = known.unionByName(near.withColumn("same", variant(F.col("word"), F.col("term"), least)).where("same").select("slug", "word"))
     known = known.distinct().withColumn("known", F.lit(True))
     return tokens.join(known, ["slug", "word"], "left").groupBy("msg_id").agg((~F.bool_or(F.coalesce("known", F.lit(False)))).alias("unknown"))
