@@ -104,3 +104,43 @@ def test_noisy_recordings_are_all_found(spark):
         got = chroma.align_recordings(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), lambda i: i % 20 == 0, "vec_id", "embedding", chroma.melody, **options).where("is_query").collect()
         assert {(x.id, m.class_id, m["shift"]) for x in got for m in x.matches} == set(zip(want["query"], want.record, want["shift"]))
     assert len(want) > 30
+
+
+def test_pipeline_drops_exactly_the_contaminated(spark):
+    """Documents with a window of ten successive words of an item, or a whole shorter item, told word by word."""
+    import re
+
+    docs, items = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "benchmark"))
+    lower = lambda t: "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t))
+    windows: dict = {}
+    for r in items.collect():
+        w = words(r.text)
+        for k in range(max(1, len(w) - 9)) if w else ():
+            windows.setdefault(len(w[k : k + 10]), set()).add(tuple(w[k : k + 10]))
+    bad = set()
+    for r in docs.collect():
+        w = words(r.text)
+        if any(tuple(w[k : k + n]) in some for n, some in windows.items() for k in range(len(w) - n + 1)):
+            bad.add(r.doc_id)
+    kept = {r.doc_id for r in corpus_pipeline.drop_contaminated(spark, docs, SF).collect()}
+    assert kept == {r.doc_id for r in docs.collect()} - bad and bad
+
+
+def test_pipeline_stages_of_an_empty_table(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SF)
+        assert out.count() == 0, name
+        if name != corpus_pipeline.STAGES[-1][0]:
+            assert out.columns == docs.columns
+
+
+def test_mixture_reads_every_document(spark):
+    """Each row at least once, none more often than its source's passes allow, sources of equal shares alike."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    before = {r.doc_id for r in docs.collect()}
+    drawn = [r.doc_id for r in corpus_pipeline.mix_sources(spark, docs, SF).collect()]
+    times = {i: drawn.count(i) for i in set(drawn)}
+    assert set(times) == before and set(times.values()) <= {1, 2}
+    assert sorted(drawn) == sorted(r.doc_id for r in corpus_pipeline.mix_sources(spark, docs.repartition(3), SF).collect())
