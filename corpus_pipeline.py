@@ -61,7 +61,8 @@ STAGES = [
     ("sharding", shard),
 ]
 
-#: MinHash candidates, a learnt lexicon and hash orders are beyond SQL; tests hold each stage against brute force.
+#: MinHash candidates, a learnt lexicon and hash orders are beyond SQL. Tests hold near duplicates and contamination against brute force,
+#: toxicity against its operator and held-out labels, mixture and shards against what must hold of them.
 ORACLE_SQL = None
 
 
