@@ -191,13 +191,14 @@ def faq_vector(messages: DataFrame, embedded: DataFrame, vocabulary: DataFrame |
     return won.select(F.col("q").alias("msg_id"), "faq_pos", "score")
 
 
-def chunks_for(questions: DataFrame, chunks: DataFrame, n: int = 5, stop: list[str] = STOP, first_part: float = 0.4) -> DataFrame:
+def chunks_for(questions: DataFrame, chunks: DataFrame, n: int = 5, stop: list[str] = STOP, first_part: float = 0.5, tried: int = 8) -> DataFrame:
     """Top chunks (slug, chunk_pos, text) of the shop by shared words over the question's words: (msg_id, chunk_pos, score).
 
     A question that is all stop words takes the shop's first chunks at 0.1. Of a question's known words the rarest (``first_part``
-    of them) are looked up first: the n-th best count so far, t, bounds the n-th best from below, so all but t - 1 of the words
-    must be looked up for every chunk that can reach it to be met, and the commonest are never read. A chunk that, with
-    all words left, cannot reach the bound is dropped; the others are counted on their whole word sets.
+    of them) are looked up first, and the ``tried`` * n chunks with most of them are counted on their whole word sets: the
+    n-th best count, t, bounds that of the answer from below. So all but t - 1 of the words must be looked up for every chunk
+    that can reach it to be met, and the commonest are never read. A chunk that, with all words left, cannot reach
+    the bound is dropped; the others are counted whole.
     """
     tokens = lambda c: F.array_distinct(F.filter(x.words(F.col(c)), lambda w: ~F.array_contains(x.lit_array(stop), w)))
     asked = it.texts(questions).withColumn("w", tokens("message")).withColumn("key", F.md5(F.concat("slug", F.lit("\0"), "message").cast("binary")))
@@ -213,11 +214,13 @@ def chunks_for(questions: DataFrame, chunks: DataFrame, n: int = 5, stop: list[s
     top_n = lambda rows: rows.withColumn("_r", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("c")))).where(F.col("_r") <= n).drop("_r")
     part = F.ceil(F.col("known") * F.lit(first_part))
     early = scratch.table(counts(q.where(F.col("at") <= part)), "chunk-early")
-    bound = nth(top_n(early))
+    likeliest = early.withColumn("_r", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("c"), "chunk_pos"))).where(F.col("_r") <= tried * n)
+    whole = likeliest.join(asked, "key").join(held, ["slug", "chunk_pos"]).select("key", F.size(F.array_intersect("w", "b")).alias("c"))
+    bound = scratch.table(nth(top_n(whole)), "chunk-bound")
     read = q.join(bound, "key", "left").withColumn("most", F.greatest(part, F.col("known") - F.coalesce("t", F.lit(1)) + 1))
     late = counts(read.where((F.col("at") > part) & (F.col("at") <= F.col("most"))))
     met = scratch.table(early.unionByName(late).groupBy("key", "chunk_pos").agg(F.sum("c").alias("c")), "chunk-met")
-    need = read.groupBy("key").agg(F.max("most").alias("most"), F.max("known").alias("known")).join(nth(top_n(met)), "key")
+    need = read.groupBy("key").agg(F.max("most").alias("most"), F.max("known").alias("known"), F.max(F.coalesce("t", F.lit(1))).alias("t"))
     likely = met.join(need, "key").where(F.col("c") + F.col("known") - F.col("most") >= F.col("t")).select("key", "chunk_pos")
     full = likely.join(asked, "key").join(held, ["slug", "chunk_pos"])
     scored = full.select("slug", "message", "chunk_pos", F.round(F.size(F.array_intersect("w", "b")) / F.size("w"), 6).alias("score"))
