@@ -1,4 +1,4 @@
-"""Chroma audio fingerprints of media columns, and their alignment by bit errors at every offset."""
+"""Chroma audio fingerprints of media columns, aligned by offset histograms and bit errors, or by bit errors at every offset."""
 
 from __future__ import annotations
 
@@ -128,6 +128,10 @@ def alignments(q_ids, q_prints, r_ids, r_prints, most: float, overlap: int) -> p
             bits = (32 * n[s] - np.rint(sums[s, i, j]).astype(np.int64)) // 2
             rows = pd.DataFrame({"query": qs[i], "record": rs[j], "shift": shift[s].astype(np.int32), "overlap": n[s], "errors": bits / (32 * n[s])})
             found.append(rows[rows.errors <= most])
+    return _best_offsets(found)
+
+
+def _best_offsets(found: list[pd.DataFrame]) -> pd.DataFrame:
     if not found:
         return pd.DataFrame({"query": [], "record": [], "shift": [], "overlap": [], "errors": []}).astype({"query": "int64", "record": "int64", "shift": "int32", "overlap": "int64", "errors": "float64"})
     rows = pd.concat(found)
@@ -135,13 +139,66 @@ def alignments(q_ids, q_prints, r_ids, r_prints, most: float, overlap: int) -> p
     return rows.drop_duplicates(["query", "record"])[["query", "record", "shift", "overlap", "errors"]]
 
 
+#: An offset of two recordings is looked at if so many halves of their integers agree there.
+VOTES = 2
+#: Agreements of one query with a part of the recordings that are counted at once; with more, every offset is looked at.
+MOST_VOTES = 4_000_000
+
+
+def voted(q_ids, q_prints, r_ids, r_prints, most: float, overlap: int, votes: int = VOTES) -> pd.DataFrame:
+    """``alignments`` at the offsets that have ``votes``: records are posted under both 16-bit halves of their integers at all places.
+
+    A query's halves meet equal ones, each votes for its record and offset, and at the offsets with enough votes all
+    bits are compared. An integer that all frames of many recordings share would give too many votes; then the query is aligned with this
+    part of the recordings at every offset.
+    """
+    r_prints, q_prints = ([np.asarray(p).astype(np.uint32) for p in side] for side in (r_prints, q_prints))
+    length = np.array([len(p) for p in r_prints], np.int64)
+    start, flat = np.concatenate([[0], np.cumsum(length)]), np.concatenate([*r_prints, np.zeros(1, np.uint32)])
+    record = np.repeat(np.arange(len(length)), length)
+    place = np.arange(len(record)) - start[record]
+    index = []
+    for shift in (0, 16):
+        half = ((flat[:-1] >> np.uint32(shift)) & np.uint32(0xFFFF)).astype(np.int64)
+        order = np.argsort(half, kind="stable")
+        index.append((shift, np.searchsorted(half[order], np.arange(65537)), order))
+    longest, found, whole = int(length.max()) if len(length) else 0, [], []
+    for k, (q_id, own) in enumerate(zip(q_ids, q_prints)):
+        stride, codes = longest + len(own) + 1, []
+        halves = [((own >> np.uint32(shift)) & np.uint32(0xFFFF)).astype(np.int64) for shift, _, _ in index]
+        if sum(int((at[h + 1] - at[h]).sum()) for h, (_, at, _) in zip(halves, index)) > MOST_VOTES:
+            whole.append(k)
+            continue
+        for h, (_, at, order) in zip(halves, index):
+            n = at[h + 1] - at[h]
+            posts = order[np.repeat(at[h] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+            codes.append(record[posts] * stride + np.repeat(np.arange(len(own)), n) - place[posts] + longest)
+        code, count = np.unique(np.concatenate(codes), return_counts=True)
+        r, shift = np.divmod(code[count >= votes], stride)
+        shift -= longest
+        n = np.minimum(len(own), length[r] + shift) - np.maximum(0, shift)
+        r, shift, n = r[n >= overlap], shift[n >= overlap], n[n >= overlap]
+        for a in range(0, len(r), 4096):  # a bounded grid of frames
+            b = slice(a, a + 4096)
+            there = np.arange(len(own))[None, :] - shift[b, None]
+            inside = (there >= 0) & (there < length[r[b], None])
+            bits = np.bitwise_count(own[None, :] ^ flat[np.where(inside, start[r[b], None] + there, 0)])
+            errors = (bits * inside).sum(1) / (32 * n[b])
+            ok = errors <= most
+            if ok.any():
+                found.append(pd.DataFrame({"query": q_id, "record": np.asarray(r_ids)[r[b][ok]], "shift": shift[b][ok].astype(np.int32), "overlap": n[b][ok], "errors": errors[ok]}))
+    if whole:
+        found.append(alignments([q_ids[k] for k in whole], [q_prints[k] for k in whole], r_ids, r_prints, most, overlap))
+    return _best_offsets(found)
+
+
 @in_small_batches
-def align_recordings(media: DataFrame, is_query, id_col: str, media_col: str, decode, most_errors: float = MOST_ERRORS, overlap: int = LEAST_OVERLAP, block: int = 2048) -> DataFrame:
+def align_recordings(media: DataFrame, is_query, id_col: str, media_col: str, decode, most_errors: float = MOST_ERRORS, overlap: int = LEAST_OVERLAP, block: int = 2048, votes: int | None = None) -> DataFrame:
     """Fingerprint every recording and align the queries with all of them.
 
     ``decode`` turns a value of ``media_col`` into mono samples at ``RATE``. Recordings of one fingerprint are a class named by its
-    smallest id, and classes are compared: every query class with all classes at every offset, so no pair within the bit errors
-    is lost. Queries and records are dealt to parts of about ``block`` classes, and each pair of parts is one group.
+    smallest id, and classes are compared: every query class with all classes, without ``votes`` at every offset, so no pair within
+    the bit errors is lost; with ``votes`` at the offsets that so many equal halves of packed integers vote for. Queries and records are dealt to parts of about ``block`` classes, and each pair of parts is one group.
 
     Returns id, class_id, n_prints, is_query, and for queries matches: (record class, offset, overlap, errors) by class, itself
     included. Null or short media have no prints and match nothing; null ids and other columns are ignored; rows of one
@@ -159,7 +216,8 @@ def align_recordings(media: DataFrame, is_query, id_col: str, media_col: str, de
     records = classes.select(F.col("class_id").alias("record"), "print", dealt(r_parts).alias("r_part"), every(q_parts).alias("q_part"))
 
     def aligned(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-        return alignments(q["query"].to_numpy(np.int64), q["print"], r["record"].to_numpy(np.int64), r["print"], most_errors, overlap)
+        sides = q["query"].to_numpy(np.int64), q["print"], r["record"].to_numpy(np.int64), r["print"], most_errors, overlap
+        return voted(*sides, votes) if votes else alignments(*sides)
 
     found = asked.groupBy("q_part", "r_part").cogroup(records.groupBy("q_part", "r_part")).applyInPandas(aligned, "query long, record long, shift int, overlap long, errors double")
     matches = found.groupBy("query").agg(F.sort_array(F.collect_list(F.struct(F.col("record").alias("class_id"), "shift", "overlap", F.round("errors", 6).alias("errors")))).alias("matches"))
@@ -171,4 +229,4 @@ def align_recordings(media: DataFrame, is_query, id_col: str, media_col: str, de
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each embedding is played as a melody; ids divisible by 20 are looked up among all."""
     media = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    return align_recordings(media, lambda i: i % 20 == 0, "vec_id", "embedding", melody).withColumnRenamed("id", "vec_id")
+    return align_recordings(media, lambda i: i % 20 == 0, "vec_id", "embedding", melody, block=8192, votes=VOTES).withColumnRenamed("id", "vec_id")

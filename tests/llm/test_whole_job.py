@@ -144,3 +144,33 @@ def test_mixture_reads_every_document(spark):
     times = {i: drawn.count(i) for i in set(drawn)}
     assert set(times) == before and set(times.values()) <= {1, 2}
     assert sorted(drawn) == sorted(r.doc_id for r in corpus_pipeline.mix_sources(spark, docs.repartition(3), SF).collect())
+
+
+def test_recall_of_offset_histograms(spark):
+    """Noisy copies, parts and loops: votes find at least nine of ten pairs that every offset finds, with the same best offset."""
+    r = np.random.default_rng(15)
+    songs = [r.normal(size=64) for _ in range(60)]
+    play = lambda v: chroma.fingerprint(chroma.chroma(chroma.melody(v)))
+    asked = [play(v + r.normal(size=64) * noise) for v, noise in zip(songs, np.linspace(0, 0.25, 60))]
+    asked += [play(np.concatenate([r.normal(size=20), v[10:50]])) for v in songs[:20]] + [play(np.concatenate([v[:24], v[:24]])) for v in songs[20:30]] + [np.zeros(90, np.uint32)]
+    known = [play(v) for v in songs] + [np.zeros(117, np.uint32), np.zeros(0, np.uint32), np.zeros(5, np.uint32)]
+    sides = np.arange(len(asked)), asked, np.arange(len(known)) + 1000, known, 0.2, 24
+    want = {(x.query, x.record): (x.shift_, round(x.errors, 9)) for x in chroma.alignments(*sides).rename(columns={"shift": "shift_"}).itertuples()}
+    got = {(x.query, x.record): (x.shift_, round(x.errors, 9)) for x in chroma.voted(*sides).rename(columns={"shift": "shift_"}).itertuples()}
+    hit = sum(got.get(k) == v for k, v in want.items())
+    assert len(want) > 40 and set(got) <= set(want) and hit >= 0.9 * len(want), (hit, len(want))
+    assert (90, 1060) in got
+
+
+def test_many_votes_are_aligned_at_every_offset(monkeypatch):
+    monkeypatch.setattr(chroma, "MOST_VOTES", 10)
+    asked, known = [np.arange(40, dtype=np.uint32)], [np.arange(60, dtype=np.uint32)]
+    sides = [7], asked, [8], known, 0.2, 24
+    assert chroma.voted(*sides).values.tolist() == chroma.alignments(*sides).values.tolist() != []
+
+
+def test_media_query_equals_every_offset(spark):
+    got = sorted((x.vec_id, [(m.class_id, m["shift"], m.errors) for m in x.matches]) for x in chroma.query(spark, SF).where("is_query").collect())
+    media = spark.read.parquet(f"{SF}/embeddings.parquet")
+    want = chroma.align_recordings(media, lambda i: i % 20 == 0, "vec_id", "embedding", chroma.melody).where("is_query").collect()
+    assert got == sorted((x.id, [(m.class_id, m["shift"], m.errors) for m in x.matches]) for x in want)
