@@ -222,13 +222,13 @@ def subject_noun(message: Column, names: Column, stop: list[str] = ASK_STOP, ski
     return F.coalesce(both, longest(F.filter(words, lambda v: held(v) | held(x.stem(v)))), longest(words), F.lit(""))
 
 
-def item_answers(messages: DataFrame, items: DataFrame, generic: DataFrame | None, broad: Column | None = None, templates: dict = ANSWERS) -> DataFrame:
-    """Answers from the items found (messages with ``lang``): (msg_id, n, reply).
+def item_answers(messages: DataFrame, items: DataFrame, generic: DataFrame | None, broad: Column | None = None, templates: dict = ANSWERS, lists: DataFrame | None = None) -> DataFrame:
+    """Answers from the items found (messages with ``lang``): (msg_id, n, reply). ``lists``: ``category_lists`` of the messages, if they are at hand.
 
     A whole category is listed first. A question whether something is included answers with the descriptions of the first
     five items, if any has one. Else the items are listed under the noun that the message is about.
     """
-    lists = scratch.table(category_lists(messages, items), "item-lists")
+    lists = scratch.table(category_lists(messages, items), "item-lists") if lists is None else lists
     rest = messages.where(F.lower("message").rlike(INCLUSION)).unionByName(messages.where(~F.lower("message").rlike(INCLUSION)).join(lists.select("msg_id"), "msg_id", "left_anti"))
     found = matching_items(rest, items, generic, broad=broad).join(items.select("item_pos", "name", "category", "price", "description"), "item_pos")
     body = F.when((F.col("rank") <= 5) & (F.coalesce("description", F.lit("")) != ""), F.concat_ws(": ", "name", "description"))

@@ -11,6 +11,8 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -113,19 +115,22 @@ def vector_top(queries: DataFrame, rows: DataFrame, key: str, n: int = 1, least:
     asked = _dealt(queries, key, "q", ("q_part", "q_parts"), ("r_part", "r_parts"), parts)
     known = _dealt(rows, key, "r", ("r_part", "r_parts"), ("q_part", "q_parts"), parts)
 
-    def best(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-        if not len(q) or not len(r):
-            return pd.DataFrame({"q": [], "r": [], "score": []}).astype({"q": "int64", "r": "int64", "score": "float64"})
-        r = r.sort_values("r")
-        s = (np.stack(q.qv.to_numpy()).astype(float) @ np.stack(r.rv.to_numpy()).astype(float).T).round(4)
-        ids, found = r.r.to_numpy(), []
-        for row in s:
-            few = np.flatnonzero(row >= np.partition(row, len(row) - n)[len(row) - n]) if len(row) > n else np.arange(len(row))
-            found.append(few[np.argsort(-row[few], kind="stable")][:n])
-        return pd.DataFrame({"q": np.repeat(q.q.to_numpy(), [len(b) for b in found]), "r": np.concatenate([ids[b] for b in found]), "score": np.concatenate([row[b] for row, b in zip(s, found)])})
+    def best(q: pa.Table, r: pa.Table) -> pa.Table:
+        matrix = lambda side, c: pc.list_flatten(side.column(c)).to_numpy().astype(float).reshape(len(side), -1)
+        found = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)]
+        if len(q) and len(r):
+            r = r.sort_by("r")
+            ids = r.column("r").to_numpy()
+            s = (matrix(q, "qv") @ matrix(r, "rv").T).round(4)
+            for asks, row in zip(q.column("q").to_numpy(), s):
+                few = np.flatnonzero(row >= np.partition(row, len(row) - n)[len(row) - n]) if len(row) > n else np.arange(len(row))
+                few = few[np.argsort(-row[few], kind="stable")][:n]
+                for out, values in zip(found, (np.full(len(few), asks), ids[few], row[few])):
+                    out.append(values)
+        return pa.table([np.concatenate(out) for out in found], ["q", "r", "score"])
 
     keys = [key, "q_part", "r_part"]
-    found = asked.groupBy(*keys).cogroup(known.groupBy(*keys)).applyInPandas(best, "q long, r long, score double")
+    found = asked.groupBy(*keys).cogroup(known.groupBy(*keys)).applyInArrow(best, "q long, r long, score double")
     return top(found.withColumn("score", F.round("score", 4)).where(F.col("score") >= least), "q", [F.desc("score"), "r"], n)
 
 
@@ -284,13 +289,13 @@ def match_cascade(messages: DataFrame, items: DataFrame, generic: DataFrame | No
     m = scratch.table(m.withColumn("asks", F.col("stocked") & F.col("item_ask") & ~F.col("greeting") & ~F.col("broad")), "cascade-messages")
     embedded = scratch.table(embedded, "cascade-faqs")
     line = lambda rows, n, source, pos="cast(null as bigint)", score="1.0", reply="reply": rows.selectExpr("msg_id", f"{n} as pass_no", f"{source} as source", f"cast({pos} as bigint) as faq_pos", f"cast({score} as double) as score", f"cast({reply} as string) as reply")
-    one = it.category_lists(m.where("stocked and not greeting"), items)
+    lists = scratch.table(it.category_lists(m.where("stocked"), items), "cascade-categories")
     frame = lambda k: F.when(F.col("lang") == "manglish", it.ANSWERS["manglish"][k]).otherwise(it.ANSWERS["english"][k])
-    one = line(one.join(m.select("msg_id", "lang"), "msg_id").withColumn("reply", F.concat_ws("\n", F.replace(frame(0), F.lit("{noun}"), F.col("keyword")), "reply", frame(2))), 1, "'category_list'")
+    one = line(lists.join(m.where("not greeting").select("msg_id", "lang"), "msg_id").withColumn("reply", F.concat_ws("\n", F.replace(frame(0), F.lit("{noun}"), F.col("keyword")), "reply", frame(2))), 1, "'category_list'")
     one = scratch.table(one, "cascade-lists")
     rest = m.join(one.select("msg_id"), "msg_id", "left_anti")
     faq = scratch.table(faq_vector(rest, embedded, vocabulary).withColumnRenamed("score", "faq_score"), "cascade-vectors")
-    looked = it.item_answers(rest.where("stocked and not about and (asks or full)"), items, generic, broad=F.col("broad")).select("msg_id", "reply")
+    looked = it.item_answers(rest.where("stocked and not about and (asks or full)"), items, generic, broad=F.col("broad"), lists=lists).select("msg_id", "reply")
     looked = scratch.table(looked, "cascade-items")
     both = rest.select("msg_id", "slug", "lang", "asks", "full", "stocked", "item_intent").join(faq, "msg_id", "left").join(looked, "msg_id", "left")
     weak = F.col("asks") & F.col("reply").isNotNull() & (F.col("faq_score") < F.when(F.col("lang") == "manglish", WIN_MANGLISH).otherwise(WIN_ENGLISH))
