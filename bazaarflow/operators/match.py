@@ -224,7 +224,7 @@ def chunks_for(questions: DataFrame, chunks: DataFrame, n: int = 5, stop: list[s
     bound = scratch.table(nth(top_n(whole)), "chunk-bound")
     read = q.join(bound, "key", "left").withColumn("most", F.greatest(part, F.col("known") - F.coalesce("t", F.lit(1)) + 1))
     late = counts(read.where((F.col("at") > part) & (F.col("at") <= F.col("most"))))
-    met = scratch.table(early.unionByName(late).groupBy("key", "chunk_pos").agg(F.sum("c").alias("c")), "chunk-met")
+    met = early.unionByName(late).groupBy("key", "chunk_pos").agg(F.sum("c").alias("c"))
     need = read.groupBy("key").agg(F.max("most").alias("most"), F.max("known").alias("known"), F.max(F.coalesce("t", F.lit(1))).alias("t"))
     likely = met.join(need, "key").where(F.col("c") + F.col("known") - F.col("most") >= F.col("t")).select("key", "chunk_pos")
     full = likely.join(asked, "key").join(held, ["slug", "chunk_pos"])
