@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import hashing as H
@@ -158,49 +158,97 @@ def jaccard(percent: int, members: Callable) -> Callable:
     return similar
 
 
+def prefixed(percent: int) -> Callable:
+    """Rows (elements, pos, role) of a posting of ``_prefixes``: ``jaccard`` of the pairs that sizes, positions and roles leave."""
+    full = jaccard(percent, lambda lists: np.split(lists.flatten().to_numpy(zero_copy_only=False), np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))[:-1]))
+
+    def similar(payload: pa.StructArray):
+        elements, pos, role = payload.flatten()
+        exact = full(elements)
+        size = elements.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        left = size - pos.to_numpy(zero_copy_only=False)
+        role = role.to_numpy(zero_copy_only=False)
+
+        def compare(i, others):
+            # of a pair's first shared element at the latest, all it shares lies from there on
+            out = (role[i] | role[others]) & ((100 + percent) * np.minimum(left[i], left[others]) >= percent * (size[i] + size[others]))
+            if out.any():
+                out[out] = exact(i, others[out])
+            return out
+
+        return compare
+
+    return similar
+
+
+def _prefixes(rest: DataFrame, sets: Callable, percent: int, block: int, block_mb: int) -> tuple[DataFrame, DataFrame]:
+    """Postings (key, unit, tree, set, pos, role, blocks) in which each pair of ``percent`` of a key meets, and the sets themselves.
+
+    A set's elements are ordered by their number of sets within the key. Two similar sets share an element of the larger one's
+    first n - ceil(p n) + 1 and of the smaller one's first n - ceil(2 p n / (1 + p)) + 1; ``role`` tells the latter. Elements of one set alone
+    come first and have no posting, so sets that are alike only in what all of the key share (pages from one template) meet nowhere.
+    """
+    full = materialise(sets(rest).withColumn("set", F.xxhash64("elements")).dropDuplicates(["key", "unit", "set"]), "group-sets")
+    each = full.select("key", "unit", "tree", "set", F.size("elements").cast("long").alias("n"), F.explode("elements").alias("e"))
+    often = materialise(each.groupBy("key", "e").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "group-often")
+    own = Window.partitionBy("key", "unit", "set")
+    shared = each.join(sized(often), ["key", "e"]).withColumn("pos", F.expr("n - 1") - F.count(F.lit(1)).over(own) + F.row_number().over(own.orderBy("df", "e")))
+    shared = shared.where(f"pos <= n - ({percent} * n + 99) div 100").withColumn("role", F.expr(f"pos <= n - ({2 * percent} * n + {99 + percent}) div {100 + percent}"))
+    posted = materialise(shared.select(F.xxhash64("key", "e").alias("key"), "unit", "tree", "set", "n", "pos", "role"), "group-prefixes")
+    room = posted.groupBy("key").agg(F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(block)), F.ceil(F.sum("n") * 8 / F.lit(block_mb << 20))).cast("long").alias("blocks"), F.min("tree").alias("lo"), F.max("tree").alias("hi"), F.max("role").alias("role"))
+    room = materialise(room.where("lo < hi and role").select("key", "blocks"), "group-rooms")
+    return posted.join(sized(room), "key"), full.select("unit", "set", "elements")
+
+
 def _across_trees(big: DataFrame) -> DataFrame | None:
-    """Groups (group, unit, tree, ...) that meet the units of different trees in keys of more than one block; None if no key has two trees.
+    """Groups (group, unit, tree, ...) that meet the units of different trees in the keys of ``big``; None if no key has two trees.
 
     A tree with more rows than a block is dealt to blocks of its own, smaller ones share blocks. Only pairs of blocks that can
     hold two trees become groups, so a key in which one tree holds nearly all rows costs its rows times the few others'.
+    Rows whose ``role`` is false meet those of a true one only.
     """
     keys = big.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("blocks").alias("blocks"), F.min("tree").alias("lo"), F.max("tree").alias("hi")).where("lo < hi")
     keys = materialise(keys.select("key", F.ceil(F.col("n") / F.col("blocks")).alias("room")), "group-keys")
     if keys.isEmpty():
         return None
     rest = big.join(sized(keys), "key")
-    per = rest.groupBy("key", "tree", "room").agg(F.count(F.lit(1)).alias("n"))
+    per = rest.groupBy("key", "tree", "role", "room").agg(F.count(F.lit(1)).alias("n"))
     own = F.col("n") > F.col("room")
-    per = materialise(per.select("key", "room", "n", own.alias("own"), F.when(own, F.col("tree")).otherwise(F.lit(0)).alias("cls")), "group-trees")
-    classes = per.groupBy("key", "own", "cls").agg(F.ceil(F.sum("n") / F.max("room")).alias("parts"))
-    named = lambda s: classes.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("own", "cls", "parts")])
-    pairs = named("a").join(named("b"), "key").where("(own_a, cls_a) < (own_b, cls_b) or ((own_a, cls_a) = (own_b, cls_b) and not own_a)")
+    per = materialise(per.select("key", "role", "room", "n", own.alias("own"), F.when(own, F.col("tree")).otherwise(F.lit(0)).alias("cls")), "group-trees")
+    classes = per.groupBy("key", "own", "cls", "role").agg(F.ceil(F.sum("n") / F.max("room")).alias("parts"))
+    named = lambda s: classes.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("own", "cls", "role", "parts")])
+    pairs = named("a").join(named("b"), "key").where("(role_a or role_b) and not (own_a and own_b and cls_a = cls_b)")
+    pairs = pairs.where("(own_a, cls_a, role_a) <= (own_b, cls_b, role_b)")
     pairs = pairs.withColumn("i", F.explode(F.expr("sequence(0L, parts_a - 1)"))).withColumn("j", F.explode(F.expr("sequence(0L, parts_b - 1)")))
-    pairs = pairs.where("(own_a, cls_a) <> (own_b, cls_b) or i <= j").withColumn("group", F.xxhash64("key", "own_a", "cls_a", "i", "own_b", "cls_b", "j"))
-    sides = pairs.select("key", F.col("own_a").alias("own"), F.col("cls_a").alias("cls"), F.col("i").alias("part"), "group").unionByName(pairs.select("key", F.col("own_b").alias("own"), F.col("cls_b").alias("cls"), F.col("j").alias("part"), "group")).distinct()
-    owners = per.where("own").select("key", F.col("cls").alias("tree"), F.lit(True).alias("own"))
-    placed = rest.join(sized(owners), ["key", "tree"], "left").withColumn("own", F.coalesce("own", F.lit(False)))
-    placed = placed.withColumn("cls", F.when(F.col("own"), F.col("tree")).otherwise(F.lit(0))).join(sized(classes), ["key", "own", "cls"])
+    pairs = pairs.where("(own_a, cls_a, role_a) <> (own_b, cls_b, role_b) or i <= j").withColumn("group", F.xxhash64("key", "own_a", "cls_a", "role_a", "i", "own_b", "cls_b", "role_b", "j"))
+    side = lambda s, part: pairs.select("key", *[F.col(f"{c}_{s}").alias(c) for c in ("own", "cls", "role")], F.col(part).alias("part"), "group")
+    sides = side("a", "i").unionByName(side("b", "j")).distinct()
+    owners = per.where("own").select("key", F.col("cls").alias("tree"), "role", F.lit(True).alias("own"))
+    placed = rest.join(sized(owners), ["key", "tree", "role"], "left").withColumn("own", F.coalesce("own", F.lit(False)))
+    placed = placed.withColumn("cls", F.when(F.col("own"), F.col("tree")).otherwise(F.lit(0))).join(sized(classes), ["key", "own", "cls", "role"])
     placed = placed.withColumn("part", F.expr("pmod(xxhash64(if(own, unit, tree), key), parts)"))
-    return placed.join(sides, ["key", "own", "cls", "part"])
+    return placed.join(sides, ["key", "own", "cls", "role", "part"])
 
 
-def linked(rows: DataFrame, similar: Callable, label: str, payload: Callable | None = None, keep: list[str] | None = None) -> DataFrame:
+def linked(rows: DataFrame, similar: Callable, label: str, payload: Callable | None = None, keep: list[str] | None = None, sets: Callable | None = None, percent: int = 0, block: int = 256, block_mb: int = 16) -> DataFrame:
     """Components (node, root) of the units that ``similar`` links within a key: all pairs of a key count, few are compared.
 
     ``rows``: key, unit and blocks, the number of blocks that the key's rows are dealt to, and a payload; or, for a large
     one, ``payload`` adds it to rows of (group, unit, tree) and the columns to ``keep``. First each block is compared in itself and with its key's
     smallest unit, which links a group of copies at once; then, only in keys of several blocks whose units are not all in
-    one component, the pairs of different components are. No task holds more than two blocks, and what leaves it is a
-    spanning forest.
+    one component, the pairs of different components are. If ``similar`` is a Jaccard of ``percent``, ``sets`` may add the ``elements`` of
+    the units' sets (array of long, distinct) to rows of (key, unit, tree): then only pairs that share an element of their prefixes are.
+    No task holds more than two blocks, and what leaves it is a spanning forest.
     """
     columns = ["group", "unit", "tree", *(keep or [] if payload else ["payload"])]
     rows = materialise(rows.select("key", "unit", F.col("blocks").cast("long").alias("blocks"), *columns[3:]), f"{label}-rows")
 
+    def forests(full: DataFrame, alike: Callable) -> DataFrame:
+        return full.select("group", "unit", "tree", "payload").repartition("group").sortWithinPartitions("group", "unit").mapInArrow(forest(alike), _EDGES)
+
     def compared(groups: DataFrame) -> DataFrame:
         groups = groups.select(*columns)
-        full = (payload(groups) if payload else groups).select("group", "unit", "tree", "payload")
-        return full.repartition("group").sortWithinPartitions("group", "unit").mapInArrow(forest(similar), _EDGES)
+        return forests(payload(groups) if payload else groups, similar)
 
     big = rows.where("blocks > 1")
     hubs = big.groupBy("key").agg(F.min_by(F.struct("unit", "blocks", *columns[3:]), "unit").alias("h")).select("key", "h.*")
@@ -209,7 +257,21 @@ def linked(rows: DataFrame, similar: Callable, label: str, payload: Callable | N
     found = components(compared(dealt.select(F.xxhash64("key", "block").alias("group"), "unit", F.col("unit").alias("tree"), *columns[3:])), label)
     if big.isEmpty():
         return found
-    more = _across_trees(big.join(sized(found), F.col("unit") == F.col("node"), "left").withColumn("tree", F.coalesce("root", "unit")).drop("node", "root"))
-    if more is None:
+    big = big.join(sized(found), F.col("unit") == F.col("node"), "left").withColumn("tree", F.coalesce("root", "unit")).withColumn("role", F.lit(True)).drop("node", "root")
+    if sets is None:
+        more = _across_trees(big)
+        edges = None if more is None else compared(more)
+    else:
+        apart = big.groupBy("key").agg(F.min("tree").alias("lo"), F.max("tree").alias("hi")).where("lo < hi")
+        apart = materialise(apart.select("key"), "group-apart")
+        if apart.isEmpty():
+            return found
+        postings, full = _prefixes(big.join(sized(apart), "key").select("key", "unit", "tree"), sets, percent, block, block_mb)
+        more = _across_trees(postings)
+        edges = None
+        if more is not None:
+            more = materialise(more.select("group", "unit", "tree", "set", "pos", "role"), "group-more")
+            edges = forests(full.join(sized(more), ["unit", "set"]).withColumn("payload", F.struct("elements", "pos", "role")), prefixed(percent))
+    if edges is None:
         return found
-    return components(found.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(compared(more)), label)
+    return components(found.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(edges), label)

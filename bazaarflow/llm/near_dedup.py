@@ -63,14 +63,15 @@ def _stored_sets(payload: pa.Array) -> list[np.ndarray]:
     return [np.frombuffer(x.as_py(), np.uint64) for x in payload]
 
 
-def _full_sets(shingle: int):
-    """(text, group, unit, tree) -> the last three and the text's set."""
+def _full_sets(shingle: int, lists: bool = False):
+    """(text, group, unit, tree) -> the last three and the text's set, as bytes or a list."""
 
     def run(batches):
         for batch in H.slices(batches, 0):
             words, at = H.words(*H.buffers(batch.column(0)))
-            sets = [H.distinct(H.shingles(words[at[i] : at[i + 1]], shingle)).tobytes() for i in range(batch.num_rows)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(sets, pa.binary())], ["group", "unit", "tree", "payload"])
+            sets = [H.distinct(H.shingles(words[at[i] : at[i + 1]], shingle)) for i in range(batch.num_rows)]
+            payload = pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())) if lists else pa.array([s.tobytes() for s in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], payload], ["group", "unit", "tree", "payload"])
 
     return run
 
@@ -86,6 +87,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spanning forest of the matches is kept; its components are the groups in which links are then confirmed on full
     sets. Large postings and groups are dealt to blocks that meet their smallest member first, and only what is then still
     apart is compared across blocks, so no task holds a group and a large group of copies costs its rows, not their pairs.
+    Across blocks of a group, sets meet on the rarest shingles of each, a prefix that no link can avoid, so that pages from one
+    template that are alike but not linked are not compared in pairs.
 
     Empty or null text, or text without words: n_shingles 0, linked with nothing, kept. A text of fewer words than
     ``shingle`` is one shingle. A null id: its row has a null component and is kept. Rows of one id
@@ -116,7 +119,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         texts = source.join(sized(groups), F.col("doc_id") == F.col("unit")).select("text", "group", "unit", "tree")
         return texts.mapInArrow(_full_sets(shingle), "group long, unit long, tree long, payload binary")
 
-    linked_sets = linked(placed, jaccard(percent, _stored_sets), "near-links", with_sets)
+    def sets_of(rest: DataFrame) -> DataFrame:
+        texts = source.join(sized(rest), F.col("doc_id") == F.col("unit")).select("text", F.col("key").alias("group"), "unit", "tree")
+        lists = texts.mapInArrow(_full_sets(shingle, True), "group long, unit long, tree long, payload array<bigint>")
+        return lists.where("size(payload) > 0").withColumnsRenamed({"group": "key", "payload": "elements"})
+
+    linked_sets = linked(placed, jaccard(percent, _stored_sets), "near-links", with_sets, None, sets_of, percent, block, block_mb)
 
     label = reps.select("set_hi", "set_lo", "doc_id", "copies").join(sized(linked_sets), F.col("node") == F.col("doc_id"), "left").where("copies > 1 or root is not null")
     label = label.select("set_hi", "set_lo", F.coalesce("root", "doc_id").alias("component"))
