@@ -88,7 +88,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets. Large postings and groups are dealt to blocks that meet their smallest member first, and only what is then still
     apart is compared across blocks, so no task holds a group and a large group of copies costs its rows, not their pairs.
     Across blocks of a group, sets meet on the rarest shingles of each, a prefix that no link can avoid, so that pages from one
-    template that are alike but not linked are not compared in pairs.
+    template are compared in pairs only as far as the shingles of their own leave room in their prefixes.
 
     Empty or null text, or text without words: n_shingles 0, linked with nothing, kept. A text of fewer words than
     ``shingle`` is one shingle. A null id: its row has a null component and is kept. Rows of one id
