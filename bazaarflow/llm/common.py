@@ -7,6 +7,8 @@ import functools
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -107,13 +109,15 @@ def numbered(df: DataFrame, keys: list[str], order: list, out: str, buckets: int
 HUB = 1000
 #: Edges that one task reads, at least.
 EDGES_A_TASK = 50_000
+#: Nodes that a task holds before it sends their roots on.
+NODES_HELD = 200_000
 #: Up to so many nodes get their minima by a broadcast, whatever their neighbours.
 FEW_NODES = 200_000
 
 
-def _compact(edges: DataFrame) -> DataFrame:
+def _compact(edges: DataFrame, n_edges: int) -> DataFrame:
     """A table of small files read by as many tasks as its rows need, so that a hub's counts come from few tasks."""
-    return edges.coalesce(max(4, edges.count() // EDGES_A_TASK))
+    return edges.coalesce(max(4, n_edges // EDGES_A_TASK))
 
 
 def _with_minimum(edges: DataFrame, low: DataFrame, n_edges: int) -> DataFrame:
@@ -129,27 +133,56 @@ def _with_minimum(edges: DataFrame, low: DataFrame, n_edges: int) -> DataFrame:
     return edges.join(hubs, "a").unionByName(edges.join(hubs, "a", "left_anti").join(low.where(F.col("n") <= h).select("a", "m"), "a"))
 
 
+def _stars(batches):
+    """Edges (a, b) of a task -> for each node of theirs the smallest node that they connect it with: fewer edges, the same components."""
+    root: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        up = root.setdefault(x, x)
+        while up != root[up]:
+            root[x] = root[up]
+            x, up = up, root[root[up]]
+        return up
+
+    def told() -> pa.RecordBatch:
+        pairs = np.array([(x, y) for x in root if (y := top(x)) != x], np.int64).reshape(-1, 2)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            a, b = top(a), top(b)
+            if a != b:
+                root[max(a, b)] = min(a, b)
+        if len(root) > NODES_HELD:
+            yield told()
+            root.clear()
+    yield told()
+
+
 def components(edges: DataFrame, label: str = "components") -> DataFrame:
     """Connected components of ``edges`` (``a``, ``b`` long) as a table (``node``, ``root``); the root is the smallest node.
 
-    Distributed union-find by alternating large-star and small-star steps: each round hangs every node's neighbours on
-    its smallest neighbour, first those above it, then those below, until every node hangs on a root. Only minima are
-    aggregated (map-side combine) and each round is a table in the shared folder, so no node's neighbours meet in one row or
-    task and lost executors cost one round. Loops and duplicate edges are allowed; nodes of loops alone do not appear. An
-    empty input gives an empty result.
+    Distributed union-find by alternating large-star and small-star steps: one hangs every node's larger neighbours on its smallest
+    neighbour, the other its smaller ones, until every node hangs on a root. Before each step every task joins what its own
+    edges connect, so few steps are left; one aggregation of minima (map-side combine) serves a step and tells whether it was
+    the last. Steps are tables in the shared folder, so no node's neighbours meet in one row or task and lost executors
+    cost one step. No step raises the sum of the edges' ends, and of two steps one lowers it while a node does not hang on a root.
+    Loops and duplicate edges are allowed; nodes of loops alone do not appear. An empty input gives an empty result.
     """
-    e = edges.select(F.greatest("a", "b").cast("long").alias("a"), F.least("a", "b").cast("long").alias("b")).where("a <> b").distinct()
-    e = _compact(materialise(e, label))
+    e = edges.select(F.greatest("a", "b").cast("long").alias("a"), F.least("a", "b").cast("long").alias("b")).where("a <> b")
+    e = materialise(e.mapInArrow(_stars, "a long, b long"), label)
+    large = True
     while True:
-        ends = e.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(e.select(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
-        ends = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
-        mark = ends.agg(F.coalesce(F.sum("up"), F.lit(0)).alias("n"), F.count_if(F.expr("up > 1 or up + down > 1")).alias("open")).first()
-        if not mark["open"]:
-            break
-        both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count(F.lit(1)).alias("n"))
-        large = _with_minimum(both.where("b > a"), low, mark["n"]).select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.where("m < a").select("a", F.col("m").alias("b"))).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
-        small = _with_minimum(large, low, 2 * mark["n"]).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
-        e = _compact(materialise(small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), label))
-    return e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+        n_edges = e.count()
+        e = materialise(_compact(e, n_edges).mapInArrow(_stars, "a long, b long"), label)
+        down = e.select(F.col("b").alias("a"), F.col("a").alias("b"))
+        low = e.unionByName(down).groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count(F.lit(1)).alias("n"), F.max(F.when(F.col("b") < F.col("a"), F.col("b"))).alias("below"), F.max("b").alias("above"))
+        low = materialise(low, f"{label}-low")
+        if low.where("below > m or (m < a and above > a)").isEmpty():
+            return low.select(F.col("a").alias("node"), F.col("m").alias("root"))
+        if large:
+            e = _with_minimum(down, low, n_edges).select(F.col("b").alias("a"), F.col("m").alias("b"))
+        else:
+            e = _with_minimum(e, low, n_edges).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.where("m < a").select("a", F.col("m").alias("b")))
+        e = materialise(e, label)
+        large = not large

@@ -216,7 +216,7 @@ def _across_trees(big: DataFrame) -> DataFrame | None:
     per = rest.groupBy("key", "tree", "role", "room").agg(F.count(F.lit(1)).alias("n"))
     own = F.col("n") > F.col("room")
     per = materialise(per.select("key", "role", "room", "n", own.alias("own"), F.when(own, F.col("tree")).otherwise(F.lit(0)).alias("cls")), "group-trees")
-    classes = per.groupBy("key", "own", "cls", "role").agg(F.ceil(F.sum("n") / F.max("room")).alias("parts"))
+    classes = materialise(per.groupBy("key", "own", "cls", "role").agg(F.ceil(F.sum("n") / F.max("room")).alias("parts")), "group-classes")
     named = lambda s: classes.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("own", "cls", "role", "parts")])
     pairs = named("a").join(named("b"), "key").where("(role_a or role_b) and not (own_a and own_b and cls_a = cls_b)")
     pairs = pairs.where("(own_a, cls_a, role_a) <= (own_b, cls_b, role_b)")

@@ -99,8 +99,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         raise ValueError(f"k may be at most {1 << COORDINATE_BITS}")
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sets = materialise(source.mapInArrow(_sets(shingle, k), _SETS), "near-sets")
-    classes = sets.where("n_shingles > 0 and doc_id is not null").groupBy("set_hi", "set_lo").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
-    reps = materialise(sets.join(classes, ["set_hi", "set_lo", "doc_id"]).dropDuplicates(["set_hi", "set_lo"]), "near-classes")
+    classes = sets.where("n_shingles > 0 and doc_id is not null").groupBy("set_hi", "set_lo")
+    reps = materialise(classes.agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"), F.any_value("n_shingles").alias("n_shingles"), F.any_value("tokens").alias("tokens")), "near-classes")
 
     posted = reps.select("doc_id", "set_hi", "set_lo", F.explode("tokens").alias("token"))
     often = posted.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
