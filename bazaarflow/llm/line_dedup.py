@@ -169,13 +169,24 @@ def _similar(shingle: int, percent: int, bands: int, agreeing: int):
     return similar
 
 
+def _rooms(met: DataFrame, block: int, block_mb: int) -> DataFrame:
+    """Bands in which nodes meet (key, blocks) from (node, n, band, key): of bands with the same nodes the first one.
+
+    Two lines are compared only in the first band that they share, so nothing would be compared in the others.
+    """
+    room = met.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("n"), F.min("band").alias("band"), F.bit_xor(F.xxhash64("node")).alias("nodes"))
+    first = room.groupBy("nodes", "rows").agg(F.min_by("key", "band").alias("key"), F.min("n").alias("n"))
+    return first.select("key", F.greatest(F.ceil(F.col("rows") / F.lit(block)), F.ceil(F.col("n") * 8 / F.lit(block_mb << 20))).cast("long").alias("blocks"))
+
+
 @in_small_batches
 def fuzzy_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 8, percent: int = 80, bands: int = 12, agreeing: int = 27, block: int = 256, block_mb: int = 8) -> DataFrame:
     """Lines of ``docs`` with their component: row, doc_id, line (from 0), component, kept.
 
     Lines are compared without case (A-Z) and outer blanks. Equal lines are one node. Nodes that share a band of four
     MinHash values over shingles of ``shingle`` characters are compared if ``agreeing`` of all 4 * ``bands`` values agree, on full
-    shingle sets, and a Jaccard of ``percent`` links them. A pair of 80 % is missed with a chance of 0.002. Of each component
+    shingle sets, and a Jaccard of ``percent`` links them. A pair of 80 % is missed with a chance of 0.002. Bands that hold the same
+    nodes are compared once. Of each component
     the first line by (doc_id, row, line) is kept. A line shorter than a shingle is one shingle, so it equals another
     or shares nothing with it. Empty lines are all kept.
     """
@@ -186,8 +197,7 @@ def fuzzy_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     shared = posted.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first < last")
     shared = materialise(shared.select("key"), "line-bands")
     met = materialise(posted.join(sized(shared), "key").distinct(), "line-postings")
-    room = met.groupBy("key").agg(F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(block)), F.ceil(F.sum("n") * 8 / F.lit(block_mb << 20))).cast("long").alias("blocks"))
-    keys = materialise(met.join(sized(materialise(room, "line-rooms")), "key").groupBy("node").agg(F.collect_list(F.struct("key", "blocks", "band")).alias("keys")), "line-keys")
+    keys = materialise(met.join(sized(materialise(_rooms(met, block, block_mb), "line-rooms")), "key").groupBy("node").agg(F.collect_list(F.struct("key", "blocks", "band")).alias("keys")), "line-keys")
     once = new.join(sized(keys.select("node")), "node").groupBy("node").agg(F.any_value("bands").alias("bands"), F.any_value("text").alias("text"))
     once = materialise(once.withColumnRenamed("node", "unit"), "line-nodes")
     rows = keys.select(F.col("node").alias("unit"), F.explode("keys").alias("k")).select("k.key", "unit", "k.blocks", "k.band")

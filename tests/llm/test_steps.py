@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from bazaarflow.llm import common
+from bazaarflow.llm import common, grouping, line_dedup
 
 
 def _counted(monkeypatch) -> list[str]:
@@ -37,3 +37,24 @@ def test_chains_and_repeats_over_tasks(spark, monkeypatch):
     r.shuffle(edges)
     df = spark.createDataFrame(edges, "a long, b long").repartition(16)
     assert {x.node: x.root for x in common.components(df).collect()} == want
+
+
+def test_pairs_of_lines_are_compared_in_one_band(spark, monkeypatch):
+    """Each pair of near copies shares several bands, all with the same two lines, and is sent to be compared once."""
+    r = random.Random(8)
+    texts = []
+    for _ in range(60):
+        words = [f"w{r.randrange(10**6)}" for _ in range(40)]
+        texts += [" ".join(words), " ".join([*words[:-1], "other"])]
+    sent, plain = {}, common.materialise
+
+    def counted(df, label):
+        out = plain(df, label)
+        sent[label] = out.count()
+        return out
+
+    monkeypatch.setattr(grouping, "materialise", counted)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x.doc_id: x.n_kept for x in line_dedup.dedup_lines(docs).collect()}
+    assert got == {i: 1 - i % 2 for i in range(120)}
+    assert sent["line-links-rows"] == 120
