@@ -133,8 +133,11 @@ def _with_minimum(edges: DataFrame, low: DataFrame, n_edges: int) -> DataFrame:
     return edges.join(hubs, "a").unionByName(edges.join(hubs, "a", "left_anti").join(low.where(F.col("n") <= h).select("a", "m"), "a"))
 
 
-def _stars(batches):
-    """Edges (a, b) of a task -> for each node of theirs the smallest node that they connect it with: fewer edges, the same components."""
+def stars(batches):
+    """Edges (a, b) of a task -> for each node of theirs the smallest node that they connect it with: fewer edges, the same components.
+
+    What makes edges in Python ends with it in its own function: two Python stages in one task take two workers at once.
+    """
     root: dict[int, int] = {}
 
     def top(x: int) -> int:
@@ -164,17 +167,17 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
 
     Distributed union-find by alternating large-star and small-star steps: one hangs every node's larger neighbours on its smallest
     neighbour, the other its smaller ones, until every node hangs on a root. Before each step every task joins what its own
-    edges connect, so few steps are left; one aggregation of minima (map-side combine) serves a step and tells whether it was
+    edges connect (``stars``, on a table that was written, so no task runs it beside another Python stage), so few steps are left; one aggregation of minima (map-side combine) serves a step and tells whether it was
     the last. Steps are tables in the shared folder, so no node's neighbours meet in one row or task and lost executors
     cost one step. No step raises the sum of the edges' ends, and of two steps one lowers it while a node does not hang on a root.
     Loops and duplicate edges are allowed; nodes of loops alone do not appear. An empty input gives an empty result.
     """
     e = edges.select(F.greatest("a", "b").cast("long").alias("a"), F.least("a", "b").cast("long").alias("b")).where("a <> b")
-    e = materialise(e.mapInArrow(_stars, "a long, b long"), label)
+    e = materialise(e, label)
     large = True
     while True:
         n_edges = e.count()
-        e = materialise(_compact(e, n_edges).mapInArrow(_stars, "a long, b long"), label)
+        e = materialise(_compact(e, n_edges).mapInArrow(stars, "a long, b long"), label)
         down = e.select(F.col("b").alias("a"), F.col("a").alias("b"))
         low = e.unionByName(down).groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count(F.lit(1)).alias("n"), F.max(F.when(F.col("b") < F.col("a"), F.col("b"))).alias("below"), F.max("b").alias("above"))
         low = materialise(low, f"{label}-low")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import hashing as H
-from .common import components, materialise, sized
+from .common import components, materialise, sized, stars
 
 _EDGES = "a long, b long"
 #: Matches that a task holds before it sends them on.
@@ -86,7 +86,7 @@ def _small(units, trees, ranges, compare, likely, found: list) -> list:
 
 
 def forest(similar: Callable) -> Callable:
-    """Arrow rows sorted by group and unit (group, unit, tree, payload) -> a spanning forest of each group's similar pairs.
+    """Arrow rows sorted by group and unit (group, unit, tree, payload) -> a spanning forest of each group's similar pairs, those of a task joined.
 
     ``similar(payload)`` takes a payload column and gives a function i, others -> which of the rows ``others`` are similar to
     row i; its attribute ``likely``, if it has one, rules out most pairs i, j (arrays) at once, and ``prepare`` makes what it needs of many rows together. Units of one tree are linked
@@ -118,7 +118,7 @@ def forest(similar: Callable) -> Callable:
                 found = []
         yield _edges(found)
 
-    return run
+    return lambda batches: stars(run(batches))
 
 
 def jaccard(percent: int, members: Callable) -> Callable:

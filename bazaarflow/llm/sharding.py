@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -142,7 +144,9 @@ def shard_documents(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", t
 
     histogram = [(r["class"], r["n"]) for r in units.groupBy("class").agg(F.count(F.lit(1)).alias("n")).collect()]
     spark = docs.sparkSession
-    plan = spark.createDataFrame(fewest_bytes(histogram, shards), "class long, first long, end long, shard int")
+    # as an Arrow table: rows of Python objects would start Python workers of another kind beside those of mapInArrow
+    runs = np.array(fewest_bytes(histogram, shards), np.int64).reshape(-1, 4)
+    plan = spark.createDataFrame(pa.table(list(runs.T.copy()), ["class", "first", "end", "shard"]), "class long, first long, end long, shard int")
     spread = max(32, -(-(total["n"] or 0) // (shards * CELL_ROWS)))  # cells of a key follow the counted rows
     ranked = numbered(units, ["class"], [F.col("key"), F.col("piece")], "rank", spread)
     placed = ranked.join(F.broadcast(plan), (ranked["class"] == plan["class"]) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("end")))
