@@ -220,11 +220,14 @@ def _mine(positives: int, negatives: int, low: int, high: int):
 
 
 def _tiled(anchors: DataFrame, rows: DataFrame, groups: int) -> DataFrame:
-    """Every anchor block with every row block, joined by tile: rows are dealt to ``groups``, anchor blocks to shares of a bounded size."""
-    shares = max(1, -(-anchors.count() // BLOCKS_A_TILE))
+    """Every anchor block with every row block, joined by tile: rows are dealt to ``groups``, at most one for each block, anchor blocks to shares of a bounded size.
+
+    Both sides shuffle: the size that Spark expects of the anchors is that of their table, not of its copies for all groups.
+    """
+    shares, groups = max(1, -(-anchors.count() // BLOCKS_A_TILE)), max(1, min(groups, rows.count()))
     a = anchors.select(F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"), F.pmod(F.xxhash64("block"), F.lit(shares)).alias("share"), *[F.col(c).alias(f"a_{c}") for c in anchors.columns if c != "block"])
     r = rows.select(F.pmod(F.xxhash64("block"), F.lit(groups)).alias("group"), F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).alias("share"), *[F.col(c).alias(f"r_{c}") for c in rows.columns if c != "block"])
-    return r.join(a, ["group", "share"]).drop("group", "share")
+    return r.join(a.hint("merge"), ["group", "share"]).drop("group", "share")
 
 
 def mine_hard_negatives(rows: DataFrame, anchor, positives: int = 5, negatives: int = 3, low: int = 50, high: int = 95, scale: float = 256.0) -> DataFrame:

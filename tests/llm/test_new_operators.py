@@ -263,6 +263,15 @@ def test_negatives_none(spark):
     assert hard_negatives.mine_hard_negatives(hard_negatives.usable(df.limit(0)), F.col("id") == 50).count() == 0
 
 
+def test_tiles_are_not_sent_to_all_tasks(spark):
+    """Copies of the anchors for all groups go through a shuffle, whatever Spark expects of their size, and there are no more groups than blocks."""
+    frame = spark.createDataFrame([(i, [float(i), 1.0], 0) for i in range(20)], "id long, vector array<double>, label long").select("id", "label", "vector")
+    packed = hard_negatives.materialise(frame.repartition(2).mapInArrow(hard_negatives._pack(256.0), hard_negatives._PACKED), "test-blocks")
+    tiles = hard_negatives._tiled(packed, packed, 600)
+    plan = tiles._jdf.queryExecution().toString()
+    assert "BroadcastHashJoin" not in plan and "sequence(0, 1" in plan and tiles.count() == packed.count() ** 2 == 4
+
+
 def test_negatives_query_equals_sql(spark):
     import duckdb
 
