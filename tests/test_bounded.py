@@ -2,7 +2,8 @@
 
 import random
 
-from bazaarflow.operators import match
+from bazaarflow.operators import items, match
+from bazaarflow.plans import scratch
 from pyspark.sql import functions as F
 
 
@@ -55,3 +56,22 @@ def test_chunks_of_alike_texts_make_no_pairs(spark):
     assert got == want and len(want) > 800
     assert records < 20 * len(asks)
     assert rows(block=7) == want
+
+
+def test_lists_are_kept_once_however_many_ask(spark, monkeypatch):
+    """A whole category's answer joins its messages last: no table holds it once for a message."""
+    rows = spark.createDataFrame([("s", i, f"Ring {i}", "r", None, 80) for i in range(300)], "slug string, item_pos int, name string, category string, description string, price bigint")
+    asks = spark.createDataFrame([(i, "s", f"all rings{'!' * (i % 7)}", "english") for i in range(200)], "msg_id int, slug string, message string, lang string")
+    letters, table = [], scratch.table
+
+    def counted(df, label):
+        out = table(df, label)
+        letters.extend(out.agg(F.coalesce(F.sum(F.length(c)), F.lit(0))).first()[0] for c, kind in df.dtypes if kind == "string")
+        return out
+
+    monkeypatch.setattr(scratch, "table", counted)
+    got = items.item_answers(asks, rows, None).collect()
+    assert len(got) == 200 and {x.n for x in got} == {300} and len({x.reply for x in got}) == 1
+    reply = got[0].reply
+    assert reply.split("\n")[1:3] == ["• Ring 0 — ₹80", "• Ring 1 — ₹80"] and len(reply.split("\n")) == 302
+    assert len(reply) * 2 > sum(letters)
