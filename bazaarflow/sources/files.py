@@ -52,7 +52,19 @@ def read_items(spark: SparkSession, path: str) -> DataFrame:
 def read_configs(spark: SparkSession, path: str, defaults: dict[str, str]) -> DataFrame:
     """Nested shop settings ``<slug>/<file>.json``; plain keys fall back to ``defaults``, and keys beyond ``CONFIG`` are kept as texts in ``extra``."""
     raw = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))
-    rows = raw.select(_slug(F.col("path")).alias("slug"), F.from_json("value", CONFIG).alias("c"), F.from_json("value", "map<string, string>").alias("every"))
+    return _configs(raw.select(_slug(F.col("path")).alias("slug"), "value"), defaults)
+
+
+def read_config_packs(spark: SparkSession, path: str, defaults: dict[str, str]) -> DataFrame:
+    """``read_configs`` for many shops: files of lines, each the settings of a shop with its ``slug`` among the keys."""
+    raw = spark.read.text(path).select(F.get_json_object("value", "$.slug").alias("slug"), "value")
+    rows = _configs(raw, defaults)
+    return rows.withColumn("extra", F.map_filter("extra", lambda k, v: k != "slug"))
+
+
+def _configs(raw: DataFrame, defaults: dict[str, str]) -> DataFrame:
+    """Settings of (slug, value)."""
+    rows = raw.select("slug", F.from_json("value", CONFIG).alias("c"), F.from_json("value", "map<string, string>").alias("every"))
     known = F.array(*[F.lit(f.name) for f in rows.schema["c"].dataType.fields])
     rows = rows.select("slug", "c.*", F.map_filter(F.coalesce("every", F.create_map().cast("map<string, string>")), lambda k, v: ~F.array_contains(known, k)).alias("extra"))
     return rows.withColumns({k: F.coalesce(F.col(k), F.lit(v)) for k, v in defaults.items()})

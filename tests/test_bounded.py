@@ -75,3 +75,17 @@ def test_lists_are_kept_once_however_many_ask(spark, monkeypatch):
     reply = got[0].reply
     assert reply.split("\n")[1:3] == ["• Ring 0 — ₹80", "• Ring 1 — ₹80"] and len(reply.split("\n")) == 302
     assert len(reply) * 2 > sum(letters)
+
+
+def test_settings_of_shops_share_files(spark):
+    """The settings come back as they are, and are not a file and a folder for each shop."""
+    from pathlib import Path
+
+    from bazaarflow.sources import queries
+
+    base = Path(scratch.folder(spark).removeprefix("file:"))
+    before = set(base.glob("files-config-*"))
+    got = queries.src_config(spark, "/root/testdata/sf0.001").collect()
+    (written,) = set(base.glob("files-config-*")) - before
+    assert len(got) > 8 and {x.branch for x in got} == {x.slug.removeprefix("shop-") for x in got}
+    assert len(list(written.rglob("*.txt"))) < len(got) / 4
