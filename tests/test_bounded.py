@@ -89,3 +89,11 @@ def test_settings_of_shops_share_files(spark):
     (written,) = set(base.glob("files-config-*")) - before
     assert len(got) > 8 and {x.branch for x in got} == {x.slug.removeprefix("shop-") for x in got}
     assert len(list(written.rglob("*.txt"))) < len(got) / 4
+
+
+def test_blocks_of_pairs_keep_their_tasks(spark):
+    """Blocks of few bytes hold much work, so they are dealt to a fixed number of tasks, which Spark does not merge."""
+    m, f, _, _ = alike(spark, 20)
+    faqs = f.select("slug", F.col("pos").alias("faq_pos"), F.col("text").alias("q"), F.array().cast("array<string>").alias("variants"))
+    for found in (match.faq_fuzzy(m, faqs), match.faq_f1(m, faqs)):
+        assert found._jdf.queryExecution().executedPlan().toString().count("REPARTITION_BY_NUM") == 2
